@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import accumulate, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,8 @@ from lodestory.llm.shared import prepare, ragged
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Pieces that the split makes only when they are complete.
 _WHOLE_ONLY = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
-#: Words and pairs kept by a worker before it starts anew.
-MOST_KEPT = 400_000
+#: Prefixes and chunks kept by a worker before it starts anew.
+MOST_PREFIXES, MOST_CHUNKS = 1_200_000, 500_000
 END = "</w>"
 _kept: dict[str, PrefixCounter] = {}
 
@@ -63,7 +63,9 @@ class PrefixCounter:
         self.inner: dict[str, tuple[str, int]] = {}
         self.ends: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.pieces: dict[str, np.ndarray] = {}
+        self.clear_chunks()
+
+    def clear_chunks(self) -> None:
         self.index: dict[str, int] = {}
         self.flat, self.used = np.zeros(1 << 18, np.int32), 0
         self.start, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -111,9 +113,17 @@ class PrefixCounter:
             else:
                 limit, b = y[0] + 1, y[1]
 
-    def last(self, s: str, i: int, end: str) -> tuple[str, int]:
-        """Last token of s[:i] and the number of its tokens; shorter prefixes must be known."""
+    def last(self, s: str, i: int, end: str, guess: int) -> tuple[str, int]:
+        """Last token of s[:i] and the number of its tokens; shorter prefixes must be known.
+
+        Only one token fits; `guess` is where it is likely to start, and is tried first.
+        """
         vocab, inner, pairs = self.vocab, self.inner, self.pairs
+        if guess > 0 and (t := s[guess:i] + end) in vocab:
+            before, n = inner[s[:guess]]
+            got = pairs.get((before, t))
+            if got or (got is None and self.stays(before, t)):
+                return t, n + 1
         for k in range(max(0, i - self.longest), i):
             t = s[k:i] + end
             if t in vocab:
@@ -127,57 +137,63 @@ class PrefixCounter:
                     return t, n + 1
         raise ValueError("the vocabulary lacks a byte")
 
-    def piece(self, w: str) -> np.ndarray:
+    def grow(self, s: str) -> None:
+        """Make all prefixes of a pre-token in byte signs known, shorter ones first."""
+        inner, ends = self.inner, self.ends
+        known = len(s)
+        while known > 0 and s[:known] not in inner:
+            known -= 1
+        at = known - len(inner[s[:known]][0]) if known else 0
+        for i in range(known + 1, len(s) + 1):
+            p = s[:i]
+            got = inner[p] = self.last(s, i, "", at)
+            at = i - len(got[0])
+            ends[p] = self.last(s, i, END, at)[1]
+
+    def count_signs(self, s: str) -> int:
+        """Tokens of a whole pre-token in byte signs."""
+        if s not in self.ends:
+            self.grow(s)
+        return self.ends[s]
+
+    def piece(self, w: str) -> list[int]:
         """Counts of the prefixes of 1, 2, ... characters of one pre-token."""
-        got = self.pieces.get(w)
-        if got is not None:
-            return got
         if w in _WHOLE_ONLY:
-            out = [1]
-            for i in range(2, len(w)):
-                out.append(1 + int(self.piece(w[1:i])[-1]))
-            out.append(self.count_signs("".join(self.signs[b] for b in w.encode())))
+            return [1, *(1 + self.piece(w[1:i])[-1] for i in range(2, len(w))), self.count_signs(w)]
+        if w.isascii() and w.isprintable():
+            s, cuts = w, range(1, len(w) + 1)
         else:
-            out, s = [], ""
-            for ch in w:
-                s += ch if "!" <= ch <= "~" else "".join([self.signs[b] for b in ch.encode()])
-                out.append(self.count_signs(s))
-        got = self.pieces[w] = np.array(out, np.int32)
-        return got
-
-    def count_signs(self, s: str) -> int:
-        """Tokens of a whole pre-token in byte signs; words with the same beginning share the work."""
-        got = self.ends.get(s)
-        if got is None:
-            n, inner = len(s), self.inner
-            known = n - 1
-            while known > 0 and s[:known] not in inner:
-                known -= 1
-            for i in range(known + 1, n):
-                inner[s[:i]] = self.last(s, i, "")
-            got = self.ends[s] = self.last(s, n, END)[1]
-        return got
+            parts = ["".join([self.signs[b] for b in ch.encode()]) for ch in w]
+            s, cuts = "".join(parts), list(accumulate(map(len, parts)))
+        if s not in self.ends:
+            self.grow(s)
+        ends = self.ends
+        return [ends[s[:i]] for i in cuts]
 
     def learn(self, chunks: list[str]) -> None:
         """Keep the tables of chunks without white space, each with its last count once more."""
+        new: list[int] = []
+        sizes = []
         for c in chunks:
-            found = _PIECE.findall(c)
-            parts, base = [], 0
-            for w in found:
+            n, base = len(new), 0
+            for w in _PIECE.findall(c):
                 t = self.piece(w)
-                parts.append(t + base if base else t)
-                base += int(t[-1])
-            t = parts[0] if len(parts) == 1 else np.concatenate(parts)
-            n, k = len(t) + 1, len(self.index)
-            if self.used + n > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros(max(n, len(self.flat)), np.int32)])
-            if k == len(self.start):
-                self.start, self.size = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self.start, self.size))
-            self.flat[self.used : self.used + n - 1] = t
-            self.flat[self.used + n - 1] = base
-            self.start[k], self.size[k] = self.used, n
-            self.index[c] = k
-            self.used += n
+                new += [x + base for x in t] if base else t
+                base += t[-1]
+            new.append(base)
+            sizes.append(len(new) - n)
+        k, n = len(self.index), len(chunks)
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(len(new), len(self.flat)), np.int32)])
+        if k + n > len(self.start):
+            more = max(len(self.start), n)
+            self.start, self.size = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(new)] = new
+        size = np.array(sizes, np.int64)
+        self.start[k : k + n] = self.used + np.cumsum(size) - size
+        self.size[k : k + n] = size
+        self.index.update(zip(chunks, range(k, k + n), strict=True))
+        self.used += len(new)
 
     def table(self, text: str) -> np.ndarray:
         """Token count of every prefix of a text, 0 characters first; the last is the text's own.
@@ -186,8 +202,10 @@ class PrefixCounter:
         which is what the vocabulary sees; for plain texts only case and white space differ.
         A special string counts one when it is complete, by its characters before.
         """
-        if len(self.index) > MOST_KEPT or len(self.inner) > 2 * MOST_KEPT:
+        if len(self.inner) > MOST_PREFIXES:
             self.clear()
+        elif len(self.index) > MOST_CHUNKS:
+            self.clear_chunks()
         if _ODD.search(text) or ("<|" in text and _SPECIAL.search(text)):
             return self.odd_table(text)
         chunks = text.lower().split()
@@ -227,7 +245,7 @@ class PrefixCounter:
         for signs, (lo, hi) in self.tok.pre_tokenizer.pre_tokenize_str(norm):
             w = norm[lo:hi]
             if "".join(self.signs[b] for b in w.encode()) == signs:
-                tables.append(self.piece(w))
+                tables.append(np.array(self.piece(w), np.int32))
             else:
                 n = self.count_signs(signs)
                 tables.append(np.full(max(1, hi - lo), n, np.int32))
