@@ -4,15 +4,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodestory.llm.decontaminate import benchmark_hits
+from lodestory.llm.language_id import identify_language, train_language_model
 from lodestory.llm.packing import pack_documents
-from lodestory.llm.shared import scratch, table
+from lodestory.llm.shared import held_out, scratch, table
 from lodestory.llm.token_counts import prefix_token_counts
 from lodestory.llm.token_store import read_token_store, write_token_store
+from lodestory.llm.toxicity import score_toxicity, train_toxicity_model
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_toxicity_model(docs, table(spark, sf_dir, "labels"), train_language_model(docs))
+    return score_toxicity(docs, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.array_join("items", ","), 256)
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify_language(docs, train_language_model(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), budget=2048)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
@@ -29,8 +50,11 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_decontamination": op2_decontamination,
     "op4_token_counts": op4_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_store": op7_token_store,
+    "op8_language_id": op8_language_id,
 }
 ORACLE_SQL: dict[str, str] = {}
