@@ -13,6 +13,7 @@ from lodestory.llm.shared import held_out, scratch, table
 from lodestory.llm.token_counts import prefix_token_counts
 from lodestory.llm.token_store import read_token_store, write_token_store
 from lodestory.llm.toxicity import score_toxicity, train_toxicity_model
+from lodestory.llm.url_trust import judge_urls
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 
@@ -49,6 +50,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(spark, path, with_ids=False)
 
 
+def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
@@ -56,5 +61,6 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_store": op7_token_store,
     "op8_language_id": op8_language_id,
+    "op10_url_trust": op10_url_trust,
 }
 ORACLE_SQL: dict[str, str] = {}
