@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestory.llm.decontaminate import benchmark_hits
 from lodestory.llm.language_id import identify_language, train_language_model
+from lodestory.llm.nearest import nearest_neighbours
 from lodestory.llm.packing import pack_documents
 from lodestory.llm.shared import held_out, scratch, table
 from lodestory.llm.token_counts import prefix_token_counts
@@ -30,6 +31,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return identify_language(docs, train_language_model(docs)).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
@@ -57,6 +62,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_token_counts": op4_token_counts,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_store": op7_token_store,
