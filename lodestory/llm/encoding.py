@@ -9,15 +9,15 @@ library's Unicode rules could differ from the split) go to the library whole.
 from __future__ import annotations
 
 import re
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 from tokenizers import Tokenizer
 
 from lodestory.llm.shared import ragged
 
-#: Chunks kept by a worker before it starts anew.
-MOST_CHUNKS = 600_000
+#: Chunks that a worker keeps at most; then all but the first, the commonest, are forgotten.
+MOST_CHUNKS, FIRST_CHUNKS = 900_000, 250_000
 #: Outside this set a text is encoded whole.
 _ODD = re.compile("[^\t\n\r -~\xa1-įı-ɏ–-…€]")
 _SPECIAL = re.compile(r"<\|\w+\|>")
@@ -72,7 +72,8 @@ class ChunkEncoder:
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and the number of each text."""
         if len(self.index) > MOST_CHUNKS:
-            self.clear()
+            self.index = dict(islice(self.index.items(), FIRST_CHUNKS))
+            self.used = int(self.start[FIRST_CHUNKS])
         cuts, whole = [], {}
         for i, t in enumerate(texts):
             t = t or ""

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from itertools import accumulate, repeat
+from itertools import accumulate, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 #: Pieces that the split makes only when they are complete.
 _WHOLE_ONLY = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
 #: Prefixes and chunks kept by a worker before it starts anew.
-MOST_PREFIXES, MOST_CHUNKS = 1_200_000, 500_000
+MOST_PREFIXES, MOST_CHUNKS, FIRST_CHUNKS = 1_200_000, 500_000, 150_000
 END = "</w>"
 _kept: dict[str, PrefixCounter] = {}
 
@@ -205,7 +205,8 @@ class PrefixCounter:
         if len(self.inner) > MOST_PREFIXES:
             self.clear()
         elif len(self.index) > MOST_CHUNKS:
-            self.clear_chunks()
+            self.index = dict(islice(self.index.items(), FIRST_CHUNKS))
+            self.used = int(self.start[FIRST_CHUNKS])
         if _ODD.search(text) or ("<|" in text and _SPECIAL.search(text)):
             return self.odd_table(text)
         chunks = text.lower().split()
