@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestory.llm.shared import prepare, ragged
 
-DIRECTIONS = 128
+DIRECTIONS = 96
 #: A vector in more windows than this share is verified.
 COLLISIONS = 0.39
 #: Half a window, in units of the k-th distance, at which the search ends: a vector at that
@@ -35,26 +35,32 @@ class SortedProjections:
         self.a = np.random.default_rng(seed).normal(size=(x.shape[1], directions))
         p = x @ self.a
         self.order = np.argsort(p, axis=0, kind="stable").T.copy()
-        self.line = np.take_along_axis(p.T, self.order, axis=1)
+        line = np.take_along_axis(p.T, self.order, axis=1)
+        self.spread = float(np.abs(line).mean())
+        # all arrays in one, each moved beyond the one before, so that one search serves all
+        self.low, self.high = float(line.min()), float(line.max())
+        self.move = np.arange(directions) * 2 * (self.high - self.low + 1)
+        self.line = (line + self.move[:, None]).ravel()
         self.flat = self.order.ravel()
-        self.base = np.arange(directions) * len(x)
 
     def search(self, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and distances of the k nearest found, nearest first, ties to smaller ids."""
-        n, m = len(self.x), len(self.line)
+        n, m = len(self.x), len(self.move)
         pq = q @ self.a
-        mid = np.array([np.searchsorted(row, v) for row, v in zip(self.line, pq, strict=True)])
+        mid = np.searchsorted(self.line, np.clip(pq, self.low, self.high) + self.move)
         lo, hi = mid.copy(), mid.copy()
         counts = np.zeros(n, np.int64)
         seen = np.zeros(n, bool)
         seen[self.ids == own] = True
         got, dist = np.zeros(0, np.int64), np.zeros(0)
-        half = max(1e-12, 0.25 * float(np.abs(self.line - pq[:, None]).mean()))
+        half = max(1e-12, 0.3 * self.spread)
         least = COLLISIONS * m
         while True:
-            new_lo = np.array([np.searchsorted(row, v) for row, v in zip(self.line, pq - half, strict=True)])
-            new_hi = np.array([np.searchsorted(row, v, "right") for row, v in zip(self.line, pq + half, strict=True)])
-            starts, lens = np.concatenate([new_lo, hi]) + np.concatenate([self.base, self.base]), np.concatenate([lo - new_lo, new_hi - hi])
+            # windows end with their array
+            new_lo = np.searchsorted(self.line, np.maximum(pq - half, self.low - 0.5) + self.move)
+            new_hi = np.searchsorted(self.line, np.minimum(pq + half, self.high + 0.5) + self.move, "right")
+            new_lo, new_hi = np.minimum(new_lo, lo), np.maximum(new_hi, hi)
+            starts, lens = np.concatenate([new_lo, hi]), np.concatenate([lo - new_lo, new_hi - hi])
             counts += np.bincount(self.flat[ragged(starts, lens)], minlength=n)
             lo, hi = new_lo, new_hi
             cand = np.flatnonzero((counts > least) & ~seen)
