@@ -1,0 +1,29 @@
+"""Connected components by smallest labels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestory.llm.shared import cut
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """node, label: the smallest node of each component of the undirected edges.
+
+    Every round takes the smallest label among neighbours and then the label's own label, so long
+    chains shorten by halves. Only counts of changes come to the driver.
+    """
+    both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
+    both = cut(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")).withColumn("label", F.least("node", "label"))
+    labels = cut(labels)
+    while True:
+        near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("label").alias("near"))
+        hooked = labels.join(near, labels["node"] == near["src"]).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        up = labels.select(F.col("node").alias("at"), F.col("label").alias("above"))
+        jumped = hooked.join(up, hooked["label"] == up["at"]).select("node", "old", F.least("label", "above").alias("label"))
+        jumped = cut(jumped)
+        labels = jumped.select("node", "label")
+        if not jumped.where("old <> label").limit(1).count():
+            return labels

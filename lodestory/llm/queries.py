@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lodestory.llm.decontaminate import benchmark_hits
 from lodestory.llm.language_id import identify_language, train_language_model
+from lodestory.llm.near_dedup import near_duplicate_classes
 from lodestory.llm.nearest import nearest_neighbours
 from lodestory.llm.packing import pack_documents
 from lodestory.llm.shared import held_out, scratch, table
@@ -55,6 +56,10 @@ def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_store(spark, path, with_ids=False)
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_classes(table(spark, sf_dir, "documents"), similarity=0.8)
+
+
 def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"))
 
@@ -67,6 +72,7 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_store": op7_token_store,
     "op8_language_id": op8_language_id,
+    "op9_near_duplicates": op9_near_duplicates,
     "op10_url_trust": op10_url_trust,
 }
 ORACLE_SQL: dict[str, str] = {}
