@@ -12,6 +12,7 @@ from lodestory.llm.near_dedup import near_duplicate_classes
 from lodestory.llm.nearest import nearest_neighbours
 from lodestory.llm.packing import pack_documents
 from lodestory.llm.shared import held_out, scratch, table
+from lodestory.llm.suffix_dedup import remove_repeats
 from lodestory.llm.token_counts import prefix_token_counts
 from lodestory.llm.token_store import read_token_store, write_token_store
 from lodestory.llm.toxicity import score_toxicity, train_toxicity_model
@@ -46,6 +47,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE), limit=2048, end_id=0)
 
@@ -69,6 +74,7 @@ QUERIES = {
     "op2_decontamination": op2_decontamination,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_token_counts": op4_token_counts,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_token_store": op7_token_store,
     "op8_language_id": op8_language_id,
