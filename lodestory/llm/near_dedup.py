@@ -236,10 +236,10 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """The rows of `docs`, with all their columns, one for each class (its smallest id).
 
-    Of rows that repeat that id, the first by text stays. Texts without words all stay.
+    Of rows that repeat both that id and the text one stays. Texts without words all stay.
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, similarity=similarity)
     heads = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_head")).distinct()
     rows = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last()))
+    rank = F.row_number().over(Window.partitionBy(id_col, F.md5(text_col)).orderBy(F.col(text_col).asc_nulls_last()))
     return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")

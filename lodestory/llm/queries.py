@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,7 @@ def op10_url_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
     "op2_decontamination": op2_decontamination,
     "op3_nearest_neighbours": op3_nearest_neighbours,
@@ -81,4 +83,4 @@ QUERIES = {
     "op9_near_duplicates": op9_near_duplicates,
     "op10_url_trust": op10_url_trust,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {} if corpus_pipeline.ORACLE_SQL is None else {"pipeline": corpus_pipeline.ORACLE_SQL}

@@ -250,18 +250,8 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
     return cut(own.groupBy("uid").agg(F.any_value("text").alias("text"), F.any_value("_i").alias("id"), F.count("*").alias("copies"))), False
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Every byte covered by a LENGTH-byte string that starts earlier too is removed.
-
-    Earlier is a smaller id, or the same text further left; strings never cross texts and are judged
-    on the input. Returns id, n_bytes, n_removed, n_spans (runs removed), kept_sha256 and, with
-    text, `kept` (bytes that are no longer UTF-8 where a character was cut are dropped). A null
-    text is empty. Rows of one id and text are one document and get the same answer; of one id
-    and several texts the order is that of their hashes; null ids come first.
-    """
-    prepare(docs.sparkSession)
-    texts, plain = numbered(docs, id_col, text_col)
-    texts = texts.where("uid is not null")
+def _finished(texts: DataFrame) -> DataFrame:
+    """uid, the counts, the digest and the text that is left (null for a null text)."""
     ranges = covered_ranges(texts).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     joined = texts.select("uid", "text").join(ranges, "uid", "left").select("uid", "text", "ranges")
 
@@ -278,15 +268,57 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                     gone = np.cumsum(delta)[:-1] > 0
                     n_spans = len(spans_of(gone)[0])
                     kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                out.append((len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if with_text else None))
+                out.append((len(raw), len(raw) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore") if text is not None else None))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["uid", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    done = joined.mapInArrow(finish, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return joined.mapInArrow(finish, "uid long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """Every byte covered by a LENGTH-byte string that starts earlier too is removed.
+
+    Earlier is a smaller id, or the same text further left; strings never cross texts and are judged
+    on the input. Returns id, n_bytes, n_removed, n_spans (runs removed), kept_sha256 and, with
+    text, `kept` (bytes that are no longer UTF-8 where a character was cut are dropped). A null
+    text is empty. Rows of one id and text are one document and get the same answer; of one id
+    and several texts the order is that of their hashes; null ids come first.
+    """
+    prepare(docs.sparkSession)
+    texts, plain = numbered(docs, id_col, text_col)
+    texts = texts.where("uid is not null")
+    done = _finished(texts)
     cols = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])]
     kind = dict(docs.dtypes)[id_col]
     if plain:
         return done.select(F.col("uid").cast(kind).alias(id_col), *cols)
     back = texts.select("uid", "id", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_"))
     return back.join(done, "uid").select(F.col("id").cast(kind).alias(id_col), *cols)
+
+
+def without_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """The rows of `docs`, with all their columns, their text cut by remove_repeats; a column of
+    text lengths, if there is one of that name, is brought up to date. A null text stays null."""
+    rest = docs.withColumnsRenamed({c: f"_c{i}" for i, c in enumerate(docs.columns)})
+    i, t = (f"_c{docs.columns.index(c)}" for c in (id_col, text_col))
+    # repeated ids are told apart by the hash of their text
+    unique = docs.agg(F.count("*") == F.count_distinct(id_col)).first()[0]
+    if unique:
+        cut_texts = remove_repeats(docs, id_col=id_col, text_col=text_col, with_text=True)
+        joined = rest.drop(t).join(cut_texts.select(F.col(id_col).alias("_id"), F.col("kept").alias("_kept")), F.col(i) == F.col("_id"))
+    else:
+        texts, _ = numbered(docs, id_col, text_col)
+        done = _finished(texts).select("uid", F.col("kept").alias("_kept"))
+        own = texts.select("uid", F.col("id").alias("_id"), F.md5(F.coalesce("text", F.lit(""))).alias("_hash")).join(done, "uid")
+        joined = rest.join(own, F.col(i).cast("long").eqNullSafe(F.col("_id")) & (F.md5(F.coalesce(t, F.lit(""))) == F.col("_hash")))
+    kept = F.col("_kept") if unique else F.when(F.col(t).isNotNull(), F.col("_kept"))
+    cols = []
+    for k, c in enumerate(docs.columns):
+        if c == text_col:
+            cols.append(kept.alias(c))
+        elif c == size_col:
+            cols.append(F.when(F.col(f"_c{k}").isNotNull(), F.char_length(kept)).cast(dict(docs.dtypes)[c]).alias(c))
+        else:
+            cols.append(F.col(f"_c{k}").alias(c))
+    return joined.select(*cols)
