@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from lodestory.plans import catalog, news  # noqa: F401
+    from lodestory.plans import catalog, news, registry, scalars  # noqa: F401
 
     return catalog
 

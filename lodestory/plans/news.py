@@ -20,9 +20,9 @@ def _(x: Fixtures) -> DataFrame:
     return x.articles().select("id", "title", "source_name", "source_url", "published_at", "category")
 
 
-@query("B1_filter_recent_window", "SELECT id, published_at FROM articles WHERE published_at >= AS_OF - INTERVAL 7 DAY")
+@query("B1_filter_recent_window", "SELECT id, published_at FROM articles WHERE published_at >= AS_OF - INTERVAL 28 DAY")
 def _(x):
-    return T.recent(x.articles(), "published_at", as_of(), 7).select("id", "published_at")
+    return T.recent(x.articles(), "published_at", as_of(), 28).select("id", "published_at")
 
 
 @query("B2_filter_utc_day", f"SELECT id, published_at FROM articles WHERE published_at >= DATE '{DAY}' AND published_at < DATE '{DAY}' + INTERVAL 1 DAY")
@@ -63,11 +63,11 @@ def _(x):
 
 
 @query("B9_filter_coverage_candidates", """SELECT id FROM clusters c WHERE category <> 'uncategorized' AND (category = 'model-releases' OR significance_score >= 5)
-    AND (first_published_at >= AS_OF - INTERVAL 7 DAY OR NOT EXISTS (SELECT 1 FROM model_clusters m WHERE m.cluster_id = c.id))""")
+    AND (first_published_at >= AS_OF - INTERVAL 28 DAY OR NOT EXISTS (SELECT 1 FROM model_clusters m WHERE m.cluster_id = c.id))""")
 def _(x):
     linked = x.model_clusters().select(F.col("cluster_id").alias("id")).distinct().withColumn("linked", F.lit(True))
     c = x.clusters().where("category <> 'uncategorized' and (category = 'model-releases' or significance_score >= 5)").join(linked, "id", "left")
-    return c.where((F.col("first_published_at") >= as_of() - F.expr("INTERVAL 7 DAYS")) | F.col("linked").isNull()).select("id")
+    return c.where((F.col("first_published_at") >= as_of() - F.expr("INTERVAL 28 DAYS")) | F.col("linked").isNull()).select("id")
 
 
 def backfill(df: DataFrame, as_of_col, *, least: int = 300, days: int = 4) -> DataFrame:
@@ -142,10 +142,10 @@ def _(x):
     return c.join(a, c["id"] == a["cluster_id"], "left_semi").select("id")
 
 
-@query("C6_anti_not_exists", "SELECT id FROM clusters c WHERE NOT EXISTS (SELECT 1 FROM model_clusters m WHERE m.cluster_id = c.id)")
+@query("C6_anti_not_exists", "SELECT id FROM models m WHERE NOT EXISTS (SELECT 1 FROM model_clusters k WHERE k.model_id = m.id)")
 def _(x):
-    c, m = x.clusters(), x.model_clusters()
-    return c.join(m, c["id"] == m["cluster_id"], "left_anti").select("id")
+    m, k = x.models(), x.model_clusters()
+    return m.join(k, m["id"] == k["model_id"], "left_anti").select("id")
 
 
 @query("C7_in_subquery_self_semi", "SELECT DISTINCT a.cluster_id AS id, b.cluster_id AS related FROM model_clusters a JOIN model_clusters b ON a.model_id = b.model_id AND a.cluster_id <> b.cluster_id")
@@ -363,15 +363,15 @@ def _(x):
     return a.where("source_name < 'src2'").select("id", F.lit("a").alias("feed")).unionByName(a.where("source_name >= 'src2'").select("id", F.lit("b").alias("feed")))
 
 
-HITS = "contains(lower(headline), 'hethe')"
+HITS = "contains(lower(headline), 'thonan')"
 
 
-@query("G3_union_search_hits", f"""WITH a AS (SELECT id, 0 AS part FROM clusters WHERE {HITS} ORDER BY {SQL_ORDER} LIMIT 100),
-    n AS (SELECT * FROM articles WHERE cluster_id IS NOT NULL AND contains(lower(source_name), 'hethe') ORDER BY published_at DESC, id LIMIT 500),
+@query("G3_union_search_hits", f"""WITH a AS (SELECT id, 0 AS part FROM clusters WHERE ({HITS} OR contains(lower(headline), 'src7')) ORDER BY {SQL_ORDER} LIMIT 100),
+    n AS (SELECT * FROM articles WHERE cluster_id IS NOT NULL AND (contains(lower(source_name), 'src7') OR contains(lower(source_name), 'thonan')) ORDER BY published_at DESC, id LIMIT 500),
     b AS (SELECT cluster_id AS id, 1 AS part FROM n GROUP BY 1 ORDER BY max(published_at) DESC, id LIMIT 100)
     SELECT id, min(part) AS part FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY 1""".replace("WITH a AS", "SELECT * FROM (WITH a AS") + ")")
 def _(x):
-    return T.search(x.clusters(), x.articles(), ["hethe"]).select("id", "part")
+    return T.search(x.clusters(), x.articles(), ["thonan", "src7"]).select("id", "part")
 
 
 @query("G5_dedup_by_url", "SELECT min(id) AS id, source_url FROM articles GROUP BY source_url")

@@ -44,8 +44,8 @@ VIEWS = {
     "models": "SELECT * EXCLUDE (slug0, r), CASE WHEN r > 1 THEN slug0 || '-' || r ELSE slug0 END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY slug0 ORDER BY id) AS r FROM models_0)",
     "model_benchmarks": "SELECT l_partkey AS model_id, 'bench' || l_linenumber AS benchmark, max(l_quantity) / 50 AS score, CASE WHEN l_linenumber = 1 THEN 'index' ELSE '%' END AS unit, CASE WHEN l_linenumber % 2 = 1 THEN 'primary' ELSE 'secondary' END AS source FROM lineitem GROUP BY l_partkey, l_linenumber",
     "bucket_map": "SELECT * FROM (VALUES ('coding','bench2'),('coding','bench3'),('math','bench4'),('reasoning','bench5'),('reasoning','bench6'),('agentic','bench3'),('agentic','bench7')) t(bucket, benchmark)",
-    "offers": """SELECT l_partkey AS model_id, 'Brand#' || (1 + l_suppkey % 25) AS provider, p_brand AS author, CAST(l_shipdate AS TIMESTAMP) AS sample_ts, round(l_extendedprice / l_quantity / 100, 4) AS price_in,
-        round(round(l_extendedprice / l_quantity / 100, 4) * (1 + 10 * l_tax), 4) AS price_out, CASE WHEN l_discount >= 0.09 THEN 0.5 ELSE 0.0 END AS discount, ['fp8', 'fp4', 'bf16', NULL][CAST(l_linenumber % 4 + 1 AS INT)] AS quant,
+    "offers": """SELECT l_partkey AS model_id, 'Brand#' || (1 + l_suppkey % 25) AS provider, p_brand AS author, CAST(l_shipdate AS TIMESTAMP) AS sample_ts, l_extendedprice / l_quantity / 100 AS price_in,
+        l_extendedprice / l_quantity / 100 * (1 + 10 * l_tax) AS price_out, CASE WHEN l_discount >= 0.09 THEN 0.5 ELSE 0.0 END AS discount, ['fp8', 'fp4', 'bf16', NULL][CAST(l_linenumber % 4 + 1 AS INT)] AS quant,
         CAST(l_quantity * 20000 AS BIGINT) AS context, CASE WHEN l_returnflag = 'R' THEN -2 ELSE 0 END AS status, 'brand' || l_suppkey || CASE WHEN l_linenumber = 7 THEN '/flex' ELSE '/std' END AS tag, l_orderkey * 10 + l_linenumber AS ordinal
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
     "price_samples": "SELECT l_partkey AS model_id, CAST(l_shipdate AS TIMESTAMP) AS sample_ts, CASE WHEN l_linenumber % 5 <> 0 THEN ceil(l_quantity / 25) END AS vendor_in, CASE WHEN l_linenumber % 5 <> 0 THEN ceil(l_quantity / 17) END AS floor_in FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_partkey, l_shipdate ORDER BY l_orderkey, l_linenumber) = 1",

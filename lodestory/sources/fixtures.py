@@ -90,11 +90,11 @@ class Fixtures:
 
     def offers(self) -> DataFrame:
         l, p = self.table("lineitem"), self.table("part").select("p_partkey", "p_brand")
-        price = F.round(F.col("l_extendedprice") / F.col("l_quantity") / 100, 4)
+        price = F.col("l_extendedprice") / F.col("l_quantity") / 100
         quant = F.element_at(F.array(F.lit("fp8"), F.lit("fp4"), F.lit("bf16"), F.lit(None)), F.col("l_linenumber") % 4 + 1)
         return l.join(p, l["l_partkey"] == p["p_partkey"]).select(
             F.col("l_partkey").alias("model_id"), F.concat(F.lit("Brand#"), 1 + F.col("l_suppkey") % 25).alias("provider"), F.col("p_brand").alias("author"), F.col("l_shipdate").cast("timestamp").alias("sample_ts"),
-            price.alias("price_in"), F.round(price * (1 + 10 * F.col("l_tax")), 4).alias("price_out"), F.when(F.col("l_discount") >= 0.09, 0.5).otherwise(0.0).alias("discount"), quant.alias("quant"), (F.col("l_quantity") * 20000).cast("long").alias("context"),
+            price.alias("price_in"), (price * (1 + 10 * F.col("l_tax"))).alias("price_out"), F.when(F.col("l_discount") >= 0.09, 0.5).otherwise(0.0).alias("discount"), quant.alias("quant"), (F.col("l_quantity") * 20000).cast("long").alias("context"),
             F.when(F.col("l_returnflag") == "R", -2).otherwise(0).alias("status"), F.concat(F.lit("brand"), F.col("l_suppkey"), F.when(F.col("l_linenumber") == 7, "/flex").otherwise("/std")).alias("tag"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"),
         )
 
