@@ -70,4 +70,4 @@ def with_views(sql: str, own: dict[str, str] | None = None) -> str:
 
     visit(sql)
     parts = [f"{n} AS ({q})" for n, q in every.items() if n in needed]
-    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + sql
+    return ("WITH RECURSIVE " + ",\n".join(parts) + "\n" if parts else "") + sql
