@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load():
-    from lodestory.plans import catalog, news, registry, scalars, vectors  # noqa: F401
+    from lodestory.plans import catalog, news, registry, scalars, scans, streams, vectors  # noqa: F401
 
     return catalog
 
