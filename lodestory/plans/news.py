@@ -11,7 +11,12 @@ from lodestory.plans.catalog import query
 from lodestory.sources.fixtures import PAPER_PREFIX, Fixtures, as_of
 
 DAY = "2024-01-03"
-ORDER = (F.col("significance_score").desc(), F.col("first_published_at").desc(), F.col("id"))
+
+
+def order():
+    return F.col("significance_score").desc(), F.col("first_published_at").desc(), F.col("id")
+
+
 SQL_ORDER = "significance_score DESC, first_published_at DESC, id"
 
 
@@ -299,7 +304,7 @@ def run_gaps(runs: DataFrame, now, hours: int = 4) -> DataFrame:
 
 @query("F1_topk_stories", f"SELECT id, significance_score FROM clusters ORDER BY {SQL_ORDER} LIMIT 20")
 def _(x):
-    return T.top_k(x.clusters(), 20, *ORDER).select("id", "significance_score")
+    return T.top_k(x.clusters(), 20, *order()).select("id", "significance_score")
 
 
 @query("F2_sort_papers_last", "SELECT row_number() OVER (ORDER BY paper_only, significance_score DESC, article_count DESC, first_published_at DESC, id) AS pos, id FROM clusters QUALIFY pos <= 50")
@@ -460,7 +465,7 @@ def snapshot(articles: DataFrame) -> DataFrame:
 @query("A22_export_label_sheet")
 def _(x):
     c = x.clusters()
-    many = T.top_k(c.where("article_count >= 2"), 100, *ORDER)
+    many = T.top_k(c.where("article_count >= 2"), 100, *order())
     few = T.top_k(c.where("article_count < 2"), 100, F.xxhash64("id", F.lit(7)))
     both = many.withColumn("part", F.lit(0)).unionByName(few.withColumn("part", F.lit(1)))
     return T.top_k(both, 100, F.col("part"), F.col("significance_score").desc(), F.col("id")).select("id", "headline", "article_count")
@@ -472,14 +477,14 @@ def _(x):
 
 
 def top_stories(x: Fixtures, days: int = 30, limit: int = 6) -> DataFrame:
-    top = T.top_k(T.recent(x.clusters(), "first_published_at", as_of(), days), limit, *ORDER)
+    top = T.top_k(T.recent(x.clusters(), "first_published_at", as_of(), days), limit, *order())
     b = T.best_article(x.articles()).drop("title")
     return top.join(b, top["id"] == b["cluster_id"], "left").select("id", "headline", "category", "significance_score", "article_count", "article_id", "source_name")
 
 
 @query("M2_recap", "SELECT CAST(c.first_published_at AS DATE) AS day, c.id, a.rank, a.id AS article_id FROM (SELECT * FROM clusters WHERE significance_score >= 6 AND first_published_at >= AS_OF - INTERVAL 30 DAY ORDER BY significance_score DESC, first_published_at DESC, id LIMIT 40) c JOIN (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY authority DESC NULLS LAST, published_at, id) AS rank FROM articles WHERE cluster_id IS NOT NULL QUALIFY rank <= 3) a ON a.cluster_id = c.id")
 def _(x):
-    top = T.top_k(T.recent(x.clusters(), "first_published_at", as_of(), 30).where("significance_score >= 6"), 40, *ORDER)
+    top = T.top_k(T.recent(x.clusters(), "first_published_at", as_of(), 30).where("significance_score >= 6"), 40, *order())
     a = T.top_members(x.articles(), 3).select("cluster_id", "rank", F.col("id").alias("article_id"))
     return top.join(a, top["id"] == a["cluster_id"]).select(F.to_date("first_published_at").alias("day"), "id", "rank", "article_id")
 
@@ -517,7 +522,7 @@ def _(x):
     near = F.abs(F.unix_micros("first_published_at") - F.unix_micros("t")) <= 4 * 86_400_000_000
     second = c.join(F.broadcast(one), (c["category"] == one["cat"]) & (c["id"] != one["one"])).where(near).select(*cols, F.lit(1).alias("p"))
     pool = first.unionByName(second).groupBy("id", "significance_score", "first_published_at").agg(F.min("p").alias("p"))
-    related = T.top_k(pool, 4, F.col("p"), *ORDER).select(F.lit("related").alias("part"), F.col("id").alias("key"))
+    related = T.top_k(pool, 4, F.col("p"), *order()).select(F.lit("related").alias("part"), F.col("id").alias("key"))
     return members.unionByName(related)
 
 
@@ -547,7 +552,7 @@ def _(x):
 @query("M17_digest_material", f"SELECT id, headline, source_count, article_count FROM clusters WHERE first_published_at >= AS_OF - INTERVAL 30 DAY AND category <> 'research-papers' ORDER BY {SQL_ORDER} LIMIT 8")
 def _(x):
     c = T.recent(x.clusters(), "first_published_at", as_of(), 30).where("category <> 'research-papers'")
-    return T.top_k(c, 8, *ORDER).select("id", "headline", "source_count", "article_count")
+    return T.top_k(c, 8, *order()).select("id", "headline", "source_count", "article_count")
 
 
 @query("M18_substantive_days", f"SELECT d, n, lag(d) OVER (ORDER BY d) AS before, lead(d) OVER (ORDER BY d) AS after FROM (SELECT CAST(first_published_at AS DATE) AS d, count(*) AS n FROM clusters WHERE NOT paper_only GROUP BY 1 HAVING count(*) >= 3)")
@@ -579,6 +584,6 @@ def scoring_batches(pending: DataFrame, verdicts: DataFrame, size: int = 10) ->
 
 @query("M26_pending_summaries", f"SELECT c.id, a.id AS article_id FROM (SELECT * FROM clusters WHERE significance_score >= 4 AND first_published_at >= AS_OF - INTERVAL 40 DAY ORDER BY {SQL_ORDER} LIMIT 150) c JOIN (SELECT cluster_id, id FROM articles WHERE cluster_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY authority DESC NULLS LAST, published_at, id) <= 3) a ON a.cluster_id = c.id")
 def _(x):
-    c = T.top_k(T.recent(x.clusters(), "first_published_at", as_of(), 40).where("significance_score >= 4"), 150, *ORDER)
+    c = T.top_k(T.recent(x.clusters(), "first_published_at", as_of(), 40).where("significance_score >= 4"), 150, *order())
     a = T.top_members(x.articles(), 3).select("cluster_id", F.col("id").alias("article_id"))
     return c.join(a, c["id"] == a["cluster_id"]).select("id", "article_id")

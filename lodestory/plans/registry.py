@@ -615,3 +615,8 @@ def _(x):
     a = x.articles().join(c.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
     hits = R.match_models(a, x.aliases(), "id", "title")
     return a.join(hits, "id").select("cluster_id", "model_id").distinct()
+
+
+@q("J12_match_models", "SELECT DISTINCT a.id, k.model_id FROM articles a JOIN aliases k ON regexp_matches(lower(a.title), '(^|[^a-z0-9])' || regexp_escape(k.alias) || '($|[^a-z0-9.\\-])') OR length(regexp_replace(k.alias, '[^a-z0-9]', '', 'g')) >= 5 AND regexp_matches(regexp_replace(lower(a.title), '[^a-z0-9]', '', 'g'), regexp_replace(k.alias, '[^a-z0-9]', '', 'g') || '($|[^0-9])')")
+def _(x):
+    return R.match_models(x.articles(), x.aliases(), "id", "title")

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodestory.functions import scalars as S
 from lodestory.functions import vocabulary as V
@@ -47,7 +46,7 @@ def scan_benchmark_files(spark: SparkSession, folder: str, files: Sequence[tuple
     return (empty if out is None else out).where("score is not null")
 
 
-CATALOG = T.StructType.fromDDL("data array<struct<id: string, name: string, created: bigint, description: string, context_length: bigint, pricing: struct<prompt: string, completion: string>, architecture: struct<input_modalities: array<string>, output_modalities: array<string>>>>")
+CATALOG = "data array<struct<id: string, name: string, created: bigint, description: string, context_length: bigint, pricing: struct<prompt: string, completion: string>, architecture: struct<input_modalities: array<string>, output_modalities: array<string>>>>"
 
 
 def scan_catalog(spark: SparkSession, path: str) -> DataFrame:
