@@ -5,7 +5,8 @@ document frequency. Improved consistent weighted sampling draws samples that two
 probability equal to their weighted Jaccard similarity; bands of samples collect candidates, and
 true weighted similarity verifies them. In a band's bucket a central document is compared with
 the others first, so copies join one class without all pairs; what is then still apart in a
-bucket is compared pair by pair, so that no candidate link between classes is lost.
+bucket and could be linked, by an exact bound on the weight that texts share, is compared pair
+by pair, so that no candidate link between classes is lost.
 """
 
 from __future__ import annotations
@@ -138,6 +139,26 @@ def inverse_frequencies(docs: DataFrame, *, text_col: str = "text") -> np.ndarra
     return (1 - IDF_SPAN * np.log(df) / np.log(n + 2)).astype(np.float32)
 
 
+def shared_weights(texts: DataFrame, idf) -> DataFrame:
+    """node, total, shared: the weight of each text's shingles, and of those that another of these
+    texts has too. Counts are summed in the tasks before they move."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = buffer_of(b.column(1))
+            for lo, hi in slices(offsets, 1 << 18):
+                sets = [weighted(h, idf.value) for h in shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])]
+                n = [len(k) for k, _ in sets]
+                nodes = b.column(0).slice(lo, hi - lo).take(pa.array(np.repeat(np.arange(hi - lo), n)))
+                yield pa.RecordBatch.from_arrays([nodes, pa.array(np.concatenate([k for k, _ in sets]).view(np.int64)), pa.array(np.concatenate([w for _, w in sets]).astype(np.float64))], ["node", "key", "weight"])
+
+    rows = texts.select("node", "text").mapInArrow(spread, "node binary, key long, weight double")
+    single = rows.groupBy("key").agg(F.count("*").alias("n"), F.any_value("node").alias("node"), F.any_value("weight").alias("weight")).where("n = 1")
+    alone = single.groupBy("node").agg(F.sum("weight").alias("alone"))
+    total = rows.groupBy("node").agg(F.sum("weight").alias("total"))
+    return total.join(alone, "node", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("shared"))
+
+
 def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """id, class_id, n_links for every row: class_id is the smallest id of the class.
 
@@ -212,9 +233,14 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             heads = groups.groupBy("bucket").agg(F.max(F.struct("size", "head", "label")).alias("h")).select("bucket", F.col("h.head.node").alias("a"), F.col("h.label").alias("head_label"))
             pairs = now.join(heads, "bucket").where("label <> head_label").select("a", F.col("node").alias("b"))
         else:
-            left = now.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"))
-            right = now.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"))
-            pairs = left.join(right, "bucket").where("a < b and la <> lb").select("a", "b")
+            # exact bounds first: no similarity is above shared / total, nor above what the smaller
+            # shared weight of two texts gives; most of what stars leave apart cannot be linked
+            now = now.join(shared_weights(now.select("node").distinct().join(texts, "node"), idf), "node")
+            now = cut(now.where(F.col("shared") >= (similarity - 1e-6) * F.col("total")))
+            left = now.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("shared").alias("sa"), F.col("total").alias("ta"))
+            right = now.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("shared").alias("sb"), F.col("total").alias("tb"))
+            most = F.least("sa", "sb") * (1 + similarity) >= (similarity - 1e-6) * (F.col("ta") + F.col("tb"))
+            pairs = left.join(right, "bucket").where(F.expr("a < b and la <> lb") & most).select("a", "b")
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if k == STAR_ROUNDS else pairs.distinct()
         if verified is not None:
             known = verified.select(F.least("a", "b").alias("ka"), F.greatest("a", "b").alias("kb"))
