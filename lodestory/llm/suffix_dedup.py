@@ -181,6 +181,12 @@ def _ranges(u: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["uid", "start", "end"])
 
 
+def by_uid(texts: DataFrame) -> DataFrame:
+    """Texts dealt out by uid: one exchange, which the two joins of a plan share."""
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.select("uid", "text").repartition(n, "uid")
+
+
 def covered_ranges(texts: DataFrame) -> DataFrame:
     """uid, start, end: bytes of `texts` (unique uid long, text) covered by windows that occurred
     before, in parts that may overlap."""
@@ -211,7 +217,7 @@ def covered_ranges(texts: DataFrame) -> DataFrame:
             k, u, s, t, h2 = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(u, pa.int64()), pa.array(s, pa.int64()), pa.array(t, pa.binary()), pa.array(h2, pa.int64())], ["key", "uid", "start", "bytes", "second"])
 
-    gathered = texts.select("uid", "text").join(wanted, "uid").select("uid", "text", "wanted").mapInArrow(gather, "key long, uid long, start long, bytes binary, second long")
+    gathered = by_uid(texts).join(wanted, "uid").select("uid", "text", "wanted").mapInArrow(gather, "key long, uid long, start long, bytes binary, second long")
     if seen.where("hot and not again").limit(1).count():
         gathered = cut(gathered)
         single = gathered.where("bytes is null")
@@ -253,7 +259,7 @@ def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bo
 def _finished(texts: DataFrame) -> DataFrame:
     """uid, the counts, the digest and the text that is left (null for a null text)."""
     ranges = covered_ranges(texts).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
-    joined = texts.select("uid", "text").join(ranges, "uid", "left").select("uid", "text", "ranges")
+    joined = by_uid(texts).join(ranges, "uid", "left").select("uid", "text", "ranges")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
