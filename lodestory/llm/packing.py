@@ -1,7 +1,7 @@
 """Packing of documents into sequences by bulk-synchronous best fit.
 
-In each round all unplaced pieces and all gaps stand in one order by size, largest first,
-gaps before pieces of the same size. Read as brackets (a gap opens, a piece closes), each
+In each round the larger of the unplaced pieces and all gaps stand in one order by size, largest
+first, gaps before pieces of the same size. Read as brackets (a gap opens, a piece closes), each
 piece meets the nearest gap before it that is still free: the smallest gap that holds it,
 when larger pieces choose first. Positions come from counts by size (at most 2 x the limit x
 salts rows) and ranks within a size, levels from positions, and a piece's gap is the row before
@@ -26,6 +26,8 @@ from lodestory.llm.token_store import encoder_ids
 
 #: Parts into which the pieces of one size are split for ranking.
 SALTS = 32
+#: A round places pieces over this share of the largest left; from SMALL tokens on, all at once.
+LEVEL, SMALL = 0.7, 64
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, *, limit: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -79,17 +81,20 @@ def best_fit(pieces: DataFrame, *, limit: int) -> DataFrame:
     rest = cut(pieces.where(~large))
     n = 0
     while True:
-        left = rest.agg(F.count("*"), F.max("length"), F.min("length")).first()
-        if not left[0]:
+        most = rest.agg(F.max("length")).first()[0]
+        if most is None:
             break
         n += 1
-        most, least = left[1], left[2]
+        # the larger pieces first: smaller ones wait until these have their places
+        border = LEVEL * most if most > SMALL else 0
+        now, wait = rest.where(F.col("length") > border), rest.where(F.col("length") <= border)
+        count, least = now.agg(F.count("*"), F.min("length")).first()
         usable = gaps.where(F.col("gap") >= least)
-        held = usable.agg(F.count("*"), F.sum(F.greatest(F.lit(1), F.floor(F.col("gap") / most)))).first()
+        held = usable.agg(F.count("*")).first()
         # A gap may take several pieces at once where the largest piece left fits that often.
-        each = F.least(F.greatest(F.lit(1), F.floor(F.col("gap") / most)), F.lit(1 + 2 * left[0] // max(1, held[0]))).cast("int")
+        each = F.least(F.greatest(F.lit(1), F.floor(F.col("gap") / most)), F.lit(1 + 2 * count // max(1, held[0]))).cast("int")
         slots = usable.select("sequence_id", "gap", F.explode(F.sequence(F.lit(1), each)).alias("slot"), each.alias("slots")).select("sequence_id", F.floor(F.col("gap") / F.col("slots")).cast("long").alias("size"), "slot")
-        both = slots.select("size", F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), "slot").unionByName(rest.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("id"), F.lit(0).alias("slot")))
+        both = slots.select("size", F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), "slot").unionByName(now.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("id"), F.lit(0).alias("slot")))
         both = both.withColumn("tie", F.struct("id", "slot"))
         ranked = _ranked(both, "size", "kind", "tie")
         level = F.when(F.col("kind") == 0, F.col("before") + 1).otherwise(F.col("before"))
@@ -119,7 +124,7 @@ def best_fit(pieces: DataFrame, *, limit: int) -> DataFrame:
         gaps_next = gaps.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
         if opened is not None:
             gaps_next = gaps_next.unionByName(opened.select(F.col("pid").alias("sequence_id"), (F.lit(limit) - F.col("length")).alias("gap")))
-        gaps, rest = cut(gaps_next.where("gap > 0")), cut(rest_next)
+        gaps, rest = cut(gaps_next.where("gap > 0")), cut(rest_next.unionByName(wait))
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
