@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestory.llm.graph import connected_components
@@ -139,6 +139,11 @@ def inverse_frequencies(docs: DataFrame, *, text_col: str = "text") -> np.ndarra
     return (1 - IDF_SPAN * np.log(df) / np.log(n + 2)).astype(np.float32)
 
 
+def _may_link(similarity: float, sa: Column, ta: Column, sb: Column, tb: Column) -> Column:
+    """Whether two texts could reach the similarity: what they share is at most the smaller shared weight."""
+    return F.least(sa, sb) * (1 + similarity) >= (similarity - 1e-6) * (ta + tb)
+
+
 def shared_weights(texts: DataFrame, idf) -> DataFrame:
     """node, total, shared: the weight of each text's shingles, and of those that another of these
     texts has too. Counts are summed in the tasks before they move."""
@@ -227,29 +232,35 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             now = members.join(labels.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
             apart = now.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("bucket")
             now = cut(now.join(apart, "bucket"))
+        if k == 1:
+            # exact bounds: no similarity is above shared / total, nor above what the smaller shared
+            # weight of two texts gives; most of what the first stars leave apart cannot be linked
+            bounds = shared_weights(now.select("node").distinct().join(texts, "node"), idf)
+            now = now.join(bounds, "node").where(F.col("shared") >= (similarity - 1e-6) * F.col("total"))
+            now = cut(now)
+        if k:
+            members = now.drop("label")
+        own, other = (F.struct("shared", "total"), F.col("h.head.bound")) if k else (F.lit(None), None)
         if k < STAR_ROUNDS:
-            order = F.struct("weight", "node") if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node")
+            order = F.struct("weight", "node", own.alias("bound")) if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node", own.alias("bound"))
             groups = now.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.max(order).alias("head"))
-            heads = groups.groupBy("bucket").agg(F.max(F.struct("size", "head", "label")).alias("h")).select("bucket", F.col("h.head.node").alias("a"), F.col("h.label").alias("head_label"))
-            pairs = now.join(heads, "bucket").where("label <> head_label").select("a", F.col("node").alias("b"))
+            heads = groups.groupBy("bucket").agg(F.max(F.struct("size", "head", "label")).alias("h"))
+            heads = heads.select("bucket", F.col("h.head.node").alias("a"), F.col("h.label").alias("head_label"), *([other.alias("bound")] if k else []))
+            pairs = now.join(heads, "bucket").where("label <> head_label")
+            if k:
+                pairs = pairs.where(_may_link(similarity, F.col("shared"), F.col("total"), F.col("bound.shared"), F.col("bound.total")))
+            pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         else:
-            # exact bounds first: no similarity is above shared / total, nor above what the smaller
-            # shared weight of two texts gives; most of what stars leave apart cannot be linked
-            now = now.join(shared_weights(now.select("node").distinct().join(texts, "node"), idf), "node")
-            now = cut(now.where(F.col("shared") >= (similarity - 1e-6) * F.col("total")))
             left = now.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("shared").alias("sa"), F.col("total").alias("ta"))
             right = now.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("shared").alias("sb"), F.col("total").alias("tb"))
-            most = F.least("sa", "sb") * (1 + similarity) >= (similarity - 1e-6) * (F.col("ta") + F.col("tb"))
-            pairs = left.join(right, "bucket").where(F.expr("a < b and la <> lb") & most).select("a", "b")
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct() if k == STAR_ROUNDS else pairs.distinct()
+            fit = F.expr("a < b and la <> lb") & _may_link(similarity, F.col("sa"), F.col("ta"), F.col("sb"), F.col("tb"))
+            pairs = left.join(right, "bucket").where(fit).select("a", "b").distinct()
         if verified is not None:
             known = verified.select(F.least("a", "b").alias("ka"), F.greatest("a", "b").alias("kb"))
             pairs = pairs.join(known, (F.least("a", "b") == known["ka"]) & (F.greatest("a", "b") == known["kb"]), "left_anti")
         found = verify(pairs)
         verified = found if verified is None else verified.unionByName(found)
         labels = connected_components(verified.where(F.col("similarity") >= similarity).select("a", "b"))
-        if k < STAR_ROUNDS and not found.where(F.col("similarity") >= similarity).limit(1).count() and k:
-            continue
     links = verified.where(F.col("similarity") >= similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
