@@ -26,6 +26,8 @@ from lodestory.llm.token_store import encoder_ids
 
 #: Parts into which the pieces of one size are split for ranking.
 SALTS = 32
+#: Rows of pieces or gaps for each task that writes them.
+ROWS_A_TASK = 500_000
 #: A round places pieces over this share of the largest left; from SMALL tokens on, all at once.
 LEVEL, SMALL = 0.7, 64
 
@@ -76,9 +78,15 @@ def best_fit(pieces: DataFrame, *, limit: int) -> DataFrame:
     """
     pieces = pieces.select("pid", "length")
     large = F.col("length") * 2 > limit
+    parts = max(4, -(-pieces.count() // ROWS_A_TASK))
+
+    def few(df: DataFrame) -> DataFrame:
+        """Written by as many tasks as the rows need: rounds are many and their rows small."""
+        return cut(df.coalesce(parts))
+
     placed = [pieces.where(large).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).alias("round"))]
-    gaps = cut(pieces.where(large & (F.col("length") < limit)).select(F.col("pid").alias("sequence_id"), (F.lit(limit) - F.col("length")).alias("gap")))
-    rest = cut(pieces.where(~large))
+    gaps = few(pieces.where(large & (F.col("length") < limit)).select(F.col("pid").alias("sequence_id"), (F.lit(limit) - F.col("length")).alias("gap")))
+    rest = few(pieces.where(~large))
     n = 0
     while True:
         most = rest.agg(F.max("length")).first()[0]
@@ -106,7 +114,7 @@ def best_fit(pieces: DataFrame, *, limit: int) -> DataFrame:
             .where("kind = 1")
             .select(F.col("id").alias("pid"), F.col("size").alias("length"), F.when(F.col("prev_kind") == 0, F.col("prev_id")).alias("sequence_id"))
         )
-        met = cut(met)
+        met = few(met)
         new = met.where("sequence_id is not null")
         lost = met.where("sequence_id is null").select("pid", "length")
         total = lost.agg(F.sum("length")).first()[0] or 0
@@ -124,7 +132,7 @@ def best_fit(pieces: DataFrame, *, limit: int) -> DataFrame:
         gaps_next = gaps.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
         if opened is not None:
             gaps_next = gaps_next.unionByName(opened.select(F.col("pid").alias("sequence_id"), (F.lit(limit) - F.col("length")).alias("gap")))
-        gaps, rest = cut(gaps_next.where("gap > 0")), cut(rest_next.unionByName(wait))
+        gaps, rest = few(gaps_next.where("gap > 0")), few(rest_next.unionByName(wait))
     out = placed[0]
     for p in placed[1:]:
         out = out.unionByName(p)
