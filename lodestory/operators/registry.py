@@ -51,9 +51,8 @@ def cheapest_variant(rows: DataFrame, key: str, price: str, order: str) -> DataF
 
 
 def running_max_frontier(rows: DataFrame, x: str, y: str, ident: str, groups: list[str] | None = None) -> DataFrame:
-    """Rows, by rising x, whose y beats every row before. The best of each x comes first to a
-    small table per group; without groups x values are pre-aggregated and prefix maxima taken in
-    one ordered window over distinct x."""
+    """Rows, by rising x (ties by id), whose y beats every row before, in each group. A group is
+    ordered in one task: this is for a registry of models, which is small beside its news."""
     groups = groups or []
     best = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     line = Window.partitionBy(*groups).orderBy(x, ident).rowsBetween(Window.unboundedPreceding, -1)

@@ -75,11 +75,12 @@ def _(x):
     return c.where((F.col("first_published_at") >= as_of() - F.expr("INTERVAL 28 DAYS")) | F.col("linked").isNull()).select("id")
 
 
-def backfill(df: DataFrame, as_of_col, *, least: int = 300, days: int = 4) -> DataFrame:
-    """Newest max(least, rows of the last days) rows; the bound is a one-row aggregate."""
-    bound = df.agg(F.greatest(F.lit(least), F.count_if(F.col("published_at") >= as_of_col - F.make_dt_interval(F.lit(days)))).alias("_most"))
-    ranked = df.withColumn("_n", F.row_number().over(Window.orderBy(F.col("published_at").desc(), F.col("id"))))
-    return ranked.crossJoin(F.broadcast(bound)).where("_n <= _most").drop("_n", "_most")
+def backfill(df: DataFrame, now, *, least: int = 300, days: int = 4) -> DataFrame:
+    """Newest max(least, rows of the last days) rows. The last days' rows are themselves the newest,
+    so that is them and, if there are fewer, the newest `least`: no global order is needed."""
+    fresh = T.recent(df, "published_at", now, days)
+    newest = T.top_k(df, least, F.col("published_at").desc(), F.col("id"))
+    return fresh.unionByName(newest.join(fresh.select("id"), "id", "left_anti").select(df.columns))
 
 
 @query("B10_filter_backfill_limit", """SELECT id FROM articles WHERE cluster_id IS NULL QUALIFY row_number() OVER (ORDER BY published_at DESC, id) <= (SELECT greatest(300, count(*) FILTER (WHERE published_at >= AS_OF - INTERVAL 4 DAY)) FROM articles WHERE cluster_id IS NULL)""")

@@ -523,11 +523,6 @@ def _(x):
     return top_k(e.join(m, "model_id"), 300, F.col("detected_at").desc(), F.col("id").desc()).select("id", "vendor")
 
 
-TEASER = """SELECT * FROM (SELECT 'event' AS kind, CAST(id AS VARCHAR) AS key FROM (SELECT *, row_number() OVER (PARTITION BY model_id ORDER BY rk, detected_at DESC, id) AS r FROM (SELECT e.*, CASE WHEN event_type = 'price' AND price_scope = 'vendor' THEN 0 WHEN event_type = 'price' THEN 1 WHEN event_type = 'benchmark' THEN 2 WHEN event_type = 'context' THEN 3 ELSE 5 END AS rk FROM model_events e
-    WHERE event_type <> 'catalog' AND NOT (event_type = 'price' AND price_scope IS NULL) AND (NOT (event_type = 'price' AND price_scope IS NOT DISTINCT FROM 'floor') OR coalesce(old_num > 0 AND abs((new_num - old_num) / old_num * 100) >= 15, false)))) WHERE r = 1 ORDER BY rk, detected_at DESC, id LIMIT 2)
-    UNION ALL SELECT 'story', id FROM (SELECT id FROM clusters ORDER BY significance_score DESC, first_published_at DESC, id LIMIT 1)"""
-
-
 @q("M13_digest_teaser")
 def _(x):
     return digest_teaser(x)
