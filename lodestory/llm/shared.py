@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestory.shipping import ship
+from lodestory.storage import cut, scratch  # noqa: F401  (the text operators take them from here)
 
 #: Rows per Arrow batch: long texts must not make a batch of gigabytes.
 BATCH_ROWS = 1000
@@ -30,22 +29,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-lodestory-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write a frame to the shared checkpoint folder and read it back, cutting its lineage."""
-    path = scratch(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sampled(df: DataFrame, key: str, rows: int, salt: int = 17) -> DataFrame:
     """About `rows` rows (1.2 times as many at most, in expectation), chosen by a hash of the key."""
     n = df.count()
