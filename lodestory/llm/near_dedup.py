@@ -32,7 +32,7 @@ DF_BUCKETS = 1 << 20
 #: the shingles that a third of all documents share almost no weight, and hide those copies.
 IDF_SPAN = 0.2
 #: Rounds of comparisons with one document of a bucket before the rest is compared in pairs.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 DRAW_ROWS = 1 << 16
 _draws: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
@@ -224,7 +224,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
 
         return cut(full.mapInArrow(compare, "a binary, b binary, similarity double"))
 
-    verified, labels = None, None
+    verified, labels, used = None, None, None
     for k in range(STAR_ROUNDS + 1):
         if labels is None:
             now = members.withColumn("label", F.col("node"))
@@ -242,19 +242,27 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             members = now.drop("label")
         own, other = (F.struct("shared", "total"), F.col("h.head.bound")) if k else (F.lit(None), None)
         if k < STAR_ROUNDS:
-            order = F.struct("weight", "node", own.alias("bound")) if k == 0 else F.struct(F.xxhash64("node", F.lit(k)), "node", own.alias("bound"))
-            groups = now.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.max(order).alias("head"))
+            # the most central text that has not been a head before
+            order = F.struct("weight", "node", own.alias("bound"))
+            able = now if used is None else now.join(used, "node", "left_anti")
+            groups = able.groupBy("bucket", "label").agg(F.count("*").alias("size"), F.max(order).alias("head"))
             heads = groups.groupBy("bucket").agg(F.max(F.struct("size", "head", "label")).alias("h"))
             heads = heads.select("bucket", F.col("h.head.node").alias("a"), F.col("h.label").alias("head_label"), *([other.alias("bound")] if k else []))
+            heads = cut(heads)
+            taken = heads.select(F.col("a").alias("node")).distinct()
+            used = taken if used is None else used.unionByName(taken)
             pairs = now.join(heads, "bucket").where("label <> head_label")
             if k:
                 pairs = pairs.where(_may_link(similarity, F.col("shared"), F.col("total"), F.col("bound.shared"), F.col("bound.total")))
             pairs = pairs.select("a", F.col("node").alias("b")).distinct()
         else:
-            left = now.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("shared").alias("sa"), F.col("total").alias("ta"))
-            right = now.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("shared").alias("sb"), F.col("total").alias("tb"))
-            fit = F.expr("a < b and la <> lb") & _may_link(similarity, F.col("sa"), F.col("ta"), F.col("sb"), F.col("tb"))
-            pairs = left.join(right, "bucket").where(fit).select("a", "b").distinct()
+            now = now.join(nodes.select("node", "bands"), "node")
+            left = now.select("bucket", F.col("node").alias("a"), F.col("label").alias("la"), F.col("shared").alias("sa"), F.col("total").alias("ta"), F.col("bands").alias("ba"))
+            right = now.select("bucket", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("shared").alias("sb"), F.col("total").alias("tb"), F.col("bands").alias("bb"))
+            # a pair that meets in several bands is taken in the first
+            first = F.array_position(F.zip_with("ba", "bb", lambda x, y: x == y), True) == F.col("bucket.band") + 1
+            fit = F.expr("a < b and la <> lb") & _may_link(similarity, F.col("sa"), F.col("ta"), F.col("sb"), F.col("tb")) & first
+            pairs = left.join(right, "bucket").where(fit).select("a", "b")
         if verified is not None:
             known = verified.select(F.least("a", "b").alias("ka"), F.greatest("a", "b").alias("kb"))
             pairs = pairs.join(known, (F.least("a", "b") == known["ka"]) & (F.greatest("a", "b") == known["kb"]), "left_anti")
