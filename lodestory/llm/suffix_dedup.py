@@ -194,7 +194,7 @@ def covered_ranges(texts: DataFrame) -> DataFrame:
     line = Window.partitionBy("key", "done").orderBy("text", "uid", "start")
     whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     seen = dealt.withColumn("again", F.col("done") | F.coalesce(F.lag("text").over(line) == F.col("text"), F.lit(False)))
-    seen = seen.withColumn("mixed", F.first("text").over(whole) != F.last("text").over(whole)).withColumn("many", F.count("*").over(whole))
+    seen = seen.withColumn("mixed", F.first("text").over(whole) != F.last("text").over(whole)).withColumn("many", F.count_if(~F.col("again")).over(whole))
     seen = cut(seen.where("again or mixed").select("key", "uid", "start", "windows", "done", "again", (F.col("many") > HOT).alias("hot")))
     at_once = seen.where("again").select("uid", "start", (F.col("start") + F.col("windows") + F.when(F.col("done"), 0).otherwise(LENGTH - 1)).alias("end"))
     wanted = seen.where("not again").groupBy("uid").agg(F.collect_list(F.struct("key", "start", "windows", "hot")).alias("wanted"))
@@ -219,7 +219,6 @@ def covered_ranges(texts: DataFrame) -> DataFrame:
 
     gathered = by_uid(texts).join(wanted, "uid").select("uid", "text", "wanted").mapInArrow(gather, "key long, uid long, start long, bytes binary, second long")
     if seen.where("hot and not again").limit(1).count():
-        gathered = cut(gathered)
         single = gathered.where("bytes is null")
         first = single.groupBy("key", "second").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
         later = single.join(first, ["key", "second"]).where("uid <> first.uid or start <> first.start")
