@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from lodestory.functions import scalars as S
@@ -13,6 +13,7 @@ from lodestory.operators.stories import first_per_key, recent, top_k
 from lodestory.plans.catalog import query
 from lodestory.sources import sinks
 from lodestory.sources.fixtures import Fixtures, as_of
+from lodestory.storage import cut
 
 OWN = {
     "last_year": "SELECT * FROM models WHERE released_at >= DATE '2024-01-31' - 365",
@@ -525,25 +526,73 @@ def _(x):
 
 @q("M13_digest_teaser")
 def _(x):
-    return digest_teaser(x)
+    return digest_teaser(x, story_days=31)  # the test data has no stories in the last week
 
 
-def digest_teaser(x: Fixtures, rows: int = 3) -> DataFrame:
-    """kind, key, pos: best events (one per model, new types preferred after the first), then a story.
+def digest_moves(events: DataFrame, most: int) -> list[Row]:
+    """The chosen events in order: the best one first, then types not yet shown before others; one per model.
 
-    Events are ranked and cut to one per model in Spark; of the 100 best, a type's first event
-    goes before its others, which is what choosing unseen types in turn comes to.
+    A chosen model is out, so only the best event of each model and type can ever be chosen. Each
+    row is a top-1 of those, which holds for any number of events.
     """
-    e = legacy_free(x.model_events()).where("event_type <> 'catalog'")
-    e = e.where(S.is_material(F.col("event_type"), F.col("price_scope"), F.col("old_num").cast("string"), F.col("new_num").cast("string")))
-    e = e.withColumn("rk", S.event_rank(F.col("event_type"), F.col("price_scope")))
     order = (F.col("rk"), F.col("detected_at").desc(), F.col("id"))
-    top = top_k(first_per_key(e, ["model_id"], *order), 100, *order)
-    turn = F.row_number().over(Window.partitionBy("event_type").orderBy(*order)) > 1
-    events = top_k(top.withColumn("again", turn), rows - 1, F.col("again"), *order)
-    events = events.select(F.lit("event").alias("kind"), F.col("id").cast("string").alias("key"))
-    story = top_k(x.clusters(), 1, F.col("significance_score").desc(), F.col("first_published_at").desc(), F.col("id"))
-    return events.unionByName(story.select(F.lit("story").alias("kind"), F.col("id").alias("key")))
+    best = cut(first_per_key(events, ["model_id", "event_type"], *order))
+    picks: list[Row] = []
+    for _ in range(most):
+        free = best.where(~F.col("model_id").isin([p["model_id"] for p in picks]))
+        again = F.col("event_type").isin([p["event_type"] for p in picks])
+        pick = top_k(free, 1, again, *order).collect()
+        if not pick:
+            break
+        picks += pick
+    return picks
+
+
+def digest_teaser(x: Fixtures, rows: int = 3, days: int = 7, story_days: int = 7, newest: int | None = 100) -> DataFrame:
+    """pos, kind, key, text, chip, tone, href: moves, the floor fact, catalog news, then top stories.
+
+    One slot is kept for a story if there are any. The rules' own window is the newest 100 events
+    of the week (newest=None: all of them), taken before small floor moves are dropped. Events of
+    the test tables have no summary, so single events have no text.
+    """
+    m = x.models().select(F.col("id").alias("model_id"), "slug", "name", "vendor")
+    e = legacy_free(recent(x.model_events(), "detected_at", as_of(), days)).join(m, "model_id")
+    e = e if newest is None else top_k(e, newest, F.col("detected_at").desc(), F.col("id"))
+    old, new = F.col("old_num").cast("string"), F.col("new_num").cast("string")
+    e = e.where(S.is_material(F.col("event_type"), F.col("price_scope"), old, new))
+    e = e.withColumn("rk", S.event_rank(F.col("event_type"), F.col("price_scope"))).withColumn("chip", S.event_delta(old, new)).withColumn("tone", S.event_tone(F.col("event_type"), old, new))
+    e = cut(e)
+    decayed = F.round(F.col("significance_score") / (1 + (F.unix_micros(as_of()) - F.unix_micros("first_published_at")) / 1e6 / 172800), 9)
+    stories = top_k(recent(x.clusters(), "first_published_at", as_of(), story_days), min(3, rows), decayed.desc(), F.col("first_published_at").desc(), F.col("id")).select("id", "headline").collect()
+    room = rows - 1 if stories else rows
+    moves = digest_moves(e.where("event_type <> 'catalog'"), room)
+    out = [("event", str(r["id"]), None, r["chip"], r["tone"], f"/models/{r['slug']}") for r in moves]
+    if len(out) < room:
+        out += [("event", f"floor-{r['slug']}", r["text"], r["chip"], "good", f"/models/{r['slug']}") for r in fact_row(x, m).collect() if r["slug"] not in {p["slug"] for p in moves}]
+    if len(out) < room:
+        out += [("event", str(r["id"]), r["text"], r["chip"], "neutral", r["href"]) for r in catalog_row(e.where("event_type = 'catalog'")).collect()]
+    out += [("story", r["id"], r["headline"], None, "neutral", f"/story/{r['id']}") for r in stories]
+    return x.spark.createDataFrame([(k, *r) for k, r in enumerate(out[:rows], 1)], "pos int, kind string, key string, text string, chip string, tone string, href string")
+
+
+def fact_row(x: Fixtures, models: DataFrame) -> DataFrame:
+    """The floor fact as a row of the digest: slug, text, chip."""
+    f = floor_fact(x).join(joined_prices(x), "model_id").join(models, "model_id")
+    low = F.col("floor_price_in").cast("double")
+    price = F.when(low < 10, F.format_string("%.2f", low)).otherwise(F.format_string("%.0f", low))
+    pct = S.half_up(S.discount_pct(F.col("floor_price_in"), F.col("vendor_price_in")))
+    return f.select("slug", F.concat("name", F.lit(": $"), price, F.lit("/M via "), "floor_provider").alias("text"), F.concat(F.lit("-"), pct, F.lit("%")).alias("chip"))
+
+
+def catalog_row(catalogs: DataFrame) -> DataFrame:
+    """One row for all catalog events: id, text, chip, href. A lone event stands for itself, else the
+    largest vendor's newest one leads (of equals the vendor met first)."""
+    by = catalogs.groupBy(F.coalesce("vendor", F.lit("various vendors")).alias("vendor")).agg(F.count("*").alias("n"), F.min(F.struct((-F.unix_micros("detected_at")).alias("age"), "id", "slug")).alias("f"))
+    total = by.agg(F.sum("n").alias("total"))  # one row
+    top = top_k(by, 1, F.col("n").desc(), F.col("f")).crossJoin(F.broadcast(total))
+    one = F.col("total") == 1
+    text = F.when(F.col("n") > 1, F.concat("n", F.lit(" new "), "vendor", F.lit(" models in the tracker"))).otherwise(F.concat("total", F.lit(" new models in the tracker")))
+    return top.select("f.id", F.when(~one, text).alias("text"), F.when(one, "NEW").alias("chip"), F.when(one, F.concat(F.lit("/models/"), "f.slug")).otherwise("/models/changes").alias("href"))
 
 
 @q("M14_compare_pairs", PAIRS)

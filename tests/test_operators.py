@@ -10,7 +10,7 @@ from lodestory.operators import prices as P
 from lodestory.operators import registry as R
 from lodestory.operators import vectors as X
 from lodestory.operators.graph import connected_components
-from lodestory.plans.registry import wide
+from lodestory.plans.registry import digest_moves, digest_teaser, legacy_free, wide
 from lodestory.sources import sinks
 from lodestory.sources.fixtures import Fixtures
 from lodestory.storage import scratch
@@ -172,3 +172,67 @@ def test_stream_debounce_equals_batch(spark):
     cols = ["model_id", "sample_ts", "price_scope", "old_value", "new_value"]
     a, b = (sorted(map(tuple, q[n](spark, SF).select(cols).collect())) for n in ("J4_debounced_changes", "K2_stream_debounced_prices"))
     assert a and a == b
+
+
+def compose_moves(events, most):
+    """The reference's choice, event by event: events are ranked."""
+    models, types, out, rest = set(), set(), [], list(events)
+    while len(out) < most:
+        free = [e for e in rest if e["model_id"] not in models]
+        if not free:
+            break
+        pick = next((e for e in free if e["event_type"] not in types), free[0])
+        rest.remove(pick)
+        models.add(pick["model_id"])
+        types.add(pick["event_type"])
+        out.append(pick)
+    return out
+
+
+def test_digest_prefers_new_types(spark):
+    rows = [(k, k % 150, "price" if k < 150 else "benchmark" if k < 290 else "context", T0 - timedelta(minutes=k), 0 if k < 150 else 2 if k < 290 else 3) for k in range(300)]
+    df = spark.createDataFrame(rows, "id long, model_id long, event_type string, detected_at timestamp, rk int")
+    ranked = sorted((r.asDict() for r in df.collect()), key=lambda e: (e["rk"], -e["detected_at"].timestamp(), e["id"]))
+    for most in (1, 2, 3, 5):
+        assert [r["id"] for r in digest_moves(df, most)] == [e["id"] for e in compose_moves(ranked, most)]
+    assert [r["event_type"] for r in digest_moves(df, 3)] == ["price", "benchmark", "context"]
+    assert len(digest_moves(df.where("model_id < 2"), 5)) == 2 and digest_moves(df.limit(0), 2) == []
+
+
+@pytest.mark.parametrize("newest", [100, None])
+def test_digest_teaser(spark, newest):
+    x = Fixtures(spark, SF)
+    ids = {r["id"]: r for r in x.models().collect()}
+    since = datetime(2024, 1, 24)
+    week = [e.asDict() for e in legacy_free(x.model_events()).withColumn("at", F.unix_micros("detected_at")).where(F.col("detected_at") >= F.lit(since.isoformat()).cast("timestamp")).collect() if e["model_id"] in ids]
+    week = sorted(week, key=lambda e: (-e["at"], e["id"]))[:newest]
+
+    def fine(e):
+        small = e["event_type"] == "price" and e["price_scope"] == "floor"
+        return not small or (e["new_num"] is not None and e["old_num"] > 0 and abs((e["new_num"] - e["old_num"]) / e["old_num"] * 100) >= 15)
+
+    def rank(e):
+        return (0 if e["price_scope"] == "vendor" else 1) if e["event_type"] == "price" else {"benchmark": 2, "context": 3, "catalog": 4}.get(e["event_type"], 5)
+
+    ranked = sorted(filter(fine, week), key=lambda e: (rank(e), -e["at"], e["id"]))
+    for rows in (3, 6):
+        got = digest_teaser(x, rows, story_days=31, newest=newest).orderBy("pos").collect()
+        want = compose_moves([e for e in ranked if e["event_type"] != "catalog"], rows - 1)
+        events = [r["key"] for r in got if r["kind"] == "event"]
+        assert events[: len(want)] == [str(e["id"]) for e in want] and len(got) == rows
+        assert got[-1]["kind"] == "story" and [r["pos"] for r in got] == [*range(1, rows + 1)]
+    # no moves: the fact, then one line for the catalog, then stories
+    class Quiet(Fixtures):
+        def model_events(self):
+            return super().model_events().where("event_type = 'catalog'")
+
+    got = digest_teaser(Quiet(spark, SF), 6, story_days=31, newest=newest).orderBy("pos").collect()
+    catalog = [e for e in ranked if e["event_type"] == "catalog"]
+    n = {}
+    for e in catalog:
+        n.setdefault(ids[e["model_id"]]["vendor"], []).append(e)
+    vendor, group = max(n.items(), key=lambda g: len(g[1]))
+    lines = [r for r in got if r["href"] == "/models/changes"]
+    if newest is None:
+        assert len(lines) == 1 and lines[0]["key"] == str(group[0]["id"]) and (len(group) == 1 or lines[0]["text"] == f"{len(group)} new {vendor} models in the tracker")
+    assert [r["kind"] for r in got] == sorted(r["kind"] for r in got) and got[-1]["kind"] == "story"
