@@ -2,8 +2,8 @@
 
 Training texts become sequences of word numbers (the benchmark's vocabulary; other words
 never match). Each shard, a run of consecutive documents in one task, gets a suffix array over
-the places where a benchmark passage could begin: those whose next few words begin somewhere in
-the benchmark too. Every benchmark suffix is then found in every shard by binary search, which
+the places where a benchmark passage could begin: those whose next few words begin a window of
+the benchmark too (for longest matches: any of its suffixes). Every benchmark suffix is then found in every shard by binary search, which
 gives its longest verbatim match and, for whole windows, all their places. Nothing is
 shuffled; the benchmark travels in blocks of bounded size.
 """
@@ -31,7 +31,7 @@ BLOCK_BYTES = 32 << 20
 class Probe:
     """The benchmark's suffixes, ready to be searched."""
 
-    def __init__(self, items: list, texts: list[str | None], window: int):
+    def __init__(self, items: list, texts: list[str | None], window: int, every: bool = False):
         data, offsets = buffer_of(pa.array(texts, pa.string()))
         words, first = words_of(data, offsets)
         self.items, self.window = items, window
@@ -48,6 +48,8 @@ class Probe:
         for k in np.unique(np.minimum(self.size[self.size > 0], LEAD)).tolist():
             starts = np.flatnonzero(np.minimum(self.size, LEAD) == k)
             self.leads[k] = np.unique(_gram(self.seq, starts, k))
+        if every:  # longest matches may begin at any suffix, not only where a window does
+            self.leads[LEAD] = np.unique(_gram(self.seq, np.flatnonzero(self.left >= LEAD), LEAD))
 
 
 def _gram(seq: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
@@ -231,7 +233,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAD,
     Each shard answers for itself; Spark keeps the longest (of equals the smallest id and place).
     """
     spark = prepare(docs.sparkSession)
-    blocks = _probes(spark, benchmark, item_col, item_text_col, window)
+    blocks = _probes(spark, benchmark, item_col, item_text_col, window, every=True)
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,9 +251,9 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAD,
     return found.groupBy("item", "item_word").agg(best).select("item", "item_word", (-F.col("b.n")).alias("n_words"), F.col("b.doc").alias(id_col), F.col("b.doc_word").alias("doc_word"))
 
 
-def _probes(spark, benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list:
+def _probes(spark, benchmark: DataFrame, item_col: str, text_col: str, window: int, every: bool = False) -> list:
     """Broadcast blocks of the benchmark, BLOCK_BYTES of text each at most (about)."""
-    return [spark.sparkContext.broadcast(Probe([str(i) for i in items], texts, window)) for items, texts in _blocks(benchmark, item_col, text_col)]
+    return [spark.sparkContext.broadcast(Probe([str(i) for i in items], texts, window, every)) for items, texts in _blocks(benchmark, item_col, text_col)]
 
 
 def _each(blocks: list) -> Iterator[Probe]:

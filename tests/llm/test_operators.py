@@ -218,6 +218,26 @@ def test_decontamination_edges(spark):
     assert best["4", 0] == (11, 4, 1)
 
 
+def test_longest_matches_of_all_suffixes(spark):
+    rng = np.random.default_rng(3)
+    say = lambda n: " ".join("abc"[k] for k in rng.integers(0, 3, n))
+    rows = [(k, say(40)) for k in range(6)] + [(9, "x a b c d e f g h i j k l"), (10, "q h i j k l q")]
+    items = [(k, say(n)) for k, n in enumerate((3, 4, 7, 12, 25))] + [(7, "y a b e f g h i j k l"), (8, "c d e f g h i j k l m")]
+    found = D.longest_matches(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    texts = {d: t.split() for d, t in rows}
+    want = {}
+    for i, t in items:
+        w = t.split()
+        for a in range(len(w)):
+            n = max(k for k in range(len(w) - a + 1) if any(w[a : a + k] == x[j : j + k] for x in texts.values() for j in range(len(x))))
+            if n >= 4:
+                want[str(i), a] = n
+    assert {(r["item"], r["item_word"]): r["n_words"] for r in found} == want
+    for r in found:
+        w, at, n = dict(items)[int(r["item"])].split(), r["doc_word"], r["n_words"]
+        assert texts[r["doc_id"]][at : at + n] == w[r["item_word"] : r["item_word"] + n]
+
+
 @pytest.mark.parametrize("sigma", [2, 4, 200])
 def test_suffix_array(sigma):
     rng = np.random.default_rng(sigma)
