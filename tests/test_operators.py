@@ -11,6 +11,7 @@ from lodestory.operators import registry as R
 from lodestory.operators import vectors as X
 from lodestory.operators.graph import connected_components
 from lodestory.plans.registry import digest_moves, digest_teaser, legacy_free, wide
+from lodestory.plans.vectors import cluster_eval
 from lodestory.sources import sinks
 from lodestory.sources.fixtures import Fixtures
 from lodestory.storage import scratch
@@ -236,3 +237,24 @@ def test_digest_teaser(spark, newest):
     if newest is None:
         assert len(lines) == 1 and lines[0]["key"] == str(group[0]["id"]) and (len(group) == 1 or lines[0]["text"] == f"{len(group)} new {vendor} models in the tracker")
     assert [r["kind"] for r in got] == sorted(r["kind"] for r in got) and got[-1]["kind"] == "story"
+
+
+def test_cluster_eval_parts(spark):
+    x = Fixtures(spark, SF)
+    cut_off = datetime(2024, 1, 17)
+    c = {r["id"]: r for r in x.clusters().withColumn("t", F.col("first_published_at").cast("string")).collect() if r["t"] >= str(cut_off)}
+    a = [r for r in x.articles().select("cluster_id", "impact", "title").collect() if r["cluster_id"] in c]
+    got = {}
+    for r in cluster_eval(x).collect():
+        got.setdefault(r["part"], {})[r["key"]] = (r["value"], r["text"])
+    assert c and len(c) < x.clusters().count()
+    assert {k: v[0] for k, v in got["total"].items()} == {"stories": len(c), "articles": len(a)}
+    assert sum(v[0] for v in got["score"].values()) == len(c) and sum(v[0] for v in got["impact"].values()) == len(a)
+    assert got["impact"].get("none", (0,))[0] == sum(r["impact"] is None for r in a)
+    rate = lambda lo, hi: sum(lo <= r["significance_score"] < hi for r in c.values()) / len(c)
+    assert got["tier"]["high"][0] == pytest.approx(rate(8.5, 99)) and got["tier"]["notable"][0] == pytest.approx(rate(7, 8.5))
+    several = {k for k, r in c.items() if r["article_count"] > 1}
+    assert len(got["label"]) == min(100, len(c)) and (len(several) > 100 or several <= set(got["label"]))
+    for k, (_, text) in got["label"].items():
+        assert text.count(" || ") >= c[k]["article_count"] and text.startswith(c[k]["headline"])
+    assert all(set(k.split("|")) <= set(c) for k in got.get("missed merge", {})) and set(got.get("false merge", {})) <= set(c)
