@@ -25,11 +25,12 @@ RULES = (
     ("block", "org", "/es/"),
 )
 DAMPING = 0.85
-ROUNDS = 8
+#: Ranks are spread until all the mass still to come is under this share.
+TOLERANCE = 1e-6
 #: A host is blocked if distrust is over this many times its trust.
 OUTWEIGHS = 1.0
-#: Lineage is cut after so many rounds.
-CUT_EVERY = 4
+#: Lineage is cut after so many rounds: of the power iteration, and of the spread to the end.
+CUT_EVERY, SPREAD_EVERY = 4, 8
 
 
 def _after_scheme(url: Column) -> Column:
@@ -80,12 +81,41 @@ def parent_edges(hosts: DataFrame) -> DataFrame:
     return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1)).distinct()
 
 
-def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def converged_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """kind, host, rank: the limit of personalised_pagerank, for edges and seeds of several kinds at once.
+
+    With dead ends returning to the seeds, the limit is the sum over k of what the seeds' mass
+    comes to after k steps along the edges (each damped), made to sum to 1. What is to come after
+    a round is at most damping / (1 - damping) times the mass in motion, so the error is bounded.
+    """
+    seeds = seeds.where("weight > 0").groupBy("kind", "host").agg(F.sum("weight").alias("weight"))
+    totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))  # one row a kind
+    share = F.col("weight") / F.col("total")
+    state = cut(seeds.join(F.broadcast(totals), "kind").select("kind", "host", share.alias("m"), share.alias("rank")))
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
+    moves = edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("n") / F.col("total")).alias("p"), F.lit(0.0).alias("keep"))
+    hosts = edges.select("kind", F.col("src").alias("host")).union(edges.select("kind", "dst")).union(state.select("kind", "host")).distinct()
+    # each host also steps to itself with its rank, so that a round reads the state once
+    steps = cut(moves.unionByName(hosts.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("p"), F.lit(1.0).alias("keep"))))
+    while (state.agg(F.sum("m")).first()[0] or 0.0) * damping / (1 - damping) > tolerance:
+        for _ in range(SPREAD_EVERY):
+            moved = state.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host"))
+            state = moved.agg(F.sum(F.col("m") * F.col("p")).alias("m"), F.sum(F.col("m") * F.col("p") + F.col("rank") * F.col("keep")).alias("rank"))
+        state = cut(state.where("rank > 0"))
+    sums = state.groupBy("kind").agg(F.sum("rank").alias("total"))  # one row a kind
+    return state.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
+
+
+def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, rank: rank mass starts at the seeds (host, weight), follows edges (src, dst, n) in
     proportion to n, and returns to the seeds with probability 1 - damping or from dead ends.
 
-    The mass is 1 in every round. No seeds, no rows.
+    Given rounds, as it stands after so many; else at convergence. The mass is 1 in every round.
+    No seeds, no rows.
     """
+    if rounds is None:
+        one = F.lit("")
+        return converged_pagerank(edges.withColumn("kind", one), seeds.withColumn("kind", one), damping=damping, tolerance=tolerance).drop("kind")
     seeds = seeds.where("weight > 0").groupBy("host").agg(F.sum("weight").alias("weight"))
     total = seeds.agg(F.sum("weight").alias("total"))  # one row
     start = cut(seeds.crossJoin(F.broadcast(total)).select("host", (F.col("weight") / F.col("total")).alias("share")))
@@ -117,9 +147,11 @@ def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULE
     counts = cut(judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"), F.count("*").alias("pages")))
     edges = host_edges(pages, url_col=url_col, html_col=html_col).unionByName(parent_edges(counts.select("host")))
     edges = cut(edges.groupBy("src", "dst").agg(F.sum("n").alias("n")))
-    trust = personalised_pagerank(edges, counts.select("host", F.col("good").alias("weight")))
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = personalised_pagerank(back, counts.select("host", F.col("bad").alias("weight")))
+    both = edges.withColumn("kind", F.lit("trust")).unionByName(back.withColumn("kind", F.lit("distrust")))
+    seeds = counts.select(F.lit("trust").alias("kind"), "host", F.col("good").alias("weight")).unionByName(counts.select(F.lit("distrust").alias("kind"), "host", F.col("bad").alias("weight")))
+    rank = converged_pagerank(both, seeds)
+    trust, distrust = (rank.where(F.col("kind") == k).select("host", "rank") for k in ("trust", "distrust"))
     hosts = counts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
     spread = F.when(F.coalesce(F.col("distrust") > outweighs * F.col("trust"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
     out = judged.join(hosts, "host", "left")

@@ -387,3 +387,27 @@ def test_distrust_spreads(spark):
     rows = [(1, "http://bad.com/en/1", ""), (2, "http://friend.biz/x", '<a href="http://bad.com/">'), (3, "http://good.net/de/1", '<a href="http://kin.biz/">'), (4, "http://kin.biz/", "")]
     got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {1: "block", 2: "block", 3: "allow", 4: "allow"}
+
+
+def test_pagerank_converges(spark):
+    names = [f"h{k}" for k in range(14)]
+    edges = [(a, b, 1) for a, b in zip(names, names[1:], strict=False)] + [("h3", "h2", 2), ("h13", "h12", 1), ("q", "h0", 1)]
+    got = {r["host"]: r["rank"] for r in personalised_pagerank(spark.createDataFrame(edges, "src string, dst string, n long"), spark.createDataFrame([("h0", 1), ("h3", 3)], "host string, weight long")).collect()}
+    names.append("q")
+    m = np.zeros((15, 15))
+    for s, d, n in edges:
+        m[names.index(d), names.index(s)] = n
+    m = np.divide(m, m.sum(0), where=m.sum(0) > 0, out=np.zeros_like(m))
+    start = np.zeros(15)
+    start[[0, 3]] = 0.25, 0.75
+    r = start.copy()
+    for _ in range(400):
+        moved = 0.85 * m @ r
+        r = moved + start * (1 - moved.sum())
+    assert sum(abs(got.get(n, 0) - r[k]) for k, n in enumerate(names)) < 3e-6
+
+
+def test_distrust_reaches_far(spark):
+    rows = [(0, "http://bad.com/en/1", "")] + [(k, f"http://h{k}.biz/", f'<a href="http://{"bad.com" if k == 1 else f"h{k - 1}.biz"}/">') for k in range(1, 13)]
+    got = {r["page_id"]: r["verdict"] for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got.values()) == {"block"} and len(got) == 13
