@@ -1,8 +1,9 @@
 """Exact batch encoding with the tokenizers library, one library call per distinct chunk.
 
 A pre-token never contains white space after another character, so a text may be split
-before each run of white space and each chunk encoded alone. Chunks repeat; each worker
-keeps the ids of those it has met. Texts with characters outside a plain set (where the
+before each run of white space and each chunk encoded alone. Chunks repeat: a batch is cut
+by its bytes and dictionary-encoded, so each distinct chunk is looked up once, and each
+worker keeps the ids of those it has met. Texts with characters outside a plain set (where the
 library's Unicode rules could differ from the split) go to the library whole.
 """
 
@@ -12,16 +13,24 @@ import re
 from itertools import chain, islice, repeat
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
-from lodestory.llm.shared import ragged
+from lodestory.llm.shared import buffer_of, ragged, slices
 
 #: Chunks that a worker keeps at most; then all but the first, the commonest, are forgotten.
 MOST_CHUNKS, FIRST_CHUNKS = 900_000, 250_000
 #: Outside this set a text is encoded whole.
 _ODD = re.compile("[^\t\n\r -~\xa1-įı-ɏ–-…€]")
 _SPECIAL = re.compile(r"<\|\w+\|>")
-_CHUNK = re.compile(r"\s*\S+|\s+")
+#: Bytes of text that are cut and looked up at once.
+SLICE = 8 << 20
+#: White space of plain texts, and bytes that may belong to a character outside the plain set.
+SPACE, SUSPECT = np.zeros(256, bool), np.zeros(256, bool)
+SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
+SUSPECT[:0x20] = SUSPECT[0xC9:] = True
+SUSPECT[[0x7F, 0xC2, 0xC4]] = True
+SUSPECT[[0x09, 0x0A, 0x0D]] = False
 _kept: dict[tuple, ChunkEncoder] = {}
 
 
@@ -69,35 +78,71 @@ class ChunkEncoder:
         self.index.update(zip(chunks, range(k, k + n), strict=True))
         self.used += len(ids)
 
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order, and the number of each text."""
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order, and the number of each text; a null is empty."""
+        texts = pa.array(texts, pa.string()) if isinstance(texts, list) else texts
+        data, offsets = buffer_of(texts)
+        odd = np.flatnonzero(self.odd(texts, data, offsets))
+        lens = np.zeros(len(texts), np.int64)
+        if not odd.size:
+            parts = [self.encode_plain(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets, SLICE)]
+            lens = np.concatenate([n for _, n in parts]) if parts else lens
+            return np.concatenate([ids for ids, _ in parts]) if parts else np.zeros(0, np.uint32), lens
+        plain = np.ones(len(texts), bool)
+        plain[odd] = False
+        ids, lens[plain] = self.encode(texts.filter(pa.array(plain)))
+        whole: list[np.ndarray] = []
+        for lo in range(0, len(odd), 64):
+            got = self.tok.encode_batch_fast(texts.take(pa.array(odd[lo : lo + 64])).to_pylist(), add_special_tokens=False)
+            whole += [np.array(e.ids, np.uint32) for e in got]
+        lens[odd] = list(map(len, whole))
+        out = np.zeros(int(lens.sum()), np.uint32)
+        inside = np.repeat(plain, lens)
+        out[inside], out[~inside] = ids, np.concatenate(whole)
+        return out, lens
+
+    def odd(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Whether each text must be encoded whole: only those with a suspect byte are looked at."""
+        at = SUSPECT[data]
+        at[:-1] |= (data[:-1] == 0x3C) & (data[1:] == 0x7C)
+        seen = np.unique(np.searchsorted(offsets, np.flatnonzero(at), "right") - 1)
+        out = np.zeros(len(texts), bool)
+        for i in seen.tolist():
+            t = texts[i].as_py()
+            out[i] = bool(_ODD.search(t) or ("<|" in t and _SPECIAL.search(t)))
+        return out
+
+    def encode_plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for plain texts: chunks are cut by their bytes and looked up once each."""
+        space = SPACE[data]
+        if self.spaces:  # a chunk begins with a text or with a run of white space
+            first = space.copy()
+            first[1:] &= ~space[:-1]
+            first[offsets[:-1][np.diff(offsets) > 0]] = True
+            start = np.flatnonzero(first)
+            edge = np.append(start, len(data))
+        else:  # a chunk is a word
+            first = ~space
+            first[1:] &= space[:-1]
+            edges = offsets[:-1][np.diff(offsets) > 0]
+            first[edges] = ~space[edges]
+            start = np.flatnonzero(first)
+            data = data[~space]
+            edge = np.append((np.cumsum(~space) - 1)[start], len(data))
+        chunks = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
+        kinds = chunks.dictionary.to_pylist()
         if len(self.index) > MOST_CHUNKS:
             self.index = dict(islice(self.index.items(), FIRST_CHUNKS))
             self.used = int(self.start[FIRST_CHUNKS])
-        cuts, whole = [], {}
-        for i, t in enumerate(texts):
-            t = t or ""
-            if _ODD.search(t) or ("<|" in t and _SPECIAL.search(t)):
-                whole[i] = np.array(self.tok.encode(t, add_special_tokens=False).ids, np.uint32)
-                cuts.append([])
-            else:
-                cuts.append(_CHUNK.findall(t) if self.spaces else t.split())
-        n = np.fromiter(map(len, cuts), np.int64, len(cuts))
-        flat = list(chain.from_iterable(cuts))
-        at = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        at = np.fromiter(map(self.index.get, kinds, repeat(-1)), np.int64, len(kinds))
         if (miss := np.flatnonzero(at < 0)).size:
-            self.learn(list({flat[i] for i in miss}))
-            at[miss] = [self.index[flat[i]] for i in miss]
+            at[miss] = len(self.index) + np.arange(len(miss))
+            self.learn([kinds[i] for i in miss])
+        at = at[chunks.indices.to_numpy()]
         size = self.size[at]
         ids = self.flat[ragged(self.start[at], size)]
-        edge = np.concatenate(([0], np.cumsum(size)))[np.concatenate(([0], np.cumsum(n)))]
-        lens = np.diff(edge)
-        if whole:
-            parts = np.split(ids, edge[1:-1])
-            for i, x in whole.items():
-                parts[i], lens[i] = x, len(x)
-            ids = np.concatenate(parts)
-        return ids, lens
+        edge = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, offsets)]
+        return ids, np.diff(edge)
 
 
 def encoder(path: str, spaces: bool) -> ChunkEncoder:

@@ -39,7 +39,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, *, limit: int, end_id: int, id_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary, True)
         for b in batches:
-            ids, n = encoder_ids(enc, b.column(1).to_pylist(), end_id)
+            ids, n = encoder_ids(enc, b.column(1), end_id)
             cuts = -(-n // limit)
             row = np.repeat(np.arange(len(n)), cuts)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)

@@ -82,7 +82,7 @@ def write_token_store(
             return pa.RecordBatch.from_pylist([row], _BLOCK)
 
         for b in batches:
-            x, n = encoder_ids(enc, b.column(1).to_pylist(), end_id)
+            x, n = encoder_ids(enc, b.column(1), end_id)
             ids.append(x)
             lens.append(n)
             keys.append(b.column(0))
@@ -99,7 +99,7 @@ def write_token_store(
 _BLOCK = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("lens", pa.list_(pa.int32())), ("ranked", pa.binary()), ("control", pa.binary()), ("codes", pa.binary())])
 
 
-def encoder_ids(enc, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+def encoder_ids(enc, texts: pa.Array, end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of texts with the end id after each, and the number of each."""
     ids, n = enc.encode(texts)
     if end_id is None:
