@@ -1,22 +1,24 @@
 """Packing of documents into sequences by bulk-synchronous best fit.
 
-In each round the larger of the unplaced pieces and all gaps stand in one order by size, largest
-first, gaps before pieces of the same size. Read as brackets (a gap opens, a piece closes), each
-piece meets the nearest gap before it that is still free: the smallest gap that holds it,
-when larger pieces choose first. Positions come from counts by size (at most 2 x the limit x
-salts rows) and ranks within a size, levels from positions, and a piece's gap is the row before
-it on its level, so a round is two shuffles of small rows however many pieces there are.
-Pieces that meet no gap open new sequences, no more than their sum needs; gaps shrink and
-the next round begins, until all are placed.
+In each round the larger of the unplaced pieces and all gaps are range-sorted by size, largest
+first, gaps before pieces of the same size. A sweep reads them as brackets (a gap opens, a piece
+closes): each piece meets the nearest gap before it that is still free, the smallest gap that
+holds it when larger pieces choose first and equal ones by rank. Tasks sweep their ranges, the
+ranges' sums carry the sweep on, and a piece's gap is the row before it on its level, so a
+round moves small rows a few times however many pieces there are. A gap that holds several
+of a round's pieces is offered as equal slots. Pieces that meet no gap open new sequences in
+runs of as many as surely fit; gaps shrink and the next round takes the smaller pieces.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +26,8 @@ from lodestory.llm.encoding import encoder
 from lodestory.llm.shared import cut, prepare
 from lodestory.llm.token_store import encoder_ids
 
-#: Parts into which the pieces of one size are split for ranking.
-SALTS = 32
-#: Rows of pieces or gaps for each task that writes them.
-ROWS_A_TASK = 500_000
-#: A round places pieces over this share of the largest left; from SMALL tokens on, all at once.
-LEVEL, SMALL = 0.7, 64
+#: From this many tokens on, the last round places all pieces.
+SMALL = 128
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, *, limit: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -54,89 +52,79 @@ def pieces_of(docs: DataFrame, vocabulary: str, *, limit: int, end_id: int, id_c
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _ranked(df: DataFrame, size: str, kind: str, tie: str) -> DataFrame:
-    """Adds `before`, the rows in front by (size descending, kind, tie's hash), as a signed sum of
-    +1 for kind 0 and -1 for kind 1, and `ahead`, their plain count within the kind."""
-    df = df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
-    keys = [size, kind, "_salt"]
-    counts = df.groupBy(*keys).count()
-    order = Window.orderBy(F.col(size).desc(), kind, "_salt").rowsBetween(Window.unboundedPreceding, -1)
-    signed = F.when(F.col(kind) == 0, F.col("count")).otherwise(-F.col("count"))
-    offsets = counts.select(*keys, F.coalesce(F.sum(signed).over(order), F.lit(0)).alias("_base"), F.coalesce(F.sum(F.when(F.col(kind) == 1, F.col("count")).otherwise(0)).over(order), F.lit(0)).alias("_kbase"))
-    # 2 * limit * SALTS rows of 40 bytes at most, whatever the input
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(tie)) - 1
-    df = df.withColumn("_r", rank).join(F.broadcast(offsets), keys)
-    sign = F.when(F.col(kind) == 0, F.col("_r")).otherwise(-F.col("_r"))
-    return df.withColumn("before", F.col("_base") + sign).withColumn("ahead", F.col("_kbase") + F.col("_r")).drop("_salt", "_r", "_base", "_kbase")
+def depths(both: DataFrame) -> DataFrame:
+    """Ranks gaps (kind 0) and pieces (kind 1) by size, largest first, and adds `before`: the gaps
+    less the pieces in front. Rows are range-sorted, each task counts through its range, and the
+    ranges' sums (a row a task) are added up; equal sizes are split by a hash of the id."""
+    order = [F.col("size").desc(), F.col("kind"), F.col("_tie"), F.col("id"), F.col("slot")]
+    rows = both.withColumn("_tie", F.xxhash64("id", "slot")).repartitionByRange(*order).sortWithinPartitions(*order).drop("_tie")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            step = 1 - 2 * b.column(1).to_numpy().astype(np.int64)
+            ahead = at + np.cumsum(step)
+            at = int(ahead[-1]) if len(ahead) else at
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(step), part, np.int32)), pa.array(ahead - step)], [*b.schema.names, "part", "within"])
+
+    counted = cut(rows.select("size", "kind", "id", "slot").mapInArrow(count, "size long, kind int, id long, slot int, part int, within long"))
+    sums = counted.groupBy("part").agg(F.sum(1 - 2 * F.col("kind")).alias("n"))
+    base = sums.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    return counted.join(base, "part").select("size", "kind", "id", (F.col("base") + F.col("within")).alias("before"))
+
+
+def place(gaps: DataFrame, now: DataFrame, *, limit: int, most: int, least: int) -> DataFrame:
+    """One superstep: pid, length, sequence_id, opened for every piece of `now`, all of `least` to `most` tokens.
+
+    Read as brackets, a gap opens a level and a piece closes it; a piece's gap is the row before it
+    on its level. Pieces without one are the first of their levels 0, -1, -2, ..., so the level
+    also numbers them by size, and runs of as many as a sequence surely holds open one together.
+    """
+    # a gap may take several pieces at once: it stands for as many equal slots as hold any of them
+    slots = F.greatest(F.lit(1), F.floor(F.col("gap") / most)).cast("int")
+    open_slots = gaps.where(F.col("gap") >= least).select(F.floor(F.col("gap") / slots).cast("long").alias("size"), F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), F.explode(F.sequence(F.lit(1), slots)).alias("slot"))
+    both = open_slots.unionByName(now.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("id"), F.lit(0).alias("slot")))
+    level = F.col("before") + 1 - F.col("kind")
+    line = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
+    met = (
+        depths(both)
+        .withColumn("level", level)
+        .withColumn("gap_kind", F.lag("kind").over(line))
+        .withColumn("gap_id", F.lag("id").over(line))
+        .where("kind = 1")
+        .select(F.col("id").alias("pid"), F.col("size").alias("length"), F.when(F.col("gap_kind") == 0, F.col("gap_id")).alias("gap_id"), "level")
+    )
+    fits = F.floor(F.lit(limit) / F.col("length"))
+    run = F.when(F.col("gap_id").isNull(), F.struct(fits.alias("fits"), F.floor(-F.col("level") / fits).alias("run")))
+    # of matched pieces each is a run of its own
+    runs = Window.partitionBy("run", F.when(F.col("gap_id").isNotNull(), F.col("pid"))).orderBy(F.col("level").desc())
+    opener = F.first("pid").over(runs)
+    return met.withColumn("run", run).select("pid", "length", F.coalesce("gap_id", opener).alias("sequence_id"), (F.col("gap_id").isNull() & (opener == F.col("pid"))).alias("opened"))
 
 
 def best_fit(pieces: DataFrame, *, limit: int) -> DataFrame:
-    """Places pieces (pid long, length long): returns pid, sequence_id, round.
+    """Places pieces (pid long, length long): returns pid, length, sequence_id, opened, round.
 
     A sequence has the pid of the piece that opened it. Pieces over half the limit never share
-    and open at once. Rows of equal size are ordered by pid, so the result is fixed.
+    and open at once; then each round takes all pieces over half the largest size left, and all
+    places are final, so rounds are as many as the limit can be halved to SMALL, whatever the
+    input. Rows of equal size are ordered by hash and pid, so the result is fixed.
     """
     pieces = pieces.select("pid", "length")
-    large = F.col("length") * 2 > limit
-    parts = max(4, -(-pieces.count() // ROWS_A_TASK))
-
-    def few(df: DataFrame) -> DataFrame:
-        """Written by as many tasks as the rows need: rounds are many and their rows small."""
-        return cut(df.coalesce(parts))
-
-    placed = [pieces.where(large).select("pid", F.col("pid").alias("sequence_id"), F.lit(0).alias("round"))]
-    gaps = few(pieces.where(large & (F.col("length") < limit)).select(F.col("pid").alias("sequence_id"), (F.lit(limit) - F.col("length")).alias("gap")))
-    rest = few(pieces.where(~large))
-    n = 0
-    while True:
-        most = rest.agg(F.max("length")).first()[0]
-        if most is None:
-            break
-        n += 1
-        # the larger pieces first: smaller ones wait until these have their places
-        border = LEVEL * most if most > SMALL else 0
-        now, wait = rest.where(F.col("length") > border), rest.where(F.col("length") <= border)
-        count, least = now.agg(F.count("*"), F.min("length")).first()
-        usable = gaps.where(F.col("gap") >= least)
-        held = usable.agg(F.count("*")).first()
-        # A gap may take several pieces at once where the largest piece left fits that often.
-        each = F.least(F.greatest(F.lit(1), F.floor(F.col("gap") / most)), F.lit(1 + 2 * count // max(1, held[0]))).cast("int")
-        slots = usable.select("sequence_id", "gap", F.explode(F.sequence(F.lit(1), each)).alias("slot"), each.alias("slots")).select("sequence_id", F.floor(F.col("gap") / F.col("slots")).cast("long").alias("size"), "slot")
-        both = slots.select("size", F.lit(0).alias("kind"), F.col("sequence_id").alias("id"), "slot").unionByName(now.select(F.col("length").alias("size"), F.lit(1).alias("kind"), F.col("pid").alias("id"), F.lit(0).alias("slot")))
-        both = both.withColumn("tie", F.struct("id", "slot"))
-        ranked = _ranked(both, "size", "kind", "tie")
-        level = F.when(F.col("kind") == 0, F.col("before") + 1).otherwise(F.col("before"))
-        line = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
-        met = (
-            ranked.withColumn("level", level)
-            .withColumn("prev_kind", F.lag("kind").over(line))
-            .withColumn("prev_id", F.lag("id").over(line))
-            .where("kind = 1")
-            .select(F.col("id").alias("pid"), F.col("size").alias("length"), F.when(F.col("prev_kind") == 0, F.col("prev_id")).alias("sequence_id"))
-        )
-        met = few(met)
-        new = met.where("sequence_id is not null")
-        lost = met.where("sequence_id is null").select("pid", "length")
-        total = lost.agg(F.sum("length")).first()[0] or 0
-        opened = None
-        if total:
-            lost = _ranked(lost.withColumn("kind", F.lit(1)).withColumn("tie", F.struct("pid")), "length", "kind", "tie").select("pid", "length", "ahead")
-            k = -(-total // limit)
-            opened = lost.where(F.col("ahead") < k).select("pid", "length")
-            rest_next = lost.where(F.col("ahead") >= k).select("pid", "length")
-            placed.append(opened.select("pid", F.col("pid").alias("sequence_id"), F.lit(n).alias("round")))
-        else:
-            rest_next = lost
-        placed.append(new.select("pid", "sequence_id", F.lit(n).alias("round")))
-        taken = new.groupBy("sequence_id").agg(F.sum("length").alias("used"))
-        gaps_next = gaps.join(taken, "sequence_id", "left").select("sequence_id", (F.col("gap") - F.coalesce("used", F.lit(0))).alias("gap"))
-        if opened is not None:
-            gaps_next = gaps_next.unionByName(opened.select(F.col("pid").alias("sequence_id"), (F.lit(limit) - F.col("length")).alias("gap")))
-        gaps, rest = few(gaps_next.where("gap > 0")), few(rest_next.unionByName(wait))
-    out = placed[0]
-    for p in placed[1:]:
-        out = out.unionByName(p)
-    return out
+    large = pieces.where(F.col("length") * 2 > limit)
+    placed = [cut(large.select("pid", "length", F.col("pid").alias("sequence_id"), F.lit(True).alias("opened"), F.lit(0).alias("round")))]
+    gaps = placed[0].select("sequence_id", (F.lit(limit) - F.col("length")).alias("gap")).where("gap > 0")
+    most = limit // 2
+    while most > 0:
+        least = most // 2 + 1 if most > SMALL else 1
+        now = pieces.where(F.col("length").between(least, most))
+        got = cut(place(gaps, now, limit=limit, most=most, least=least).withColumn("round", F.lit(len(placed))))
+        placed.append(got)
+        change = got.select("sequence_id", (F.when(F.col("opened"), F.lit(limit)).otherwise(0) - F.col("length")).alias("gap"))
+        most = least - 1
+        if most:
+            gaps = cut(gaps.unionByName(change).groupBy("sequence_id").agg(F.sum("gap").alias("gap")).where("gap > 0"))
+    return reduce(DataFrame.unionByName, placed)
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, *, limit: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +136,7 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, limit: int = 2048, end_i
     """
     prepare(docs.sparkSession)
     pieces = cut(pieces_of(docs, vocabulary, limit=limit, end_id=end_id, id_col=id_col, text_col=text_col).withColumn("pid", F.monotonically_increasing_id()))
-    where = best_fit(pieces, limit=limit)
+    where = best_fit(pieces, limit=limit).drop("length")
     before = Window.partitionBy("sequence_id").orderBy("round", "pid").rowsBetween(Window.unboundedPreceding, -1)
     return (
         pieces.join(where, "pid")
