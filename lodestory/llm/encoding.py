@@ -19,12 +19,12 @@ from tokenizers import Tokenizer
 from lodestory.llm.shared import buffer_of, ragged, slices
 
 #: Chunks that a worker keeps at most; then all but the first, the commonest, are forgotten.
-MOST_CHUNKS, FIRST_CHUNKS = 900_000, 250_000
+MOST_CHUNKS, FIRST_CHUNKS = 700_000, 250_000
 #: Outside this set a text is encoded whole.
 _ODD = re.compile("[^\t\n\r -~\xa1-įı-ɏ–-…€]")
 _SPECIAL = re.compile(r"<\|\w+\|>")
 #: Bytes of text that are cut and looked up at once.
-SLICE = 8 << 20
+SLICE = 4 << 20
 #: White space of plain texts, and bytes that may belong to a character outside the plain set.
 SPACE, SUSPECT = np.zeros(256, bool), np.zeros(256, bool)
 SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
