@@ -28,6 +28,8 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _WHOLE_ONLY = frozenset(["'s", "'t", "'re", "'ve", "'m", "'ll", "'d"])
 #: Prefixes and chunks kept by a worker before it starts anew.
 MOST_PREFIXES, MOST_CHUNKS, FIRST_CHUNKS = 1_200_000, 500_000, 150_000
+#: Signs of a pre-token above which its prefixes are known by their places, not kept as strings.
+LONG = 64
 END = "</w>"
 _kept: dict[str, PrefixCounter] = {}
 
@@ -60,10 +62,13 @@ class PrefixCounter:
         self.clear()
 
     def clear(self) -> None:
+        self.clear_prefixes()
+        self.clear_chunks()
+
+    def clear_prefixes(self) -> None:
         self.inner: dict[str, tuple[str, int]] = {}
         self.ends: dict[str, int] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.clear_chunks()
 
     def clear_chunks(self) -> None:
         self.index: dict[str, int] = {}
@@ -150,8 +155,32 @@ class PrefixCounter:
             at = i - len(got[0])
             ends[p] = self.last(s, i, END, at)[1]
 
+    def long_ends(self, s: str) -> list[int]:
+        """Counts of a long pre-token's prefixes by their number of signs, from the last token and
+        the count at each place: memory grows with its length, whatever its prefixes hold."""
+        token, count, ends = [""], [0], [0]
+
+        def last(i: int, end: str, guess: int) -> tuple[int, str]:
+            for k in (guess, *range(max(0, i - self.longest), i)):
+                t = s[k:i] + end
+                if t in self.vocab and (self.stays(token[k], t) if k else self.whole(t)):
+                    return k, t
+            raise ValueError("the vocabulary lacks a byte")
+
+        at = 0
+        for i in range(1, len(s) + 1):
+            at, t = last(i, "", at)
+            token.append(t)
+            count.append(count[at] + 1)
+            ends.append(count[last(i, END, at)[0]] + 1)
+            if len(self.pairs) > MOST_PREFIXES:
+                self.pairs.clear()
+        return ends
+
     def count_signs(self, s: str) -> int:
         """Tokens of a whole pre-token in byte signs."""
+        if len(s) > LONG:
+            return self.long_ends(s)[-1]
         if s not in self.ends:
             self.grow(s)
         return self.ends[s]
@@ -165,6 +194,9 @@ class PrefixCounter:
         else:
             parts = ["".join([self.signs[b] for b in ch.encode()]) for ch in w]
             s, cuts = "".join(parts), list(accumulate(map(len, parts)))
+        if len(s) > LONG:
+            ends = self.long_ends(s)
+            return [ends[i] for i in cuts]
         if s not in self.ends:
             self.grow(s)
         ends = self.ends
@@ -176,6 +208,8 @@ class PrefixCounter:
         sizes = []
         for c in chunks:
             n, base = len(new), 0
+            if len(self.inner) > MOST_PREFIXES:
+                self.clear_prefixes()
             for w in _PIECE.findall(c):
                 t = self.piece(w)
                 new += [x + base for x in t] if base else t
@@ -202,9 +236,7 @@ class PrefixCounter:
         which is what the vocabulary sees; for plain texts only case and white space differ.
         A special string counts one when it is complete, by its characters before.
         """
-        if len(self.inner) > MOST_PREFIXES:
-            self.clear()
-        elif len(self.index) > MOST_CHUNKS:
+        if len(self.index) > MOST_CHUNKS:
             self.index = dict(islice(self.index.items(), FIRST_CHUNKS))
             self.used = int(self.start[FIRST_CHUNKS])
         if _ODD.search(text) or ("<|" in text and _SPECIAL.search(text)):
