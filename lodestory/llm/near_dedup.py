@@ -26,14 +26,19 @@ from lodestory.operators.graph import connected_components
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
-#: Buckets of the document-frequency table, a bound whatever the corpus holds.
+#: Buckets of the table that tells which shingles may be frequent.
 DF_BUCKETS = 1 << 20
+#: Shingles in more than one of so many documents are frequent and counted one by one; at most
+#: this many times the mean number of a document's shingles are.
+FREQUENT = 1000
 #: The most that a shingle's document frequency takes off its weight. Undamped IDF would give
 #: the shingles that a third of all documents share almost no weight, and hide those copies.
 IDF_SPAN = 0.2
 #: Rounds of comparisons with one document of a bucket before the rest is compared in pairs.
 STAR_ROUNDS = 4
 DRAW_ROWS = 1 << 16
+#: Shingles that a task holds before it adds them up.
+HELD = 2_000_000
 _draws: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -54,10 +59,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iter
             yield full[:0]
 
 
-def weighted(hashes: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingles in order, and their weights."""
+def weighted(hashes: np.ndarray, idf: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingles in order, and their weights: frequency in the text times IDF, 1 for rare ones."""
     keys, tf = np.unique(hashes, return_counts=True)
-    return keys, tf * idf[(keys >> np.uint64(44)).astype(np.int64)]
+    frequent, value = idf
+    weight = tf.astype(np.float64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, keys), len(frequent) - 1)
+        weight *= np.where(frequent[at] == keys, value[at], 1.0)
+    return keys, weight
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -68,12 +78,12 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c - r and beta for each sample, one row per value of a hash's low 16 bits."""
+    """r, ln c and beta for each sample, one row per value of 16 bits of a hash, each of other bits."""
     if "t" not in _draws:
         rng = np.random.default_rng(20)
         shape = (DRAW_ROWS, BANDS * ROWS)
         r, c = (rng.standard_gamma(2.0, shape, np.float32) for _ in range(2))
-        _draws["t"] = np.maximum(r, 1e-6), np.log(np.maximum(c, 1e-30)) - r, rng.random(shape, np.float32)
+        _draws["t"] = np.maximum(r, 1e-6), np.log(np.maximum(c, 1e-30)), rng.random(shape, np.float32)
     return _draws["t"]
 
 
@@ -82,41 +92,46 @@ def band_hashes(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
     r, c, beta = _tables()
     best = np.full(BANDS * ROWS, np.inf, np.float32)
     sample = np.zeros(BANDS * ROWS, np.uint64)
+    low = np.uint64(DRAW_ROWS - 1)
     for lo in range(0, len(keys), 2048):
         k = keys[lo : lo + 2048]
-        row = (k & np.uint64(DRAW_ROWS - 1)).astype(np.int64)
-        rr, bb = r[row], beta[row]
+        rr, bb = r[(k & low).astype(np.int64)], beta[(k >> np.uint64(16) & low).astype(np.int64)]
         t = np.floor(np.log(weights[lo : lo + 2048]).astype(np.float32)[:, None] / rr + bb)
-        a = c[row] - rr * (t - bb)
+        a = c[(k >> np.uint64(32) & low).astype(np.int64)] - rr * (t - bb + 1)
         at = a.argmin(0)
-        low = a[at, np.arange(a.shape[1])]
-        better = low < best
-        best[better] = low[better]
+        least = a[at, np.arange(a.shape[1])]
+        better = least < best
+        best[better] = least[better]
         drawn = mix(k[at] + t[at, np.arange(a.shape[1])].astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         sample[better] = drawn[better]
     mult = np.array([pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(ROWS)], np.uint64)
     return mix((sample.reshape(BANDS, ROWS) * mult).sum(1, dtype=np.uint64)).view(np.int64)
 
 
-def inverse_frequencies(docs: DataFrame, *, text_col: str = "text") -> np.ndarray:
-    """Damped IDF of each hash bucket, from counts over all documents.
+def inverse_frequencies(docs: DataFrame, *, text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The frequent shingles (sorted) and the IDF of each, from counts over all documents.
 
-    A bucket's count is that of documents with a shingle in it; the median count, what chance
-    puts into any bucket, is taken off. Tasks add their rows up before they send one table each,
-    and tables are added by slices; the driver gets DF_BUCKETS numbers.
+    IDF falls with the logarithm of the share of documents that have the shingle, from 1 at one in
+    FREQUENT to 1 - IDF_SPAN at all, so it is alike at every size; shingles below that have 1. Two
+    passes: bucket counts first, then exact counts of the shingles in buckets that are full enough.
+    Tasks add their rows up before they send them; the driver gets DF_BUCKETS numbers and the
+    frequent shingles.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, n = np.zeros(DF_BUCKETS, np.int32), 0
+    def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
         for b in batches:
             data, offsets = buffer_of(b.column(0))
             for lo, hi in slices(offsets):
-                got = [np.unique((h >> np.uint64(44)).astype(np.int32)) for h in shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) if len(h)]
-                n += len(got)
-                if got:
-                    table += np.bincount(np.concatenate(got), minlength=DF_BUCKETS).astype(np.int32)
+                yield [np.unique(h) for h in shingles(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) if len(h)]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, n = np.zeros(DF_BUCKETS, np.int64), 0
+        for got in texts(batches):
+            n += len(got)
+            if got:
+                table += np.bincount((np.concatenate(got) >> np.uint64(44)).astype(np.int64), minlength=DF_BUCKETS)
         for part, x in enumerate(np.split(table, 64)):
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n if part == 0 else 0], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["part", "n", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n if part == 0 else 0], pa.int64()), pa.array([x.astype(np.int32 if n < 1 << 31 else np.int64).tobytes()], pa.binary())], ["part", "n", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list] = {}
@@ -129,14 +144,38 @@ def inverse_frequencies(docs: DataFrame, *, text_col: str = "text") -> np.ndarra
         for part, (n, x) in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int64()), pa.array([x.tobytes()], pa.binary())], ["part", "n", "counts"])
 
+    none = np.zeros(0, np.uint64), np.zeros(0, np.float32)
     schema = "part int, n long, counts binary"
     parts = docs.select(text_col).mapInArrow(count, schema).repartition(64, "part").mapInArrow(add, schema).toArrow().sort_by("part")
-    if not len(parts):
-        return np.ones(DF_BUCKETS, np.float32)
-    counts = np.concatenate([np.frombuffer(x, np.int64) for x in parts["counts"].to_pylist()])
     n = sum(parts["n"].to_pylist())
-    df = np.clip(counts - np.median(counts), 1, max(1, n))
-    return (1 - IDF_SPAN * np.log(df) / np.log(n + 2)).astype(np.float32)
+    if not n:
+        return none
+    least = max(2, n // FREQUENT)
+    full = docs.sparkSession.sparkContext.broadcast(np.packbits(np.concatenate([np.frombuffer(x, np.int64) for x in parts["counts"].to_pylist()]) >= least))  # 128 KB
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = np.unpackbits(full.value).astype(bool)
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            keys, many = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(many.astype(np.int64))], ["key", "n"])
+
+        for got in texts(batches):
+            held += [h[open_[(h >> np.uint64(44)).astype(np.int64)]] for h in got]
+            if sum(map(len, held)) >= HELD:
+                yield flush()
+        if held:
+            yield flush()
+
+    counts = docs.select(text_col).mapInArrow(exact, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()
+    if not len(counts):
+        return none
+    keys, df = counts["key"].to_numpy().view(np.uint64), counts["n"].to_numpy()
+    order = np.argsort(keys)
+    value = 1 - IDF_SPAN * np.log(df[order] / least) / max(np.log(n / least), 1e-9)
+    return keys[order], value.astype(np.float32)
 
 
 def _may_link(similarity: float, sa: Column, ta: Column, sb: Column, tb: Column) -> Column:
@@ -173,7 +212,7 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     A null id counts after all others. Repeated rows get the same class. Empty in, empty out.
     """
     spark = prepare(docs.sparkSession)
-    idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text_col=text_col))  # 4 MB
+    idf = spark.sparkContext.broadcast(inverse_frequencies(docs, text_col=text_col))  # frequent shingles only
     kind = dict(docs.dtypes)[id_col]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,6 +324,9 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, similarity=similarity)
     heads = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_head")).distinct()
-    rows = docs.join(heads, docs[id_col].eqNullSafe(heads["_head"]), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col, F.md5(text_col)).orderBy(F.col(text_col).asc_nulls_last()))
-    return rows.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    # columns get names of their own, so that none of the frame's can clash
+    rows = docs.withColumnsRenamed({c: f"_c{k}" for k, c in enumerate(docs.columns)})
+    i, t = (F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col))
+    rows = rows.join(heads, i.eqNullSafe(heads["_head"]), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(i, F.md5(t)).orderBy(t.asc_nulls_last()))
+    return rows.withColumn("_rank", rank).where("_rank = 1").select(*[F.col(f"_c{k}").alias(c) for k, c in enumerate(docs.columns)])
