@@ -1,16 +1,19 @@
 """Suffix arrays by induced sorting, in numpy.
 
-The buckets of first letters are swept in order, and each sweep handles all suffixes that a
-bucket holds so far at once. Leftmost-smaller substrings are sorted by inducing, named, and
-sorted recursively; names too many for sweeps of buckets are ordered by ranks of doubled length.
+Suffixes are classified, leftmost-smaller substrings are sorted by inducing, named, and sorted
+recursively until all names differ, and the whole order is induced from them. A sweep does not
+turn letter by letter: it takes the longest stretch of places that are final, whatever buckets
+they lie in, induces from all of them at once and goes on where a place still waits. Runs of
+one letter, which would induce into their own bucket, are laid out together when their bucket
+is reached.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets above this are ordered by doubling.
-MOST_BUCKETS = 2048
+#: Places that a sweep looks at in one step, at most and at least.
+WIDEST, NARROWEST = 1 << 17, 256
 
 
 def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
@@ -29,8 +32,7 @@ def suffix_array(t: np.ndarray, sigma: int) -> np.ndarray:
         reduced[by_substring] = names
         reduced = reduced[lms]
         kinds = int(names[-1]) + 1
-        order = suffix_array(reduced, kinds) if kinds <= MOST_BUCKETS else doubled(reduced)
-        by_substring = lms[order]
+        by_substring = lms[suffix_array(reduced, kinds)]
     return induce(t, smaller, by_substring, sigma)
 
 
@@ -61,21 +63,6 @@ def substring_names(t: np.ndarray, lms: np.ndarray, order: np.ndarray) -> np.nda
     return np.concatenate(([0], np.cumsum(~equal)))
 
 
-def doubled(r: np.ndarray) -> np.ndarray:
-    """Suffixes of r in order, by ranks of twice the length each time."""
-    n, rank, k = len(r), np.unique(r, return_inverse=True)[1].astype(np.int64), 1
-    while True:
-        key = rank * (n + 1)
-        key[: n - k] += rank[k:] + 1
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        step = np.concatenate(([0], np.cumsum(key[1:] != key[:-1])))
-        if step[-1] == n - 1:
-            return order
-        rank[order] = step
-        k *= 2
-
-
 def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> np.ndarray:
     """All suffixes sorted from the order of the leftmost-smaller ones."""
     n = len(t)
@@ -86,40 +73,67 @@ def induce(t: np.ndarray, smaller: np.ndarray, lms: np.ndarray, sigma: int) -> n
     seeds = np.bincount(t[lms], minlength=sigma)
     by_letter = lms[np.argsort(t[lms], kind="stable")]
     sa[np.repeat(ends - np.cumsum(seeds), seeds) + np.arange(len(lms))] = by_letter
-    heads, tails = starts.copy(), ends.copy()
-
-    def push(found: np.ndarray, want_smaller: bool) -> None:
+    letter = np.repeat(np.arange(sigma), counts)
+    # a bucket's larger suffixes come first, then its smaller ones
+    is_large = np.arange(n) < (starts + np.bincount(t[~smaller], minlength=sigma))[letter]
+    new = np.concatenate(([True], t[1:] != t[:-1]))
+    before = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))  # places of the same run before
+    edge = np.append(new[1:], True)  # the last place of a run
+
+    def push(found: np.ndarray, free: np.ndarray, want_smaller: bool) -> None:
+        """Put what the suffixes found induce into their buckets, runs' last places only."""
         j = found[found > 0] - 1
-        j = j[smaller[j] == want_smaller]
+        j = j[(smaller[j] == want_smaller) & edge[j]]
         if not len(j):
             return
-        letter = t[j]
-        turn = np.argsort(letter, kind="stable")
-        j, letter = j[turn], letter[turn]
-        edge = np.flatnonzero(np.concatenate(([True], letter[1:] != letter[:-1])))
-        kinds, many = letter[edge], np.diff(edge, append=len(j))
-        within = np.arange(len(j)) - np.repeat(edge, many)
+        turn = np.argsort(t[j], kind="stable")
+        j = j[turn]
+        kind = t[j]
+        first = np.flatnonzero(np.concatenate(([True], kind[1:] != kind[:-1])))
+        many = np.diff(first, append=len(j))
+        within = np.arange(len(j)) - np.repeat(first, many)
         if want_smaller:
-            sa[tails[letter] - 1 - within] = j
-            tails[kinds] -= many
+            sa[free[kind] - 1 - within] = j
+            free[kind[first]] -= many
         else:
-            sa[heads[letter] + within] = j
-            heads[kinds] += many
-
-    used = np.flatnonzero(counts)
-    for c in used:
-        done = starts[c]
-        while done < heads[c]:
-            done, last = heads[c], done
-            push(sa[last:done], False)
-        if seeds[c]:
-            push(sa[ends[c] - seeds[c] : ends[c]], False)
-    for c in used[::-1]:
-        done = ends[c]
-        while done > tails[c]:
-            done, last = tails[c], done
-            push(sa[done:last][::-1], True)
-        push(sa[starts[c] : heads[c]][::-1], True)
+            sa[free[kind] + within] = j
+            free[kind[first]] += many
+
+    def runs(base: np.ndarray) -> np.ndarray:
+        """The places before the given last places in their runs: one step back of all, then two, ..."""
+        more = before[base]
+        owner = np.repeat(np.arange(len(base)), more)
+        back = np.arange(len(owner)) - np.repeat(np.cumsum(more) - more, more) + 1
+        turn = np.argsort(back, kind="stable")
+        return base[owner[turn]] - back[turn]
+
+    free, p, width = starts.copy(), 0, NARROWEST
+    while p < n:
+        high = min(n, p + width)
+        waits = is_large[p:high] & (sa[p:high] < 0)
+        k = int(waits.argmax())
+        stop = p + k if waits[k] else high
+        if stop == p:
+            rest = runs(sa[starts[letter[p]] : p])
+            sa[p : p + len(rest)] = rest
+            continue
+        push(sa[p:stop], free, False)
+        width = min(max(2 * (stop - p), NARROWEST), WIDEST)
+        p = stop
+    sa[~is_large] = -1
+    free, p, width = ends.copy(), n, NARROWEST
+    while p > 1:  # the end's own place comes last
+        low = max(1, p - width)
+        waits = (~is_large[low:p] & (sa[low:p] < 0))[::-1]
+        k = int(waits.argmax())
+        stop = p - k if waits[k] else low
+        if stop == p:
+            rest = runs(sa[p : ends[letter[p - 1]]][::-1])
+            sa[p - len(rest) : p] = rest[::-1]
+            continue
+        push(sa[stop:p][::-1], free, True)
+        width = min(max(2 * (p - stop), NARROWEST), WIDEST)
+        p = stop
     sa[0] = n - 1
     return sa
 

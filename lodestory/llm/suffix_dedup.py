@@ -6,7 +6,7 @@ anchor's hash, and all windows of equal bytes meet in one shard. A stretch whose
 occurred before is removed at once; only where different stretches share an anchor (the ends
 of repeats) is their text gathered, and shard by shard a suffix array with permuted common
 prefixes finds the windows that occurred before. An anchor in very many different stretches is
-split into its single windows, which are dealt out by their own hashes.
+split into its single windows, which are dealt out to the shards by their own hashes.
 """
 
 from __future__ import annotations
@@ -154,26 +154,42 @@ def repeated_windows(texts: list[bytes], uid: np.ndarray, start: np.ndarray) ->
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix arrays over stretches that arrive in the order of their anchors."""
+    """Suffix arrays over stretches that arrive in the order of their anchors, ids and places; a row
+    without bytes is a window known to be repeated. Single windows of one key, of which there may
+    be any number, are searched part by part, the first of each kind once more in each part."""
     texts: list[bytes] = []
     ids: list[tuple[int, int]] = []
-    held, last = 0, None
+    known: list[tuple[int, int]] = []
+    held, since, last = 0, 0, None
 
     def flush() -> pa.RecordBatch:
-        uid, start = np.array([i for i, _ in ids], np.int64), np.array([s for _, s in ids], np.int64)
-        u, p = repeated_windows(texts, uid, start)
+        pairs = np.array(ids, np.int64).reshape(-1, 2)
+        u, p = repeated_windows(texts, pairs[:, 0], pairs[:, 1]) if texts else (pairs[:, 0], pairs[:, 1])
+        more = np.array(known, np.int64).reshape(-1, 2)
+        known.clear()
+        u, p = np.concatenate([u, more[:, 0]]), np.concatenate([p, more[:, 1]])
         return _ranges(*merged(u, p, p + LENGTH))
 
     for b in batches:
         for key, uid, start, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if key != last and held >= SHARD_BYTES:
+            if key != last:
+                if held >= SHARD_BYTES:
+                    yield flush()
+                    texts, ids, held = [], [], 0
+                since, last = len(texts), key
+            elif held >= SHARD_BYTES and text is not None and len(text) == LENGTH:
                 yield flush()
-                texts, ids, held = [], [], 0
-            last = key
-            texts.append(text)
-            ids.append((uid, start))
-            held += len(text)
-    if texts:
+                first: dict[bytes, tuple[int, int]] = {}
+                for t, i in zip(texts[since:], ids[since:], strict=True):
+                    first.setdefault(t, i)
+                texts, ids, held, since = list(first), list(first.values()), 0, 0
+            held += LENGTH if text is None else len(text)
+            if text is None:
+                known.append((uid, start))
+            else:
+                texts.append(text)
+                ids.append((uid, start))
+    if texts or known:
         yield flush()
 
 
@@ -201,33 +217,56 @@ def covered_ranges(texts: DataFrame) -> DataFrame:
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            rows: list[tuple] = []
+            first: dict[bytes, tuple[int, int]] = {}
+
+            def out() -> pa.RecordBatch:
+                k, u, s, t = zip(*rows, strict=True) if rows else ((),) * 4
+                rows.clear()
+                return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(u, pa.int64()), pa.array(s, pa.int64()), pa.array(t, pa.binary())], ["key", "uid", "start", "bytes"])
+
             for uid, text, want in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 raw = text.encode()
                 for w in want:
                     s, n = w["start"], w["windows"]
                     if not w["hot"]:
-                        rows.append((w["key"], uid, s, raw[s : s + n + LENGTH - 1], None))
+                        rows.append((w["key"], uid, s, raw[s : s + n + LENGTH - 1]))
                         continue
-                    # each window by itself, under two hashes: of its bytes and of its bytes backwards
-                    part, at = np.frombuffer(raw[s : s + n + LENGTH - 1], np.uint8), np.arange(n)
-                    one = range_hash(prefix_hash(part), at, at + LENGTH)
-                    two = range_hash(prefix_hash(part[::-1].copy()), n - 1 - at, n - 1 - at + LENGTH)
-                    rows += zip(one.view(np.int64).tolist(), [uid] * n, (at + s).tolist(), [None] * n, two.view(np.int64).tolist(), strict=True)
-            k, u, s, t, h2 = zip(*rows, strict=True) if rows else ((),) * 5
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(u, pa.int64()), pa.array(s, pa.int64()), pa.array(t, pa.binary()), pa.array(h2, pa.int64())], ["key", "uid", "start", "bytes", "second"])
-
-    gathered = by_uid(texts).join(wanted, "uid").select("uid", "text", "wanted").mapInArrow(gather, "key long, uid long, start long, bytes binary, second long")
-    if seen.where("hot and not again").limit(1).count():
-        single = gathered.where("bytes is null")
-        first = single.groupBy("key", "second").agg(F.min(F.struct("uid", "start")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        later = single.join(first, ["key", "second"]).where("uid <> first.uid or start <> first.start")
-        at_once = at_once.unionByName(later.select("uid", "start", (F.col("start") + LENGTH).alias("end")))
-        gathered = gathered.where("bytes is not null")
-    shards = gathered.select("key", "uid", "start", "bytes").repartition("key").sortWithinPartitions("key")
+                    # each window by itself; of equal ones in the batch all but the first are known to repeat
+                    for p in range(s, s + n):
+                        t, me = raw[p : p + LENGTH], (uid, p)
+                        other = first.setdefault(t, me)
+                        if other != me:
+                            first[t] = min(other, me)
+                            rows.append((mixed_key(max(other, me)), *max(other, me), None))
+                if len(rows) >= HELD // 10:
+                    yield out()
+                if len(first) >= HELD // 10:
+                    rows += windows_of(first)
+                    first.clear()
+            rows += windows_of(first)
+            yield out()
+
+    gathered = by_uid(texts).join(wanted, "uid").select("uid", "text", "wanted").mapInArrow(gather, "key long, uid long, start long, bytes binary")
+    shards = gathered.repartition("key").sortWithinPartitions("key", "uid", "start")
     return at_once.unionByName(shards.mapInArrow(_search, "uid long, start long, end long"))
 
 
+def mixed_key(place: tuple[int, int]) -> int:
+    """A key that spreads places over all tasks."""
+    return int(mix(np.array([place[0] * 31 + place[1]], np.int64).view(np.uint64)).view(np.int64)[0])
+
+
+def windows_of(first: dict[bytes, tuple[int, int]]) -> list[tuple[int, int, int, bytes]]:
+    """Rows of single windows, dealt out by the hash of their own bytes."""
+    if not first:
+        return []
+    data = np.frombuffer(b"".join(first), np.uint8)
+    at = np.arange(0, len(data), LENGTH)
+    keys = range_hash(prefix_hash(data), at, at + LENGTH).view(np.int64).tolist()
+    return [(k, u, p, t) for k, (t, (u, p)) in zip(keys, first.items(), strict=True)]
+
+
 def numbered(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, bool]:
     """(uid, text, and the id) with a unique uid in the order of ids; whether uids are the ids.
 
