@@ -3,9 +3,9 @@
 Training texts become sequences of word numbers (the benchmark's vocabulary; other words
 never match). Each shard, a run of consecutive documents in one task, gets a suffix array over
 the places where a benchmark passage could begin: those whose next few words begin a window of
-the benchmark too (for longest matches: any of its suffixes). Every benchmark suffix is then found in every shard by binary search, which
-gives its longest verbatim match and, for whole windows, all their places. Nothing is
-shuffled; the benchmark travels in blocks of bounded size.
+the benchmark too (for longest matches: any of its suffixes). Every benchmark suffix is then
+found in every shard by binary search, which gives its longest verbatim match and, for whole
+windows, all their places. Nothing is shuffled; the benchmark travels in blocks of bounded size.
 """
 
 from __future__ import annotations
@@ -63,11 +63,16 @@ def _gram(seq: np.ndarray, starts: np.ndarray, k: int) -> np.ndarray:
 def suffix_order(seq: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     """The given places sorted by the `depth` words that follow, by ranks of doubled length.
 
-    Only stretches near the places are ranked, so the work follows their number.
+    Only what follows a place up to its first unknown word (nothing matches beyond), united where
+    such stretches overlap, is ranked, so memory grows with the shard whatever `depth` is.
     """
     if not len(starts):
         return starts
-    near = np.unique(np.minimum(ragged(starts, np.full(len(starts), depth)), len(seq) - 1))
+    unknown = np.append(np.flatnonzero(seq <= 0), len(seq) - 1)
+    end = np.maximum.accumulate(np.minimum(starts + depth, unknown[np.searchsorted(unknown[:-1], starts)] + 1))
+    first = np.flatnonzero(np.concatenate(([True], starts[1:] > end[:-1])))
+    low = starts[first]
+    near = ragged(low, end[np.append(first[1:], len(starts)) - 1] - low)
     rank = np.unique(seq[near], return_inverse=True)[1].astype(np.int64)
     k = 1
     while k < depth:
