@@ -2,19 +2,28 @@
 
 Hosts link to the hosts that their pages' links name. Personalised PageRank from trusted hosts
 along the links gives trust; from blocked hosts against the links it gives distrust (who links
-to bad places is bad). A host is blocked if its share of distrust outweighs its trust. All
-of it is DataFrame work: edges are summed by host pair before ranks move, so a host with many
-pages is no heavier than its distinct neighbours.
+to bad places is bad). A host is blocked if its share of distrust outweighs its trust. Trust
+also passes between a host and its parent domain, lightly; distrust never does, so kinship may
+clear a host but not block it. Edges are summed by host pair before ranks move, so a host with
+many pages is no heavier than its distinct neighbours.
+
+Ranks spread to their limit in supersteps. Hosts are dealt into blocks of bounded size, a site's
+together; in a superstep each block spreads the mass that came to it along its own edges to the
+end, and what leaves the blocks moves in Spark. Which edges count as a block's own changes the
+number of supersteps, not the limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lodestory.llm.shared import cut
+from lodestory.llm.shared import cut, prepare
 
 #: (verdict, host, path): a rule fits its host and all subdomains, and paths that start with its own.
 RULES = (
@@ -29,8 +38,14 @@ DAMPING = 0.85
 TOLERANCE = 1e-6
 #: A host is blocked if distrust is over this many times its trust.
 OUTWEIGHS = 1.0
-#: Lineage is cut after so many rounds: of the power iteration, and of the spread to the end.
-CUT_EVERY, SPREAD_EVERY = 4, 8
+#: Lineage is cut after so many rounds of the power iteration.
+CUT_EVERY = 4
+#: Hosts of a block, about, and the most edges of a host that may be its block's own.
+BLOCK_HOSTS, OWN_EDGES = 50_000, 64
+#: Weight of all edges of one host to its kin; one link weighs 1, and a host without links keeps the rest.
+KIN = 0.1
+#: Sums kept before they are added up.
+MOST_PARTS = 16
 
 
 def _after_scheme(url: Column) -> Column:
@@ -71,39 +86,87 @@ def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html"
 
 
 def parent_edges(hosts: DataFrame) -> DataFrame:
-    """Edges between each host and its parent domain, both ways: hosts of one site share a fate.
-
-    Parents with one label (com, org) are no site.
-    """
+    """src, dst, n: edges between each host and its parent domain, both ways. A host gives KIN to its
+    parent, and a parent KIN to its children together. Parents with one label (com, org) are no site."""
     labels = F.split("host", r"\.")
     parent = F.when(F.size(labels) > 2, F.array_join(F.slice(labels, 2, F.size(labels)), "."))
-    up = hosts.select(F.col("host").alias("src"), parent.alias("dst")).where("dst is not null")
-    return up.unionByName(up.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).withColumn("n", F.lit(1)).distinct()
-
-
-def converged_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    up = hosts.select(F.col("host").alias("src"), parent.alias("dst")).where("dst is not null").distinct()
+    families = up.groupBy("dst").agg((F.lit(KIN) / F.count("*")).alias("n"))
+    down = up.join(families, "dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
+    return up.withColumn("n", F.lit(KIN)).unionByName(down)
+
+
+def with_kin(links: DataFrame, kin: DataFrame) -> DataFrame:
+    """Links and kin edges (src, dst, n); a host with kin and no link keeps what kin does not get."""
+    linked = links.select("src").distinct()
+    rest = kin.select("src").distinct().join(linked, "src", "left_anti")
+    own = rest.select("src", F.col("src").alias("dst"), F.lit(1 - KIN).alias("n"))
+    both = links.withColumn("n", F.col("n").cast("double")).unionByName(kin).unionByName(own)
+    return both.groupBy("src", "dst").agg(F.sum("n").alias("n"))
+
+
+def blocks_of(hosts: DataFrame, size: int) -> DataFrame:
+    """host, block: hosts of one site (the last two labels) together, but those of a site that is
+    larger than a block, which are dealt out one by one."""
+    n = -(-hosts.count() // size)
+    sites = hosts.withColumn("site", F.substring_index("host", ".", -2))
+    large = sites.groupBy("site").agg(F.count("*").alias("n"))
+    key = F.when(F.col("n") > size, F.xxhash64("host")).otherwise(F.xxhash64("site"))
+    return sites.join(large, "site").select("host", F.pmod(key, F.lit(max(1, n))).alias("block"))
+
+
+def _spread(came: pa.Table, edges: pa.Table) -> pa.Table:
+    """All the mass that a block's hosts see when what came spreads along the block's own edges."""
+    if not len(came):
+        return pa.table({"kind": pa.array([], pa.string()), "host": pa.array([], pa.string()), "gain": pa.array([], pa.float64())})
+    names = pa.concat_arrays([c for col in (came["host"], edges["src"], edges["dst"]) for c in col.chunks]).dictionary_encode()
+    at, src, dst = np.split(names.indices.to_numpy(), [len(came), len(came) + len(edges)])
+    n, p = len(names.dictionary), edges["p"].to_numpy()
+    moving = np.bincount(at, came["m"].to_numpy(), n)
+    gain, least = moving.copy(), 1e-12 * moving.sum()
+    while len(p) and moving.sum() > least:
+        moving = np.bincount(dst, moving[src] * p, n)
+        gain += moving
+    some = np.flatnonzero(gain > 0)
+    return pa.table({"kind": pa.array([came["kind"][0].as_py()] * len(some), pa.string()), "host": names.dictionary.take(pa.array(some)), "gain": pa.array(gain[some])})
+
+
+def converged_pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, tolerance: float = TOLERANCE, block_hosts: int = BLOCK_HOSTS) -> DataFrame:
     """kind, host, rank: the limit of personalised_pagerank, for edges and seeds of several kinds at once.
 
     With dead ends returning to the seeds, the limit is the sum over k of what the seeds' mass
-    comes to after k steps along the edges (each damped), made to sum to 1. What is to come after
-    a round is at most damping / (1 - damping) times the mass in motion, so the error is bounded.
+    comes to after k steps along the edges (each damped), made to sum to 1. What a mass may still
+    bring is at most 1 / (1 - damping) times it, so the error is bounded by the tolerance.
     """
+    prepare(edges.sparkSession)
     seeds = seeds.where("weight > 0").groupBy("kind", "host").agg(F.sum("weight").alias("weight"))
     totals = seeds.groupBy("kind").agg(F.sum("weight").alias("total"))  # one row a kind
-    share = F.col("weight") / F.col("total")
-    state = cut(seeds.join(F.broadcast(totals), "kind").select("kind", "host", share.alias("m"), share.alias("rank")))
-    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"))
-    moves = edges.join(out, ["kind", "src"]).select("kind", "src", "dst", (damping * F.col("n") / F.col("total")).alias("p"), F.lit(0.0).alias("keep"))
-    hosts = edges.select("kind", F.col("src").alias("host")).union(edges.select("kind", "dst")).union(state.select("kind", "host")).distinct()
-    # each host also steps to itself with its rank, so that a round reads the state once
-    steps = cut(moves.unionByName(hosts.select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("p"), F.lit(1.0).alias("keep"))))
-    while (state.agg(F.sum("m")).first()[0] or 0.0) * damping / (1 - damping) > tolerance:
-        for _ in range(SPREAD_EVERY):
-            moved = state.withColumnRenamed("host", "src").join(steps, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host"))
-            state = moved.agg(F.sum(F.col("m") * F.col("p")).alias("m"), F.sum(F.col("m") * F.col("p") + F.col("rank") * F.col("keep")).alias("rank"))
-        state = cut(state.where("rank > 0"))
-    sums = state.groupBy("kind").agg(F.sum("rank").alias("total"))  # one row a kind
-    return state.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("rank") / F.col("total")).alias("rank"))
+    start = seeds.join(F.broadcast(totals), "kind").select("kind", "host", (F.col("weight") / F.col("total")).alias("m"))
+    hosts = edges.select(F.col("src").alias("host")).union(edges.select("dst")).union(seeds.select("host")).distinct()
+    placed = cut(blocks_of(cut(hosts), block_hosts))
+    out = edges.groupBy("kind", "src").agg(F.sum("n").alias("total"), F.count("*").alias("many"))
+    moves = edges.join(out, ["kind", "src"]).join(placed.select(F.col("host").alias("src"), "block"), "src").join(placed.select(F.col("host").alias("dst"), F.col("block").alias("to")), "dst")
+    own = (F.col("block") == F.col("to")) & (F.col("many") <= OWN_EDGES)
+    moves = cut(moves.select("kind", "block", "src", "dst", (damping * F.col("n") / F.col("total")).alias("p"), own.alias("own")))
+    inside, across = moves.where("own").drop("own"), moves.where("not own").select("kind", "src", "dst", "p")
+    came = cut(start.join(placed, "host").select("kind", "block", "host", "m"))
+    gains: list[DataFrame] = []
+
+    def total() -> DataFrame:
+        return reduce(DataFrame.unionByName, gains).groupBy("kind", "host").agg(F.sum("gain").alias("gain"))
+
+    while True:
+        gain = cut(came.groupBy("kind", "block").cogroup(inside.groupBy("kind", "block")).applyInArrow(_spread, "kind string, host string, gain double"))
+        gains.append(gain)
+        if len(gains) == MOST_PARTS:
+            gains = [cut(total())]
+        moved = gain.withColumnRenamed("host", "src").join(across, ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg(F.sum(F.col("gain") * F.col("p")).alias("m"))
+        came = cut(moved.join(placed, "host").select("kind", "block", "host", "m"))
+        if (came.agg(F.sum("m")).first()[0] or 0.0) / (1 - damping) <= tolerance:
+            break
+    state = total()
+    sums = state.groupBy("kind").agg(F.sum("gain").alias("total"))  # one row a kind
+    return state.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("gain") / F.col("total")).alias("rank"))
 
 
 def personalised_pagerank(edges: DataFrame, seeds: DataFrame, *, rounds: int | None = None, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
@@ -145,12 +208,11 @@ def judge_urls(pages: DataFrame, *, rules: Sequence[tuple[str, str, str]] = RULE
     rule, verdict = longest_rule(F.col("host"), F.col("path"), rules)
     judged = judged.withColumn("rule", rule).withColumn("by_rule", verdict)
     counts = cut(judged.where("host <> ''").groupBy("host").agg(F.count_if(F.col("by_rule") == "allow").alias("good"), F.count_if(F.col("by_rule") == "block").alias("bad"), F.count("*").alias("pages")))
-    edges = host_edges(pages, url_col=url_col, html_col=html_col).unionByName(parent_edges(counts.select("host")))
-    edges = cut(edges.groupBy("src", "dst").agg(F.sum("n").alias("n")))
-    back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    both = edges.withColumn("kind", F.lit("trust")).unionByName(back.withColumn("kind", F.lit("distrust")))
+    links = cut(host_edges(pages, url_col=url_col, html_col=html_col))
+    back = links.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("n").cast("double"))
+    both = cut(with_kin(links, parent_edges(counts.select("host"))).withColumn("kind", F.lit("trust")).unionByName(back.withColumn("kind", F.lit("distrust"))))
     seeds = counts.select(F.lit("trust").alias("kind"), "host", F.col("good").alias("weight")).unionByName(counts.select(F.lit("distrust").alias("kind"), "host", F.col("bad").alias("weight")))
-    rank = converged_pagerank(both, seeds)
+    rank = cut(converged_pagerank(both, seeds))
     trust, distrust = (rank.where(F.col("kind") == k).select("host", "rank") for k in ("trust", "distrust"))
     hosts = counts.select("host").join(trust.withColumnRenamed("rank", "trust"), "host", "left").join(distrust.withColumnRenamed("rank", "distrust"), "host", "left").na.fill(0.0, ["trust", "distrust"])
     spread = F.when(F.coalesce(F.col("distrust") > outweighs * F.col("trust"), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
