@@ -12,11 +12,21 @@ from lodestory.storage import scratch
 from lodestory.streaming import streams as R
 
 
-def replay(x: Fixtures, df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """A table as a stream of files in order of time."""
+def replay(x: Fixtures, df: DataFrame, order: str, batches: int = 4, cuts: list | None = None) -> DataFrame:
+    """A table as a stream that arrives in the order of a column, in so many micro-batches.
+
+    The cuts, or else the column's quantiles, part the rows; each part lands as one file after the part
+    before, so the file source, which reads by time of change, takes them one by one.
+    """
     path = scratch(x.spark)
-    df.repartitionByRange(files, order).sortWithinPartitions(order).write.parquet(path)
-    return R.read_stream(x.spark, path, files=files)
+    at = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order)
+    cuts = cuts or df.agg(F.percentile_approx(at, [(k + 1) / batches for k in range(batches - 1)])).first()[0] or []
+    edges = [None, *sorted(set(cuts)), None]
+    for low, high in zip(edges, edges[1:], strict=False):
+        part = df if low is None else df.where(at > low)
+        part = part if high is None else part.where(at <= high)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return R.read_stream(x.spark, path, files=1)
 
 
 @query("K1_stream_dedup_url_title", "SELECT DISTINCT source_url FROM articles")
@@ -49,9 +59,12 @@ def _(x):
 @query("K5_stream_run_gaps", "SELECT count(*) AS runs, sum(new) AS spans FROM (SELECT CASE WHEN lag(ran_at) OVER (ORDER BY ran_at) IS NULL OR epoch_us(ran_at) - epoch_us(lag(ran_at) OVER (ORDER BY ran_at)) >= 4 * 3600000000 THEN 1 ELSE 0 END AS new FROM pipeline_runs)")
 def _(x):
     path = scratch(x.spark)
-    spans = R.active_spans(replay(x, x.pipeline_runs().withColumn("job", F.lit("refresh")), "ran_at", 1), "job", "ran_at")
-    R.run_batches(spans, lambda b, _: b.write.mode("append").parquet(path), "complete")
-    return x.spark.read.parquet(path).agg(F.sum("count").alias("runs"), F.count("*").alias("spans"))
+    spans = R.active_spans(replay(x, x.pipeline_runs().withColumn("job", F.lit("refresh")), "ran_at"), "job", "ran_at")
+    # complete mode gives all spans with each batch; the last batch has them all
+    R.run_batches(spans, lambda b, k: b.withColumn("k", F.lit(k)).write.mode("append").parquet(path), "complete")
+    done = x.spark.read.parquet(path)
+    last = done.groupBy().agg(F.max("k").alias("k"))  # one row
+    return done.join(F.broadcast(last), "k").agg(F.sum("count").alias("runs"), F.count("*").alias("spans"))
 
 
 @query("K6_stream_rolling_top", "SELECT until, user_id, total FROM (SELECT d AS until, user_id, round(sum(value), 4) AS total FROM events, range(0, 60) r(k), LATERAL (SELECT DATE '2024-01-01' + CAST(k AS INT) AS d) WHERE CAST(ts AS DATE) < d AND CAST(ts AS DATE) >= d - 7 GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY until ORDER BY total DESC, user_id) <= 3")
@@ -78,7 +91,11 @@ def _(x):
     return R.run_to_end(R.time_join(replay(x, a, "at"), replay(x, a, "at"), "source_url"))
 
 
-@query("K9_stream_late_backfill", "SELECT id, false AS late FROM articles")
+@query("K9_stream_late_backfill", """SELECT id, coalesce(published_at < seen - INTERVAL 48 HOURS, false) AS late FROM landed LEFT JOIN (
+    SELECT k, max(newest) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT k, max(published_at) AS newest FROM landed GROUP BY 1)) USING (k)""",
+    landed="SELECT id, published_at, CASE WHEN id * 37 % 101 <= 25 THEN 0 WHEN id * 37 % 101 <= 50 THEN 1 WHEN id * 37 % 101 <= 75 THEN 2 ELSE 3 END AS k FROM articles",
+)
 def _(x):
-    rows = replay(x, x.articles().select("id", "published_at"), "published_at")
-    return R.late_split(rows, scratch(x.spark), "published_at").select("id", "late")
+    """Articles land in an order other than that of their times, so many come late."""
+    a = x.articles().select("id", "published_at", (F.col("id") * 37 % 101).alias("landing"))
+    return R.late_split(replay(x, a, "landing", cuts=[25, 50, 75]), scratch(x.spark), "published_at").select("id", "late")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import time
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -90,6 +88,7 @@ class VersionedTable:
         self._root = jvm.org.apache.hadoop.fs.Path(self.path)
         self._fs = self._root.getFileSystem(spark._jsc.hadoopConfiguration())
         self._at = jvm.org.apache.hadoop.fs.Path
+        self.last = 0
 
     def versions(self) -> list[str]:
         if not self._fs.exists(self._root):
@@ -97,10 +96,23 @@ class VersionedTable:
         found = [s.getPath().getName() for s in self._fs.listStatus(self._root)]
         return sorted(v for v in found if v.startswith("v") and self._fs.exists(self._at(f"{self.path}/{v}/_SUCCESS")))
 
-    def read(self) -> DataFrame | None:
-        v = self.versions()
+    def read(self, before: int | None = None) -> DataFrame | None:
+        """The newest version (of a number under `before`), or None."""
+        v = [x for x in self.versions() if before is None or int(x[1:]) < before]
+        self.last = int(v[-1][1:]) if v else 0
         return self.spark.read.parquet(f"{self.path}/{v[-1]}") if v else None
 
-    def write(self, df: DataFrame) -> None:
-        """Write a whole new version beside the old one; readers see it when it is complete."""
-        df.write.parquet(f"{self.path}/v{time.time_ns():020d}")
+    def write(self, df: DataFrame, version: int | None = None) -> None:
+        """Write a whole new version beside the old one; readers see it when it is complete.
+
+        Versions are numbered: the next one is that after the version read last, and if another
+        writer has taken that number the write fails rather than hide the other's rows. A caller
+        that numbers its versions itself (a micro-batch) may write the same one again after a
+        crash: a complete one stays as it is, an incomplete one is replaced.
+        """
+        number = self.last + 1 if version is None else version
+        name = f"v{number:020d}"
+        if version is not None and name in self.versions():
+            return
+        df.write.mode("errorifexists" if version is None else "overwrite").parquet(f"{self.path}/{name}")
+        self.last = number

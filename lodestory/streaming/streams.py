@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lodestory.operators.prices import FIELDS, _value, step
+from lodestory.operators.prices import EVENT, FIELDS, _value, event_frame, event_row, sample_columns, step
 from lodestory.sources.sinks import VersionedTable, upsert
 from lodestory.storage import scratch
 
@@ -43,28 +43,29 @@ def dedup(stream: DataFrame, keys: list[str], at: str, days: int = 7) -> DataFra
 
 
 def debounced(stream: DataFrame) -> DataFrame:
-    """Confirmed price events; state per model: stored and pending values."""
+    """Confirmed price events; state per model: stored values and pending candidates."""
+    names = sample_columns(stream)
+    prices = [f for f in FIELDS if f in names]
+    kinds = {f: "string" if f in ("floor_provider", "floor_quant") else "double" for f in names}
+    state_schema = ", ".join([*(f"{f} {kinds[f]}" for f in names), *(f"wait_{f} boolean, next_{f} double" for f in prices)])
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         stored, pending = {}, None
         if state.exists:
             values = list(state.get)
-            stored = dict(zip(FIELDS, map(_value, values[:2]), strict=True))
-            waits = dict(zip(FIELDS, values[2:4], strict=True))
-            held = dict(zip(FIELDS, map(_value, values[4:6]), strict=True))
-            pending = {f: held[f] for f in FIELDS if waits[f]}
+            stored = dict(zip(names, map(_value, values), strict=False))
+            rest = values[len(names) :]
+            pending = {f: _value(rest[2 * k + 1]) for k, f in enumerate(prices) if rest[2 * k]}
         out = []
         rows = pd.concat(list(frames)).sort_values("sample_ts")
-        for ts, *fresh in rows[["sample_ts", *FIELDS]].itertuples(index=False):
-            events, stored, pending = step(stored, dict(zip(FIELDS, map(_value, fresh), strict=True)), pending)
-            out += [(key[0], ts, e["price_scope"], e["old_value"], e["new_value"]) for e in events]
-        state.update((*[stored.get(f) for f in FIELDS], *[f in pending for f in FIELDS], *[pending.get(f) for f in FIELDS]))
-        yield pd.DataFrame(out, columns=["model_id", "sample_ts", "price_scope", "old_value", "new_value"])
+        for ts, *fresh in rows[["sample_ts", *names]].itertuples(index=False):
+            events, stored, pending = step(stored, dict(zip(names, map(_value, fresh), strict=True)), pending)
+            out += [event_row(key[0], ts, e, stored) for e in events]
+        waits = [x for f in prices for x in (f in pending, pending.get(f))]
+        state.update((*[stored.get(f) for f in names], *waits))
+        yield event_frame(out)
 
-    return stream.groupBy("model_id").applyInPandasWithState(
-        fold, "model_id long, sample_ts timestamp, price_scope string, old_value double, new_value double",
-        "v double, f double, wait_v boolean, wait_f boolean, next_v double, next_f double", "append", GroupStateTimeout.NoTimeout,
-    )
+    return stream.groupBy("model_id").applyInPandasWithState(fold, EVENT, state_schema, "append", GroupStateTimeout.NoTimeout)
 
 
 def gated(stream: DataFrame, key: str, at: str, hours: int = 20) -> DataFrame:
@@ -104,13 +105,14 @@ def rolling_top(stream: DataFrame, key: str, value: str, at: str) -> DataFrame:
 
 
 def upsert_batches(stream: DataFrame, path: str, key: str, *, order: str, overwrite: list[str], keep: list[str]) -> VersionedTable:
-    """Each micro-batch's newest row per key is merged into the next version of a table."""
+    """Each micro-batch's newest row per key is merged into the next version of a table, numbered
+    by the batch, so a batch that runs again after a crash changes nothing twice."""
     table = VersionedTable(stream.sparkSession, path)
 
-    def merge(batch: DataFrame, _: int) -> None:
+    def merge(batch: DataFrame, k: int) -> None:
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*overwrite, *keep), order).alias("s")).select(key, "s.*")
-        stored = table.read()
-        table.write(newest if stored is None else upsert(stored, newest, key, overwrite=overwrite, keep=keep).select(newest.columns))
+        stored = table.read(before=k + 1)
+        table.write(newest if stored is None else upsert(stored, newest, key, overwrite=overwrite, keep=keep).select(newest.columns), version=k + 1)
 
     run_batches(stream, merge, "append")
     return table
