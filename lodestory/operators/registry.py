@@ -23,7 +23,7 @@ def percentiles(scores: DataFrame) -> DataFrame:
 
 def bucket_scores(pct: DataFrame, buckets: DataFrame) -> DataFrame:
     """model_id, bucket, score: the mean percentile over a bucket's benchmarks that a model has."""
-    return pct.join(F.broadcast(buckets), "benchmark").groupBy("model_id", "bucket").agg(S.half_up(F.avg("pct")).alias("score"))
+    return pct.join(buckets, "benchmark").groupBy("model_id", "bucket").agg(S.half_up(F.avg("pct")).alias("score"))
 
 
 def overall(buckets: DataFrame) -> DataFrame:
@@ -105,16 +105,17 @@ def alias_index(models: DataFrame) -> DataFrame:
 def match_models(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, model_id: texts that name a model between version borders, or run together (five letters
     or more, no digit after). Aliases are dealt by their first word to the texts that hold it (or
-    whose run-together text may), so only such pairs are tested."""
+    whose run-together text may); texts join the pairs that are left, so a word or a gram moves
+    without its text and only such pairs are tested."""
     low = F.trim(F.regexp_replace(F.lower(text_col), r"\s+", " "))
     t = texts.select(F.col(id_col).alias("id"), low.alias("low"), F.regexp_replace(F.lower(text_col), r"[^a-z0-9]", "").alias("run"))
     a = aliases.select("alias", "model_id", F.regexp_replace("alias", r"[^a-z0-9]", "").alias("tight"))
     word = F.regexp_extract("alias", r"[a-z0-9]+", 0)
-    tokens = t.select("id", "low", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"([a-z0-9]+)")))).alias("w"))
+    tokens = t.select("id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"([a-z0-9]+)")))).alias("w"))
     escaped = F.regexp_replace("alias", r"([^\w\s])", r"\\$1")
-    by_word = tokens.join(a.withColumn("w", word), "w").where(F.regexp_like(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])"), escaped, F.lit(r"(?![a-z0-9.\-])")))).select("id", "model_id")
+    by_word = tokens.join(a.withColumn("w", word), "w").drop("w").join(t.select("id", "low").distinct(), "id").where(F.regexp_like(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])"), escaped, F.lit(r"(?![a-z0-9.\-])")))).select("id", "model_id")
     # run-together hits: every five letters of the text against the first five of the alias
-    grams = t.select("id", "run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("run") - 4)), lambda i: F.substring(F.col("run"), i, F.lit(5))))).alias("g"))
+    grams = t.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("run") - 4)), lambda i: F.substring(F.col("run"), i, F.lit(5))))).alias("g"))
     tight = a.where(F.length("tight") >= 5).withColumn("g", F.substring("tight", 1, 5))
-    by_run = grams.join(tight, "g").where(F.regexp_like(F.col("run"), F.concat(F.col("tight"), F.lit(r"(?![0-9])")))).select("id", "model_id")
+    by_run = grams.join(tight, "g").drop("g").join(t.select("id", "run").distinct(), "id").where(F.regexp_like(F.col("run"), F.concat(F.col("tight"), F.lit(r"(?![0-9])")))).select("id", "model_id")
     return by_word.unionByName(by_run).distinct()

@@ -4,40 +4,106 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestory.functions import scalars as S
 from lodestory.operators.graph import connected_components
+from lodestory.shipping import ship
+from lodestory.storage import cut
 
+#: Vectors of one side of a block; a crowded window is split into blocks of about so many.
+BLOCK_ROWS = 2048
 
-def _with_norm(df: DataFrame) -> DataFrame:
-    return df.withColumn("_n", S.norm(F.col("vector")))
 
+def _blocked(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Two frames in blocks of bounded size: each block of one side meets each of the other with
+    the same keys in one group. Counts per key are summed before they move."""
+    of = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    sizes = of(left, "_nl").join(of(right, "_nr"), keys)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    a = left.join(sizes, keys).withColumn("_l", mine("_nl")).withColumn("_r", every("_nr")).drop("_nl", "_nr")
+    b = right.join(sizes, keys).withColumn("_r", mine("_nr")).withColumn("_l", every("_nl")).drop("_nl", "_nr")
+    # both sides may be one frame: the second gets columns of its own
+    return a, b.select(*[F.col(c).alias(c) for c in b.columns]), [*keys, "_l", "_r"]
 
-def time_pairs(left: DataFrame, right: DataFrame, hours: int, keep: list[str]) -> DataFrame:
-    """Rows of two frames (id, t micros, vector, ...) at most `hours` apart, ids different.
 
-    Time is cut into buckets of that width; one side stands in its own bucket and both neighbours,
-    so the join is by equality with a rest condition, never a nested loop.
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    flat = pa.concat_arrays(col.chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return flat.reshape(len(col), -1)
+
+
+def _fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Row by row products summed from the first place on, so that equal vectors give equal sums."""
+    out = np.zeros(len(x))
+    for p in range(x.shape[1]):
+        out += x[:, p] * y[:, p]
+    return out
+
+
+def time_pairs(left: DataFrame, right: DataFrame, hours: int, keep: list[str], *, below: str | float, k: int | None = None) -> DataFrame:
+    """id, id_2, d, and `keep` of both sides (id, t micros, vector, ...) for rows at most `hours` apart with different
+    ids whose cosine distance is under `below` (a number, or a column of the left side); with k,
+    at least the k nearest of each left row.
+
+    Time is cut into buckets of that width; one side stands in its own bucket and both neighbours.
+    Blocks of bounded size meet in numpy, so no pair leaves a task but those under the limit.
+    Vectors without length have no distance.
     """
+    ship(left.sparkSession)
     width = hours * 3_600_000_000
-    a = _with_norm(left).withColumn("_b", F.explode(F.array(*[F.floor(F.col("t") / width) + o for o in (-1, 0, 1)])))
-    b = _with_norm(right).select(F.floor(F.col("t") / width).alias("_b"), *[F.col(c).alias(f"{c}_2") for c in ("id", "t", "vector", "_n", *keep)])
-    near = a.join(b, "_b").where((F.col("id") != F.col("id_2")) & (F.abs(F.col("t") - F.col("t_2")) <= width))
-    d = 1 - S.dot(F.col("vector"), F.col("vector_2")) / (F.col("_n") * F.col("_n_2"))
-    return near.withColumn("d", F.when((F.col("_n") >= 1e-9) & (F.col("_n_2") >= 1e-9), d)).drop("_b", "vector", "vector_2", "_n", "_n_2")
+    a = left.select("id", "t", "vector", (F.lit(float(below)) if isinstance(below, (int, float)) else F.col(below)).alias("_below"), *keep)
+    a = a.withColumn("_b", F.explode(F.array(*[F.floor(F.col("t") / width) + o for o in (-1, 0, 1)])))
+    b = right.select("id", "t", "vector", *keep).withColumn("_b", F.floor(F.col("t") / width))
+    a, b, keys = _blocked(a, b, ["_b"])
+    kinds = dict(left.dtypes)
+    schema = f"id {kinds['id']}, id_2 {kinds['id']}, d double" + "".join(f", {c} {kinds[c]}, {c}_2 {kinds[c]}" for c in keep)
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        i = j = np.zeros(0, np.int64)
+        d = np.zeros(0)
+        if len(x) and len(y):
+            v, w = _matrix(x["vector"]), _matrix(y["vector"])
+            n, m = np.sqrt(_fold(v, v)), np.sqrt(_fold(w, w))
+            limit = x["_below"].to_numpy()
+            with np.errstate(divide="ignore", invalid="ignore"):
+                rough = 1 - (v / n[:, None]) @ (w / m[:, None]).T
+            i, j = np.nonzero(rough < limit[:, None] + 1e-9)
+            ids, ids_2 = x["id"].combine_chunks(), y["id"].combine_chunks()
+            near = np.abs(x["t"].to_numpy()[i] - y["t"].to_numpy()[j]) <= width
+            near &= (n[i] >= 1e-9) & (m[j] >= 1e-9) & pc.not_equal(ids.take(pa.array(i)), ids_2.take(pa.array(j))).to_numpy(zero_copy_only=False)
+            i, j = i[near], j[near]
+            d = 1 - _fold(v[i], w[j]) / (n[i] * m[j])
+            under = d < limit[i]
+            i, j, d = i[under], j[under], d[under]
+            if k is not None and len(i):
+                place = np.empty(len(ids_2), np.int64)
+                place[pc.sort_indices(ids_2).to_numpy()] = np.arange(len(ids_2))
+                order = np.lexsort((place[j], d, i))
+                i, j, d = i[order], j[order], d[order]
+                first = np.searchsorted(i, i)
+                best = np.arange(len(i)) - first < k
+                i, j, d = i[best], j[best], d[best]
+        at, at_2 = pa.array(i), pa.array(j)
+        cols = {"id": x["id"].take(at), "id_2": y["id"].take(at_2), "d": pa.array(d)}
+        for c in keep:
+            cols |= {c: x[c].take(at), f"{c}_2": y[c].take(at_2)}
+        return pa.table(cols)
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, schema)
 
 
 def timed(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("t", F.unix_micros("published_at"))
 
 
-def knn_window(vectors: DataFrame, threshold: Column, *, hours: int = 48, k: int = 10) -> DataFrame:
-    """id, other, d, rank: for each article the k nearest others within the time window whose cosine
-    distance is under the article's own threshold."""
+def knn_window(vectors: DataFrame, threshold: Column, *, hours: int = 48, k: int = 10, among: DataFrame | None = None) -> DataFrame:
+    """id, other, d, rank: for each article the k nearest others (of `among`, or of the same table)
+    within the time window whose cosine distance is under the article's own threshold."""
     v = timed(vectors).withColumn("_thr", threshold).select("id", "t", "vector", "_thr")
-    near = time_pairs(v, v.drop("_thr"), hours, []).where(F.col("d") < F.col("_thr"))
+    near = time_pairs(v, v if among is None else timed(among), hours, [], below="_thr", k=k)
     rank = F.row_number().over(Window.partitionBy("id").orderBy("d", "id_2"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).select("id", F.col("id_2").alias("other"), "d", "rank")
 
@@ -57,18 +123,25 @@ def story_points(vectors: DataFrame, paper_prefix: str) -> DataFrame:
 
 def close_pairs(points: DataFrame, *, news: float, paper: float, hours: int = 48) -> DataFrame:
     """a < b, d: stories in the window under the threshold, which is stricter for two paper stories."""
-    pairs = time_pairs(points, points, hours, ["paper"]).where("id < id_2")
+    pairs = time_pairs(points, points, hours, ["paper"], below=max(news, paper)).where("id < id_2")
     threshold = F.when(F.col("paper") & F.col("paper_2"), paper).otherwise(news)
     return pairs.where(F.col("d") < threshold).select(F.col("id").alias("a"), F.col("id_2").alias("b"), "d")
 
 
 def ambiguous_pairs(points: DataFrame, *, low: float, high: float, hours: int = 48, most: int = 60) -> DataFrame:
     """The closest pairs in [low, high) without papers, for an outside judge."""
-    pairs = time_pairs(points.where(~F.col("paper")), points.where(~F.col("paper")), hours, []).where("id < id_2")
-    band = pairs.where((F.col("d") >= low) & (F.col("d") < high)).select(F.col("id").alias("a"), F.col("id_2").alias("b"), "d")
+    pairs = time_pairs(points.where(~F.col("paper")), points.where(~F.col("paper")), hours, [], below=high).where("id < id_2")
+    band = pairs.where(F.col("d") >= low).select(F.col("id").alias("a"), F.col("id_2").alias("b"), "d")
     return band.orderBy("d", "a", "b").limit(most)
 
 
+def merge_with_verdicts(points: DataFrame, close: DataFrame, pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """old, new: stories merged along the close pairs and along the ambiguous pairs (a, b) that an outside judge
+    found the same; a pair without a verdict merges nothing."""
+    same = apply_verdicts(pairs, verdicts).where("same")
+    return merge_stories(points, close.select("a", "b").unionByName(same.select("a", "b")))
+
+
 def apply_verdicts(pairs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Judged pairs; without a verdict they are not the same."""
     return pairs.join(verdicts, ["a", "b"], "left").withColumn("same", F.coalesce("same", F.lit(False)))
@@ -85,61 +158,101 @@ def merge_stories(points: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def greedy_cluster(vectors: DataFrame, threshold: Column, *, hours: int = 48, k: int = 10) -> DataFrame:
     """id, story: oldest first, each article joins the first story among its nearest neighbours' whose
-    centroid is under the article's threshold, or starts one (named by its first member).
+    centroid is under the article's threshold, or starts one (named by its first member)."""
+    none = vectors.withColumn("story", F.lit(None).cast("string"))
+    return assign_stories(none, threshold, hours=hours, k=k).withColumn("story", F.col("story").cast("long"))
 
-    An article looks only at its neighbours' stories, so components of the neighbour graph are
-    independent: each is replayed in order in one task. Components are as large as stories that
-    touch; a threshold so loose that one swallows a great part of the data does not suit this rule.
+
+def assign_stories(vectors: DataFrame, threshold: Column, *, hours: int = 48, k: int = 10) -> DataFrame:
+    """id, story of the articles whose `story` is null, by the greedy rule; those that have one keep it,
+    and their stories, with the centroid of all their members, may be joined.
+
+    An article looks only at its neighbours' stories, so components of the graph of articles and
+    stories are independent: each is replayed in order in one task. Components are as large as
+    stories that touch; a threshold so loose that one swallows a great part of the data does not
+    suit this rule. New stories are named by the id of their first member.
     """
-    near = knn_window(vectors, threshold, hours=hours, k=k)
-    groups = connected_components(near.select(F.col("id").alias("a"), F.col("other").alias("b")))
-    lists = near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other"))), lambda s: s["other"]).alias("near"))
-    rows = vectors.select("id", "published_at", "vector", threshold.alias("thr")).join(lists, "id", "left").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    alone = rows.where("label is null").select("id", F.col("id").alias("story"))
+    ship(vectors.sparkSession)
+    fresh = vectors.where("story is null").drop("story")
+    near = knn_window(fresh, threshold, hours=hours, k=k, among=vectors)
+    homes = vectors.select(F.col("id").alias("other"), "story")
+    near = cut(near.join(homes, "other", "left").select("id", "other", "rank", "story"))
+    mine, theirs = F.concat(F.lit("a"), "id"), F.coalesce(F.concat(F.lit("s"), "story"), F.concat(F.lit("a"), "other"))
+    groups = cut(connected_components(near.select(mine.alias("a"), theirs.alias("b"))))
+    lists = near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other", "story"))), lambda s: F.struct(s["other"].alias("other"), s["story"].alias("story"))).alias("near"))
+    rows = fresh.select("id", "published_at", "vector", threshold.alias("thr"), mine.alias("node")).join(lists, "id", "left").join(groups, "node", "left")
+    alone = rows.where("label is null").select("id", F.col("id").cast("string").alias("story"))
+    # stories that may be joined: the sum of all their members
+    met = near.where("story is not null").select("story").distinct()
+    kept = vectors.join(met, "story", "left_semi")
+    size = kept.groupBy("story").agg(F.count("*").alias("n"))
+    stories = centroids(kept, "story").join(size, "story").withColumn("vector", F.transform("vector", lambda v: v * F.col("n")))
+    stories = stories.withColumn("node", F.concat(F.lit("s"), "story")).join(groups, "node")
+    article = rows.where("label is not null").select("label", "id", "published_at", F.transform("vector", lambda v: v.cast("double")).alias("vector"), "thr", "near", F.lit(None).cast("string").alias("story"))
+    story = stories.select("label", F.lit(None).cast("long").alias("id"), F.lit(None).cast("timestamp").alias("published_at"), "vector", F.lit(None).cast("double").alias("thr"), F.lit(None).cast(article.schema["near"].dataType).alias("near"), "story")
 
     def replay(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["published_at", "id"])
-        vec = {i: np.asarray(v, np.float64) for i, v in zip(df["id"], df["vector"], strict=True)}
-        story: dict[int, int] = {}
-        sums: dict[int, np.ndarray] = {}
-        for i, thr, near in zip(df["id"], df["thr"], df["near"], strict=True):
-            v, home, tried = vec[i], i, set()
+        fixed = df["story"].notna()
+        sums = {s: np.asarray(v, np.float64) for s, v in zip(df["story"][fixed], df["vector"][fixed], strict=True)}
+        df = df[~fixed].sort_values(["published_at", "id"])
+        home_of: dict[int, str] = {}
+        for i, thr, v, near in zip(df["id"], df["thr"], df["vector"], df["near"], strict=True):
+            i, v, home, tried = int(i), np.asarray(v, np.float64), str(int(i)), set()
             for other in near if near is not None else ():
-                s = story.get(other)
+                s = other["story"] or home_of.get(other["other"])
                 if s is None or s in tried:
                     continue
                 tried.add(s)
-                c = sums[s]
-                n = np.linalg.norm(c) * np.linalg.norm(v)
-                if n >= 1e-9 and 1 - c @ v / n < thr:
+                n = np.linalg.norm(sums[s]) * np.linalg.norm(v)
+                if n >= 1e-9 and 1 - sums[s] @ v / n < thr:
                     home = s
                     break
-            story[i] = home
+            home_of[i] = home
             sums[home] = sums[home] + v if home in sums else v.copy()
-        return pd.DataFrame({"id": list(story), "story": list(story.values())})
+        return pd.DataFrame({"id": list(home_of), "story": list(home_of.values())})
 
-    grouped = rows.where("label is not null").groupBy("label").applyInPandas(replay, "id long, story long")
+    grouped = article.unionByName(story).groupBy("label").applyInPandas(replay, "id long, story string")
     return alone.unionByName(grouped)
 
 
 def intra_max(vectors: DataFrame, key: str = "cluster_id") -> DataFrame:
-    """The largest distance between two members of each story of two or more."""
-    v = _with_norm(vectors.where(F.col(key).isNotNull()).select(key, "id", "vector"))
-    w = v.select(F.col(key).alias("_k"), F.col("id").alias("_i"), F.col("vector").alias("_v"), F.col("_n").alias("_m"))
-    pairs = v.join(w, (v[key] == w["_k"]) & (v["id"] < w["_i"]))
-    return pairs.groupBy(key).agg(F.max(1 - S.dot(F.col("vector"), F.col("_v")) / (F.col("_n") * F.col("_m"))).alias("max_d"))
+    """The largest distance between two members of each story of two or more.
+
+    Members meet in blocks of bounded size; a pair of blocks gives one row. Members without length
+    have no distance; a story of such alone has a null.
+    """
+    ship(vectors.sparkSession)
+    v = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), "id", "vector")
+    a, b, keys = _blocked(v, v, ["_k"])
+    a, b = a.where("_l <= _r"), b.where("_l <= _r")
+    kind = dict(vectors.dtypes)[key]
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        best, pairs = None, 0
+        if len(x) and len(y):
+            v, w = _matrix(x["vector"]), _matrix(y["vector"])
+            n, m = np.sqrt(_fold(v, v)), np.sqrt(_fold(w, w))
+            pairs = len(v) * len(w) - len(v) if x["_l"][0].as_py() == x["_r"][0].as_py() else len(v) * len(w)
+            v, n, w, m = v[n > 0], n[n > 0], w[m > 0], m[m > 0]
+            if len(v) and len(w):
+                rough = (v / n[:, None]) @ (w / m[:, None]).T
+                i, j = np.nonzero(rough <= rough.min() + 1e-9)
+                best = float((1 - _fold(v[i], w[j]) / (n[i] * m[j])).max())
+        keep = pairs > 0
+        return pa.table({"_k": x["_k"][:1] if keep else x["_k"][:0], "max_d": pa.array([best] if keep else [], pa.float64())})
+
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, f"_k {kind}, max_d double")
+    return found.groupBy(F.col("_k").alias(key)).agg(F.max("max_d").alias("max_d"))
 
 
 def missed_merges(vectors: DataFrame, *, threshold: float, hours: int = 48) -> DataFrame:
     """a, b, d: the nearest pair of articles of two different stories, under the threshold, once per
     pair of stories."""
     v = timed(vectors.where("cluster_id is not null")).select("id", "t", "vector", "cluster_id")
-    near = time_pairs(v, v, hours, ["cluster_id"]).where((F.col("cluster_id") < F.col("cluster_id_2")) & (F.col("d") < threshold))
+    near = time_pairs(v, v, hours, ["cluster_id"], below=threshold).where(F.col("cluster_id") < F.col("cluster_id_2"))
     return near.groupBy(F.col("cluster_id").alias("a"), F.col("cluster_id_2").alias("b")).agg(F.min("d").alias("d"))
 
 
 def compare_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     """old story, members, parts: into how many new stories each old one is split (1: kept whole)."""
     return old.join(new, "id").groupBy("old").agg(F.count("*").alias("members"), F.count_distinct("story").alias("parts"))
-
-

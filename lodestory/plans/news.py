@@ -465,11 +465,19 @@ def snapshot(articles: DataFrame) -> DataFrame:
 
 @query("A22_export_label_sheet")
 def _(x):
+    """At most 100 stories to label, those of several articles first, then single ones in the order of a
+    hash; with the titles of their members, joined by a double bar, and an empty label."""
     c = x.clusters()
     many = T.top_k(c.where("article_count >= 2"), 100, *order())
     few = T.top_k(c.where("article_count < 2"), 100, F.xxhash64("id", F.lit(7)))
     both = many.withColumn("part", F.lit(0)).unionByName(few.withColumn("part", F.lit(1)))
-    return T.top_k(both, 100, F.col("part"), F.col("significance_score").desc(), F.col("id")).select("id", "headline", "article_count")
+    sheet = T.top_k(both, 100, F.col("part"), F.col("significance_score").desc(), F.col("id"))
+    # titles of the members of at most 100 stories
+    members = x.articles().join(sheet.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
+    titles = members.groupBy("cluster_id").agg(F.array_sort(F.collect_list(F.struct("id", "title"))).alias("t"))
+    line = F.array_join(F.transform("t", lambda m: m["title"]), " || ")
+    out = sheet.join(titles, sheet["id"] == titles["cluster_id"])
+    return out.select("id", F.col("significance_score").alias("score"), "article_count", "headline", line.alias("member_titles"), F.lit("").alias("label"))
 
 
 @query("M1_top_stories", "SELECT c.id, headline, category, significance_score, article_count, b.article_id, b.source_name FROM clusters c LEFT JOIN best b ON b.cluster_id = c.id WHERE first_published_at >= AS_OF - INTERVAL 30 DAY ORDER BY significance_score DESC, first_published_at DESC, c.id LIMIT 6", best=BEST_SQL)
@@ -563,10 +571,12 @@ def _(x):
     return story_days(c.join(a, c["id"] == a["cluster_id"], "left_semi")).select("d", "n", F.lag("d").over(line).alias("before"), F.lead("d").over(line).alias("after"))
 
 
-@query("M19_index_candidates", f"SELECT id, first_published_at FROM clusters WHERE first_published_at >= AS_OF - INTERVAL 370 DAY AND (article_count >= 2 OR significance_score >= 6) ORDER BY first_published_at DESC, id LIMIT 3000")
+@query("M19_index_candidates", f"SELECT 'model' AS part, slug AS key, CAST(released_at AS TIMESTAMP) AS at FROM models UNION ALL SELECT * FROM (SELECT 'story', id, first_published_at FROM clusters WHERE first_published_at >= AS_OF - INTERVAL 370 DAY AND (article_count >= 2 OR significance_score >= 6) ORDER BY first_published_at DESC, id LIMIT 3000)")
 def _(x):
     c = T.recent(x.clusters(), "first_published_at", as_of(), 370).where("article_count >= 2 or significance_score >= 6")
-    return T.top_k(c, 3000, F.col("first_published_at").desc(), F.col("id")).select("id", "first_published_at")
+    stories = T.top_k(c, 3000, F.col("first_published_at").desc(), F.col("id")).select(F.lit("story").alias("part"), F.col("id").alias("key"), F.col("first_published_at").alias("at"))
+    models = x.models().select(F.lit("model").alias("part"), F.col("slug").alias("key"), F.col("released_at").cast("timestamp").alias("at"))
+    return models.unionByName(stories)
 
 
 @query("M25_pending_scoring_batches", """SELECT id, (r - 1) // 10 AS batch, CASE WHEN id % 4 <> 0 THEN least(10, greatest(1, id % 14 - 1)) END AS impact FROM (SELECT id, row_number() OVER (ORDER BY published_at DESC, id) AS r FROM articles WHERE impact IS NULL)
@@ -578,9 +588,16 @@ def _(x):
 
 
 def scoring_batches(pending: DataFrame, verdicts: DataFrame, size: int = 10) -> DataFrame:
-    """Numbered groups of pending rows, with a rater's verdicts clamped to 1..10; none stays null."""
-    batch = F.floor((F.row_number().over(Window.orderBy(F.col("published_at").desc(), "id")) - 1) / size)
-    return pending.select("id", batch.alias("batch")).join(verdicts, "id", "left").select("id", "batch", F.when(F.col("verdict").isNotNull(), F.least(F.lit(10), F.greatest(F.lit(1), F.col("verdict")))).alias("impact"))
+    """Numbered groups of pending rows, newest first, with a rater's verdicts clamped to 1..10; a row
+    without a verdict has none. Rows are numbered day by day, days by their counts (a row a day)."""
+    day = pending.withColumn("day", F.to_date("published_at"))
+    days = day.groupBy("day").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    days = days.select(F.col("day").alias("_day"), before.alias("before"))
+    place = F.row_number().over(Window.partitionBy("day").orderBy(F.col("published_at").desc(), "id"))
+    rows = day.withColumn("place", place).join(days, F.col("day").eqNullSafe(F.col("_day")))
+    batch = F.floor((F.col("before") + F.col("place") - 1) / size)
+    return rows.select("id", batch.alias("batch")).join(verdicts, "id", "left").select("id", "batch", F.when(F.col("verdict").isNotNull(), F.least(F.lit(10), F.greatest(F.lit(1), F.col("verdict")))).alias("impact"))
 
 
 @query("M26_pending_summaries", f"SELECT c.id, a.id AS article_id FROM (SELECT * FROM clusters WHERE significance_score >= 4 AND first_published_at >= AS_OF - INTERVAL 40 DAY ORDER BY {SQL_ORDER} LIMIT 150) c JOIN (SELECT cluster_id, id FROM articles WHERE cluster_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY authority DESC NULLS LAST, published_at, id) <= 3) a ON a.cluster_id = c.id")

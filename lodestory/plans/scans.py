@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestory.plans.catalog import query
@@ -77,3 +78,12 @@ def _(x):
     tag = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("b"), "event_id")).otherwise(F.concat(F.lit("v1."), "event_id"))
     items = e.select(F.concat(F.lit("r/"), "user_id").alias("repo"), tag.alias("tag_name"), F.col("event_type").alias("name"), F.lit("notes").alias("body"), F.lit("u").alias("html_url"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("published_at"), (F.col("event_type") == "error").alias("draft"), (F.col("event_type") == "view").alias("prerelease"))
     return C.scan_releases(items, as_of(), 28).select("repo", "title")
+
+
+def land_feed(x: Fixtures, articles: DataFrame, files: int = 8) -> DataFrame:
+    """Articles written as feed files, some files of items each, and scanned again."""
+    path, esc = scratch(x.spark), lambda c: F.replace(F.replace(F.coalesce(c, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    item = F.concat(F.lit("<item><title>"), esc("title"), F.lit("</title><link>"), "source_url", F.lit("</link><description>"), esc("body_excerpt"), F.lit("</description><pubDate>"), F.floor(F.unix_micros("published_at") / 1000000), F.lit("</pubDate></item>"))
+    channel = F.concat(F.lit("<rss><channel>"), F.array_join(F.collect_list(item), ""), F.lit("</channel></rss>"))
+    articles.groupBy((F.col("id") % files).alias("part")).agg(channel.alias("value")).select("value").repartition(files).write.text(path)
+    return C.scan_feed(x.spark, path)

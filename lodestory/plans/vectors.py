@@ -119,20 +119,52 @@ def _(x):
 
 @q("I9_recluster_compare")
 def _(x):
-    ship(x.spark)
-    v = x.vectors()
-    old = v.where("cluster_id is not null").select("id", F.col("cluster_id").alias("old"))
-    return X.compare_labels(old, X.greedy_cluster(v, threshold(), hours=WINDOW_HOURS))
+    """What the greedy rule would make of all articles: old stories split or kept, and the new ones' totals and scores."""
+    v, a = x.vectors(), x.articles()
+    new = cut(X.greedy_cluster(v, threshold(), hours=WINDOW_HOURS).withColumn("story", F.col("story").cast("string")))
+    return recluster_report(a, v, new)
+
+
+def recluster_report(articles: DataFrame, vectors: DataFrame, new: DataFrame, least: float = 0.20, high: float = TIER_HIGH) -> DataFrame:
+    """part, key, value: new stories per old one; articles, stories, those of several articles, those with two papers or
+    more, false-merge suspects (spread over the strictest member's threshold and `least`), and the histogram of scores."""
+    old = vectors.where("cluster_id is not null").select("id", F.col("cluster_id").alias("old"))
+    again = articles.drop("cluster_id").join(new.withColumnRenamed("story", "cluster_id"), "id")
+    scores = cut(cluster_score(again))
+    paper = F.col("source_name").startswith(PAPER_PREFIX)
+    sizes = again.withColumn("thr", threshold()).groupBy("cluster_id").agg(F.count("*").alias("n"), F.count_if(paper).alias("papers"), F.min("thr").alias("thr"))
+    spread = X.intra_max(vectors.drop("cluster_id").join(new.withColumnRenamed("story", "cluster_id"), "id"))
+    stories = cut(sizes.join(spread, "cluster_id", "left"))
+    count = lambda name, test: F.count_if(test).cast("double").alias(name)
+    totals = stories.agg(F.sum("n").cast("double").alias("articles"), F.count("*").cast("double").alias("stories"), count("several", F.col("n") > 1), count("papers", (F.col("n") > 1) & (F.col("papers") >= 2)), count("suspects", F.coalesce(F.col("max_d") > F.greatest("thr", F.lit(least)), F.lit(False))))
+    total = totals.unpivot([], totals.columns, "key", "value").withColumn("part", F.lit("total"))
+    split = X.compare_labels(old, new).select(F.lit("split").alias("part"), F.col("old").alias("key"), F.col("parts").cast("double").alias("value"))
+    histogram = scores.groupBy(F.floor("significance_score").cast("string").alias("key")).agg(F.count("*").cast("double").alias("value")).withColumn("part", F.lit("score"))
+    tier = scores.agg(F.count_if(F.col("significance_score") >= high).cast("double").alias("value")).select(F.lit("total").alias("part"), F.lit("high").alias("key"), "value")
+    return reduce(DataFrame.unionByName, (split, total, histogram, tier))
 
 
 @q("I10_recluster_recent")
 def _(x):
-    """Articles of the last 48 hours before a moment are assigned anew; the others keep their story."""
-    ship(x.spark)
-    v = x.vectors()
-    inside = F.col("published_at") >= F.lit("2024-01-03").cast("timestamp") - F.expr("INTERVAL 48 HOURS")
-    again = X.greedy_cluster(v.where(inside), threshold(), hours=WINDOW_HOURS)
-    return v.where(~inside).select("id", F.col("cluster_id").alias("story")).unionByName(again.select("id", F.concat(F.lit("s"), "story").alias("story")))
+    return recluster_recent(x.articles(), x.vectors(), F.lit("2024-01-03").cast("timestamp"), 48)
+
+
+def recluster_recent(articles: DataFrame, vectors: DataFrame, now, hours: int) -> DataFrame:
+    """part, key, text, value: every article's story after those of the last hours were taken out of theirs and, with all
+    that have none, assigned anew (they may join any story that is left), the stories emptied by that, and the touched
+    survivors' new scores."""
+    inside = F.col("published_at") >= now - F.make_dt_interval(F.lit(0), F.lit(hours))
+    left = articles.withColumn("cluster_id", F.when(~inside, F.col("cluster_id")))
+    touched = articles.where(inside & F.col("cluster_id").isNotNull()).select("cluster_id").distinct()
+    remaining = left.where("cluster_id is not null").select("cluster_id").distinct()
+    emptied = touched.join(remaining, "cluster_id", "left_anti")
+    scores = cluster_score(left.join(touched, "cluster_id", "left_semi"))
+    story = vectors.select("id", "published_at", "source_name", "vector", F.when(~inside, F.col("cluster_id")).alias("story"))
+    again, kept = X.assign_stories(story, threshold(), hours=WINDOW_HOURS), story.where("story is not null")
+    part = lambda df, name, key, text, value: df.select(F.lit(name).alias("part"), key.cast("string").alias("key"), text.cast("string").alias("text"), value.cast("double").alias("value"))
+    none = F.lit(None)
+    members = part(kept, "kept", F.col("id"), F.col("story"), none).unionByName(part(again, "assigned", F.col("id"), F.col("story"), none))
+    return members.unionByName(part(emptied, "dropped", F.col("cluster_id"), none, none)).unionByName(part(scores, "rescored", F.col("cluster_id"), none, F.col("significance_score")))
 
 
 @q("M22_cluster_eval")
@@ -178,22 +210,64 @@ def cluster_eval(x: Fixtures, days: int = 14, loose: float = NEWS, threshold: fl
 
 @q("M23_run_cycle")
 def _(x):
-    """The refresh in order: dedup, anti-join with the store, cap, greedy stories, merge, rescore."""
+    return run_cycle(x)
+
+
+def run_cycle(x: Fixtures, most: int = 250) -> DataFrame:
+    """part, key, value of one refresh, in its order: landed feed files are scanned, deduplicated, compared with the store
+    and capped; new articles join stories, which merge (judged pairs too) and are scored; then the registry:
+    roster, benchmarks, prices with debounce, coverage links; at last the record of the run.
+
+    Ratings, vectors and verdicts enter as tables. A story's row has its score, an event's row the new value.
+    """
+    from lodestory.operators import prices as P
+    from lodestory.operators import registry as R
     from lodestory.operators.stories import first_per_key
     from lodestory.plans.news import cap_newest, fresh_only
-    from lodestory.sources.fixtures import as_of
+    from lodestory.plans.registry import sample_steps
+    from lodestory.plans.scans import land_feed
+    from lodestory.sources import sinks
 
     ship(x.spark)
     a = x.articles()
-    stored, landed = a.where("id % 4 <> 0"), a.where("id % 4 = 0")
-    landed = first_per_key(landed, ["source_url"], "id")
-    landed = first_per_key(landed.withColumn("_t", F.lower("title")), ["source_name", "_t"], "id").drop("_t")
-    new, _ = cap_newest(fresh_only(landed, stored, as_of()), 250)
-    live = stored.unionByName(new)
-    vectors = live.select("id", "published_at", "source_name").join(x.vectors().select("id", "vector"), "id")
-    stories = X.greedy_cluster(vectors, threshold(), hours=WINDOW_HOURS).select("id", F.col("story").cast("string").alias("cluster_id"))
-    placed = vectors.join(stories, "id")
-    p = X.story_points(placed, PAPER_PREFIX)
-    merged = X.merge_stories(p, X.close_pairs(p, news=NEWS, paper=PAPER).select("a", "b"))
-    final = stories.join(merged, stories["cluster_id"] == merged["old"]).select("id", F.col("new").alias("cluster_id"))
-    return cluster_score(live.drop("cluster_id").join(final, "id")).withColumn("raw_score", F.round("raw_score", 6))
+    stored, landed = cut(a.where("id % 4 <> 0")), a.where("id % 4 = 0")
+    feed = land_feed(x, landed.select("id", "title", "source_url", "body_excerpt", "published_at"))
+    feed = first_per_key(feed.withColumn("_t", F.lower("title")), ["source_url"], "published_at", "_t")
+    feed = feed.join(first_per_key(landed, ["source_url"], "id").select("source_url", "id", "source_name"), "source_url")
+    feed = first_per_key(feed, ["source_name", "_t"], "id").select("id")
+    new, deferred = cap_newest(fresh_only(landed.join(feed, "id", "left_semi"), stored, as_of()), most)
+    new = cut(new)
+    live = cut(stored.unionByName(new))
+    story = F.when(F.col("id") % 4 != 0, F.col("cluster_id"))  # new articles have none yet
+    vectors = cut(live.select("id", "published_at", "source_name", story.alias("story")).join(x.vectors().select("id", "vector"), "id"))
+    assigned = cut(X.assign_stories(vectors, threshold(), hours=WINDOW_HOURS))
+    known = assigned.unionByName(vectors.where("story is not null").select("id", "story"))
+    placed = cut(vectors.drop("story").join(known, "id").withColumnRenamed("story", "cluster_id"))
+    p = cut(X.story_points(placed, PAPER_PREFIX))
+    band = X.ambiguous_pairs(p, low=NEWS, high=BAND, hours=WINDOW_HOURS)
+    verdicts = band.select("a", "b", ((F.length("a") + F.length("b")) % 2 == 0).alias("same"))
+    merged = X.merge_with_verdicts(p, X.close_pairs(p, news=NEWS, paper=PAPER, hours=WINDOW_HOURS), band, verdicts)
+    final = placed.join(merged, placed["cluster_id"] == merged["old"]).select("id", F.col("new").alias("cluster_id"))
+    scores = cut(cluster_score(live.drop("cluster_id").join(final, "id")))
+
+    m = x.models()
+    roster = sinks.upsert_adopt(m.where("id % 3 <> 0").select("id", "slug", F.when(F.col("id") % 2 == 0, F.concat(F.lit("k"), "id")).alias("epoch_key")), m.select(F.concat(F.lit("k"), "id").alias("epoch_key"), "slug"))
+    b = x.benchmarks()
+    best = sinks.upsert_by_precedence(b.where("source = 'secondary'").select("model_id", "benchmark", "score", "source"), R.best_variant(b).withColumn("source", F.lit("primary")), ["model_id", "benchmark"], "score", primary="primary")
+    moves = P.change_events(sample_steps(x), {"v": "price", "f": "price"})
+    prices = P.vendor_and_floor(x.offers())
+    confirmed = P.debounced_changes(x.price_samples())
+    titles = new.join(final, "id", "left_semi").select("id", "title")
+    links = R.match_models(titles, x.aliases(), "id", "title")
+
+    part = lambda df, name, key, value: df.select(F.lit(name).alias("part"), key.cast("string").alias("key"), value.cast("double").alias("value"))
+    count = lambda df, name, key: part(df.agg(F.count("*").alias("n")), name, F.lit(key), F.col("n"))
+    outcomes = roster.groupBy("outcome").agg(F.count("*").alias("n"))
+    parts = [
+        part(scores, "story", F.col("cluster_id"), F.col("significance_score")), part(outcomes, "roster", F.col("outcome"), F.col("n")),
+        count(best, "registry", "benchmarks"), count(prices, "registry", "priced"), count(moves, "registry", "price moves"),
+        part(confirmed, "price event", F.concat_ws("|", "model_id", F.col("sample_ts").cast("date").cast("string"), "price_scope", "direction"), F.col("new_value")),
+        part(links, "link", F.concat_ws("|", "id", "model_id"), F.lit(1)),
+        count(new, "run", "articles ingested"), part(deferred, "run", F.lit("deferred"), F.col("deferred")), count(final.join(assigned.select("id"), "id", "left_semi").select("cluster_id").distinct(), "run", "clusters updated"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
