@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -78,14 +80,14 @@ def joined_prices(x: Fixtures) -> DataFrame:
     return P.vendor_and_floor(x.offers())
 
 
-@q("A11_sink_upsert_coalesce", "SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, coalesce(n.family, o.family) AS family FROM (SELECT id, name, family FROM models WHERE id % 3 <> 0) o FULL JOIN (SELECT id, upper(name) AS name, CASE WHEN id % 4 = 0 THEN family || '!' END AS family FROM models WHERE id % 2 = 0) n ON o.id = n.id")
+@q("A11_sink_upsert_coalesce", "SELECT coalesce(o.id, n.id) AS id, CASE WHEN n.id IS NOT NULL THEN n.name ELSE o.name END AS name, coalesce(n.family, o.family) AS family FROM (SELECT id, name, family FROM models WHERE id % 3 <> 0) o FULL JOIN (SELECT id, upper(name) AS name, CASE WHEN id % 4 = 0 THEN family || '!' END AS family FROM models WHERE id % 2 = 0 OR id % 3 = 0) n ON o.id = n.id")
 def _(x):
     m = x.models().select("id", "name", "family")
-    new = m.where("id % 2 = 0").select("id", F.upper("name").alias("name"), F.when(F.col("id") % 4 == 0, F.concat("family", F.lit("!"))).alias("family"))
+    new = m.where("id % 2 = 0 or id % 3 = 0").select("id", F.upper("name").alias("name"), F.when(F.col("id") % 4 == 0, F.concat("family", F.lit("!"))).alias("family"))
     return sinks.upsert(m.where("id % 3 <> 0"), new, "id", overwrite=["name"], keep=["family"])
 
 
-ADOPT = {"old_rows": "SELECT id, slug, CASE WHEN id % 2 = 0 THEN 'k' || id END AS epoch_key FROM models WHERE id % 3 <> 0", "new_rows": "SELECT CASE WHEN id % 5 = 0 THEN 'z' || id ELSE 'k' || id END AS epoch_key, slug FROM models WHERE id % 4 <> 3"}
+ADOPT = {"old_rows": "SELECT id, slug, CASE WHEN id % 2 = 0 THEN 'k' || id END AS epoch_key FROM models WHERE id % 3 <> 0", "new_rows": "SELECT CASE WHEN id % 5 = 0 THEN 'z' || id ELSE 'k' || id END AS epoch_key, slug FROM models WHERE id % 4 <> 3 OR id % 3 = 0"}
 
 
 @q("A12_sink_upsert_adopt", "SELECT n.epoch_key, n.slug, CASE WHEN k.id IS NOT NULL THEN 'matched' WHEN s.id IS NULL THEN 'inserted' WHEN s.epoch_key IS NULL THEN 'adopted' ELSE 'collided' END AS outcome, coalesce(k.id, CASE WHEN s.epoch_key IS NULL THEN s.id END) AS id FROM new_rows n LEFT JOIN old_rows k ON k.epoch_key = n.epoch_key LEFT JOIN old_rows s ON s.slug = n.slug", **ADOPT)
@@ -93,17 +95,17 @@ def _(x):
     m = x.models().select("id", "slug")
     key = F.concat(F.lit("k"), "id")
     old = m.where("id % 3 <> 0").withColumn("epoch_key", F.when(F.col("id") % 2 == 0, key))
-    new = m.where("id % 4 <> 3").select(F.when(F.col("id") % 5 == 0, F.concat(F.lit("z"), "id")).otherwise(key).alias("epoch_key"), "slug")
+    new = m.where("id % 4 <> 3 or id % 3 = 0").select(F.when(F.col("id") % 5 == 0, F.concat(F.lit("z"), "id")).otherwise(key).alias("epoch_key"), "slug")
     return sinks.upsert_adopt(old, new)
 
 
 @q("A13_sink_upsert_precedence", """SELECT coalesce(o.model_id, n.model_id) AS model_id, coalesce(o.benchmark, n.benchmark) AS benchmark, CASE WHEN w THEN n.score ELSE o.score END AS score, CASE WHEN w THEN n.source ELSE o.source END AS source FROM
-    (SELECT o.*, n.*, n.source_1 IS NOT NULL AND (o.source IS NULL OR o.source <> 'primary' OR n.source_1 = 'primary') AS w FROM (SELECT * FROM model_benchmarks WHERE model_id % 2 = 0) o FULL JOIN (SELECT model_id AS m1, benchmark AS b1, score + 1 AS s1, CASE WHEN model_id % 3 = 0 THEN 'primary' ELSE 'secondary' END AS source_1 FROM model_benchmarks WHERE model_id % 5 < 3) n ON o.model_id = m1 AND o.benchmark = b1) z,
+    (SELECT o.*, n.*, n.source_1 IS NOT NULL AND (o.source IS NULL OR o.source <> 'primary' OR n.source_1 = 'primary') AS w FROM (SELECT * FROM model_benchmarks WHERE model_id % 2 = 0 OR model_id % 5 >= 3) o FULL JOIN (SELECT model_id AS m1, benchmark AS b1, score + 1 AS s1, CASE WHEN model_id % 3 = 0 THEN 'primary' ELSE 'secondary' END AS source_1 FROM model_benchmarks WHERE model_id % 5 < 3) n ON o.model_id = m1 AND o.benchmark = b1) z,
     LATERAL (SELECT z.model_id, z.benchmark, z.score, z.source) o, LATERAL (SELECT z.m1 AS model_id, z.b1 AS benchmark, z.s1 AS score, z.source_1 AS source) n""")
 def _(x):
     b = x.benchmarks().select("model_id", "benchmark", "score", "source")
     new = b.where("model_id % 5 < 3").select("model_id", "benchmark", (F.col("score") + 1).alias("score"), F.when(F.col("model_id") % 3 == 0, "primary").otherwise("secondary").alias("source"))
-    return sinks.upsert_by_precedence(b.where("model_id % 2 = 0"), new, ["model_id", "benchmark"], "score", primary="primary")
+    return sinks.upsert_by_precedence(b.where("model_id % 2 = 0 or model_id % 5 >= 3"), new, ["model_id", "benchmark"], "score", primary="primary")
 
 
 @q("A14_sink_gated_append", "SELECT user_id, event_id FROM events n WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-05 06:00:00' AND NOT EXISTS (SELECT 1 FROM events o WHERE o.user_id = n.user_id AND o.ts < TIMESTAMP '2024-01-05' AND o.ts > TIMESTAMP '2024-01-04 04:00:00')")
@@ -176,12 +178,12 @@ def _(x):
     return R.match_models(a, x.aliases(), "id", "text")
 
 
-@q("C11_join_normalised_key", "SELECT b.model_id AS id, m.id AS target FROM (SELECT id AS model_id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM models WHERE id % 2 = 0) b JOIN (SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k, min(id) AS id FROM models GROUP BY 1) m ON m.k = CASE WHEN contains(b.k, 'blue') THEN replace(b.k, 'blue', 'red') ELSE b.k END")
+@q("C11_join_normalised_key", "SELECT b.model_id AS id, m.id AS target FROM (SELECT id AS model_id, regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k FROM models) b JOIN (SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS k, min(id) AS id FROM models GROUP BY 1) m ON m.k = CASE WHEN contains(b.k, 'blue') THEN replace(b.k, 'blue', 'red') ELSE b.k END")
 def _(x):
     m = x.models().withColumn("k", S.normalize_key(F.col("name")))
     alias = m.where(F.col("k").contains("blue")).select("k", F.replace("k", F.lit("blue"), F.lit("red")).alias("to")).distinct()
     registry = m.groupBy("k").agg(F.min("id").alias("target"))
-    rows = m.where("id % 2 = 0").select("id", "k").join(F.broadcast(alias), "k", "left").select("id", F.coalesce("to", "k").alias("k"))  # aliases are a hand-kept list
+    rows = m.select("id", "k").join(alias, "k", "left").select("id", F.coalesce("to", "k").alias("k"))  # aliases are a hand-kept list
     return rows.join(registry, "k").select("id", "target")
 
 
@@ -367,6 +369,11 @@ def _(x):
 
 @q("F13_topk_discounts", "SELECT model_id, round((1 - floor_price_in / vendor_price_in) * 100, 4) AS pct FROM prices WHERE vendor_price_in > 0 AND (1 - floor_price_in / vendor_price_in) * 100 >= 5 ORDER BY pct DESC, model_id LIMIT 10")
 def _(x):
+    return discounts(x)
+
+
+def discounts(x: Fixtures) -> DataFrame:
+    """The ten largest discounts of the floor on the vendor's list price, of 5 % or more."""
     pct = S.discount_pct(F.col("floor_price_in"), F.col("vendor_price_in"))
     rows = joined_prices(x).withColumn("pct", pct).where("pct >= 5").select("model_id", F.round("pct", 4).alias("pct"))
     return top_k(rows, 10, F.col("pct").desc(), F.col("model_id"))
@@ -496,26 +503,46 @@ def _(x):
 DETAIL = "SELECT id FROM models WHERE slug = (SELECT min(slug) FROM models)"
 
 
-@q("M9_model_detail", "SELECT b.benchmark, b.score, p.pct FROM model_benchmarks b JOIN one ON one.id = b.model_id LEFT JOIN (SELECT model_id, benchmark, CASE WHEN count(*) OVER (PARTITION BY benchmark) = 1 THEN 100 ELSE CAST(floor(percent_rank() OVER (PARTITION BY benchmark ORDER BY score) * 100 + 0.5) AS BIGINT) END AS pct FROM model_benchmarks WHERE model_id IN (SELECT id FROM last_year UNION SELECT id FROM one)) p ON p.model_id = b.model_id AND p.benchmark = b.benchmark", one=DETAIL)
+@q("M9_model_detail", """SELECT 'benchmark' AS part, b.benchmark AS key, b.score AS value, p.pct FROM model_benchmarks b JOIN one ON one.id = b.model_id LEFT JOIN (SELECT model_id, benchmark, CASE WHEN count(*) OVER (PARTITION BY benchmark) = 1 THEN 100 ELSE CAST(floor(percent_rank() OVER (PARTITION BY benchmark ORDER BY score) * 100 + 0.5) AS BIGINT) END AS pct FROM model_benchmarks WHERE model_id IN (SELECT id FROM last_year UNION SELECT id FROM one)) p ON p.model_id = b.model_id AND p.benchmark = b.benchmark
+    UNION ALL SELECT * FROM (SELECT 'story', c.id, c.significance_score, CAST(NULL AS BIGINT) FROM clusters c JOIN model_clusters k ON k.cluster_id = c.id JOIN one ON one.id = k.model_id ORDER BY c.first_published_at DESC, c.id LIMIT 30)
+    UNION ALL SELECT * FROM (SELECT 'event', CAST(e.id AS VARCHAR), e.new_num, CAST(NULL AS BIGINT) FROM model_events e JOIN one ON one.id = e.model_id WHERE NOT (event_type = 'price' AND price_scope IS NULL) ORDER BY e.detected_at DESC, e.id DESC LIMIT 40)""", one=DETAIL)
 def _(x):
     m = x.models()
     one = top_k(m.select("slug", "id"), 1, F.col("slug")).select(F.col("id").alias("model_id"))
     population = year(x).select(F.col("id").alias("model_id")).unionByName(one).distinct()
-    pct = R.percentiles(x.benchmarks().join(population, "model_id", "left_semi"))
-    return pct.join(F.broadcast(one), "model_id", "left_semi").select("benchmark", "score", "pct")
+    pct = R.percentiles(x.benchmarks().join(population, "model_id", "left_semi")).join(one, "model_id", "left_semi")
+    c = x.clusters().join(x.model_clusters().join(one, "model_id", "left_semi").select(F.col("cluster_id").alias("id")), "id")
+    stories = top_k(c, 30, F.col("first_published_at").desc(), F.col("id"))
+    events = top_k(legacy_free(x.model_events()).join(one, "model_id", "left_semi"), 40, F.col("detected_at").desc(), F.col("id").desc())
+    part = lambda df, name, key, value, p: df.select(F.lit(name).alias("part"), key.cast("string").alias("key"), value.cast("double").alias("value"), p.cast("long").alias("pct"))
+    none = F.lit(None)
+    return part(pct, "benchmark", F.col("benchmark"), F.col("score"), F.col("pct")).unionByName(part(stories, "story", F.col("id"), F.col("significance_score"), none)).unionByName(part(events, "event", F.col("id"), F.col("new_num"), none))
+
 
+#: What a comparison of models looks at, and whether more is better.
+MEASURES = {"price_in": False, "price_out": False, "context_window": True, "eci": True, "coding": True, "math": True, "reasoning": True, "agentic": True}
 
-@q("M10_compare_models", "SELECT id, bucket, score FROM bucket_scores JOIN models ON id = model_id WHERE id IN (SELECT id FROM last_year ORDER BY id LIMIT 4)")
+
+@q("M10_compare_models", "SELECT 'bucket' AS part, id, bucket AS key, CAST(score AS DOUBLE) AS value FROM bucket_scores JOIN asked ON id = model_id UNION ALL SELECT 'benchmark', id, benchmark, score FROM model_benchmarks JOIN asked ON id = model_id UNION ALL SELECT 'index', a.id, 'eci', eci FROM asked a LEFT JOIN eci ON a.id = model_id UNION ALL SELECT 'best', arg_max(id, (v, -id)), key, arg_max(v * up, (v, -id)) FROM (" + " UNION ALL ".join(f"SELECT w.id, '{k}' AS key, {1 if up else -1} AS up, {1 if up else -1} * CAST({k} AS DOUBLE) AS v FROM wide w JOIN asked ON asked.id = w.id" for k, up in MEASURES.items()) + ") WHERE v IS NOT NULL GROUP BY key HAVING count(*) >= 2", asked="SELECT id FROM last_year ORDER BY id LIMIT 4")
 def _(x):
-    asked = top_k(year(x), 4, F.col("id")).select(F.col("id").alias("model_id"))
-    return buckets(x).join(F.broadcast(asked), "model_id", "left_semi").select(F.col("model_id").alias("id"), "bucket", "score")
+    asked = top_k(year(x), 4, F.col("id")).select("id")
+    part = lambda df, name, ident, key, value: df.select(F.lit(name).alias("part"), F.col(ident).alias("id"), key.alias("key"), value.cast("double").alias("value"))
+    of = lambda df: df.join(asked.withColumnRenamed("id", "model_id"), "model_id", "left_semi")
+    w = wide(x).join(asked, "id", "left_semi")
+    best = R.best_in_row(w, MEASURES)
+    values = w.select("id", F.explode(F.array(*[F.struct(F.lit(k).alias("attribute"), F.col(k).cast("double").alias("v")) for k in MEASURES])).alias("s")).select(F.col("id").alias("winner"), "s.*")
+    rows = [
+        part(of(buckets(x)), "bucket", "model_id", F.col("bucket"), F.col("score")), part(of(x.benchmarks()), "benchmark", "model_id", F.col("benchmark"), F.col("score")),
+        part(w, "index", "id", F.lit("eci"), F.col("eci")), part(best.join(values, ["winner", "attribute"]), "best", "winner", F.col("attribute"), F.col("v")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
-@q("M11_best_models", "SELECT 'coding' AS view, id FROM (SELECT id FROM wide WHERE coding IS NOT NULL ORDER BY coding DESC, id LIMIT 20) UNION ALL SELECT 'cheapest', id FROM (SELECT id FROM (SELECT id, price_in FROM wide WHERE coding IS NOT NULL ORDER BY coding DESC, id LIMIT 10) ORDER BY price_in, id LIMIT 1)")
+@q("M11_best_models", " UNION ALL ".join(f"SELECT view, id FROM ({RANK.format(k, v)})" for k, v in RANKS.items()) + " UNION ALL SELECT 'cheapest', id FROM (SELECT id FROM (SELECT id, price_in FROM wide WHERE coding IS NOT NULL ORDER BY coding DESC, id LIMIT 10) ORDER BY price_in, id LIMIT 1)")
 def _(x):
-    top = ranked(x, "coding")
-    cheap = top_k(top_k(top, 10, F.col("value").desc(), F.col("id")), 1, F.col("price_in"), F.col("id"))
-    return top.select(F.lit("coding").alias("view"), "id").unionByName(cheap.select(F.lit("cheapest").alias("view"), "id"))
+    views = [ranked(x, view).select(F.lit(view).alias("view"), "id") for view in RANKS]
+    cheap = top_k(top_k(R.rank_models(wide(x), "coding"), 10, F.col("value").desc(), F.col("id")), 1, F.col("price_in"), F.col("id"))
+    return reduce(DataFrame.unionByName, [*views, cheap.select(F.lit("cheapest").alias("view"), "id")])
 
 
 @q("M12_change_feed", "SELECT e.id, m.vendor FROM (SELECT * FROM model_events WHERE detected_at >= AS_OF - INTERVAL 30 DAY AND NOT (event_type = 'price' AND price_scope IS NULL)) e JOIN models m ON m.id = e.model_id ORDER BY e.detected_at DESC, e.id DESC LIMIT 300")
@@ -600,17 +627,24 @@ def _(x):
     return R.compare_pairs(cands(x), 5)
 
 
-@q("M15_insight_frontiers", f"SELECT 'price' AS part, id FROM ({FRONT.format('', '')}) UNION ALL SELECT 'context', id FROM (SELECT w.*, max(eci) OVER (ORDER BY context_window, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM wide w WHERE eci IS NOT NULL) WHERE m IS NULL OR eci > m UNION ALL SELECT 'value', id FROM (SELECT id FROM wide WHERE eci IS NOT NULL AND price_in + price_out > 0 ORDER BY eci / ((price_in + price_out) / 2) DESC, id LIMIT 12)")
+RISING = "SELECT '{part}' AS part, id, CAST(NULL AS VARCHAR) AS label FROM (SELECT w.*, max(eci) OVER ({by}ORDER BY {x}, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM wide w WHERE eci IS NOT NULL AND {x} IS NOT NULL) WHERE m IS NULL OR eci > m"
+QUADRANT = """SELECT id, CASE WHEN greatest(coverage, 1) >= mx THEN CASE WHEN eci >= my THEN 'hyped and delivering' ELSE 'hyped' END ELSE CASE WHEN eci >= my THEN 'quietly strong' ELSE 'quiet' END END AS quadrant
+    FROM wide, (SELECT sqrt(greatest(100.0, 1.15 * greatest(10, max(coverage)))) AS mx, (min(eci) + max(eci)) / 2 AS my FROM wide WHERE eci IS NOT NULL) WHERE eci IS NOT NULL"""
+DISCOUNTS = "SELECT model_id, round((1 - floor_price_in / vendor_price_in) * 100, 4) AS pct FROM prices WHERE vendor_price_in > 0 AND (1 - floor_price_in / vendor_price_in) * 100 >= 5 ORDER BY pct DESC, model_id LIMIT 10"
+
+
+@q("M15_insight_frontiers", " UNION ALL ".join([*(RISING.format(part=k, x=v, by="") for k, v in (("price", "price_in"), ("time", "released_at"), ("context", "context_window"))), RISING.format(part="open and closed", x="price_in", by="PARTITION BY is_open_weight "),
+    f"SELECT 'quadrant', id, quadrant FROM ({QUADRANT})", "SELECT 'value', id, NULL FROM (SELECT id FROM wide WHERE eci IS NOT NULL AND price_in + price_out > 0 ORDER BY eci / ((price_in + price_out) / 2) DESC, id LIMIT 12)", f"SELECT 'discount', model_id, NULL FROM ({DISCOUNTS})"]))
 def _(x):
     w = wide(x)
-    a = R.running_max_frontier(w, "price_in", "eci", "id").select(F.lit("price").alias("part"), "id")
-    b = R.running_max_frontier(w, "context_window", "eci", "id").select(F.lit("context").alias("part"), "id")
-    c = top_k(R.rank_models(w, "value"), 12, F.col("value").desc(), F.col("id")).select(F.lit("value").alias("part"), "id")
-    return a.unionByName(b).unionByName(c)
+    part = lambda df, name, label=None: df.select(F.lit(name).alias("part"), "id", (F.lit(None) if label is None else F.col(label)).cast("string").alias("label"))
+    lines = [part(R.running_max_frontier(w, v, "eci", "id"), k) for k, v in (("price", "price_in"), ("time", "released_at"), ("context", "context_window"))]
+    lines += [part(R.running_max_frontier(w, "price_in", "eci", "id", ["is_open_weight"]), "open and closed"), part(quadrants(w.where("eci is not null")), "quadrant", "quadrant")]
+    lines += [part(top_k(R.rank_models(w, "value"), 12, F.col("value").desc(), F.col("id")), "value"), part(discounts(x).withColumnRenamed("model_id", "id"), "discount")]
+    return reduce(DataFrame.unionByName, lines)
 
 
-@q("H31_quadrant", """SELECT id, CASE WHEN greatest(coverage, 1) >= mx THEN CASE WHEN eci >= my THEN 'hyped and delivering' ELSE 'hyped' END ELSE CASE WHEN eci >= my THEN 'quietly strong' ELSE 'quiet' END END AS quadrant
-    FROM wide, (SELECT sqrt(greatest(100.0, 1.15 * greatest(10, max(coverage)))) AS mx, (min(eci) + max(eci)) / 2 AS my FROM wide WHERE eci IS NOT NULL) WHERE eci IS NOT NULL""")
+@q("H31_quadrant", QUADRANT)
 def _(x):
     return quadrants(wide(x).where("eci is not null"))
 
@@ -623,28 +657,33 @@ def quadrants(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(mid)).select("id", label.alias("quadrant"))  # one row
 
 
-@q("M20_best_at", "SELECT model_id, bucket, score FROM bucket_scores WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY score DESC, bucket) <= 3")
+@q("M20_best_at", "SELECT model_id, 'bucket' AS part, bucket AS name, score FROM bucket_scores WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY score DESC, bucket) <= 3 UNION ALL SELECT model_id, 'benchmark', benchmark, pct FROM (SELECT * FROM pct QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY pct DESC, benchmark) <= 5)")
 def _(x):
-    return first_per_key(buckets(x).where("score >= 60"), ["model_id"], F.col("score").desc(), "bucket", k=3)
+    best = first_per_key(buckets(x).where("score >= 60"), ["model_id"], F.col("score").desc(), "bucket", k=3)
+    strong = first_per_key(R.percentiles(year_scores(x)), ["model_id"], F.col("pct").desc(), "benchmark", k=5)
+    return best.select("model_id", F.lit("bucket").alias("part"), F.col("bucket").alias("name"), F.col("score").cast("long").alias("score")).unionByName(strong.select("model_id", F.lit("benchmark").alias("part"), F.col("benchmark").alias("name"), F.col("pct").alias("score")))
 
 
-PAIR = "SELECT attribute, va, vb, CASE WHEN (va > vb) = up THEN 'a' ELSE 'b' END AS winner FROM (SELECT 'price_in' AS attribute, false AS up, a.price_in AS va, b.price_in AS vb FROM models a, models b WHERE a.id = 1 AND b.id = 2 UNION ALL SELECT 'context_window', true, a.context_window, b.context_window FROM models a, models b WHERE a.id = 1 AND b.id = 2) WHERE va <> vb"
+MEASURED = " UNION ALL ".join(f"SELECT p.a, p.b, '{k}' AS attribute, {'true' if up else 'false'} AS up, CAST(u.{k} AS DOUBLE) AS va, CAST(v.{k} AS DOUBLE) AS vb FROM pairs p JOIN wide u ON u.slug = p.a JOIN wide v ON v.slug = p.b" for k, up in MEASURES.items())
 
 
-@q("M21_pair_differences", PAIR)
+@q("M21_pair_differences", f"SELECT a, b, attribute, va, vb, CASE WHEN (va > vb) = up THEN 'a' ELSE 'b' END AS winner FROM ({MEASURED}) WHERE va <> vb", pairs=PAIRS)
 def _(x):
-    m = x.models()
-    return pair_differences(m.where("id = 1"), m.where("id = 2"), {"price_in": False, "context_window": True})
+    """Every pair of the comparison pages."""
+    w, pairs = wide(x).withColumn("key", F.col("slug")), R.compare_pairs(cands(x), 5)
+    a, b = (pairs.join(w, pairs[side] == w["key"]).drop("key", "slug") for side in ("a", "b"))
+    return pair_differences(a, b, MEASURES, ["a", "b"])
 
 
-def pair_differences(a: DataFrame, b: DataFrame, attributes: dict[str, bool]) -> DataFrame:
-    """attribute, va, vb, winner for each attribute (True: higher is better) that differs."""
+def pair_differences(a: DataFrame, b: DataFrame, attributes: dict[str, bool], keys: list[str]) -> DataFrame:
+    """keys, attribute, va, vb, winner for each attribute (True: higher is better) that differs between the rows of a and
+    b with equal keys."""
 
     def long(df, v):
-        return df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("attribute"), F.lit(up).alias("up"), F.col(k).cast("double").alias(v)) for k, up in attributes.items()])).alias("s")).select("s.*")
+        return df.select(*keys, F.explode(F.array(*[F.struct(F.lit(k).alias("attribute"), F.lit(up).alias("up"), F.col(k).cast("double").alias(v)) for k, up in attributes.items()])).alias("s")).select(*keys, "s.*")
 
-    j = long(a, "va").join(long(b, "vb").drop("up"), "attribute").where("va <> vb")
-    return j.select("attribute", "va", "vb", F.when((F.col("va") > F.col("vb")) == F.col("up"), "a").otherwise("b").alias("winner"))
+    j = long(a, "va").join(long(b, "vb").drop("up"), [*keys, "attribute"]).where("va <> vb")
+    return j.select(*keys, "attribute", "va", "vb", F.when((F.col("va") > F.col("vb")) == F.col("up"), "a").otherwise("b").alias("winner"))
 
 
 @q("M27_registry_top_significance", "SELECT m.id, e.eci, m.price_in FROM models m LEFT JOIN eci e ON e.model_id = m.id ORDER BY m.significance DESC, m.id LIMIT 40")

@@ -22,7 +22,7 @@ SCORE = "CASE WHEN {x} <= 0 THEN 1.0 ELSE least(greatest(round_even(2.4 * ln(1 +
 
 VIEWS = {
     "sources": "SELECT 'src' || k AS name, 'org' || (k % 8) AS organization, [10, 7, 5, 3][CAST(k % 4 + 1 AS INT)] AS authority, k % 3 = 0 AS ai_filter FROM range(20) t(k)",
-    "articles_0": """SELECT d.doc_id AS id, substr(trim(split_part(d.text, chr(10), 1)), 1, 120) AS title, substr(d.text, 1, 400) AS body_excerpt, d.source AS source_name,
+    "articles_0": """SELECT d.doc_id AS id, substr(trim(split_part(d.text, chr(10), 1)), 1, 120) AS title, d.text AS body_excerpt, d.source AS source_name,
         'https://news.example/' || md5(d.text) AS source_url, e.ts AS published_at, s.authority, s.organization, s.ai_filter, d.lang,
         CASE WHEN e.event_type <> 'error' THEN 1 + CAST(floor(e.value) AS INT) % 10 END AS impact,
         CASE WHEN v.label IS NOT NULL THEN v.label || '-' || (d.doc_id // 40) END AS cluster_id

@@ -47,7 +47,7 @@ class Fixtures:
             .join(F.broadcast(s), d["source"] == s["name"])  # twenty rows
             .join(v, v["vec_id"] == d["doc_id"], "left")
             .select(
-                F.col("doc_id").alias("id"), title.alias("title"), F.substring("text", 1, 400).alias("body_excerpt"), F.col("source").alias("source_name"),
+                F.col("doc_id").alias("id"), title.alias("title"), F.col("text").alias("body_excerpt"), F.col("source").alias("source_name"),
                 F.concat(F.lit("https://news.example/"), F.md5("text")).alias("source_url"), F.col("ts").alias("published_at"), "authority", "organization", "ai_filter", "lang",
                 F.when(F.col("event_type") != "error", 1 + F.floor("value").cast("int") % 10).alias("impact"),
                 F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("doc_id") / 40).cast("string")).alias("_c"), "label",
@@ -101,8 +101,12 @@ class Fixtures:
     def price_samples(self) -> DataFrame:
         first = F.row_number().over(Window.partitionBy("l_partkey", "l_shipdate").orderBy("l_orderkey", "l_linenumber"))
         rows = self.table("lineitem").withColumn("_r", first).where("_r = 1")
-        seen = F.col("l_linenumber") % 5 != 0
-        return rows.select(F.col("l_partkey").alias("model_id"), F.col("l_shipdate").cast("timestamp").alias("sample_ts"), F.when(seen, F.ceil(F.col("l_quantity") / 25).cast("double")).alias("vendor_in"), F.when(seen, F.ceil(F.col("l_quantity") / 17).cast("double")).alias("floor_in"))
+        seen, q = F.col("l_linenumber") % 5 != 0, F.col("l_quantity")
+        steps = {"vendor_in": 25, "floor_in": 17, "vendor_out": 20, "floor_out": 13}
+        prices = [F.when(seen, F.ceil(q / k).cast("double")).alias(c) for c, k in steps.items()]
+        provider, quant = F.concat(F.lit("Brand#"), 1 + F.col("l_suppkey") % 25), F.element_at(F.array(F.lit("fp8"), F.lit("bf16"), F.lit(None)), F.col("l_linenumber") % 3 + 1)
+        facts = [F.when(seen, v).alias(c) for c, v in (("floor_provider", provider), ("floor_quant", quant), ("floor_context", (q * 20000).cast("long")))]
+        return rows.select(F.col("l_partkey").alias("model_id"), F.col("l_shipdate").cast("timestamp").alias("sample_ts"), *prices, *facts)
 
     def model_events(self) -> DataFrame:
         e = self.events()
