@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 from lodestory.llm.shared import buffer_of, ragged, slices
 
 #: Chunks that a worker keeps at most; then all but the first, the commonest, are forgotten.
-MOST_CHUNKS, FIRST_CHUNKS = 700_000, 250_000
+MOST_CHUNKS, FIRST_CHUNKS = 450_000, 200_000
 #: Outside this set a text is encoded whole.
 _ODD = re.compile("[^\t\n\r -~\xa1-įı-ɏ–-…€]")
 _SPECIAL = re.compile(r"<\|\w+\|>")

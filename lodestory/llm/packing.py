@@ -26,8 +26,8 @@ from lodestory.llm.encoding import encoder
 from lodestory.llm.shared import cut, prepare
 from lodestory.llm.token_store import encoder_ids
 
-#: From this many tokens on, the last round places all pieces.
-SMALL = 128
+#: The last round places all pieces up to this share of a sequence.
+SMALL = 1 / 16
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, *, limit: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -107,8 +107,9 @@ def best_fit(pieces: DataFrame, *, limit: int) -> DataFrame:
 
     A sequence has the pid of the piece that opened it. Pieces over half the limit never share
     and open at once; then each round takes all pieces over half the largest size left, and all
-    places are final, so rounds are as many as the limit can be halved to SMALL, whatever the
-    input. Rows of equal size are ordered by hash and pid, so the result is fixed.
+    places are final, so there are at most five rounds, whatever the input. A run ends where
+    the number that fits changes; the last of each number's runs may stay part empty, which costs some
+    dozens of sequences at most, whatever the input. Rows of equal size are ordered by hash and pid, so the result is fixed.
     """
     pieces = pieces.select("pid", "length")
     large = pieces.where(F.col("length") * 2 > limit)
@@ -116,7 +117,7 @@ def best_fit(pieces: DataFrame, *, limit: int) -> DataFrame:
     gaps = placed[0].select("sequence_id", (F.lit(limit) - F.col("length")).alias("gap")).where("gap > 0")
     most = limit // 2
     while most > 0:
-        least = most // 2 + 1 if most > SMALL else 1
+        least = most // 2 + 1 if most > SMALL * limit else 1
         now = pieces.where(F.col("length").between(least, most))
         got = cut(place(gaps, now, limit=limit, most=most, least=least).withColumn("round", F.lit(len(placed))))
         placed.append(got)

@@ -29,15 +29,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def sampled(df: DataFrame, key: str, rows: int, salt: int = 17) -> DataFrame:
-    """About `rows` rows (1.2 times as many at most, in expectation), chosen by a hash of the key."""
-    n = df.count()
-    if n <= rows:
-        return df
-    share = int(rows / n * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.col(key), F.lit(salt)), F.lit(1 << 30)) < share)
-
-
 def held_out(key: str) -> F.Column:
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -57,7 +48,7 @@ def buffer_of(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` bytes; a longer text is a range of its own."""
     i, n = 0, len(offsets) - 1
     while i < n:

@@ -27,9 +27,9 @@ LENGTH, GRAM = 100, 32
 #: Different stretches of one anchor above which they are split into windows.
 HOT = 20_000
 #: Bytes of a suffix-array shard, about.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 #: Stretches that a task holds before it looks for repeats among its own.
-HELD = 2_000_000
+HELD = 1_000_000
 #: Windows of a longer text are taken in blocks of so many.
 BLOCK = 1 << 22
 
@@ -239,9 +239,9 @@ def covered_ranges(texts: DataFrame) -> DataFrame:
                         if other != me:
                             first[t] = min(other, me)
                             rows.append((mixed_key(max(other, me)), *max(other, me), None))
-                if len(rows) >= HELD // 10:
+                if len(rows) >= HELD // 20:
                     yield out()
-                if len(first) >= HELD // 10:
+                if len(first) >= HELD // 20:
                     rows += windows_of(first)
                     first.clear()
             rows += windows_of(first)
