@@ -36,9 +36,9 @@ FREQUENT = 1000
 IDF_SPAN = 0.2
 #: Rounds of comparisons with one document of a bucket before the rest is compared in pairs.
 STAR_ROUNDS = 4
-DRAW_ROWS = 1 << 16
+DRAW_ROWS = 1 << 14
 #: Shingles that a task holds before it adds them up.
-HELD = 2_000_000
+HELD = 1_000_000
 _draws: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
@@ -78,7 +78,7 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and beta for each sample, one row per value of 16 bits of a hash, each of other bits."""
+    """r, ln c and beta for each sample, one row per value of some bits of a hash, each of bits of its own."""
     if "t" not in _draws:
         rng = np.random.default_rng(20)
         shape = (DRAW_ROWS, BANDS * ROWS)
@@ -325,7 +325,7 @@ def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, similarity=similarity)
     heads = classes.where(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col(id_col).alias("_head")).distinct()
     # columns get names of their own, so that none of the frame's can clash
-    rows = docs.withColumnsRenamed({c: f"_c{k}" for k, c in enumerate(docs.columns)})
+    rows = docs.select(*[F.col(f"`{c}`").alias(f"_c{k}") for k, c in enumerate(docs.columns)])
     i, t = (F.col(f"_c{docs.columns.index(c)}") for c in (id_col, text_col))
     rows = rows.join(heads, i.eqNullSafe(heads["_head"]), "left_semi")
     rank = F.row_number().over(Window.partitionBy(i, F.md5(t)).orderBy(t.asc_nulls_last()))
