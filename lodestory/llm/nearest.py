@@ -4,12 +4,14 @@ Every shard keeps, for each of many random directions, its vectors in the order
 projections. A query opens a window around its own projection on each direction and widens all
 windows step by step (virtual rehashing); a vector that lies in enough windows is verified by
 its true distance. Windows stop when they are wide enough, against the k-th distance found,
-that a nearer vector would have collided often enough. Shards and query blocks have bounded
-sizes and meet pair by pair in Spark; every vector is indexed.
+that a nearer vector would have collided often enough. Shards have a bounded size and every
+vector is in one; a shard's arrays are made once and all queries stream past them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -24,7 +26,8 @@ COLLISIONS = 0.39
 #: distance then collides two standard deviations more often than the share above.
 ENOUGH = 0.64
 WIDEN = 1.25
-SHARD_ROWS, QUERY_ROWS = 16384, 8192
+#: Vectors of a shard, about.
+SHARD_ROWS = 16384
 
 
 class SortedProjections:
@@ -88,31 +91,40 @@ def nearest_neighbours(vectors: DataFrame, *, k: int = 10, every: int = 100, id_
     v = F.col(vector_col).cast("array<double>")
     fine = F.col(vector_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.size(vector_col).alias("d"))
-    is_query = F.col("id") % every == 0
-    sizes = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-sizes[0] // SHARD_ROWS)), max(1, -(-sizes[1] // QUERY_ROWS))
-    shard, block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks))
-    # every query against all rows, block by block: each pair of a shard and a block is one group
-    data = rows.withColumn("shard", shard).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    queries = rows.where(is_query).withColumn("block", block).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[tuple] = []
-        if len(left) and len(right):
-            d = left["d"][0].as_py()
-            index = SortedProjections(left["id"].to_numpy(), _matrix(left["v"], d))
-            for q, vec in zip(right["id"].to_pylist(), _matrix(right["v"], d), strict=True):
-                ids, dist = index.search(vec, q, k)
-                out += zip([q] * len(ids), ids.tolist(), dist.tolist(), strict=True)
-        a, b, c = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
-
-    keys = ["d", "shard", "block"]
-    found = data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
+    shards = max(1, -(-rows.count() // SHARD_ROWS))
+    data = rows.select("d", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard"), F.lit(0).alias("kind"), "id", "v")
+    # every query against all rows: each shard gets its vectors first, then all queries
+    queries = rows.where(F.col("id") % every == 0).select("d", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("kind"), "id", "v")
+    both = data.unionByName(queries).repartition("d", "shard").sortWithinPartitions("d", "shard", "kind")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for b in batches:
+            d, shard, kind, ids = (c.to_numpy() for c in b.columns[:4])
+            new = np.flatnonzero((d[1:] != d[:-1]) | (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])) + 1
+            out: list[tuple] = []
+            for lo, hi in zip([0, *new], [*new, len(d)], strict=True):
+                if lo == hi:
+                    continue
+                if now != (d[lo], shard[lo]):
+                    now, held, index = (d[lo], shard[lo]), [], None
+                x = _matrix(b.column(4).slice(lo, hi - lo), int(d[lo]))
+                if kind[lo] == 0:
+                    held.append((ids[lo:hi], x))
+                    continue
+                if held:
+                    index, held = SortedProjections(*(np.concatenate(p) for p in zip(*held, strict=True))), []
+                for q, vec in zip(ids[lo:hi].tolist(), x, strict=True) if index else ():
+                    found, dist = index.search(vec, q, k)
+                    out += zip([q] * len(found), found.tolist(), dist.tolist(), strict=True)
+            q, v, score = zip(*out, strict=True) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(score, pa.float64())], ["query_id", "vec_id", "score"])
+
+    found = both.mapInArrow(meet, "query_id long, vec_id long, score double")
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _matrix(col: pa.ChunkedArray, d: int) -> np.ndarray:
-    return col.combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
+def _matrix(col: pa.Array, d: int) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)

@@ -45,7 +45,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = prefix_token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), budget=2048)
-    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+    return out.select("doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
