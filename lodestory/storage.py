@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder under spark.checkpoint.dir. Where that is unset, under the warehouse, which a cluster
+    shares; in local mode, where there is one machine, under a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="spark-lodestory-")
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        base = tempfile.mkdtemp(prefix="spark-lodestory-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_lodestory"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
