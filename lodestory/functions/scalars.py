@@ -182,12 +182,10 @@ def is_rolling_build(tag: Column, name: Column) -> Column:
 
 
 def clean_release_body(body: Column) -> Column:
-    t = F.regexp_replace(body, r"```[\s\S]*?```", "")
-    t = F.regexp_replace(t, r"`[^`\n]+`", "")
-    t = F.regexp_replace(t, r"(?m)^\s*\*\s+[\w\s]+:.*$", "")
-    t = F.regexp_replace(t, r"(?m)^\s*[-*]\s+[a-f0-9]{7,}\b.*$", "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    return F.when(t != "", t)
+    """Release notes without what is no prose; null if nothing is left."""
+    for pattern, instead in V.RELEASE_NOISE:
+        body = F.regexp_replace(body, pattern, instead)
+    return F.when(body != "", body)
 
 
 def to_utc_timestamp_any(raw: Column) -> Column:

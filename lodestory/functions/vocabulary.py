@@ -76,3 +76,12 @@ NEWS_THRESHOLD, PAPER_THRESHOLD = 0.30, 0.10
 PAPER_PREFIX = "arXiv"
 PRICE_EVENT_MIN, FLOOR_MATERIAL_PCT = 0.05, 15
 FLOOR_CONTEXT_SHARE = 0.5
+# What is cut from release notes, in this order, and what stands for it.
+RELEASE_NOISE = [
+    (r"```[\s\S]*?```", ""),
+    (r"`[^`\n]+`", ""),
+    (r"(?m)^\s*\*\s+[\w\s]+:.*$", ""),
+    (r"(?m)^\s*[-*]\s+[a-f0-9]{7,}\b.*$", ""),
+    (r"\n{3,}", "\n\n"),
+    (r"^\s+|\s+$", ""),
+]

@@ -115,7 +115,7 @@ def match_models(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: st
     escaped = F.regexp_replace("alias", r"([^\w\s])", r"\\$1")
     by_word = tokens.join(a.withColumn("w", word), "w").drop("w").join(t.select("id", "low").distinct(), "id").where(F.regexp_like(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])"), escaped, F.lit(r"(?![a-z0-9.\-])")))).select("id", "model_id")
     # run-together hits: every five letters of the text against the first five of the alias
-    grams = t.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("run") - 4)), lambda i: F.substring(F.col("run"), i, F.lit(5))))).alias("g"))
+    grams = t.select("id", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit("(?=(.{5}))"), F.lit(1)))).alias("g"))
     tight = a.where(F.length("tight") >= 5).withColumn("g", F.substring("tight", 1, 5))
     by_run = grams.join(tight, "g").drop("g").join(t.select("id", "run").distinct(), "id").where(F.regexp_like(F.col("run"), F.concat(F.col("tight"), F.lit(r"(?![0-9])")))).select("id", "model_id")
     return by_word.unionByName(by_run).distinct()
