@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from lodestory.storage import cut
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, steps: int | None = None) -> DataFrame:
     """node, label: the smallest node of each component of the undirected edges.
 
     Every round takes the smallest label among neighbours and then the label's own label, so long
-    chains shorten by halves. Only counts of changes come to the driver.
+    chains shorten by halves. Only counts of changes come to the driver. Given steps, labels as they
+    stand after so many: nodes of one label are of one component, but not all of those need be of one label.
     """
     both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
     both = cut(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -25,5 +26,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         jumped = hooked.join(up, hooked["label"] == up["at"]).select("node", "old", F.least("label", "above").alias("label"))
         jumped = cut(jumped)
         labels = jumped.select("node", "label")
+        if steps is not None:
+            steps -= 1
+            if steps <= 0:
+                return labels
+            continue
         if not jumped.where("old <> label").limit(1).count():
             return labels
