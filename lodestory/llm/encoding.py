@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from lodestory.llm.shared import buffer_of, ragged, slices
+from lodestory.llm.shared import buffer_of, own_cache, ragged, slices
 
 #: Chunks that a worker keeps at most; then all but the first, the commonest, are forgotten.
 MOST_CHUNKS, FIRST_CHUNKS = 450_000, 200_000
@@ -31,7 +31,6 @@ SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
 SUSPECT[:0x20] = SUSPECT[0xC9:] = True
 SUSPECT[[0x7F, 0xC2, 0xC4]] = True
 SUSPECT[[0x09, 0x0A, 0x0D]] = False
-_kept: dict[tuple, ChunkEncoder] = {}
 
 
 class ChunkEncoder:
@@ -147,6 +146,7 @@ class ChunkEncoder:
 
 def encoder(path: str, spaces: bool) -> ChunkEncoder:
     """The worker's encoder for a vocabulary file."""
-    if (path, spaces) not in _kept:
-        _kept[path, spaces] = ChunkEncoder(path, spaces)
-    return _kept[path, spaces]
+    kept = own_cache("chunks")
+    if (path, spaces) not in kept:
+        kept[path, spaces] = ChunkEncoder(path, spaces)
+    return kept[path, spaces]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestory.llm.shared import buffer_of, cut, mix, prepare, slices, words_of
+from lodestory.llm.shared import buffer_of, cut, mix, own_cache, prepare, slices, words_of
 from lodestory.operators.graph import connected_components
 
 SHINGLE = 5
@@ -39,7 +39,6 @@ STAR_ROUNDS = 4
 DRAW_ROWS = 1 << 14
 #: Shingles that a task holds before it adds them up.
 HELD = 1_000_000
-_draws: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -79,12 +78,13 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
 
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """r, ln c and beta for each sample, one row per value of some bits of a hash, each of bits of its own."""
-    if "t" not in _draws:
+    draws = own_cache("draws")
+    if "t" not in draws:
         rng = np.random.default_rng(20)
         shape = (DRAW_ROWS, BANDS * ROWS)
         r, c = (rng.standard_gamma(2.0, shape, np.float32) for _ in range(2))
-        _draws["t"] = np.maximum(r, 1e-6), np.log(np.maximum(c, 1e-30)), rng.random(shape, np.float32)
-    return _draws["t"]
+        draws["t"] = np.maximum(r, 1e-6), np.log(np.maximum(c, 1e-30)), rng.random(shape, np.float32)
+    return draws["t"]
 
 
 def band_hashes(keys: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -307,7 +307,8 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             pairs = pairs.join(known, (F.least("a", "b") == known["ka"]) & (F.greatest("a", "b") == known["kb"]), "left_anti")
         found = verify(pairs)
         verified = found if verified is None else verified.unionByName(found)
-        labels = connected_components(verified.where(F.col("similarity") >= similarity).select("a", "b"))
+        # between rounds labels only spare comparisons, and one step joins every star; the last are exact
+        labels = connected_components(verified.where(F.col("similarity") >= similarity).select("a", "b"), steps=None if k == STAR_ROUNDS else 1)
     links = verified.where(F.col("similarity") >= similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

@@ -29,6 +29,18 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_caches: dict[str, dict] = {}
+
+
+def own_cache(name: str) -> dict:
+    """What an operator keeps in a worker from task to task. Workers serve one operator after another,
+    so what others keep is dropped."""
+    for other, kept in _caches.items():
+        if other != name:
+            kept.clear()
+    return _caches.setdefault(name, {})
+
+
 def held_out(key: str) -> F.Column:
     """Rows that no model may learn from: crc32 of the id as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 4 == 2, F.lit(False))

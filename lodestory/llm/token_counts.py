@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from lodestory.llm.encoding import _ODD, _SPECIAL
-from lodestory.llm.shared import prepare, ragged
+from lodestory.llm.shared import own_cache, prepare, ragged
 
 #: Word pieces of the vocabulary; white space separates and is dropped.
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
@@ -31,7 +31,6 @@ MOST_PREFIXES, MOST_CHUNKS, FIRST_CHUNKS = 1_200_000, 500_000, 150_000
 #: Signs of a pre-token above which its prefixes are known by their places, not kept as strings.
 LONG = 64
 END = "</w>"
-_kept: dict[str, PrefixCounter] = {}
 
 
 def byte_signs() -> list[str]:
@@ -313,9 +312,10 @@ def _held(step: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 
 def counter(path: str) -> PrefixCounter:
-    if path not in _kept:
-        _kept[path] = PrefixCounter(path)
-    return _kept[path]
+    kept = own_cache("prefixes")
+    if path not in kept:
+        kept[path] = PrefixCounter(path)
+    return kept[path]
 
 
 def tokens_before(table: np.ndarray, chars: int) -> int:
