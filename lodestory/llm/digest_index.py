@@ -68,7 +68,7 @@ class DigestIndex:
         An arrival is complete once its append is; given again under the same name, after a failure
         or by mistake, it finds its own entries and adds nothing.
         """
-        new = rows.groupBy("digest").agg(F.max("id").alias("keep_id"))
+        new = cut(rows.groupBy("digest").agg(F.max("id").alias("keep_id")))  # else the anti-join goes below the sums and moves every row
         held = self.entries().select("digest").hint("merge")
         new.join(held, "digest", "left_anti").select("digest", "keep_id", F.lit(arrival).alias("arrival")).write.insertInto(self.name)
         return self.entries().where(F.col("arrival") == arrival)
