@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestory.operators.graph import connected_components
+from lodestory.operators.slots import assign_in_slots
 from lodestory.shipping import ship
 from lodestory.storage import cut
 
@@ -167,52 +167,23 @@ def assign_stories(vectors: DataFrame, threshold: Column, *, hours: int = 48, k:
     """id, story of the articles whose `story` is null, by the greedy rule; those that have one keep it,
     and their stories, with the centroid of all their members, may be joined.
 
-    An article looks only at its neighbours' stories, so components of the graph of articles and
-    stories are independent: each is replayed in order in one task. Components are as large as
-    stories that touch; a threshold so loose that one swallows a great part of the data does not
-    suit this rule. New stories are named by the id of their first member.
+    Articles are settled slot by slot of time (see `slots`), so no group grows with a component of
+    articles that hang together. New stories are named by the id of their first member.
     """
     ship(vectors.sparkSession)
     fresh = vectors.where("story is null").drop("story")
     near = knn_window(fresh, threshold, hours=hours, k=k, among=vectors)
-    homes = vectors.select(F.col("id").alias("other"), "story")
-    near = cut(near.join(homes, "other", "left").select("id", "other", "rank", "story"))
-    mine, theirs = F.concat(F.lit("a"), "id"), F.coalesce(F.concat(F.lit("s"), "story"), F.concat(F.lit("a"), "other"))
-    groups = cut(connected_components(near.select(mine.alias("a"), theirs.alias("b"))))
-    lists = near.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other", "story"))), lambda s: F.struct(s["other"].alias("other"), s["story"].alias("story"))).alias("near"))
-    rows = fresh.select("id", "published_at", "vector", threshold.alias("thr"), mine.alias("node")).join(lists, "id", "left").join(groups, "node", "left")
-    alone = rows.where("label is null").select("id", F.col("id").cast("string").alias("story"))
-    # stories that may be joined: the sum of all their members
-    met = near.where("story is not null").select("story").distinct()
-    kept = vectors.join(met, "story", "left_semi")
-    size = kept.groupBy("story").agg(F.count("*").alias("n"))
-    stories = centroids(kept, "story").join(size, "story").withColumn("vector", F.transform("vector", lambda v: v * F.col("n")))
-    stories = stories.withColumn("node", F.concat(F.lit("s"), "story")).join(groups, "node")
-    article = rows.where("label is not null").select("label", "id", "published_at", F.transform("vector", lambda v: v.cast("double")).alias("vector"), "thr", "near", F.lit(None).cast("string").alias("story"))
-    story = stories.select("label", F.lit(None).cast("long").alias("id"), F.lit(None).cast("timestamp").alias("published_at"), "vector", F.lit(None).cast("double").alias("thr"), F.lit(None).cast(article.schema["near"].dataType).alias("near"), "story")
-
-    def replay(df: pd.DataFrame) -> pd.DataFrame:
-        fixed = df["story"].notna()
-        sums = {s: np.asarray(v, np.float64) for s, v in zip(df["story"][fixed], df["vector"][fixed], strict=True)}
-        df = df[~fixed].sort_values(["published_at", "id"])
-        home_of: dict[int, str] = {}
-        for i, thr, v, near in zip(df["id"], df["thr"], df["vector"], df["near"], strict=True):
-            i, v, home, tried = int(i), np.asarray(v, np.float64), str(int(i)), set()
-            for other in near if near is not None else ():
-                s = other["story"] or home_of.get(other["other"])
-                if s is None or s in tried:
-                    continue
-                tried.add(s)
-                n = np.linalg.norm(sums[s]) * np.linalg.norm(v)
-                if n >= 1e-9 and 1 - sums[s] @ v / n < thr:
-                    home = s
-                    break
-            home_of[i] = home
-            sums[home] = sums[home] + v if home in sums else v.copy()
-        return pd.DataFrame({"id": list(home_of), "story": list(home_of.values())})
-
-    grouped = article.unionByName(story).groupBy("label").applyInPandas(replay, "id long, story string")
-    return alone.unionByName(grouped)
+    homes = vectors.select(F.col("id").alias("other"), F.unix_micros("published_at").alias("u"), "story")
+    lists = near.join(homes, "other").groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "other", "u", "story"))), lambda s: F.struct(s["other"].alias("other"), s["u"].alias("u"), s["story"].alias("story"))).alias("near"))
+    rows = timed(fresh).select("id", "t", threshold.cast("double").alias("thr"), F.transform("vector", lambda v: v.cast("double")).alias("vector")).join(lists, "id", "left")
+    rows = cut(rows.repartitionByRange("t", "id").sortWithinPartitions("t", "id"))
+    met = rows.select(F.explode("near.story").alias("story")).where("story is not null").distinct()
+    stories = None
+    if met.limit(1).count():  # the sum of all members of each story that may be joined
+        kept = vectors.join(met, "story", "left_semi")
+        size = kept.groupBy("story").agg(F.count("*").alias("n"))
+        stories = cut(centroids(kept, "story").join(size, "story").select("story", F.transform("vector", lambda v: v * F.col("n")).alias("vector")))
+    return assign_in_slots(rows, stories, hours * 3_600_000_000)
 
 
 def intra_max(vectors: DataFrame, key: str = "cluster_id") -> DataFrame:
