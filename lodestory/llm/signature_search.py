@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lodestory.llm.shared import LOWER, MULT, WORD, buffer_of, mix, prefix_hash, prepare, ragged, range_hash, scratch
 
 #: Text of a block, queries' terms of one pass, and cells of a bit matrix, at most about.
-BLOCK_BYTES, QUERY_BYTES, CELLS = 4 << 20, 8 << 20, 16 << 20
+BLOCK_BYTES, QUERY_BYTES, CELLS = 2 << 20, 8 << 20, 8 << 20
 #: A term that occurs at least so many times sets the bits of that step.
 STEPS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512, 1024], np.int64)
 HASHES, BITS_PER_KEY = 3, 8
@@ -172,7 +172,7 @@ class Block:
                 if not len(live):
                     break
                 level[live] += np.unpackbits(before, axis=1, count=docs)
-            yield np.stack(most)[level, np.arange(docs)].astype(np.float64)
+            yield np.stack(most).astype(np.float32)[level, np.arange(docs)]
 
     def exact(self, docs: np.ndarray, worth: np.ndarray) -> np.ndarray:
         """Scores of documents, worth: the weight of each of the block's terms."""
@@ -220,8 +220,8 @@ def search_block(block: Block, q: Queries, best: Best) -> None:
             continue
         codes = code[mine].astype(np.int64)
         worth[codes] = q.weight[mine]
-        bound = q.weight[mine].astype(np.float64) @ gain[place[mine]]
-        bound = np.where(valid, bound * (1 + 1e-12) + 0.5, 0)  # above the rounding of the sum
+        bound = q.weight[mine].astype(np.float32) @ gain[place[mine]]
+        bound = np.where(valid, bound.astype(np.float64) * (1 + (len(mine) + 4) * 2e-7), 0)  # above all rounding
         best.seen += int(valid.sum())
         head = np.flatnonzero(bound >= best.least[i])
         if len(head) > best.k:
