@@ -15,8 +15,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", *, steps:
     chains shorten by halves. Only counts of changes come to the driver. Given steps, labels as they
     stand after so many: nodes of one label are of one component, but not all of those need be of one label.
     """
-    both = edges.select(F.col(a).alias("src"), F.col(b).alias("dst"))
-    both = cut(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    ways = F.array(F.struct(F.col(a).alias("src"), F.col(b).alias("dst")), F.struct(F.col(b).alias("src"), F.col(a).alias("dst")))
+    both = cut(edges.select(F.explode(ways).alias("e")).select("e.*").distinct())  # the edges are made once
     labels = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("label")).withColumn("label", F.least("node", "label"))
     labels = cut(labels)
     while True:

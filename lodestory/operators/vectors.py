@@ -8,7 +8,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestory.operators import pivots
 from lodestory.operators.graph import connected_components
+from lodestory.operators.pivots import fold, matrix
 from lodestory.operators.slots import assign_in_slots
 from lodestory.shipping import ship
 from lodestory.storage import cut
@@ -30,34 +32,32 @@ def _blocked(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFr
     return a, b.select(*[F.col(c).alias(c) for c in b.columns]), [*keys, "_l", "_r"]
 
 
-def _matrix(col: pa.ChunkedArray) -> np.ndarray:
-    flat = pa.concat_arrays(col.chunks).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(col), -1)
-
-
-def _fold(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Row by row products summed from the first place on, so that equal vectors give equal sums."""
-    out = np.zeros(len(x))
-    for p in range(x.shape[1]):
-        out += x[:, p] * y[:, p]
-    return out
-
-
 def time_pairs(left: DataFrame, right: DataFrame, hours: int, keep: list[str], *, below: str | float, k: int | None = None) -> DataFrame:
     """id, id_2, d, and `keep` of both sides (id, t micros, vector, ...) for rows at most `hours` apart with different
     ids whose cosine distance is under `below` (a number, or a column of the left side); with k,
     at least the k nearest of each left row.
 
-    Time is cut into buckets of that width; one side stands in its own bucket and both neighbours.
-    Blocks of bounded size meet in numpy, so no pair leaves a task but those under the limit.
-    Vectors without length have no distance.
+    Time is cut into buckets of that width; a bucket meets itself and its neighbours. Where all
+    buckets are small, each is one block; where one is crowded, its vectors stand in blocks around
+    pivots, and pairs of blocks that the triangle inequality excludes never meet (see `pivots`). Pairs
+    under the limit are all that leaves a task. Vectors without length have no distance.
     """
     ship(left.sparkSession)
     width = hours * 3_600_000_000
-    a = left.select("id", "t", "vector", (F.lit(float(below)) if isinstance(below, (int, float)) else F.col(below)).alias("_below"), *keep)
-    a = a.withColumn("_b", F.explode(F.array(*[F.floor(F.col("t") / width) + o for o in (-1, 0, 1)])))
-    b = right.select("id", "t", "vector", *keep).withColumn("_b", F.floor(F.col("t") / width))
-    a, b, keys = _blocked(a, b, ["_b"])
+    bucket = F.floor(F.col("t") / width)
+    a = cut(left.select("id", "t", "vector", (F.lit(float(below)) if isinstance(below, (int, float)) else F.col(below)).alias("_below"), *keep, bucket.alias("_b")))
+    b = a if right is left else cut(right.select("id", "t", "vector", *keep, bucket.alias("_b")))
+    crowded = lambda df: (df.groupBy("_b").count().agg(F.max("count")).first()[0] or 0) > pivots.BLOCK_ROWS
+    if crowded(a) or a is not b and crowded(b):
+        centres = cut(pivots.choose_pivots(b.select("_b", "id", "vector").unionByName(a.select("_b", "id", "vector")) if a is not b else b))
+        x = pivots.place(a, centres)
+        y = x if a is b else pivots.place(b, centres)
+        pairs = pivots.block_pairs(pivots.blocks(x, centres, "_below"), pivots.blocks(y, centres))
+        x, y, keys = pivots.dealt(x, y, pairs)
+    else:
+        x, y, keys = a.withColumn("_b", F.explode(F.array(*[F.col("_b") + o for o in (-1, 0, 1)]))), b, ["_b"]
+    # both sides may be one frame: the second gets columns of its own
+    y = y.select(*[F.col(c).alias(c) for c in y.columns if c != "_below"])
     kinds = dict(left.dtypes)
     schema = f"id {kinds['id']}, id_2 {kinds['id']}, d double" + "".join(f", {c} {kinds[c]}, {c}_2 {kinds[c]}" for c in keep)
 
@@ -65,8 +65,8 @@ def time_pairs(left: DataFrame, right: DataFrame, hours: int, keep: list[str], *
         i = j = np.zeros(0, np.int64)
         d = np.zeros(0)
         if len(x) and len(y):
-            v, w = _matrix(x["vector"]), _matrix(y["vector"])
-            n, m = np.sqrt(_fold(v, v)), np.sqrt(_fold(w, w))
+            v, w = matrix(x["vector"]), matrix(y["vector"])
+            n, m = np.sqrt(fold(v, v)), np.sqrt(fold(w, w))
             limit = x["_below"].to_numpy()
             with np.errstate(divide="ignore", invalid="ignore"):
                 rough = 1 - (v / n[:, None]) @ (w / m[:, None]).T
@@ -75,7 +75,7 @@ def time_pairs(left: DataFrame, right: DataFrame, hours: int, keep: list[str], *
             near = np.abs(x["t"].to_numpy()[i] - y["t"].to_numpy()[j]) <= width
             near &= (n[i] >= 1e-9) & (m[j] >= 1e-9) & pc.not_equal(ids.take(pa.array(i)), ids_2.take(pa.array(j))).to_numpy(zero_copy_only=False)
             i, j = i[near], j[near]
-            d = 1 - _fold(v[i], w[j]) / (n[i] * m[j])
+            d = 1 - fold(v[i], w[j]) / (n[i] * m[j])
             under = d < limit[i]
             i, j, d = i[under], j[under], d[under]
             if k is not None and len(i):
@@ -92,7 +92,7 @@ def time_pairs(left: DataFrame, right: DataFrame, hours: int, keep: list[str], *
             cols |= {c: x[c].take(at), f"{c}_2": y[c].take(at_2)}
         return pa.table(cols)
 
-    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, schema)
+    return x.groupBy(*keys).cogroup(y.groupBy(*keys)).applyInArrow(meet, schema)
 
 
 def timed(vectors: DataFrame) -> DataFrame:
@@ -130,7 +130,8 @@ def close_pairs(points: DataFrame, *, news: float, paper: float, hours: int = 48
 
 def ambiguous_pairs(points: DataFrame, *, low: float, high: float, hours: int = 48, most: int = 60) -> DataFrame:
     """The closest pairs in [low, high) without papers, for an outside judge."""
-    pairs = time_pairs(points.where(~F.col("paper")), points.where(~F.col("paper")), hours, [], below=high).where("id < id_2")
+    news = points.where(~F.col("paper"))
+    pairs = time_pairs(news, news, hours, [], below=high).where("id < id_2")
     band = pairs.where(F.col("d") >= low).select(F.col("id").alias("a"), F.col("id_2").alias("b"), "d")
     return band.orderBy("d", "a", "b").limit(most)
 
@@ -201,14 +202,14 @@ def intra_max(vectors: DataFrame, key: str = "cluster_id") -> DataFrame:
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
         best, pairs = None, 0
         if len(x) and len(y):
-            v, w = _matrix(x["vector"]), _matrix(y["vector"])
-            n, m = np.sqrt(_fold(v, v)), np.sqrt(_fold(w, w))
+            v, w = matrix(x["vector"]), matrix(y["vector"])
+            n, m = np.sqrt(fold(v, v)), np.sqrt(fold(w, w))
             pairs = len(v) * len(w) - len(v) if x["_l"][0].as_py() == x["_r"][0].as_py() else len(v) * len(w)
             v, n, w, m = v[n > 0], n[n > 0], w[m > 0], m[m > 0]
             if len(v) and len(w):
                 rough = (v / n[:, None]) @ (w / m[:, None]).T
                 i, j = np.nonzero(rough <= rough.min() + 1e-9)
-                best = float((1 - _fold(v[i], w[j]) / (n[i] * m[j])).max())
+                best = float((1 - fold(v[i], w[j]) / (n[i] * m[j])).max())
         keep = pairs > 0
         return pa.table({"_k": x["_k"][:1] if keep else x["_k"][:0], "max_d": pa.array([best] if keep else [], pa.float64())})
 

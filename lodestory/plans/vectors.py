@@ -92,7 +92,8 @@ def _(x):
 
 @q("I2_merge_close_clusters", "SELECT p.id AS old, first_value(p.id) OVER (PARTITION BY coalesce(c.label, p.id) ORDER BY p.size DESC, p.t, p.id) AS new FROM points p LEFT JOIN comps c ON c.node = p.id")
 def _(x):
-    return X.merge_stories(points(x), close(x).select("a", "b"))
+    p = cut(points(x))
+    return X.merge_stories(p, X.close_pairs(p, news=NEWS, paper=PAPER, hours=WINDOW_HOURS).select("a", "b"))
 
 
 @q("I3_connected_components", "SELECT node, label FROM comps")
@@ -107,7 +108,7 @@ def _(x):
 
 @q("I5_apply_confirmed_pairs", "SELECT a, b, (length(a) + length(b)) % 2 = 0 AS same FROM band")
 def _(x):
-    pairs = X.ambiguous_pairs(points(x), low=NEWS, high=BAND, hours=WINDOW_HOURS)
+    pairs = cut(X.ambiguous_pairs(points(x), low=NEWS, high=BAND, hours=WINDOW_HOURS))
     verdicts = pairs.where((F.length("a") + F.length("b")) % 2 == 0).select("a", "b", F.lit(True).alias("same"))
     return X.apply_verdicts(pairs, verdicts).select("a", "b", "same")
 

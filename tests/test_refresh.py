@@ -115,6 +115,7 @@ def test_blocks_change_nothing(spark, x, monkeypatch):
     wide = lambda: sorted(map(tuple, X.intra_max(v).collect()))
     a, b = near(), wide()
     monkeypatch.setattr(X, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(X.pivots, "BLOCK_ROWS", 7)
     assert a and near() == a and wide() == b
 
 
