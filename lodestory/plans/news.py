@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from lodestory.functions import scalars as S
 from lodestory.operators import stories as T
 from lodestory.plans.catalog import query
 from lodestory.sources.fixtures import PAPER_PREFIX, Fixtures, as_of
+from lodestory.storage import cut
 
 DAY = "2024-01-03"
 
@@ -535,12 +539,39 @@ def _(x):
     return members.unionByName(related)
 
 
-@query("M6_search", f"""SELECT id, round(s, 6) AS rank_score FROM (SELECT c.id, significance_score / (1 + {AGE} / 86400 / 60) AS s FROM clusters c WHERE id IN (SELECT id FROM (SELECT id FROM clusters WHERE contains(lower(headline), 'the') ORDER BY {SQL_ORDER} LIMIT 100))
-    OR id IN (SELECT cluster_id FROM (SELECT cluster_id, max(published_at) AS l FROM (SELECT * FROM articles WHERE cluster_id IS NOT NULL AND contains(lower(source_name), 'the') ORDER BY published_at DESC, id LIMIT 500) GROUP BY 1 ORDER BY l DESC, cluster_id LIMIT 100))) ORDER BY rank_score DESC, id LIMIT 20""")
+#: Searches that meet both branches: plain words, an outlet with days, alternatives with a phrase and an exclusion
+#: in one category, and synonyms of a whole query. Each has its words in SQL too.
+SEARCHES = {
+    "words": ({"query": "the and", "offset": 2, "limit": 20}, ["has(h, 'the') AND has(h, 'and')"], ["the and"], "true"),
+    "outlet": ({"query": "src7", "date_from": "2024-01-02", "date_to": "2024-01-05"}, ["has(h, 'src7')"], ["src7"], "{t} >= TIMESTAMP '2024-01-02' AND {t} < TIMESTAMP '2024-01-06'"),
+    "alternatives": ({"query": '"in the" OR de -la', "category": "research-papers"}, ["has(h, 'in the')", "has(h, 'de') AND NOT has(h, 'la')"], ['"in the" or de -la'], "true"),
+    "synonyms": ({"query": "Eriner", "synonyms": {"eriner": ["src3", "of the"]}, "limit": 50}, ["has(h, 'eriner')", "has(h, 'src3')", "has(h, 'of the')"], ["eriner", "src3", "of the"], "true"),
+}
+
+
+def _search_sql(name: str) -> str:
+    asked, wanted, outlets, days = SEARCHES[name]
+    fit = days.format(t="first_published_at") + (f" AND category = '{asked['category']}'" if "category" in asked else "")
+    named = " OR ".join(f"contains(lower(source_name), '{o}')" for o in outlets)
+    words = " OR ".join(f"({w})" for w in wanted)
+    for phrase in dict.fromkeys(re.findall(r"has\(h, '[^']*'\)", words)):
+        words = words.replace(phrase, f"contains(h, ' {phrase[8:-2]} ')")
+    return f"""SELECT * FROM (WITH s AS (SELECT *, ' ' || array_to_string(regexp_extract_all(lower(headline), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' ' AS h FROM clusters WHERE {fit}),
+    a AS (SELECT * FROM s WHERE {words} ORDER BY {SQL_ORDER} LIMIT 100),
+    n AS (SELECT DISTINCT cluster_id FROM (SELECT cluster_id FROM articles WHERE cluster_id IS NOT NULL AND ({named}) AND {days.format(t="published_at")} ORDER BY published_at DESC, id LIMIT 500)),
+    b AS (SELECT * FROM s WHERE id IN (FROM n) AND id NOT IN (SELECT id FROM a) ORDER BY {SQL_ORDER} LIMIT 100),
+    page AS (SELECT id, round(significance_score / (1 + {AGE} / 86400 / 60), 6) AS rank_score, row_number() OVER (ORDER BY round(significance_score / (1 + {AGE} / 86400 / 60), 6) DESC, id) - {asked.get("offset", 0)} AS pos FROM (FROM a UNION ALL FROM b))
+    SELECT '{name}' AS search, pos, id, rank_score, (SELECT string_agg(m.id, ',' ORDER BY m.r) FROM (SELECT id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY authority DESC NULLS LAST, published_at, id) AS r FROM articles) m WHERE m.cluster_id = page.id AND r <= 3) AS articles FROM page WHERE pos BETWEEN 1 AND {asked.get("limit", 20)})"""
+
+
+@query("M6_search", " UNION ALL ".join(map(_search_sql, SEARCHES)))
 def _(x):
-    hits = T.search(x.clusters(), x.articles(), ["the"])
-    score = F.round(F.col("significance_score") / (1 + age_seconds() / 86400 / 60), 6)
-    return T.top_k(hits.select("id", score.alias("rank_score")), 20, F.col("rank_score").desc(), F.col("id"))
+    from lodestory.operators.search import search_page, write_postings
+
+    c, a = cut(x.clusters()), cut(x.articles().select("id", "cluster_id", "title", "source_name", "published_at", "authority"))
+    index = write_postings(c)
+    pages = [search_page(c, a, index, now=as_of(), **asked).select(F.lit(name).alias("search"), F.col("pos").cast("long").alias("pos"), "id", "rank_score", F.array_join(F.transform("articles", lambda m: m["id"].cast("string")), ",").alias("articles")) for name, (asked, *_) in SEARCHES.items()]
+    return reduce(DataFrame.unionByName, pages)
 
 
 @query("M7_last_ingested", "SELECT max(published_at) AS last FROM articles")
