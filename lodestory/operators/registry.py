@@ -22,8 +22,9 @@ def percentiles(scores: DataFrame) -> DataFrame:
 
 
 def bucket_scores(pct: DataFrame, buckets: DataFrame) -> DataFrame:
-    """model_id, bucket, score: the mean percentile over a bucket's benchmarks that a model has."""
-    return pct.join(buckets, "benchmark").groupBy("model_id", "bucket").agg(S.half_up(F.avg("pct")).alias("score"))
+    """model_id, bucket, score: the mean percentile over a bucket's benchmarks that a model has. The map of
+    buckets is a fixed list of some dozens, so it is sent to every task."""
+    return pct.join(F.broadcast(buckets), "benchmark").groupBy("model_id", "bucket").agg(S.half_up(F.avg("pct")).alias("score"))
 
 
 def overall(buckets: DataFrame) -> DataFrame:

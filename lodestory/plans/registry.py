@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, Row, Window
@@ -47,12 +48,19 @@ def year(x: Fixtures) -> DataFrame:
     return R.last_year(x.models(), as_of())
 
 
-def year_scores(x: Fixtures) -> DataFrame:
-    return x.benchmarks().join(year(x).select(F.col("id").alias("model_id")), "model_id", "left_semi")
+def page(x: Fixtures, limit: int = 200) -> DataFrame:
+    """The newest of last year's models, which a registry page shows and ranks among themselves."""
+    return cut(top_k(year(x), limit, F.col("released_at").desc(), F.col("id")))
 
 
-def buckets(x: Fixtures) -> DataFrame:
-    return R.bucket_scores(R.percentiles(year_scores(x)), x.bucket_map())
+def year_scores(x: Fixtures, models: DataFrame | None = None) -> DataFrame:
+    """Scores of the models of a population: all of last year's, if none is given."""
+    models = year(x) if models is None else models
+    return x.benchmarks().join(models.select(F.col("id").alias("model_id")), "model_id", "left_semi")
+
+
+def buckets(x: Fixtures, models: DataFrame | None = None) -> DataFrame:
+    return R.bucket_scores(R.percentiles(year_scores(x, models)), x.bucket_map())
 
 
 def eci(x: Fixtures) -> DataFrame:
@@ -63,10 +71,11 @@ def coverage(x: Fixtures) -> DataFrame:
     return x.model_clusters().groupBy("model_id").agg(F.count("*").alias("n"))
 
 
-def wide(x: Fixtures) -> DataFrame:
-    """Last year's models with index, coverage and one column per bucket."""
-    b = buckets(x).groupBy("model_id").pivot("bucket", ["coding", "math", "reasoning", "agentic"]).agg(F.max("score"))
-    m = year(x).withColumn("model_id", F.col("id"))
+def wide(x: Fixtures, models: DataFrame | None = None) -> DataFrame:
+    """The models of a population (all of last year's, if none is given) with index, coverage and one column
+    per bucket; percentiles are taken within the population."""
+    b = buckets(x, models).groupBy("model_id").pivot("bucket", ["coding", "math", "reasoning", "agentic"]).agg(F.max("score"))
+    m = (year(x) if models is None else models).withColumn("model_id", F.col("id"))
     return m.join(eci(x), "model_id", "left").join(coverage(x).withColumnRenamed("n", "coverage"), "model_id", "left").join(b, "model_id", "left").na.fill(0, ["coverage"]).drop("model_id")
 
 
@@ -495,9 +504,21 @@ def _(x):
     return R.alias_index(x.models())
 
 
-@q("M8_registry", "SELECT m.id, m.slug, m.eci, m.coverage, m.coding, m.math, m.reasoning, m.agentic FROM wide m ORDER BY released_at DESC, id LIMIT 200")
+def _page_views() -> dict[str, str]:
+    """The views of percentiles, buckets and wide rows once more, within the page of 200."""
+    names = ("last_year", "year_scores", "pct", "bucket_scores", "wide")
+    out = {"page_models": "SELECT * FROM last_year ORDER BY released_at DESC, id LIMIT 200"}
+    for name in names[1:]:
+        sql = OWN[name]
+        for other in names:
+            sql = re.sub(rf"\b{other}\b", "page_models" if other == "last_year" else f"page_{other}", sql)
+        out[f"page_{name}"] = sql
+    return out
+
+
+@q("M8_registry", "SELECT m.id, m.slug, m.eci, m.coverage, m.coding, m.math, m.reasoning, m.agentic FROM page_wide m", **_page_views())
 def _(x):
-    return top_k(wide(x), 200, F.col("released_at").desc(), F.col("id")).select("id", "slug", "eci", "coverage", "coding", "math", "reasoning", "agentic")
+    return wide(x, page(x)).select("id", "slug", "eci", "coverage", "coding", "math", "reasoning", "agentic")
 
 
 DETAIL = "SELECT id FROM models WHERE slug = (SELECT min(slug) FROM models)"
@@ -538,10 +559,11 @@ def _(x):
     return reduce(DataFrame.unionByName, rows)
 
 
-@q("M11_best_models", " UNION ALL ".join(f"SELECT view, id FROM ({RANK.format(k, v)})" for k, v in RANKS.items()) + " UNION ALL SELECT 'cheapest', id FROM (SELECT id FROM (SELECT id, price_in FROM wide WHERE coding IS NOT NULL ORDER BY coding DESC, id LIMIT 10) ORDER BY price_in, id LIMIT 1)")
+@q("M11_best_models", " UNION ALL ".join(f"SELECT view, id FROM ({RANK.format(k, v).replace('FROM wide', 'FROM page_wide')})" for k, v in RANKS.items()) + " UNION ALL SELECT 'cheapest', id FROM (SELECT id FROM (SELECT id, price_in FROM page_wide WHERE coding IS NOT NULL ORDER BY coding DESC, id LIMIT 10) ORDER BY price_in, id LIMIT 1)", **_page_views())
 def _(x):
-    views = [ranked(x, view).select(F.lit(view).alias("view"), "id") for view in RANKS]
-    cheap = top_k(top_k(R.rank_models(wide(x), "coding"), 10, F.col("value").desc(), F.col("id")), 1, F.col("price_in"), F.col("id"))
+    w = cut(wide(x, page(x)))
+    views = [top_k(R.rank_models(w, view), 20, F.col("value").desc(), F.col("id")).select(F.lit(view).alias("view"), "id") for view in RANKS]
+    cheap = top_k(top_k(R.rank_models(w, "coding"), 10, F.col("value").desc(), F.col("id")), 1, F.col("price_in"), F.col("id"))
     return reduce(DataFrame.unionByName, [*views, cheap.select(F.lit("cheapest").alias("view"), "id")])
 
 
@@ -633,10 +655,14 @@ QUADRANT = """SELECT id, CASE WHEN greatest(coverage, 1) >= mx THEN CASE WHEN ec
 DISCOUNTS = "SELECT model_id, round((1 - floor_price_in / vendor_price_in) * 100, 4) AS pct FROM prices WHERE vendor_price_in > 0 AND (1 - floor_price_in / vendor_price_in) * 100 >= 5 ORDER BY pct DESC, model_id LIMIT 10"
 
 
-@q("M15_insight_frontiers", " UNION ALL ".join([*(RISING.format(part=k, x=v, by="") for k, v in (("price", "price_in"), ("time", "released_at"), ("context", "context_window"))), RISING.format(part="open and closed", x="price_in", by="PARTITION BY is_open_weight "),
-    f"SELECT 'quadrant', id, quadrant FROM ({QUADRANT})", "SELECT 'value', id, NULL FROM (SELECT id FROM wide WHERE eci IS NOT NULL AND price_in + price_out > 0 ORDER BY eci / ((price_in + price_out) / 2) DESC, id LIMIT 12)", f"SELECT 'discount', model_id, NULL FROM ({DISCOUNTS})"]))
+def _on_page(sql: str) -> str:
+    return re.sub(r"\bwide\b", "page_wide", sql)
+
+
+@q("M15_insight_frontiers", " UNION ALL ".join([*(_on_page(RISING.format(part=k, x=v, by="")) for k, v in (("price", "price_in"), ("time", "released_at"), ("context", "context_window"))), _on_page(RISING.format(part="open and closed", x="price_in", by="PARTITION BY is_open_weight ")),
+    f"SELECT 'quadrant', id, quadrant FROM ({_on_page(QUADRANT)})", "SELECT 'value', id, NULL FROM (SELECT id FROM page_wide WHERE eci IS NOT NULL AND price_in + price_out > 0 ORDER BY eci / ((price_in + price_out) / 2) DESC, id LIMIT 12)", f"SELECT 'discount', model_id, NULL FROM ({DISCOUNTS})"]), **_page_views())
 def _(x):
-    w = wide(x)
+    w = cut(wide(x, page(x)))
     part = lambda df, name, label=None: df.select(F.lit(name).alias("part"), "id", (F.lit(None) if label is None else F.col(label)).cast("string").alias("label"))
     lines = [part(R.running_max_frontier(w, v, "eci", "id"), k) for k, v in (("price", "price_in"), ("time", "released_at"), ("context", "context_window"))]
     lines += [part(R.running_max_frontier(w, "price_in", "eci", "id", ["is_open_weight"]), "open and closed"), part(quadrants(w.where("eci is not null")), "quadrant", "quadrant")]
@@ -670,7 +696,9 @@ MEASURED = " UNION ALL ".join(f"SELECT p.a, p.b, '{k}' AS attribute, {'true' if
 @q("M21_pair_differences", f"SELECT a, b, attribute, va, vb, CASE WHEN (va > vb) = up THEN 'a' ELSE 'b' END AS winner FROM ({MEASURED}) WHERE va <> vb", pairs=PAIRS)
 def _(x):
     """Every pair of the comparison pages."""
-    w, pairs = wide(x).withColumn("key", F.col("slug")), R.compare_pairs(cands(x), 5)
+    pairs = cut(R.compare_pairs(cands(x), 5))
+    named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    w = cut(wide(x).join(named, F.col("slug") == F.col("key"), "left_semi").withColumn("key", F.col("slug")))
     a, b = (pairs.join(w, pairs[side] == w["key"]).drop("key", "slug") for side in ("a", "b"))
     return pair_differences(a, b, MEASURES, ["a", "b"])
 
