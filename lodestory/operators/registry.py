@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestory.functions import scalars as S
 from lodestory.functions import vocabulary as V
+from lodestory.operators.scan import rank_shares, running_max, share
 from lodestory.operators.stories import first_per_key, top_k
 
 
@@ -16,9 +17,9 @@ def last_year(models: DataFrame, as_of: Column, days: int = 365) -> DataFrame:
 
 def percentiles(scores: DataFrame) -> DataFrame:
     """pct within each benchmark: share of the others that are below, half up; a lone model has 100."""
-    line = Window.partitionBy("benchmark").orderBy("score")
-    alone = F.count("*").over(Window.partitionBy("benchmark")) == 1
-    return scores.withColumn("pct", F.when(alone, 100).otherwise(S.half_up(F.percent_rank().over(line) * 100)).cast("long"))
+    placed = rank_shares(scores, ["benchmark"], "score", "model_id")
+    pct = F.coalesce(S.half_up(share(F.col("below"), F.col("size")) * 100), F.lit(100)).cast("long")
+    return placed.withColumn("pct", pct).drop("below", "size")
 
 
 def bucket_scores(pct: DataFrame, buckets: DataFrame) -> DataFrame:
@@ -52,12 +53,9 @@ def cheapest_variant(rows: DataFrame, key: str, price: str, order: str) -> DataF
 
 
 def running_max_frontier(rows: DataFrame, x: str, y: str, ident: str, groups: list[str] | None = None) -> DataFrame:
-    """Rows, by rising x (ties by id), whose y beats every row before, in each group. A group is
-    ordered in one task: this is for a registry of models, which is small beside its news."""
-    groups = groups or []
-    best = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    line = Window.partitionBy(*groups).orderBy(x, ident).rowsBetween(Window.unboundedPreceding, -1)
-    return best.withColumn("_m", F.max(y).over(line)).where(F.col("_m").isNull() | (F.col(y) > F.col("_m"))).drop("_m")
+    """Rows, by rising x (ties by id), whose y beats every row before, in each group."""
+    risen = running_max(rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()), groups or [], [x, ident], y)
+    return risen.where(F.col("before").isNull() | (F.col(y) > F.col("before"))).drop("before")
 
 
 def flagships(cands: DataFrame, k: int = 8) -> DataFrame:

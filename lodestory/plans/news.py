@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodestory.functions import scalars as S
 from lodestory.operators import stories as T
+from lodestory.operators.scan import beside
 from lodestory.plans.catalog import query
 from lodestory.sources.fixtures import PAPER_PREFIX, Fixtures, as_of
 from lodestory.storage import cut
@@ -199,8 +200,7 @@ def story_days(stories: DataFrame, least: int = 3) -> DataFrame:
 
 @query("C18_adjacent_period", f"SELECT d, n, lag(d) OVER (ORDER BY d) AS before, lead(d) OVER (ORDER BY d) AS after FROM ({DAYS})")
 def _(x):
-    line = Window.orderBy("d")  # one row per day
-    return story_days(x.clusters()).select("d", "n", F.lag("d").over(line).alias("before"), F.lead("d").over(line).alias("after"))
+    return beside(story_days(x.clusters()), [], ["d"], "d").select("d", "n", F.col("previous").alias("before"), F.col("next").alias("after"))
 
 
 @query("D1_agg_cluster_meta", "SELECT cluster_id, article_count, first_published_at FROM cluster_meta")
@@ -300,10 +300,9 @@ def _(x):
 
 
 def run_gaps(runs: DataFrame, now, hours: int = 4) -> DataFrame:
-    """Gaps of more than `hours` between runs, and the open one up to now. The run log keeps a
-    bounded number of rows, so one ordered window is enough."""
-    nxt = F.coalesce(F.lead("ran_at").over(Window.orderBy("ran_at", "id")), now)
-    out = runs.select(F.col("ran_at").alias("gap_start"), nxt.alias("gap_end")).withColumn("hours", (F.unix_micros("gap_end") - F.unix_micros("gap_start")) / 3600e6)
+    """Gaps of more than `hours` between runs, and the open one up to now."""
+    nxt = F.coalesce("next", now)
+    out = beside(runs, [], ["ran_at", "id"], "ran_at").select(F.col("ran_at").alias("gap_start"), nxt.alias("gap_end")).withColumn("hours", (F.unix_micros("gap_end") - F.unix_micros("gap_start")) / 3600e6)
     return out.where(F.col("hours") > hours).withColumn("hours", F.round("hours", 4))
 
 
@@ -422,12 +421,15 @@ def _(x):
     return fold_waitlist(x.waitlist())
 
 
-@query("A18_reset_window_assignments", """SELECT cluster_id AS id, count(*) AS article_count, min(published_at) AS first_published_at FROM articles WHERE cluster_id IS NOT NULL AND published_at < TIMESTAMP '2024-01-04 00:00:00' - INTERVAL 48 HOUR GROUP BY 1""")
+@query("A18_reset_window_assignments", """SELECT 'member' AS part, CAST(id AS VARCHAR) AS key, CASE WHEN published_at < TIMESTAMP '2024-01-04 00:00:00' - INTERVAL 48 HOUR THEN cluster_id END AS story, CAST(NULL AS BIGINT) AS article_count, CAST(NULL AS TIMESTAMP) AS first_published_at, CAST(NULL AS DATE) AS peak_date FROM articles
+    UNION ALL SELECT 'story', cluster_id, NULL, sum(n)::BIGINT, min(f), arg_min(day, (-n, day)) FROM (SELECT cluster_id, CAST(published_at AS DATE) AS day, count(*) AS n, min(published_at) AS f FROM articles WHERE cluster_id IS NOT NULL AND published_at < TIMESTAMP '2024-01-04 00:00:00' - INTERVAL 48 HOUR GROUP BY ALL) GROUP BY cluster_id""")
 def _(x):
     from lodestory.sources.sinks import reset_assignments
 
     members, stories = reset_assignments(x.articles(), F.lit("2024-01-04").cast("timestamp"), 48)
-    return stories
+    rows = members.select(F.lit("member").alias("part"), F.col("id").cast("string").alias("key"), F.col("cluster_id").alias("story"))
+    left = stories.select(F.lit("story").alias("part"), F.col("id").alias("key"), "article_count", "first_published_at", "peak_date")
+    return rows.unionByName(left, allowMissingColumns=True)
 
 
 @query("A19_delete_set_null", "SELECT id, CASE WHEN cluster_id IN (SELECT id FROM clusters WHERE significance_score >= 6) THEN cluster_id END AS cluster_id FROM articles")
@@ -518,25 +520,69 @@ def _(x):
     return top.join(n, top["id"] == n["cluster_id"], "left").select("id", "headline", "paper_only", "significance_score", "article_count", "source_count", "max_impact", F.coalesce("n_models", F.lit(0)).alias("n_models"))
 
 
-@query("M5_story_detail", """SELECT * FROM (WITH one AS (SELECT id, category, first_published_at FROM clusters ORDER BY article_count DESC, id LIMIT 1),
+ONE = "SELECT * FROM clusters ORDER BY article_count DESC, id LIMIT 1"
+LONE = "SELECT * FROM clusters c WHERE NOT EXISTS (SELECT 1 FROM model_clusters k WHERE k.cluster_id = c.id) ORDER BY article_count DESC, id LIMIT 1"
+
+
+def _story_sql(page: str, one: str) -> str:
+    return f"""SELECT * FROM (WITH one AS ({one}), facts AS (SELECT count(DISTINCT source_name) AS sources, max(impact) AS impact FROM articles WHERE cluster_id = (SELECT id FROM one)),
     shared AS (SELECT DISTINCT b.cluster_id AS id FROM one JOIN model_clusters a ON a.cluster_id = one.id JOIN model_clusters b ON b.model_id = a.model_id WHERE b.cluster_id <> one.id),
-    rel AS (SELECT c.id, 0 AS p, c.significance_score, c.first_published_at FROM clusters c JOIN shared s ON s.id = c.id UNION ALL SELECT c.id, 1, c.significance_score, c.first_published_at FROM clusters c, one WHERE c.id <> one.id AND c.category = one.category AND abs(epoch_us(c.first_published_at) - epoch_us(one.first_published_at)) <= 4 * 86400000000),
-    pick AS (SELECT id, min(p) AS p, any_value(significance_score) AS s, any_value(first_published_at) AS f FROM rel GROUP BY 1 ORDER BY p, s DESC, f DESC, id LIMIT 4)
-    SELECT 'member' AS part, CAST(a.id AS VARCHAR) AS key FROM articles a JOIN one ON a.cluster_id = one.id UNION ALL SELECT 'related', id FROM pick)""")
-def _(x):
-    c = x.clusters()
-    one = T.top_k(c, 1, F.col("article_count").desc(), F.col("id")).select(F.col("id").alias("one"), F.col("category").alias("cat"), F.col("first_published_at").alias("t"))
-    a, k = x.articles(), x.model_clusters()
-    members = a.join(F.broadcast(one), a["cluster_id"] == one["one"]).select(F.lit("member").alias("part"), F.col("id").cast("string").alias("key"))
-    own = k.join(F.broadcast(one), k["cluster_id"] == one["one"], "left_semi").select("model_id")
-    shared = k.join(own, "model_id", "left_semi").select(F.col("cluster_id").alias("id")).distinct()
-    cols = ("id", "significance_score", "first_published_at")
-    first = c.join(shared, "id", "left_semi").join(F.broadcast(one), c["id"] != one["one"]).select(*cols, F.lit(0).alias("p"))
-    near = F.abs(F.unix_micros("first_published_at") - F.unix_micros("t")) <= 4 * 86_400_000_000
-    second = c.join(F.broadcast(one), (c["category"] == one["cat"]) & (c["id"] != one["one"])).where(near).select(*cols, F.lit(1).alias("p"))
-    pool = first.unionByName(second).groupBy("id", "significance_score", "first_published_at").agg(F.min("p").alias("p"))
-    related = T.top_k(pool, 4, F.col("p"), *order()).select(F.lit("related").alias("part"), F.col("id").alias("key"))
-    return members.unionByName(related)
+    near AS (SELECT c.id FROM clusters c, one WHERE NOT EXISTS (FROM shared) AND c.id <> one.id AND c.category = one.category AND abs(epoch_us(c.first_published_at) - epoch_us(one.first_published_at)) <= 4 * 86400000000),
+    related AS (SELECT * FROM clusters WHERE id IN (FROM shared) OR id IN (FROM near) ORDER BY {SQL_ORDER} LIMIT 4)
+    SELECT '{page}' AS page, 'story' AS part, 1::BIGINT AS pos, id AS key, concat_ws('|', headline, category, significance_score, article_count, sources, impact) AS text FROM one, facts
+    UNION ALL SELECT '{page}', 'member', row_number() OVER (ORDER BY authority DESC NULLS LAST, published_at, id), CAST(id AS VARCHAR), title FROM articles WHERE cluster_id = (SELECT id FROM one)
+    UNION ALL SELECT * FROM (SELECT '{page}', 'model', row_number() OVER (ORDER BY released_at DESC NULLS LAST, id) AS pos, slug, name FROM models WHERE id IN (SELECT model_id FROM model_clusters WHERE cluster_id = (SELECT id FROM one))) WHERE pos <= 3
+    UNION ALL SELECT '{page}', 'related', row_number() OVER (ORDER BY {SQL_ORDER}), id, headline FROM related)"""
+
+
+LOST = "SELECT min(id) FROM articles WHERE cluster_id IS NULL"
+
+
+@query("M5_story_detail", f"""{_story_sql("largest", ONE)} UNION ALL {_story_sql("without models", LONE)}
+    UNION ALL SELECT 'article', 'story', 1, CAST(id AS VARCHAR), concat_ws('|', title, category, 0.0, 1, 1, impact) FROM articles WHERE id = ({LOST}) UNION ALL SELECT 'article', 'member', 1, CAST(id AS VARCHAR), title FROM articles WHERE id = ({LOST}) UNION ALL SELECT 'unknown', 'missing', 0, 'nosuch', NULL""")
+def _(x):
+    """The pages of the largest story, of the largest that names no model, of an article without a story, and of an id
+    that nothing has."""
+    c, k = cut(x.clusters()), cut(x.model_clusters())
+    largest = lambda df: T.top_k(df, 1, F.col("article_count").desc(), F.col("id")).select("id").first()
+    lost = x.articles().where("cluster_id is null").agg(F.min("id")).first()[0]
+    lone = c.join(k, c["id"] == k["cluster_id"], "left_anti")
+    asked = ({} if lost is None else {"article": str(lost)}) | {"unknown": "nosuch"} | {page: found["id"] for page, found in (("largest", largest(c)), ("without models", largest(lone))) if found}
+    return reduce(DataFrame.unionByName, [story_page(c, x.articles(), k, x.models(), key).withColumn("page", F.lit(page)) for page, key in asked.items()])
+
+
+def story_page(stories: DataFrame, articles: DataFrame, links: DataFrame, models: DataFrame, key: str) -> DataFrame:
+    """part, pos, key, text of one page: the story (headline, category, score, articles, outlets, highest impact), its
+    members, its three newest models, and four related stories: those that share a model, else those of its category
+    within four days. A key that is an article's stands for a story of it alone; one that nothing has gives
+    a single row, `missing`. The story is read first, so that every other read is for one key."""
+    part = lambda df, name, pos, ident, text: df.select(F.lit(name).alias("part"), pos.cast("long").alias("pos"), ident.cast("string").alias("key"), text.alias("text"))
+    line = lambda *order: F.row_number().over(Window.orderBy(*order))  # noqa: E731  (rows of one page)
+    facts = lambda *cols: F.concat_ws("|", *[c.cast("string") for c in cols])
+    one = stories.where(F.col("id") == key).select("category", "first_published_at").first()
+    if one is None:
+        a = articles.where(F.col("id").cast("string") == key)
+        found = part(a, "story", F.lit(1), F.col("id"), facts(F.col("title"), F.coalesce("category", F.lit("uncategorized")), F.lit(0.0), F.lit(1), F.lit(1), F.col("impact")))
+        found = found.unionByName(part(a, "member", F.lit(1), F.col("id"), F.col("title")))
+        missing = articles.sparkSession.createDataFrame([("missing", 0, key, None)], found.schema)
+        return found if a.limit(1).count() else missing
+    own = articles.where(F.col("cluster_id") == key)
+    outlets = own.agg(F.count_distinct("source_name").alias("sources"), F.max("impact").alias("impact"))
+    story = stories.where(F.col("id") == key).crossJoin(F.broadcast(outlets))  # one row each
+    mine = links.where(F.col("cluster_id") == key).select("model_id").distinct()
+    named = T.top_k(models.join(mine, models["id"] == mine["model_id"], "left_semi").select("id", "slug", "name", "released_at"), 3, F.col("released_at").desc_nulls_last(), F.col("id"))
+    shared = links.where(F.col("cluster_id") != key).join(mine, "model_id", "left_semi").select(F.col("cluster_id").alias("id")).distinct()
+    related = T.top_k(stories.join(shared, "id", "left_semi"), 4, *order())
+    if not related.limit(1).count():
+        days = F.abs(F.unix_micros("first_published_at") - F.unix_micros(F.lit(one["first_published_at"]))) <= 4 * 86_400_000_000
+        related = T.top_k(stories.where((F.col("category") == one["category"]) & (F.col("id") != key) & days), 4, *order())
+    rows = [
+        part(story, "story", F.lit(1), F.col("id"), facts(*map(F.col, ("headline", "category", "significance_score", "article_count", "sources", "impact")))),
+        part(own, "member", line(F.col("authority").desc_nulls_last(), "published_at", "id"), F.col("id"), F.col("title")),
+        part(named, "model", line(F.col("released_at").desc_nulls_last(), "id"), F.col("slug"), F.col("name")),
+        part(related, "related", line(*order()), F.col("id"), F.col("headline")),
+    ]
+    return reduce(DataFrame.unionByName, rows)
 
 
 #: Searches that meet both branches: plain words, an outlet with days, alternatives with a phrase and an exclusion
@@ -598,8 +644,8 @@ def _(x):
 @query("M18_substantive_days", f"SELECT d, n, lag(d) OVER (ORDER BY d) AS before, lead(d) OVER (ORDER BY d) AS after FROM (SELECT CAST(first_published_at AS DATE) AS d, count(*) AS n FROM clusters WHERE NOT paper_only GROUP BY 1 HAVING count(*) >= 3)")
 def _(x):
     c, a = x.clusters(), x.articles().where(~F.col("source_name").startswith(PAPER_PREFIX))
-    line = Window.orderBy("d")  # one row per day
-    return story_days(c.join(a, c["id"] == a["cluster_id"], "left_semi")).select("d", "n", F.lag("d").over(line).alias("before"), F.lead("d").over(line).alias("after"))
+    days = story_days(c.join(a, c["id"] == a["cluster_id"], "left_semi"))
+    return beside(days, [], ["d"], "d").select("d", "n", F.col("previous").alias("before"), F.col("next").alias("after"))
 
 
 @query("M19_index_candidates", f"SELECT 'model' AS part, slug AS key, CAST(released_at AS TIMESTAMP) AS at FROM models UNION ALL SELECT * FROM (SELECT 'story', id, first_published_at FROM clusters WHERE first_published_at >= AS_OF - INTERVAL 370 DAY AND (article_count >= 2 OR significance_score >= 6) ORDER BY first_published_at DESC, id LIMIT 3000)")
@@ -610,25 +656,43 @@ def _(x):
     return models.unionByName(stories)
 
 
-@query("M25_pending_scoring_batches", """SELECT id, (r - 1) // 10 AS batch, CASE WHEN id % 4 <> 0 THEN least(10, greatest(1, id % 14 - 1)) END AS impact FROM (SELECT id, row_number() OVER (ORDER BY published_at DESC, id) AS r FROM articles WHERE impact IS NULL)
+@query("M25_pending_scoring_batches", """SELECT id, batch, CASE batch % 5 WHEN 3 THEN 5 WHEN 4 THEN NULL ELSE CASE WHEN id % 4 <> 0 THEN least(10, greatest(1, id % 14 - 1)) END END AS impact FROM (SELECT id, (row_number() OVER (ORDER BY published_at DESC, id) - 1) // 10 AS batch, row_number() OVER (ORDER BY published_at DESC, id) AS r FROM articles WHERE impact IS NULL)
     WHERE r <= (SELECT greatest(300, count(*) FILTER (WHERE published_at >= AS_OF - INTERVAL 4 DAY)) FROM articles WHERE impact IS NULL)""")
 def _(x):
-    pending = backfill(x.articles().where("impact is null"), as_of())
-    verdicts = x.table("documents").where("doc_id % 4 <> 0").select(F.col("doc_id").alias("id"), (F.col("doc_id") % 14 - 1).alias("verdict"))
-    return scoring_batches(pending, verdicts)
+    """Of five answers of the rater one is no JSON and one is missing; some rows have no verdict."""
+    batches = cut(scoring_batches(backfill(x.articles().where("impact is null"), as_of())))
+    verdict = F.when(F.col("id") % 4 != 0, F.struct(F.col("id").cast("string").alias("id"), (F.col("id") % 14 - 1).alias("score")))
+    said = F.concat(F.lit("```json\n"), F.to_json(F.collect_list(verdict)), F.lit("\n```"))
+    answers = batches.groupBy("batch").agg(said.alias("answer"))
+    kind = F.col("batch") % 5
+    return rated(batches, answers.withColumn("answer", F.when(kind == 3, "I can't rate these.").when(kind != 4, F.col("answer"))))
 
 
-def scoring_batches(pending: DataFrame, verdicts: DataFrame, size: int = 10) -> DataFrame:
-    """Numbered groups of pending rows, newest first, with a rater's verdicts clamped to 1..10; a row
-    without a verdict has none. Rows are numbered day by day, days by their counts (a row a day)."""
+def scoring_batches(pending: DataFrame, size: int = 10) -> DataFrame:
+    """id, batch: numbered groups of pending rows, newest first. Rows are numbered day by day, days by their
+    counts (a row a day)."""
     day = pending.withColumn("day", F.to_date("published_at"))
     days = day.groupBy("day").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.orderBy(F.col("day").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = days.select(F.col("day").alias("_day"), before.alias("before"))
     place = F.row_number().over(Window.partitionBy("day").orderBy(F.col("published_at").desc(), "id"))
     rows = day.withColumn("place", place).join(days, F.col("day").eqNullSafe(F.col("_day")))
-    batch = F.floor((F.col("before") + F.col("place") - 1) / size)
-    return rows.select("id", batch.alias("batch")).join(verdicts, "id", "left").select("id", "batch", F.when(F.col("verdict").isNotNull(), F.least(F.lit(10), F.greatest(F.lit(1), F.col("verdict")))).alias("impact"))
+    return rows.select("id", F.floor((F.col("before") + F.col("place") - 1) / size).alias("batch"))
+
+
+def rated(batches: DataFrame, answers: DataFrame, neutral: int = 5) -> DataFrame:
+    """id, batch, impact from a rater's answers (batch, answer: a JSON array of id and score, fenced or not). Scores
+    are cut to 1..10; a row that the array leaves out has none. An answer that can't be read gives
+    its whole batch the neutral score; a batch without an answer stays unrated, to be tried again."""
+    text = F.regexp_replace(F.trim("answer"), r"^```(?:json)?\s*|\s*```[\s\S]*$", "")
+    verdicts = F.from_json(text, "array<struct<id:string,score:string>>")
+    whole = F.coalesce(text.startswith("[") & F.forall(verdicts, lambda v: v["id"].isNotNull() & F.coalesce(v["score"].rlike(r"^\s*-?\d+(\.\d+)?\s*$"), F.lit(False))), F.lit(False))
+    read = answers.where("answer is not null").select(F.col("batch").alias("_batch"), F.when(whole, verdicts).alias("verdicts"))
+    rows = batches.join(read.withColumn("_answered", F.lit(True)), F.col("batch") == F.col("_batch"), "left")
+    own = F.filter("verdicts", lambda v: v["id"] == F.col("id").cast("string"))
+    score = F.try_element_at(own, F.lit(-1))["score"].cast("double").cast("int")
+    impact = F.when(F.col("_answered") & F.col("verdicts").isNull(), neutral).when(score.isNotNull(), F.least(F.lit(10), F.greatest(F.lit(1), score)))
+    return rows.select("id", "batch", impact.alias("impact"))
 
 
 @query("M26_pending_summaries", f"SELECT c.id, a.id AS article_id FROM (SELECT * FROM clusters WHERE significance_score >= 4 AND first_published_at >= AS_OF - INTERVAL 40 DAY ORDER BY {SQL_ORDER} LIMIT 150) c JOIN (SELECT cluster_id, id FROM articles WHERE cluster_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY authority DESC NULLS LAST, published_at, id) <= 3) a ON a.cluster_id = c.id")

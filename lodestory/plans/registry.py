@@ -357,17 +357,10 @@ RANK = "SELECT '{0}' AS view, id, round(value, 6) AS value FROM (SELECT id, {1}
 RANKS = {"overall": "eci", "value": "eci / CASE WHEN (price_in + price_out) / 2 > 0 THEN (price_in + price_out) / 2 END", **{b: b for b in ("coding", "math", "reasoning", "agentic")}}
 
 
-def ranked(x: Fixtures, view: str) -> DataFrame:
-    return top_k(R.rank_models(wide(x), view), 20, F.col("value").desc(), F.col("id"))
-
-
 @q("F11_rank_models", " UNION ALL ".join(f"SELECT * FROM ({RANK.format(k, v)})" for k, v in RANKS.items()))
 def _(x):
-    out = None
-    for view in RANKS:
-        part = ranked(x, view).select(F.lit(view).alias("view"), "id", F.round("value", 6).alias("value"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    w = cut(wide(x))
+    return reduce(DataFrame.unionByName, [top_k(R.rank_models(w, view), 20, F.col("value").desc(), F.col("id")).select(F.lit(view).alias("view"), "id", F.round("value", 6).alias("value")) for view in RANKS])
 
 
 @q("F12_cheapest_of_top10", "SELECT id, price_in FROM (SELECT id, price_in FROM wide WHERE coding IS NOT NULL ORDER BY coding DESC, id LIMIT 10) WHERE price_in IS NOT NULL ORDER BY price_in, id LIMIT 1")

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestory.plans.catalog import query
+from lodestory.plans.vectors import DIST, OWN
 from lodestory.shipping import ship
-from lodestory.sources.fixtures import Fixtures
+from lodestory.sources.fixtures import NEWS, Fixtures
 from lodestory.storage import scratch
 from lodestory.streaming import streams as R
 
@@ -91,11 +92,17 @@ def _(x):
     return R.run_to_end(R.time_join(replay(x, a, "at"), replay(x, a, "at"), "source_url"))
 
 
-@query("K9_stream_late_backfill", """SELECT id, coalesce(published_at < seen - INTERVAL 48 HOURS, false) AS late FROM landed LEFT JOIN (
-    SELECT k, max(newest) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT k, max(published_at) AS newest FROM landed GROUP BY 1)) USING (k)""",
+@query("K9_stream_late_backfill", f"""SELECT m.id, late, other, rank FROM marked m LEFT JOIN (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY {DIST.format("va.v", "vb.v")}, b.id) AS rank
+    FROM marked a JOIN marked b ON a.late AND a.id <> b.id AND b.k <= a.k AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 172800000000 JOIN vec va ON va.id = a.id JOIN vec vb ON vb.id = b.id WHERE {DIST.format("va.v", "vb.v")} < 0.6 QUALIFY rank <= 10) n ON n.id = m.id""",
     landed="SELECT id, published_at, CASE WHEN id * 37 % 101 <= 25 THEN 0 WHEN id * 37 % 101 <= 50 THEN 1 WHEN id * 37 % 101 <= 75 THEN 2 ELSE 3 END AS k FROM articles",
+    marked="""SELECT id, published_at, k, coalesce(published_at < seen - INTERVAL 48 HOURS, false) AS late FROM landed LEFT JOIN (
+    SELECT k, max(newest) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM (SELECT k, max(published_at) AS newest FROM landed GROUP BY 1)) USING (k)""",
+    vec=OWN["vec"],
 )
 def _(x):
-    """Articles land in an order other than that of their times, so many come late."""
-    a = x.articles().select("id", "published_at", (F.col("id") * 37 % 101).alias("landing"))
-    return R.late_split(replay(x, a, "landing", cuts=[25, 50, 75]), scratch(x.spark), "published_at").select("id", "late")
+    """Articles land in an order other than that of their times, so many come late; each late one still meets those
+    of its own time."""
+    v = x.table("embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    a = x.articles().select("id", "published_at", (F.col("id") * 37 % 101).alias("landing")).join(v, "id", "left")
+    rows, near = R.late_backfill(replay(x, a, "landing", cuts=[25, 50, 75]), scratch(x.spark), F.lit(NEWS))
+    return rows.select("id", "late").join(near.select("id", "other", "rank"), "id", "left")

@@ -65,12 +65,12 @@ def fold_waitlist(rows: DataFrame) -> DataFrame:
 
 def reset_assignments(articles: DataFrame, now: Column, hours: int) -> tuple[DataFrame, DataFrame]:
     """Membership without the last hours (clamped to 1..168), and the stories that are left with
-    their counts and first times."""
+    their counts, first times and the day of most articles (the earliest of equals)."""
     hours = min(168, max(1, hours))
     inside = F.col("published_at") >= now - F.make_dt_interval(F.lit(0), F.lit(hours))
     members = articles.withColumn("cluster_id", F.when(~inside, F.col("cluster_id")))
-    left = members.where("cluster_id is not null").groupBy(F.col("cluster_id").alias("id"))
-    return members, left.agg(F.count("*").alias("article_count"), F.min("published_at").alias("first_published_at"))
+    days = members.where("cluster_id is not null").groupBy(F.col("cluster_id").alias("id"), F.to_date("published_at").alias("day")).agg(F.count("*").alias("n"), F.min("published_at").alias("first"))
+    return members, days.groupBy("id").agg(F.sum("n").alias("article_count"), F.min("first").alias("first_published_at"), F.min_by("day", F.struct(-F.col("n"), "day")).alias("peak_date"))
 
 
 def delete_set_null(children: DataFrame, gone: DataFrame, key: str) -> DataFrame:

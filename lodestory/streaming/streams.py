@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestory.operators.prices import EVENT, FIELDS, _value, event_frame, event_row, sample_columns, step
+from lodestory.operators.vectors import knn_window
 from lodestory.sources.sinks import VersionedTable, upsert
 from lodestory.storage import scratch
 
+DAY_MS = 86_400_000
+
 
 def read_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     """A folder of Parquet files as a stream, some files per trigger."""
@@ -21,12 +23,12 @@ def read_stream(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
-def run_to_end(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is there, write it to a folder of the shared store and return it.
+def run_to_end(stream: DataFrame, mode: str = "append", out: str | None = None) -> DataFrame:
+    """Process all that is there, write it to a folder of the shared store (`out`: data and state) and return it.
 
     The file sink commits each batch once, so a restart from its checkpoint repeats nothing.
     """
-    out = scratch(stream.sparkSession)
+    out = out or scratch(stream.sparkSession)
     writer = stream.writeStream.outputMode(mode).format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/state")
     writer.trigger(availableNow=True).start().awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{out}/data")
@@ -42,48 +44,65 @@ def dedup(stream: DataFrame, keys: list[str], at: str, days: int = 7) -> DataFra
     return stream.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(keys)
 
 
-def debounced(stream: DataFrame) -> DataFrame:
-    """Confirmed price events; state per model: stored values and pending candidates."""
+def debounced(stream: DataFrame, *, forget_days: int = 1500, delay: str = "1 day") -> DataFrame:
+    """Confirmed price events; state per model: stored values and pending candidates.
+
+    A model without a sample for `forget_days` (of event time) leaves the state; should it come back, its first
+    sample is stored as if it were new. Samples behind the watermark are dropped.
+    """
     names = sample_columns(stream)
     prices = [f for f in FIELDS if f in names]
     kinds = {f: "string" if f in ("floor_provider", "floor_quant") else "double" for f in names}
-    state_schema = ", ".join([*(f"{f} {kinds[f]}" for f in names), *(f"wait_{f} boolean, next_{f} double" for f in prices)])
+    state_schema = ", ".join([*(f"{f} {kinds[f]}" for f in names), *(f"wait_{f} boolean, next_{f} double" for f in prices), "seen long"])
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored, pending = {}, None
+        if state.hasTimedOut:
+            state.remove()
+            yield event_frame([])
+            return
+        stored, pending, seen = {}, None, 0
         if state.exists:
-            values = list(state.get)
+            *values, seen = state.get
             stored = dict(zip(names, map(_value, values), strict=False))
             rest = values[len(names) :]
             pending = {f: _value(rest[2 * k + 1]) for k, f in enumerate(prices) if rest[2 * k]}
         out = []
         rows = pd.concat(list(frames)).sort_values("sample_ts")
         for ts, *fresh in rows[["sample_ts", *names]].itertuples(index=False):
+            if seen and ts.value // 1_000_000 - seen > forget_days * DAY_MS:
+                stored, pending = {}, None  # forgotten, though no batch came in between
+            seen = max(seen, ts.value // 1_000_000)
             events, stored, pending = step(stored, dict(zip(names, map(_value, fresh), strict=True)), pending)
             out += [event_row(key[0], ts, e, stored) for e in events]
         waits = [x for f in prices for x in (f in pending, pending.get(f))]
-        state.update((*[stored.get(f) for f in names], *waits))
+        state.update((*[stored.get(f) for f in names], *waits, seen))
+        state.setTimeoutTimestamp(max(seen + forget_days * DAY_MS, state.getCurrentWatermarkMs() + 1))
         yield event_frame(out)
 
-    return stream.groupBy("model_id").applyInPandasWithState(fold, EVENT, state_schema, "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("sample_ts", delay).groupBy("model_id").applyInPandasWithState(fold, EVENT, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def gated(stream: DataFrame, key: str, at: str, hours: int = 20) -> DataFrame:
-    """At most one row per key within `hours`; state per key: the time of the last row let through."""
+def gated(stream: DataFrame, key: str, at: str, hours: int = 20, *, delay: str = "1 hour") -> DataFrame:
+    """At most one row per key within `hours`; state per key: the time of the last row let through, until the
+    watermark is `hours` past it: from then on any row passes anyway."""
 
     def gate(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
         out = []
-        for ts in pd.concat(list(frames))["at"].sort_values():
-            if last is None or (ts.value - last) >= hours * 3_600_000_000_000:
-                last = ts.value
-                out.append((k[0], ts))
-        if last is not None:
-            state.update((last,))
+        if state.hasTimedOut:
+            state.remove()
+        else:
+            last = state.get[0] if state.exists else None
+            for ts in pd.concat(list(frames))["at"].sort_values():
+                if last is None or (ts.value - last) >= hours * 3_600_000_000_000:
+                    last = ts.value
+                    out.append((k[0], ts))
+            if last is not None:
+                state.update((last,))
+                state.setTimeoutTimestamp(max(last // 1_000_000 + hours * 3_600_000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "at"])
 
-    rows = stream.select(F.col(key).alias("key"), F.col(at).alias("at"))
-    return rows.groupBy("key").applyInPandasWithState(gate, "key long, at timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col(key).alias("key"), F.col(at).alias("at")).withWatermark("at", delay)
+    return rows.groupBy("key").applyInPandasWithState(gate, "key long, at timestamp", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def day_counts(stream: DataFrame, key: str, at: str) -> DataFrame:
@@ -126,18 +145,37 @@ def time_join(left: DataFrame, right: DataFrame, key: str, hours: int = 48) -> D
     return a.join(b, (F.col(key) == F.col("_k")) & near & (F.col("id") < F.col("other"))).select("id", "other")
 
 
-def late_split(stream: DataFrame, late_path: str, at: str, hours: int = 48) -> DataFrame:
-    """On-time rows and, marked, rows behind the newest time seen by more than `hours`, which go to the
-    batch backfill. Each micro-batch is judged by the newest time before it."""
+def late_backfill(stream: DataFrame, path: str, threshold: Column, *, hours: int = 48, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """Articles (id, published_at, vector, ...) with `late` (behind the newest time of earlier batches by more than
+    `hours`), and the neighbours of late ones: id, other, d, rank, as knn_window gives them among all that
+    was stored by then, their own batch included.
+
+    Stored articles are partitioned by their time; a batch with late rows reads only the partitions of
+    their own times and those beside, whatever has come since. A batch writes folders of its own, so one that runs
+    again after a failure replaces what it had written.
+    """
     spark = stream.sparkSession
-    table = f"{late_path}/{uuid.uuid4().hex}"
+    width = hours * 3_600_000_000
+    rows, near = f"{path}/rows", f"{path}/near"
+    schema = f"{', '.join(f'{c} {t}' for c, t in stream.dtypes)}, late boolean, batch int, bucket long"
 
-    def part(batch: DataFrame, k: int) -> None:
-        seen = spark.read.parquet(table).agg(F.max("newest")).first()[0] if k else None
-        border = F.lit(seen).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))
-        newest = batch.agg(F.max(at).alias("newest"))
-        marked = batch.withColumn("late", F.coalesce(F.col(at) < border, F.lit(False)) if seen is not None else F.lit(False))
-        marked.crossJoin(F.broadcast(newest)).write.mode("append").parquet(table)  # one row
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).option("basePath", rows).parquet(f"{rows}/*")
 
+    def part(batch: DataFrame, n: int) -> None:
+        seen = stored().where(F.col("batch") < n).agg(F.max("published_at")).first()[0] if n else None
+        border = F.lit(seen).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(hours))
+        late = F.coalesce(F.col("published_at") < border, F.lit(False)) if seen is not None else F.lit(False)
+        marked = batch.withColumn("late", late).withColumn("bucket", F.floor(F.unix_micros("published_at") / width))
+        marked.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{rows}/batch={n}")
+        mine = stored().where((F.col("batch") == n) & F.col("late") & F.col("vector").isNotNull())
+        times = sorted(r["bucket"] for r in mine.select("bucket").distinct().collect())  # spans of time, not rows
+        if times:
+            reach = sorted({b + o for b in times for o in (-1, 0, 1)})
+            there = stored().where((F.col("batch") <= n) & F.col("bucket").isin(reach) & F.col("vector").isNotNull())
+            knn_window(mine, threshold, hours=hours, k=k, among=there).write.mode("overwrite").parquet(f"{near}/batch={n}")
+
+    none = spark.createDataFrame([], f"id {dict(stream.dtypes)['id']}, other {dict(stream.dtypes)['id']}, d double, rank int")
+    none.write.mode("overwrite").parquet(f"{near}/batch=-1")
     run_batches(stream, part, "append")
-    return spark.read.parquet(table).drop("newest")
+    return stored(), spark.read.schema(none.schema).parquet(f"{near}/*")
