@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestory.functions import scalars as S
 from lodestory.functions import vocabulary as V
+from lodestory.operators.aliases import match_aliases as match_models  # noqa: F401  (part of the registry's interface)
 from lodestory.operators.scan import rank_shares, running_max, share
 from lodestory.operators.stories import first_per_key, top_k
 
@@ -99,22 +100,3 @@ def alias_index(models: DataFrame) -> DataFrame:
     rows = models.select("id", F.explode(F.array(F.struct(F.lit(0).alias("k"), low.alias("alias")), F.struct(F.lit(1).alias("k"), short.alias("alias")))).alias("s")).select("id", "s.*")
     fit = (F.length("alias") >= 4) & ((F.col("k") == 0) | F.col("alias").rlike("[0-9]"))
     return rows.where(fit).groupBy("alias").agg(F.min_by("id", F.struct("id", "k")).alias("model_id"))
-
-
-def match_models(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, model_id: texts that name a model between version borders, or run together (five letters
-    or more, no digit after). Aliases are dealt by their first word to the texts that hold it (or
-    whose run-together text may); texts join the pairs that are left, so a word or a gram moves
-    without its text and only such pairs are tested."""
-    low = F.trim(F.regexp_replace(F.lower(text_col), r"\s+", " "))
-    t = texts.select(F.col(id_col).alias("id"), low.alias("low"), F.regexp_replace(F.lower(text_col), r"[^a-z0-9]", "").alias("run"))
-    a = aliases.select("alias", "model_id", F.regexp_replace("alias", r"[^a-z0-9]", "").alias("tight"))
-    word = F.regexp_extract("alias", r"[a-z0-9]+", 0)
-    tokens = t.select("id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(r"([a-z0-9]+)")))).alias("w"))
-    escaped = F.regexp_replace("alias", r"([^\w\s])", r"\\$1")
-    by_word = tokens.join(a.withColumn("w", word), "w").drop("w").join(t.select("id", "low").distinct(), "id").where(F.regexp_like(F.col("low"), F.concat(F.lit(r"(?<![a-z0-9])"), escaped, F.lit(r"(?![a-z0-9.\-])")))).select("id", "model_id")
-    # run-together hits: every five letters of the text against the first five of the alias
-    grams = t.select("id", F.explode(F.array_distinct(F.regexp_extract_all("run", F.lit("(?=(.{5}))"), F.lit(1)))).alias("g"))
-    tight = a.where(F.length("tight") >= 5).withColumn("g", F.substring("tight", 1, 5))
-    by_run = grams.join(tight, "g").drop("g").join(t.select("id", "run").distinct(), "id").where(F.regexp_like(F.col("run"), F.concat(F.col("tight"), F.lit(r"(?![0-9])")))).select("id", "model_id")
-    return by_word.unionByName(by_run).distinct()
