@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,21 +71,65 @@ def cluster_score(articles: DataFrame) -> DataFrame:
     return out.select("cluster_id", "raw_score", S.normalize_score(F.col("raw_score")).alias("significance_score"))
 
 
-def story_table(articles: DataFrame, paper_prefix: str = "src1") -> DataFrame:
-    """One row per story with every derived column, in two passes over the articles: one for
-    organisations and one for the rest."""
-    day_vote = peak_day(articles)
-    meta = articles.where("cluster_id is not null").groupBy("cluster_id").agg(
-        F.count("*").alias("article_count"), F.min("published_at").alias("first_published_at"), F.coalesce(F.max("impact"), F.lit(5)).alias("max_impact"),
-        F.count_distinct("source_name").alias("source_count"), F.coalesce(F.bool_and(F.col("source_name").startswith(paper_prefix)), F.lit(False)).alias("paper_only"),
-        F.min_by("title", F.struct(-F.col("authority"), "published_at", "id")).alias("headline"),
+#: What a story's sketch counts beside the story as a whole.
+ALL, ORG, DAY, CATEGORY, OUTLET = range(5)
+
+
+def story_sketch(articles: DataFrame, paper_prefix: str = "src1") -> DataFrame:
+    """What stories are derived from, in one pass over their articles: a row per story and thing counted
+    (the story itself, an organisation, a day, a category, an outlet) with its articles, first article,
+    highest authority and impact, and for the story whether all are papers and its best article.
+
+    Sums, minima and maxima all merge: sketches of parts of the articles, united by merge_sketches,
+    are the sketch of all.
+    """
+    a = articles.where(F.col("cluster_id").isNotNull())
+    thing = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.cast("string").alias("key"))
+    things = F.array(thing(ALL, F.lit("")), thing(ORG, F.coalesce("organization", "source_name")), thing(DAY, F.to_date("published_at")), thing(CATEGORY, F.col("category")), thing(OUTLET, F.col("source_name")))
+    best = F.struct(F.coalesce(-F.col("authority"), F.lit(1)).alias("rank"), "published_at", "id", "title", "source_name", "source_url")
+    rows = a.select(
+        "cluster_id", F.explode(things).alias("thing"), F.lit(1).cast("long").alias("n"), F.struct("published_at", "id").alias("first"), F.col("authority"), F.col("impact"),
+        F.coalesce(F.col("source_name").startswith(paper_prefix), F.lit(False)).alias("papers"), best.alias("best"),
     )
-    return (
-        meta.join(cluster_score(articles), "cluster_id").join(day_vote, "cluster_id").join(category_majority(articles), "cluster_id", "left")
-        .select(F.col("cluster_id").alias("id"), "headline", F.coalesce("category", F.lit(UNCATEGORIZED)).alias("category"), "significance_score", "raw_score", "first_published_at", "peak_date", "article_count", "max_impact", "source_count", "paper_only")
+    whole = F.col("thing.kind") == ALL
+    return _merged(rows.select("cluster_id", "thing.*", "n", "first", "authority", "impact", "papers", F.when(whole, F.col("best")).alias("best")))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("cluster_id", "kind", "key").agg(F.sum("n").alias("n"), F.min("first").alias("first"), F.max("authority").alias("authority"), F.max("impact").alias("impact"), F.bool_and("papers").alias("papers"), F.min("best").alias("best"))
+
+
+def merge_sketches(*parts: DataFrame) -> DataFrame:
+    return _merged(reduce(DataFrame.unionByName, parts))
+
+
+def story_rows(sketch: DataFrame, decay: float = 0.6) -> DataFrame:
+    """One row per story with every derived column, from its sketch: a few rows a story, not its articles."""
+    kind, key = F.col("kind"), F.col("key")
+    whole = lambda c: F.max(F.when(kind == ALL, F.col(c)))
+    orgs = F.array_sort(F.collect_list(F.when(kind == ORG, F.struct((-F.col("authority")).alias("a"), "key"))))
+    real = (kind == CATEGORY) & key.isNotNull() & (key != UNCATEGORIZED)
+    s = sketch.groupBy(F.col("cluster_id").alias("id")).agg(
+        whole("n").alias("article_count"), whole("first.published_at").alias("first_published_at"), F.coalesce(whole("impact"), F.lit(5)).alias("max_impact"), F.count_if((kind == OUTLET) & key.isNotNull()).alias("source_count"),
+        whole("papers").alias("paper_only"), F.min("best").alias("best"), orgs.alias("orgs"),
+        F.min_by(F.when(kind == DAY, key.cast("date")), F.when(kind == DAY, F.struct(-F.col("n"), "key"))).alias("peak_date"), F.min_by(F.when(real, key), F.when(real, F.struct(-F.col("n"), "first", "key"))).alias("category"),
+    )
+    weights = F.transform("orgs", lambda o, i: -o["a"] * F.pow(F.lit(decay), i))
+    zero = F.lit(0.0)
+    base = F.aggregate(weights, zero, lambda t, w: t + F.coalesce(w, zero))
+    reach = F.aggregate("orgs", zero, lambda t, o: t + F.coalesce(F.least(F.lit(1.0), -o["a"] / 7.0), zero))
+    raw = base * (F.col("max_impact") / 5.0) * (1 + 0.25 * F.greatest(zero, reach - 1))
+    return s.withColumn("raw_score", raw).select(
+        "id", F.col("best.title").alias("headline"), F.coalesce("category", F.lit(UNCATEGORIZED)).alias("category"), S.normalize_score(F.col("raw_score")).alias("significance_score"), "raw_score", "first_published_at", "peak_date",
+        "article_count", "max_impact", "source_count", "paper_only", F.col("best.id").alias("best_id"), F.col("best.source_name").alias("best_source"), F.col("best.source_url").alias("best_url"),
     )
 
 
+def story_table(articles: DataFrame, paper_prefix: str = "src1") -> DataFrame:
+    """One row per story with every derived column, in one pass over the articles."""
+    return story_rows(story_sketch(articles, paper_prefix))
+
+
 def top_members(articles: DataFrame, k: int = 3) -> DataFrame:
     """The first k articles of each story by authority, ties by time and id; adds `rank`."""
     line = Window.partitionBy("cluster_id").orderBy(F.col("authority").desc_nulls_last(), "published_at", "id")

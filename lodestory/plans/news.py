@@ -396,7 +396,7 @@ def _(x):
 
 @query("I6_cluster_score", "SELECT id AS cluster_id, round(raw_score, 6) AS raw_score, significance_score FROM clusters")
 def _(x):
-    return T.cluster_score(x.articles()).withColumn("raw_score", F.round("raw_score", 6))
+    return x.clusters().select(F.col("id").alias("cluster_id"), F.round("raw_score", 6).alias("raw_score"), "significance_score")
 
 
 @query("A16_retain_last_n", "SELECT id, ran_at FROM pipeline_runs ORDER BY ran_at DESC, id DESC LIMIT 100")
@@ -454,8 +454,7 @@ BEST_SQL = BEST[len("best AS (") : -1]
 def _(x):
     c = T.recent(x.clusters(), "first_published_at", as_of(), 400).where("significance_score >= 5")
     top = T.top_k(c, 50, F.col("first_published_at").desc(), F.col("id"))
-    b = T.best_article(x.articles()).drop("title")
-    return top.join(b, top["id"] == b["cluster_id"]).select("id", "headline", "source_name", "source_url")
+    return top.select("id", "headline", F.col("best_source").alias("source_name"), F.col("best_url").alias("source_url"))
 
 
 @query("A21_export_snapshot_nested", "SELECT cluster_id AS id, array_to_string(list(id ORDER BY id), ',') AS members FROM articles WHERE cluster_id IS NOT NULL GROUP BY 1")
@@ -493,8 +492,7 @@ def _(x):
 
 def top_stories(x: Fixtures, days: int = 30, limit: int = 6) -> DataFrame:
     top = T.top_k(T.recent(x.clusters(), "first_published_at", as_of(), days), limit, *order())
-    b = T.best_article(x.articles()).drop("title")
-    return top.join(b, top["id"] == b["cluster_id"], "left").select("id", "headline", "category", "significance_score", "article_count", "article_id", "source_name")
+    return top.select("id", "headline", "category", "significance_score", "article_count", F.col("best_id").alias("article_id"), F.col("best_source").alias("source_name"))
 
 
 @query("M2_recap", "SELECT CAST(c.first_published_at AS DATE) AS day, c.id, a.rank, a.id AS article_id FROM (SELECT * FROM clusters WHERE significance_score >= 6 AND first_published_at >= AS_OF - INTERVAL 30 DAY ORDER BY significance_score DESC, first_published_at DESC, id LIMIT 40) c JOIN (SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY authority DESC NULLS LAST, published_at, id) AS rank FROM articles WHERE cluster_id IS NOT NULL QUALIFY rank <= 3) a ON a.cluster_id = c.id")

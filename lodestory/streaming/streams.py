@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lodestory.operators.prices import EVENT, FIELDS, _value, event_frame, event_row, sample_columns, step
+from lodestory.operators.stories import merge_sketches, story_rows, story_sketch
 from lodestory.operators.vectors import knn_window
 from lodestory.sources.sinks import VersionedTable, upsert
 from lodestory.storage import scratch
@@ -145,6 +146,15 @@ def time_join(left: DataFrame, right: DataFrame, key: str, hours: int = 48) -> D
     return a.join(b, (F.col(key) == F.col("_k")) & near & (F.col("id") < F.col("other"))).select("id", "other")
 
 
+def story_batches(stream: DataFrame, path: str, paper_prefix: str = "src1") -> DataFrame:
+    """Stories kept up to date: each micro-batch of articles writes its own sketch (in a folder of its own, so that
+    one that runs again replaces it), and what is read is all of them merged. No stored article is read again."""
+    spark = stream.sparkSession
+    stream = stream.where("cluster_id is not null")
+    run_batches(stream, lambda batch, n: story_sketch(batch, paper_prefix).write.mode("overwrite").parquet(f"{path}/batch={n}"), "append")
+    return story_rows(merge_sketches(spark.read.parquet(path).drop("batch")))
+
+
 def late_backfill(stream: DataFrame, path: str, threshold: Column, *, hours: int = 48, k: int = 10) -> tuple[DataFrame, DataFrame]:
     """Articles (id, published_at, vector, ...) with `late` (behind the newest time of earlier batches by more than
     `hours`), and the neighbours of late ones: id, other, d, rank, as knn_window gives them among all that
