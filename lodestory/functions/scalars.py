@@ -189,9 +189,11 @@ def clean_release_body(body: Column) -> Column:
 
 
 def to_utc_timestamp_any(raw: Column) -> Column:
-    """Epoch seconds, ISO with offset, or naive ISO (UTC); null if unreadable."""
+    """Epoch seconds, ISO with offset, naive ISO (UTC) or the form of feeds (Tue, 02 Jan 2024 10:00:00 GMT);
+    null if unreadable."""
     number = F.when(raw.rlike(r"^\d+(\.\d+)?$"), F.timestamp_seconds(raw.try_cast("double")))
-    return F.coalesce(number, raw.try_cast("timestamp"))
+    mail = F.regexp_replace(F.regexp_replace(raw, r"^\s*[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC|UT|Z)\s*$", " +0000")
+    return F.coalesce(number, raw.try_cast("timestamp"), F.try_to_timestamp(mail, F.lit("d MMM yyyy HH:mm:ss Z")))
 
 
 def within_window(raw: Column, as_of: str, days: int) -> Column:

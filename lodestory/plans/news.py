@@ -13,7 +13,7 @@ from lodestory.operators import stories as T
 from lodestory.operators.scan import beside
 from lodestory.plans.catalog import query
 from lodestory.sources.fixtures import PAPER_PREFIX, Fixtures, as_of
-from lodestory.storage import cut
+from lodestory.storage import cut, scratch
 
 DAY = "2024-01-03"
 
@@ -450,11 +450,21 @@ BEST = "best AS (SELECT cluster_id, id AS article_id, source_name, source_url FR
 BEST_SQL = BEST[len("best AS (") : -1]
 
 
-@query("A20_export_story_feed", "SELECT c.id, headline, source_name, source_url FROM clusters c JOIN best b ON b.cluster_id = c.id WHERE first_published_at >= AS_OF - INTERVAL 400 DAY AND significance_score >= 5 ORDER BY first_published_at DESC, c.id LIMIT 50", best=BEST_SQL)
+STRIPPED = "trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({0}, '<!--.*?-->', ' ', 'gs'), '<[^>]*>', ' ', 'gs'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', chr(39)), '&amp;', '&'), '\\s+', ' ', 'g'))"
+CONTROL_SQL = r"regexp_replace({0}, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g')"
+
+
+@query("A20_export_story_feed", f"""SELECT trim({CONTROL_SQL.format("headline")}) AS title, 'https://news.example/story/' || c.id || CASE WHEN slug <> '' THEN '/' || slug ELSE '' END AS source_url, {STRIPPED.format(CONTROL_SQL.format("(a.body_excerpt || ' (Source: ' || a.source_url || ')')"))} AS body_excerpt, date_trunc('second', first_published_at) AS published_at
+    FROM (SELECT *, regexp_replace(substr(trim(regexp_replace(lower(headline), '[^a-z0-9]+', '-', 'g'), '-'), 1, 80), '-+$', '') AS slug FROM clusters WHERE first_published_at >= AS_OF - INTERVAL 400 DAY AND significance_score >= 5 ORDER BY first_published_at DESC, id LIMIT 50) c
+    JOIN best b ON b.cluster_id = c.id JOIN articles a ON a.id = b.article_id""", best=BEST_SQL)
 def _(x):
-    c = T.recent(x.clusters(), "first_published_at", as_of(), 400).where("significance_score >= 5")
-    top = T.top_k(c, 50, F.col("first_published_at").desc(), F.col("id"))
-    return top.select("id", "headline", F.col("best_source").alias("source_name"), F.col("best_url").alias("source_url"))
+    """The feed is written, a folder per day, and read again as any outlet's feed."""
+    from lodestory.sources.feeds import story_items, write_feed
+    from lodestory.sources.scans import scan_feed
+
+    items = story_items(x.clusters(), x.articles(), as_of(), site="https://news.example", days=400)
+    rows = scan_feed(x.spark, write_feed(items, scratch(x.spark)))
+    return rows.select("title", "source_url", "body_excerpt", "published_at")
 
 
 @query("A21_export_snapshot_nested", "SELECT cluster_id AS id, array_to_string(list(id ORDER BY id), ',') AS members FROM articles WHERE cluster_id IS NOT NULL GROUP BY 1")

@@ -15,8 +15,9 @@ from lodestory.operators import registry as R
 from lodestory.operators.stories import first_per_key, recent, top_k
 from lodestory.plans.catalog import query
 from lodestory.sources import sinks
+from lodestory.sources.feeds import change_items, read_feed, write_feed
 from lodestory.sources.fixtures import Fixtures, as_of
-from lodestory.storage import cut
+from lodestory.storage import cut, scratch
 
 OWN = {
     "last_year": "SELECT * FROM models WHERE released_at >= DATE '2024-01-31' - 365",
@@ -132,10 +133,14 @@ def _(x):
     return risen.select("id", F.col("significance").cast("double").alias("significance"))
 
 
-@q("A23_export_change_feed", "SELECT id, CASE WHEN event_type = 'price' THEN 'price:' || price_scope ELSE event_type END AS category FROM model_events WHERE detected_at >= AS_OF - INTERVAL 30 DAY AND NOT (event_type = 'price' AND price_scope IS NULL)")
+@q("A23_export_change_feed", "SELECT CAST(e.id AS VARCHAR) AS id, CASE WHEN event_type = 'price' THEN 'price:' || price_scope ELSE event_type END AS category, m.name || ': ' || event_type AS title, 'https://news.example/models/' || m.slug AS link, CAST(detected_at AS DATE) AS day FROM model_events e JOIN models m ON m.id = e.model_id WHERE detected_at >= AS_OF - INTERVAL 30 DAY AND NOT (event_type = 'price' AND price_scope IS NULL)")
 def _(x):
+    """The feed is written as JSON, a folder per day, and read again."""
     e = legacy_free(recent(x.model_events(), "detected_at", as_of(), 30))
-    return e.select("id", F.when(F.col("event_type") == "price", F.concat(F.lit("price:"), "price_scope")).otherwise(F.col("event_type")).alias("category"))
+    m = x.models().select(F.col("id").alias("model_id"), F.col("slug").alias("model_slug"), "name")
+    told = e.join(m, "model_id").withColumn("summary", F.concat("name", F.lit(": "), "event_type"))
+    path = write_feed(change_items(told, site="https://news.example"), scratch(x.spark), "json")
+    return read_feed(x.spark, path, "json").select(F.col("guid._VALUE").alias("id"), "category", "title", "link", "day")
 
 
 def legacy_free(events: DataFrame) -> DataFrame:
