@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestory.sources.keyed import create_new
 
 def insert_ignore(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Stored rows and the first new row of each key that is not stored."""
@@ -105,8 +106,9 @@ class VersionedTable:
     def write(self, df: DataFrame, version: int | None = None) -> None:
         """Write a whole new version beside the old one; readers see it when it is complete.
 
-        Versions are numbered: the next one is that after the version read last, and if another
-        writer has taken that number the write fails rather than hide the other's rows. A caller
+        Versions are numbered: the next one is that after the version read last. Its number is claimed
+        first, by a file that only one writer can create; if another has it the write fails rather
+        than hide the other's rows. A caller
         that numbers its versions itself (a micro-batch) may write the same one again after a
         crash: a complete one stays as it is, an incomplete one is replaced.
         """
@@ -114,5 +116,7 @@ class VersionedTable:
         name = f"v{number:020d}"
         if version is not None and name in self.versions():
             return
+        if version is None and not create_new(self.spark, f"{self.path}/{name}.claim", ""):
+            raise FileExistsError(f"version {number} of {self.path} exists or is being written")
         df.write.mode("errorifexists" if version is None else "overwrite").parquet(f"{self.path}/{name}")
         self.last = number

@@ -12,7 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from lodestory.operators.prices import EVENT, FIELDS, _value, event_frame, event_row, sample_columns, step
 from lodestory.operators.stories import merge_sketches, story_rows, story_sketch
 from lodestory.operators.vectors import knn_window
-from lodestory.sources.sinks import VersionedTable, upsert
+from lodestory.sources.keyed import KeyedTable
+from lodestory.sources.sinks import upsert
 from lodestory.storage import scratch
 
 DAY_MS = 86_400_000
@@ -124,15 +125,14 @@ def rolling_top(stream: DataFrame, key: str, value: str, at: str) -> DataFrame:
     return stream.withWatermark(at, "1 day").groupBy(w, key).agg(F.sum(value).alias("total")).select(F.to_date("window.end").alias("until"), key, "total")
 
 
-def upsert_batches(stream: DataFrame, path: str, key: str, *, order: str, overwrite: list[str], keep: list[str]) -> VersionedTable:
-    """Each micro-batch's newest row per key is merged into the next version of a table, numbered
-    by the batch, so a batch that runs again after a crash changes nothing twice."""
-    table = VersionedTable(stream.sparkSession, path)
+def upsert_batches(stream: DataFrame, path: str, key: str, *, order: str, overwrite: list[str], keep: list[str], partitions: int = 64) -> KeyedTable:
+    """Each micro-batch's newest row per key is merged into a table by key, of which only the partitions it
+    touches are rewritten. A batch that runs again after a crash changes nothing twice."""
+    table = KeyedTable(stream.sparkSession, path, key, partitions)
 
     def merge(batch: DataFrame, k: int) -> None:
         newest = batch.groupBy(key).agg(F.max_by(F.struct(*overwrite, *keep), order).alias("s")).select(key, "s.*")
-        stored = table.read(before=k + 1)
-        table.write(newest if stored is None else upsert(stored, newest, key, overwrite=overwrite, keep=keep).select(newest.columns), version=k + 1)
+        table.merge(newest, lambda stored, new: upsert(stored, new, key, overwrite=overwrite, keep=keep), number=k + 1)
 
     run_batches(stream, merge, "append")
     return table
