@@ -10,6 +10,7 @@ windows, all their places. Nothing is shuffled; the benchmark travels in blocks
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,18 @@ SHARD_BYTES = 32 << 20
 BLOCK_BYTES = 32 << 20
 
 
+#: The words of a text as bytes, for the test of what hashes have found.
+WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
+
+
+def plain_words(text: str | None) -> list[bytes]:
+    return WORDS.findall((text or "").encode().lower())
+
+
+def joined(words: list[bytes]) -> bytes:
+    return b" " + b" ".join(words) + b" "
+
+
 class Probe:
     """The benchmark's suffixes, ready to be searched."""
 
@@ -35,6 +48,7 @@ class Probe:
         data, offsets = buffer_of(pa.array(texts, pa.string()))
         words, first = words_of(data, offsets)
         self.items, self.window = items, window
+        self.texts = [joined(plain_words(t)) for t in texts]
         self.vocab, ids = np.unique(words, return_inverse=True)
         self.seq = ids.astype(np.int64) + 1
         n = np.diff(first)
@@ -172,6 +186,21 @@ class Shard:
         return search_shard(seq, order, p)
 
 
+def confirmed(held: list[pa.RecordBatch], shard: Shard, p: Probe, places: np.ndarray, sizes: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Which of the found windows are in their items byte by byte: words are searched by 64-bit hashes, and
+    different words can have equal ones. Only texts with found windows are cut into words again."""
+    doc = np.searchsorted(shard.edge, places, "right") - 1
+    first = np.concatenate(([0], np.cumsum([b.num_rows for b in held])))
+    words: dict[int, list[bytes]] = {}
+    out = np.zeros(len(places), bool)
+    for k, (d, place, size, item) in enumerate(zip(doc.tolist(), (places - shard.edge[doc]).tolist(), sizes.tolist(), items.tolist(), strict=True)):
+        if d not in words:
+            b = int(np.searchsorted(first, d, "right")) - 1
+            words[d] = plain_words(held[b].column(1)[d - int(first[b])].as_py())
+        out[k] = joined(words[d][place : place + size]) in p.texts[item]
+    return out
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list]]:
     """The benchmark in blocks of bounded size; a block is all that the driver holds at once."""
     rows = benchmark.where(F.col(item_col).isNotNull() & F.col(text_col).isNotNull()).select(item_col, text_col)
@@ -205,6 +234,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDO
             pairs: set[tuple[int, str]] = set()
             for p in _each(blocks):
                 places, sizes, items, _, _ = shard.search(p)
+                ok = confirmed(held, shard, p, places, sizes, items)
+                places, sizes, items = places[ok], sizes[ok], items[ok]
                 np.add.at(delta, places, 1)
                 np.add.at(delta, places + sizes, -1)
                 pair = np.unique((np.searchsorted(shard.edge, places, "right") - 1) * max(1, len(p.items)) + items)
@@ -247,6 +278,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAD,
             for p in _each(blocks):
                 _, _, _, best, where = shard.search(p)
                 k = np.flatnonzero(best >= max(least, LEAD))
+                k = k[confirmed(held, shard, p, where[k], best[k], p.item_of[k])]
                 doc = np.searchsorted(shard.edge, where[k], "right") - 1
                 cols = [pa.array([p.items[i] for i in p.item_of[k]], pa.string()), pa.array(p.at[k]), pa.array(best[k]), ids.take(pa.array(doc)), pa.array(where[k] - shard.edge[doc])]
                 yield pa.RecordBatch.from_arrays(cols, ["item", "item_word", "n_words", "doc", "doc_word"])

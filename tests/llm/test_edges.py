@@ -20,7 +20,7 @@ from lodestory.llm.induced import suffix_array
 from lodestory.llm.language_id import identify_language, keep_identified, no_language, text_logits, train_language_model
 from lodestory.llm.near_dedup import BANDS, ROWS, band_hashes, inverse_frequencies, keep_one_of_each, shingles, weighted, weighted_jaccard
 from lodestory.llm.packing import best_fit, pack_documents
-from lodestory.llm.shared import buffer_of, held_out, scratch
+from lodestory.llm.shared import buffer_of, held_out, scratch, words_of
 from lodestory.llm.token_counts import LONG, PrefixCounter
 from lodestory.llm.token_store import read_token_store, write_token_store
 from lodestory.llm.url_trust import KIN, RULES, converged_pagerank, judge_urls
@@ -394,3 +394,17 @@ def test_blocks_do_not_change_ranks(spark, size):
     seed[[0, 5]] = 1 / 3, 2 / 3
     want = np.linalg.solve(np.eye(24) - m, seed)
     assert sum(abs(got.get(n, 0) - w) for n, w in zip(names, want / want.sum(), strict=True)) < 3e-6
+
+
+def test_equal_hashes_of_different_words(spark):
+    """Two words of 1,024 letters whose hashes are equal: a/b by the parity of one-bits, and the reverse."""
+    parity = [bin(k).count("1") % 2 for k in range(1024)]
+    one, two = "".join("ab"[b] for b in parity), "".join("ba"[b] for b in parity)
+    h, _ = words_of(*buffer_of(pa.array([one, two])))
+    assert one != two and h[0] == h[1]
+    d = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y"), (3, f"a b {one} c d e f g h i"), (4, f"a b {two} c d e f g h i")], "doc_id long, text string")
+    b = spark.createDataFrame([(1, two), (2, f"A b {one} c d e f g h i j")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in D.benchmark_hits(d, b, window=10).collect()}
+    assert got == {1: (0, []), 2: (1, ["1"]), 3: (10, ["2"]), 4: (1, ["1"])}
+    found = {(r["item"], r["doc_id"]) for r in D.longest_matches(d, b).collect()}
+    assert ("2", 3) in found and ("2", 4) not in found
