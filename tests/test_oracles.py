@@ -20,8 +20,9 @@ def test_twin(spark, con, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_without_twin_gives_rows(spark, name):
+    """Those are compared with plain versions elsewhere."""
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry(spark):
