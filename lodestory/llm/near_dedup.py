@@ -307,8 +307,9 @@ def near_duplicate_classes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
             pairs = pairs.join(known, (F.least("a", "b") == known["ka"]) & (F.greatest("a", "b") == known["kb"]), "left_anti")
         found = verify(pairs)
         verified = found if verified is None else verified.unionByName(found)
-        # between rounds labels only spare comparisons, and one step joins every star; the last are exact
-        labels = connected_components(verified.where(F.col("similarity") >= similarity).select("a", "b"), steps=None if k == STAR_ROUNDS else 1)
+        # between rounds labels only spare comparisons, and one step joins every star; those before the pairs, which
+        # would else meet within a class too, and the last are exact
+        labels = connected_components(verified.where(F.col("similarity") >= similarity).select("a", "b"), steps=None if k >= STAR_ROUNDS - 1 else 1)
     links = verified.where(F.col("similarity") >= similarity).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     classes = nodes.select("node", "id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
