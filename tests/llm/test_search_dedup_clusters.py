@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 import lodestory.llm.signature_search as G
 from lodestory.llm import queries as Q
 from lodestory.llm.centroids import cluster_vectors, nearest_centroids
-from lodestory.llm.digest_index import DigestIndex, exact_duplicates, keep_new
+from lodestory.llm.digest_index import DigestIndex, digests, exact_duplicates, keep_new
 from lodestory.llm.shared import scratch
 from lodestory.llm.signature_search import ranked_search, search_signatures, write_signature_index
 from tests.compare import connect, duck_rows, spark_rows
@@ -153,8 +153,9 @@ def test_index_persists_and_takes_arrivals(spark):
     # the same arrival once more adds nothing and answers alike
     assert sorted(map(tuple, keep_new(second, again, "tuesday").collect()), key=str) == [(4, "c", "y"), (5, None, "z")]
     assert again.entries().count() == 4 and not keep_new(first, again, "wednesday").collect()
-    plan = again.entries().join(second.select(F.unhex(F.lit("00")).alias("digest")), "digest")._jdf.queryExecution().executedPlan().toString()
-    assert "Bucketed: true" in plan
+    plan = digests(second).join(again.entries().select("digest").hint("merge"), "digest", "left_anti")._jdf.queryExecution().executedPlan().toString()
+    # sorted and merged, and only the new side moves
+    assert "Bucketed: true" in plan and "SortMergeJoin" in plan and plan.count("Exchange") == 1
 
 
 # centroids
