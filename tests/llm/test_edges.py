@@ -17,7 +17,7 @@ import lodestory.llm.toxicity as T
 from lodestory.llm import queries as Q
 from lodestory.llm.encoding import ChunkEncoder
 from lodestory.llm.induced import suffix_array
-from lodestory.llm.language_id import identify_language, keep_identified, no_language, text_logits, train_language_model
+from lodestory.llm.language_id import identify_language, keep_identified, no_language, split_rows, text_logits, train_language_model
 from lodestory.llm.near_dedup import BANDS, ROWS, band_hashes, inverse_frequencies, keep_one_of_each, shingles, weighted, weighted_jaccard
 from lodestory.llm.packing import best_fit, pack_documents
 from lodestory.llm.shared import buffer_of, held_out, scratch, words_of
@@ -238,6 +238,17 @@ def test_no_language_is_rejected(spark):
     assert keep_identified(docs(spark, list(enumerate([*texts, *made]))), m).count() < len(texts) + 0.1 * len(made)
 
 
+@pytest.mark.parametrize("rows", [30, 400, 1600])
+def test_no_row_trains_and_calibrates(spark, rows):
+    df = spark.read.parquet(f"{MID}/documents.parquet").where("lang is not null").select("doc_id", "text", "lang")
+    df = df.unionByName(spark.createDataFrame([(-1, "tlhIngan Hol", "one")], df.schema)).unionByName(df.limit(5))
+    trained, kept, n = split_rows(df, "doc_id", "lang", rows)
+    ids = [{r[0] for r in part.select("doc_id").collect()} for part in (trained, kept)]
+    assert ids[0] and ids[1] and not ids[0] & ids[1]
+    assert n == df.select("lang").distinct().count() == trained.select("lang").distinct().count()
+    assert split_rows(df.limit(0), "doc_id", "lang", rows)[2] == 0
+
+
 def test_rare_language_is_learned(spark):
     rng = np.random.default_rng(4)
     say = lambda letters: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(40))
