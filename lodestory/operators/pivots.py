@@ -3,7 +3,8 @@
 A crowded bucket has pivots of its own, one for about BLOCK_ROWS vectors. Every vector goes to its
 nearest pivot, and a pivot's vectors are cut into shells by their angle to it. Angles obey the triangle
 inequality, so two blocks whose pivots and shells prove that all their vectors are further apart
-than the limit never meet. What is left meets exactly; nothing is approximated.
+than the limit (or, for the farthest pair, nearer than one already known) never meet. What is left
+meets exactly; nothing is approximated.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def choose_pivots(rows: DataFrame) -> DataFrame:
     """_b, _cell, pivot: of each bucket one vector for every BLOCK_ROWS, chosen by a hash of the id."""
     size = rows.groupBy("_b").agg(F.least(F.lit(PIVOTS), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("_n"))
     line = Window.partitionBy("_b").orderBy(F.xxhash64("id", F.lit(3)), "id")
-    first = rows.select("_b", "id", "vector").withColumn("_cell", F.row_number().over(line) - 1).where(F.col("_cell") < PIVOTS)
+    first = rows.select("_b", "id", "vector").withColumn("_cell", F.row_number().over(line)).where(F.col("_cell") <= PIVOTS).withColumn("_cell", F.col("_cell") - 1)
     return first.join(size, "_b").where("_cell < _n").select("_b", "_cell", F.col("vector").alias("pivot"), "_n")
 
 
@@ -115,8 +116,25 @@ def block_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.groupBy("_b", "_b2").cogroup(b.groupBy("_b", "_b2")).applyInArrow(meet, schema)
 
 
+def far_pairs(left: DataFrame, kind: str) -> DataFrame:
+    """Pairs of blocks of one bucket (of type `kind`), each once: keys, rows and parts of both, and whether any of their
+    vectors can be as far apart as the bucket's `floor`, an angle. A bucket has PIVOTS * SHELLS blocks at most."""
+
+    def meet(x: pa.Table) -> pa.Table:
+        d = angles(matrix(x["pivot"]), matrix(x["pivot"]))
+        i, j = np.triu_indices(len(x))
+        hi = x["hi"].to_numpy()
+        can = d[i, j] + hi[i] + hi[j] >= x["floor"].to_numpy()[i] - SLACK
+        at, at2 = pa.array(i), pa.array(j)
+        names = ["_b", "_cell", "_shell", "_parts", "rows"]
+        return pa.table({c: x[c].take(at) for c in names} | {f"{c}2": x[c].take(at2) for c in names} | {"can": pa.array(can)})
+
+    one = f"_b {kind}, _cell int, _shell int, _parts int, rows long"
+    return left.groupBy("_b").applyInArrow(meet, f"{one}, _b2 {kind}, _cell2 int, _shell2 int, _parts2 int, rows2 long, can boolean")
+
+
 def visited_share(pairs: DataFrame) -> float:
-    """Of all pairs of vectors in the same and adjacent buckets, the share whose blocks meet."""
+    """Of all pairs of vectors in the buckets that `pairs` compares, the share whose blocks meet."""
     n = F.col("rows") * F.col("rows2")
     every, met = pairs.agg(F.sum(n), F.sum(F.when(F.col("can"), n).otherwise(0))).first()
     return met / every if every else 0.0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,28 +12,15 @@ from pyspark.sql import functions as F
 
 from lodestory.operators import pivots
 from lodestory.operators.graph import connected_components
-from lodestory.operators.pivots import fold, matrix
+from lodestory.operators.pivots import fold, matrix, unit
 from lodestory.operators.slots import assign_in_slots
 from lodestory.shipping import ship
 from lodestory.storage import cut
 
-#: Vectors of one side of a block; a crowded window is split into blocks of about so many.
+#: Different vectors of a story that are compared in one group; larger stories go into blocks.
 BLOCK_ROWS = 2048
 
 
-def _blocked(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Two frames in blocks of bounded size: each block of one side meets each of the other with
-    the same keys in one group. Counts per key are summed before they move."""
-    of = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
-    sizes = of(left, "_nl").join(of(right, "_nr"), keys)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    a = left.join(sizes, keys).withColumn("_l", mine("_nl")).withColumn("_r", every("_nr")).drop("_nl", "_nr")
-    b = right.join(sizes, keys).withColumn("_r", mine("_nr")).withColumn("_l", every("_nl")).drop("_nl", "_nr")
-    # both sides may be one frame: the second gets columns of its own
-    return a, b.select(*[F.col(c).alias(c) for c in b.columns]), [*keys, "_l", "_r"]
-
-
 def time_pairs(left: DataFrame, right: DataFrame, hours: int, keep: list[str], *, below: str | float, k: int | None = None) -> DataFrame:
     """id, id_2, d, and `keep` of both sides (id, t micros, vector, ...) for rows at most `hours` apart with different
     ids whose cosine distance is under `below` (a number, or a column of the left side); with k,
@@ -187,34 +176,84 @@ def assign_stories(vectors: DataFrame, threshold: Column, *, hours: int = 48, k:
     return assign_in_slots(rows, stories, hours * 3_600_000_000)
 
 
+def farthest(x: pa.Table, y: pa.Table) -> float:
+    """The largest cosine distance between a vector of x and one of y, all of them with length."""
+    v, w = matrix(x["vector"]), matrix(y["vector"])
+    n, m = np.sqrt(fold(v, v)), np.sqrt(fold(w, w))
+    rough = (v / n[:, None]) @ (w / m[:, None]).T
+    i, j = np.nonzero(rough <= rough.min() + 1e-9)
+    return float((1 - fold(v[i], w[j]) / (n[i] * m[j])).max())
+
+
 def intra_max(vectors: DataFrame, key: str = "cluster_id") -> DataFrame:
     """The largest distance between two members of each story of two or more.
 
-    Members meet in blocks of bounded size; a pair of blocks gives one row. Members without length
-    have no distance; a story of such alone has a null.
+    Equal vectors of a story are taken once. A story of at most BLOCK_ROWS of them is one group; larger
+    ones are searched by branch and bound (`crowded_max`). Members without length (null, zero or
+    non-finite vectors) have no distance; a story with fewer than two others has a null.
     """
     ship(vectors.sparkSession)
-    v = vectors.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), "id", "vector")
-    a, b, keys = _blocked(v, v, ["_k"])
-    a, b = a.where("_l <= _r"), b.where("_l <= _r")
-    kind = dict(vectors.dtypes)[key]
+    plain = F.transform("vector", lambda e: e.cast("double"))
+    v = vectors.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_b"), plain.alias("vector")).agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, e: s + e * e))
+    v = cut(v.withColumn("norm", norm).withColumn("long", F.coalesce((F.col("norm") > 0) & (F.col("norm") < float("inf")), F.lit(False))))
+    sizes = cut(v.groupBy("_b").agg(F.sum("n").alias("members"), F.sum(F.when(F.col("long"), F.col("n")).otherwise(0)).alias("measured"), F.count_if("long").alias("rows")))
+    kind = dict(v.dtypes)["_b"]
+    rows = v.where("long").join(sizes.select("_b", "rows"), "_b")
+    few = rows.where(F.col("rows") <= BLOCK_ROWS).select("_b", "vector")
+    found = few.groupBy("_b").applyInArrow(lambda x: pa.table({"_b": x["_b"][:1], "max_d": pa.array([farthest(x, x)], pa.float64())}), f"_b {kind}, max_d double")
+    if sizes.where(F.col("rows") > BLOCK_ROWS).limit(1).count():
+        scale = F.pow(F.lit(2.0), F.floor(F.log2("norm")))  # a power of two changes no distance by a bit
+        many = rows.where(F.col("rows") > BLOCK_ROWS).select("_b", "id", F.transform("vector", lambda e: e / scale).alias("vector"))
+        found = found.unionByName(crowded_max(cut(many)))
+    some = sizes.where("members > 1").join(found, "_b", "left")
+    return some.select(F.col("_b").alias(key), F.when(F.col("measured") > 1, F.col("max_d")).alias("max_d"))
+
+
+def far_blocks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The members (_b, id, vector) that can be an end of their story's farthest pair, in blocks, and the
+    pairs of blocks with those that can hold one.
+
+    Two sweeps give a pair to beat: the member p farthest from the centroid, and the one farthest from
+    p, at an angle L. A member whose angle to the centroid, added to the largest such angle, stays under L
+    is no end; nor do two blocks hold both ends whose pivots' angle and radii stay under L together.
+    """
+    kind = dict(rows.dtypes)["_b"]
+
+    def to_point(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            if len(t):
+                cos = np.einsum("ij,ij->i", unit(matrix(t["vector"])), unit(matrix(t["point"])))
+                yield pa.RecordBatch.from_arrays([b.column("_b"), b.column("id"), b.column("vector"), pa.array(np.arccos(np.clip(cos, -1, 1)))], ["_b", "id", "vector", "angle"])
+
+    def sweep(points: DataFrame) -> DataFrame:
+        seen = rows.select("_b", "id", "vector").join(points, "_b").select("_b", "id", "vector", "point")
+        return seen.mapInArrow(to_point, f"_b {kind}, id {dict(rows.dtypes)['id']}, vector array<double>, angle double")
+
+    out = cut(sweep(centroids(rows, "_b").withColumnRenamed("vector", "point")))
+    far = cut(out.groupBy("_b").agg(F.max("angle").alias("radius"), F.max_by("vector", F.struct("angle", "id")).alias("point")))
+    floor = cut(sweep(far.select("_b", "point")).groupBy("_b").agg(F.max("angle").alias("floor")))
+    bounds = far.select("_b", "radius").join(floor, "_b")
+    ends = cut(out.join(bounds, "_b").where(F.col("angle") + F.col("radius") >= F.col("floor") - pivots.SLACK).select("_b", "id", "vector"))
+    centres = cut(pivots.choose_pivots(ends))
+    placed = pivots.place(ends, centres)
+    return placed, cut(pivots.far_pairs(pivots.blocks(placed, centres).join(floor, "_b"), kind))
+
+
+def crowded_max(rows: DataFrame) -> DataFrame:
+    """_b, max_d: the largest distance within each story, from the pairs of blocks that can hold it."""
+    placed, pairs = far_blocks(rows)
+    a, b, keys = pivots.dealt(placed, placed, pairs)
+    b = b.select(*[F.col(c).alias(c) for c in b.columns])  # both sides are one frame
+    kind = dict(rows.dtypes)["_b"]
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        best, pairs = None, 0
-        if len(x) and len(y):
-            v, w = matrix(x["vector"]), matrix(y["vector"])
-            n, m = np.sqrt(fold(v, v)), np.sqrt(fold(w, w))
-            pairs = len(v) * len(w) - len(v) if x["_l"][0].as_py() == x["_r"][0].as_py() else len(v) * len(w)
-            v, n, w, m = v[n > 0], n[n > 0], w[m > 0], m[m > 0]
-            if len(v) and len(w):
-                rough = (v / n[:, None]) @ (w / m[:, None]).T
-                i, j = np.nonzero(rough <= rough.min() + 1e-9)
-                best = float((1 - fold(v[i], w[j]) / (n[i] * m[j])).max())
-        keep = pairs > 0
-        return pa.table({"_k": x["_k"][:1] if keep else x["_k"][:0], "max_d": pa.array([best] if keep else [], pa.float64())})
-
-    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, f"_k {kind}, max_d double")
-    return found.groupBy(F.col("_k").alias(key)).agg(F.max("max_d").alias("max_d"))
+        if not len(x) or not len(y):
+            return pa.table({"_b": x["_b"][:0], "max_d": pa.array([], pa.float64())})
+        return pa.table({"_b": x["_b"][:1], "max_d": pa.array([farthest(x, y)], pa.float64())})
+
+    return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInArrow(meet, f"_b {kind}, max_d double").groupBy("_b").agg(F.max("max_d").alias("max_d"))
 
 
 def missed_merges(vectors: DataFrame, *, threshold: float, hours: int = 48) -> DataFrame:
