@@ -9,25 +9,33 @@ from lodestory.plans.catalog import query
 from lodestory.plans.vectors import DIST, OWN
 from lodestory.shipping import ship
 from lodestory.sources.fixtures import NEWS, Fixtures
-from lodestory.storage import scratch
+from lodestory.storage import cut, scratch
 from lodestory.streaming import streams as R
 
 
+#: Rows of a landed file, about.
+FILE_ROWS = 500_000
+
+
 def replay(x: Fixtures, df: DataFrame, order: str, batches: int = 4, cuts: list | None = None) -> DataFrame:
     """A table as a stream that arrives in the order of a column, in so many micro-batches.
 
-    The cuts, or else the column's quantiles, part the rows; each part lands as one file after the part
-    before, so the file source, which reads by time of change, takes them one by one.
+    The cuts, or else the column's quantiles, part the rows; each part lands after the part before as the same
+    number of files, so the file source, which reads by time of change, takes them one by one. The table is
+    made once; files grow in number, not in size.
     """
-    path = scratch(x.spark)
+    path, df = scratch(x.spark), cut(df)
     at = F.unix_micros(order) if dict(df.dtypes)[order] == "timestamp" else F.col(order)
-    cuts = cuts or df.agg(F.percentile_approx(at, [(k + 1) / batches for k in range(batches - 1)])).first()[0] or []
-    edges = [None, *sorted(set(cuts)), None]
-    for low, high in zip(edges, edges[1:], strict=False):
+    rows, quantiles = df.agg(F.count("*"), F.percentile_approx(at, [(k + 1) / batches for k in range(batches - 1)])).first()
+    edges = [None, *sorted(set(cuts or quantiles or [])), None]
+    files = max(1, -(-rows // ((len(edges) - 1) * FILE_ROWS)))
+    for k, (low, high) in enumerate(zip(edges, edges[1:], strict=False)):
         part = df if low is None else df.where(at > low)
         part = part if high is None else part.where(at <= high)
-        part.coalesce(1).write.mode("append").parquet(path)
-    return R.read_stream(x.spark, path, files=1)
+        part.repartition(files).write.mode("append").parquet(path)
+        for _ in range((k + 1) * files - len(x.spark.read.parquet(path).inputFiles())):  # a part of fewer rows than files
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
+    return R.read_stream(x.spark, path, files=files)
 
 
 @query("K1_stream_dedup_url_title", "SELECT DISTINCT source_url FROM articles")

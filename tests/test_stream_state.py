@@ -97,3 +97,30 @@ def test_only_partitions_of_late_times_are_read(spark, articles):
     assert {"batch", "bucket"} <= set(stored.columns)
     plan = stored.where(F.col("bucket").isin([9862]))._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+def test_debounce_of_models_that_share_a_group(spark, monkeypatch):
+    ship(spark)
+    monkeypatch.setattr(R, "BLOCKS", 2)
+    rng = np.random.default_rng(8)
+    rows = [(m, ZERO + timedelta(days=k), float(rng.integers(1, 4))) for m in range(30) for k in range(20)]
+    schema = "model_id long, sample_ts timestamp, vendor_in double"
+    out = scratch(spark)
+    stream = landed(spark, rows, schema, [lambda r: r[1] < ZERO + timedelta(days=9), lambda r: r[1] >= ZERO + timedelta(days=9)])
+    got = R.run_to_end(R.debounced(stream, forget_days=400), out=out)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, P.debounced_changes(spark.createDataFrame(rows, schema)).collect()), key=str)
+    assert keys_in_store(spark, out) == {0, 1} and got.count() > 50
+
+
+def test_a_replayed_part_lands_as_several_files(spark, monkeypatch):
+    from lodestory.plans import streams as Q
+    from lodestory.sources.fixtures import Fixtures
+
+    monkeypatch.setattr(Q, "FILE_ROWS", 10)
+    seen = []
+    rows = spark.range(101).withColumn("at", F.when(F.col("id") < 97, F.col("id")).otherwise(F.col("id") * 10))
+    stream = Q.replay(Fixtures(spark, ""), rows, "at", cuts=[50, 96, 97, 980])
+    R.run_batches(stream, lambda b, k: seen.append((b.count(), b.agg(F.min("at"), F.max("at")).first(), b.select(F.input_file_name()).distinct().count())), "append")
+    # parts of one row and of none too are batches of their own
+    assert [(n, tuple(span)) for n, span, _ in seen] == [(51, (0, 50)), (46, (51, 96)), (0, (None, None)), (2, (970, 980)), (2, (990, 1000))]
+    assert seen[0][2] == 3
