@@ -21,3 +21,9 @@ def wide(spark):
 def test_registry_shows_every_model(spark, wide):
     got = all_queries()["M8_registry"](spark, SF)
     assert sorted(map(str, got.collect())) == sorted(map(str, wide.select(*got.columns).collect()))
+
+
+def test_best_models_are_those_of_all(spark, wide):
+    got = [r["id"] for r in all_queries()["M11_best_models"](spark, SF).where("view = 'overall'").collect()]
+    best = wide.where("eci is not null").orderBy(F.col("eci").desc(), "id").limit(20)
+    assert sorted(got) == sorted(r["id"] for r in best.collect())
