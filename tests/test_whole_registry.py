@@ -27,3 +27,8 @@ def test_best_models_are_those_of_all(spark, wide):
     got = [r["id"] for r in all_queries()["M11_best_models"](spark, SF).where("view = 'overall'").collect()]
     best = wide.where("eci is not null").orderBy(F.col("eci").desc(), "id").limit(20)
     assert sorted(got) == sorted(r["id"] for r in best.collect())
+
+
+def test_quadrants_hold_every_scored_model(spark, wide):
+    got = all_queries()["M15_insight_frontiers"](spark, SF).where("part = 'quadrant'").count()
+    assert got == wide.where("eci is not null").count() > 200
