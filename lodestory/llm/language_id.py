@@ -2,15 +2,17 @@
 
 A text is the mean of the embeddings of its subwords (2 to 4 bytes of a lower-cased word with
 its borders), hashed into buckets. Embeddings and softmax are trained together by stochastic
-gradient descent in numpy on a bounded sample; since both are linear, a text's logits are
-the mean of one row of logits per bucket, which is all that the scoring tasks carry. A class
-beside the languages learns what is none of them, from sampled texts whose letters are shuffled
-or replaced by foreign ones. Other texts, kept back from the training at every size of the table,
+gradient descent in numpy: a few texts of each language give a start on the driver, then every task
+goes on over all of its rows, and the tasks' models are averaged. Since both layers are linear, a text's
+logits are the mean of one row of logits per bucket, which is all that the scoring tasks carry. A class
+beside the languages learns what is none of them, from texts whose letters are shuffled
+or replaced by foreign ones. All other texts, kept back from the training at every size of the table,
 then set the temperature and, for each language, the confidence below which an answer is rejected.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,17 +21,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestory.llm.shared import LOWER, WORD, buffer_of, held_out, prepare, slices
+from lodestory.llm.averaging import SCHEMA, averaged, changes
+from lodestory.llm.shared import LOWER, WORD, buffer_of, cut, held_out, prepare, slices
 
 BUCKETS = 1 << 14
-#: Rows of the training and of the calibration sample, about; each language gets an equal part,
-#: LEAST_ROWS at least. The calibration texts send a few numbers each to the driver.
-SAMPLE_ROWS, CALIBRATION_ROWS, LEAST_ROWS = 1600, 8000, 40
-#: Largest share of a language's rows that is trained on; the rest is kept for calibration.
+#: Rows that the start is trained on, about; each language gets an equal part, LEAST_ROWS at least.
+START_ROWS, LEAST_ROWS = 1600, 40
+#: Share of a language's rows that is trained on; the rest is kept for calibration.
 TRAINED_SHARE = 0.8
+#: Rate of the first steps; it falls to one part of the number of epochs.
+RATE = 20.0
+#: Weight of a rare language's texts, at most; a language of the mean size has 1.
+MOST_WEIGHT = 10.0
+#: Temperatures tried, and bins of confidence for the floors.
+TEMPERATURES, BINS = tuple(0.25 * 1.25**k for k in range(20)), 1 << 12
 #: Share of a language's rightly named calibration texts that rejection may cost.
 REJECTED_SHARE = 0.002
 UNKNOWN = "und"
@@ -97,28 +106,79 @@ def no_language(text: str) -> str:
 
 
 def split_rows(labelled: DataFrame, id_col: str, lang_col: str, rows: int) -> tuple[DataFrame, DataFrame, int]:
-    """Rows to train on, other rows to calibrate with, and how many languages there are.
+    """Rows to train on, all other rows to calibrate with, and how many languages there are.
 
-    One draw orders each language's rows: the lowest are trained on (TRAINED_SHARE of them at most,
-    but one at least), the highest calibrate. The two never meet, whatever the table's size; a language
-    of one row has none to calibrate with. Repeated rows draw alike and stay together.
+    One draw orders each language's rows: the lowest TRAINED_SHARE is trained on (one row at least), the rest
+    calibrates. The two never meet, whatever the table's size; a language of one row has none to calibrate
+    with. Repeated rows draw alike and stay together. Rows to train on also say whether they are of the
+    start, about `rows` in all (_start), and what they weigh (_weight): less in a language of many rows.
     """
     draw = F.pmod(F.xxhash64(id_col, F.lit(17)), F.lit(_DRAWS))
     sizes = labelled.groupBy(lang_col).agg(F.count("*"), F.min(draw)).collect()  # a row a language
     if not sizes:
         return labelled, labelled, 0
-    train, calibrate = (max(LEAST_ROWS, most // len(sizes)) for most in (rows, CALIBRATION_ROWS))
-    upto = {lang: max(int(min(TRAINED_SHARE, train / n) * _DRAWS), least + 1) for lang, n, least in sizes}
-    since = {lang: max(int((1 - min(1.0, calibrate / n)) * _DRAWS), upto[lang]) for lang, n, _ in sizes}
-    bound = lambda of: F.create_map(*[F.lit(x) for pair in of.items() for x in pair])[F.col(lang_col)]
-    return labelled.where(draw < bound(upto)), labelled.where(draw >= bound(since)), len(sizes)
+    most, mean = max(LEAST_ROWS, rows // len(sizes)), sum(n for _, n, _ in sizes) / len(sizes)
+    upto = {lang: max(int(TRAINED_SHARE * _DRAWS), least + 1) for lang, _, least in sizes}
+    start = {lang: min(max(int(min(1.0, most / n) * _DRAWS), least + 1), upto[lang]) for lang, n, least in sizes}
+    weight = {lang: min(MOST_WEIGHT, mean / n) for lang, n, _ in sizes}
+    of = lambda values: F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col(lang_col)]
+    trained = labelled.where(draw < of(upto)).withColumn("_start", draw < of(start)).withColumn("_weight", of(weight))
+    return trained, labelled.where(draw >= of(upto)), len(sizes)
+
+
+def descend(net: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, step: float, weight: np.ndarray | float = 1.0) -> None:
+    """One step of gradient descent: x holds each text's shares of its subwords by bucket, y its class."""
+    a = x @ net["emb"]
+    d = _softmax(a @ net["soft"] + net["bias"])
+    d[np.arange(len(y)), y] -= 1
+    d *= (np.broadcast_to(weight, len(y)) / len(y))[:, None]
+    da = d @ net["soft"].T
+    net["soft"] -= step / 20 * (a.T @ d)
+    net["bias"] -= step / 200 * d.sum(0)
+    net["emb"] -= step * (x.T @ da)
+
+
+def trained_on_all(net: dict[str, np.ndarray], texts: DataFrame, langs: list[str], n_langs: int, step: float) -> dict[str, np.ndarray]:
+    """The net after every task went over all of its texts (id, text, language, weight), averaged."""
+    shared = texts.sparkSession.sparkContext.broadcast(net)  # BUCKETS x dim numbers
+    index = {lang: k for k, lang in enumerate(langs)}
 
-
-def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, dim: int = 16, epochs: int = 6, seed: int = 5) -> LanguageModel | None:
-    """Learn from a sample of about `rows` labelled texts that are not held out; None if there are none.
-
-    Languages are counted first and sampled alike, so a rare one is learned too. The tasks turn
-    sampled texts into bucket counts; the driver gets these alone.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, seen = {k: v.copy() for k, v in shared.value.items()}, 0
+        for b in batches:
+            ids, langs_, weights = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
+            made = [i for i, key in enumerate(ids) if langs_[i] in index and _makes_none(key, n_langs)]
+            real = [i for i, lang in enumerate(langs_) if lang in index]
+            y = np.array([index[langs_[i]] for i in real] + [len(langs)] * len(made), np.int64)
+            w = np.array([weights[i] for i in real] + [1.0] * len(made), np.float32)
+            none = pa.array([no_language(b.column(1)[i].as_py()) for i in made], b.column(1).type)
+            order = np.random.default_rng(len(y)).permutation(len(y))
+            data, offsets = buffer_of(pa.concat_arrays([b.column(1).take(pa.array(real, pa.int64())), none]).take(pa.array(order)))
+            for lo in range(0, len(y), 32):
+                hi = min(lo + 32, len(y))
+                bucket, owner = subwords(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                x = np.bincount(owner * BUCKETS + bucket, minlength=(hi - lo) * BUCKETS).reshape(-1, BUCKETS).astype(np.float32)
+                n = x.sum(1)
+                at = order[lo:hi][n > 0]
+                if len(at):
+                    descend(own, x[n > 0] / n[n > 0, None], y[at], step, w[at])
+                    seen += len(at)
+        if seen:
+            yield from changes(TaskContext.get().partitionId(), seen, shared.value, own)
+
+    return averaged(texts.mapInArrow(run, SCHEMA), net)
+
+
+def _makes_none(key, n_langs: int) -> bool:
+    """Whether a text of no language is made from the row: twice as many as a language has rows."""
+    return zlib.crc32(str(key).encode()) % n_langs < 2
+
+
+def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = START_ROWS, dim: int = 16, epochs: int = 6, seed: int = 5) -> LanguageModel | None:
+    """Learn from all labelled texts that are not held out; None if there are none.
+
+    About `rows` of them, of each language alike, give a start: the tasks turn these into bucket counts, and
+    the driver gets the counts alone. Where there are more, one pass over all rows to train on follows.
     """
     prepare(docs.sparkSession)
     labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).select(id_col, text_col, lang_col)
@@ -130,7 +190,7 @@ def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         for b in batches:
             ids, langs, keys, vals = [], [], [], []
             for i, t, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                made = [(no_language(t), None)] if zlib.crc32(str(i).encode()) % n_langs < 2 else []
+                made = [(no_language(t), None)] if _makes_none(i, n_langs) else []
                 for text, name in [(t, lang), *made]:
                     raw = np.frombuffer(text.encode(), np.uint8)
                     k, v = np.unique(subwords(raw, np.array([0, len(raw)]))[0], return_counts=True)
@@ -141,7 +201,7 @@ def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
                         vals.append((v / v.sum()).astype(np.float32))
             yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field(0).type), pa.array(langs, pa.string()), pa.array(keys, pa.list_(pa.int32())), pa.array(vals, pa.list_(pa.float32()))], ["id", "lang", "keys", "vals"])
 
-    got = trained.mapInArrow(count, f"id {dict(docs.dtypes)[id_col]}, lang string, keys array<int>, vals array<float>").toArrow()
+    got = trained.where("_start").select(id_col, text_col, lang_col).mapInArrow(count, f"id {dict(docs.dtypes)[id_col]}, lang string, keys array<int>, vals array<float>").toArrow()
     got = got.combine_chunks()
     langs = sorted(set(got["lang"].to_pylist()) - {None})
     if not langs:
@@ -164,59 +224,71 @@ def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
             x[r, flat_keys[edge[i] : edge[i + 1]]] = flat_vals[edge[i] : edge[i + 1]]
         return x
 
-    emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
-    soft = rng.normal(0, 0.1, (dim, len(langs) + 1)).astype(np.float32)
-    bias = np.zeros(len(langs) + 1, np.float32)
-    rate = 20.0
+    net = {"emb": rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32), "soft": rng.normal(0, 0.1, (dim, len(langs) + 1)).astype(np.float32), "bias": np.zeros(len(langs) + 1, np.float32)}
     for epoch in range(epochs):
         for lo in range(0, len(train), 32):
             idx = train[lo : lo + 32]
-            x = dense(idx)
-            a = x @ emb
-            d = _softmax(a @ soft + bias)
-            d[np.arange(len(idx)), y[idx]] -= 1
-            d /= len(idx)
-            step = rate * (1 - epoch / epochs)
-            da = d @ soft.T
-            soft -= step / 20 * (a.T @ d)
-            bias -= step / 200 * d.sum(0)
-            emb -= step * (x.T @ da)
+            descend(net, dense(idx), y[idx], RATE * (1 - epoch / epochs))
         rng.shuffle(train)
     del flat_keys, flat_vals
     pa.default_memory_pool().release_unused()
-    model = LanguageModel(langs, (emb @ soft).astype(np.float64), bias.astype(np.float64), np.zeros(len(langs)))
+    if trained.where("not _start").limit(1).count():
+        net = trained_on_all(net, trained.select(id_col, text_col, lang_col, "_weight"), langs, n_langs, RATE / epochs)
+    model = LanguageModel(langs, (net["emb"] @ net["soft"]).astype(np.float64), net["bias"].astype(np.float64), np.zeros(len(langs)))
     return calibrated(model, kept, text_col, lang_col)
 
 
 def calibrated(model: LanguageModel, texts: DataFrame, text_col: str, lang_col: str) -> LanguageModel:
-    """The model with its temperature (least loss) and floors (REJECTED_SHARE of a language's
-    rightly named texts lie below; half the least confidence where they are too few to tell)."""
+    """The model with its temperature (least loss, languages weighing alike) and floors (REJECTED_SHARE of a
+    language's rightly named texts lie below; half the least confidence where they are too few to tell).
+
+    All texts count; of each task the driver gets sums, and of each language the counts by bin of confidence.
+    """
     shared = texts.sparkSession.sparkContext.broadcast(model)
-    n = len(model.langs)
+    n, index = len(model.langs), {lang: k for k, lang in enumerate(model.langs)}
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = buffer_of(b.column(0))
+            y = np.array([index.get(lang, -1) for lang in b.column(1).to_pylist()], np.int32)
             for lo, hi in slices(offsets, 1 << 18):
                 z = text_logits(shared.value, data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                ok = ~np.isnan(z[:, 0])
-                yield pa.RecordBatch.from_arrays([b.column(1).slice(lo, hi - lo).filter(pa.array(ok)), pa.array(list(z[ok]), pa.list_(pa.float64()))], ["lang", "z"])
+                ok = ~np.isnan(z[:, 0]) & (y[lo:hi] >= 0)
+                yield pa.RecordBatch.from_arrays([pa.array(y[lo:hi][ok]), pa.array(list(z[ok]), pa.list_(pa.float64()))], ["y", "z"])
 
-    got = texts.select(text_col, lang_col).mapInArrow(logits, "lang string, z array<double>").toArrow()
-    index = {lang: k for k, lang in enumerate(model.langs)}
-    known = [k for k, lang in enumerate(got["lang"].to_pylist()) if lang in index]
-    if not known:
+    def read(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return b.column(0).to_numpy(), pc.list_flatten(b.column(1)).to_numpy().reshape(-1, n + 1)
+
+    def losses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, count = np.zeros((len(TEMPERATURES), n)), np.zeros(n, np.int64)
+        for b in batches:
+            y, z = read(b)
+            count += np.bincount(y, minlength=n)
+            for k, t in enumerate(TEMPERATURES):
+                total[k] += np.bincount(y, weights=-np.log(_softmax(z[:, :n] * t)[np.arange(len(y)), y] + 1e-12), minlength=n)
+        yield pa.RecordBatch.from_arrays([pa.array([count.tolist()], pa.list_(pa.int64())), pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["n", "loss"])
+
+    found = cut(texts.select(text_col, lang_col).mapInArrow(logits, "y int, z array<double>"))  # a few numbers a text
+    sums = found.mapInArrow(losses, "n array<long>, loss array<double>").toPandas()
+    count = np.sum([np.asarray(c) for c in sums["n"]], 0) if len(sums) else np.zeros(n)
+    if not count.sum():
         return model
-    z = pc.list_flatten(got["z"].combine_chunks()).to_numpy().reshape(-1, n + 1)[known]
-    y = np.array([index[got["lang"][k].as_py()] for k in known])
-    best = min((0.25 * 1.25**k for k in range(20)), key=lambda t: -np.log(_softmax(z[:, :n] * t)[np.arange(len(y)), y] + 1e-12).mean())
-    sure = _softmax(z * best)[np.arange(len(y)), y]
-    right = z[:, :n].argmax(1) == y
+    loss = np.array([math.fsum(task) for task in zip(*sums["loss"], strict=True)]).reshape(-1, n)  # rounds once, in whatever order
+    best = TEMPERATURES[int((loss / np.maximum(count, 1)).sum(1).argmin())]
+
+    def confidences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y, z = read(b)
+            right = z[:, :n].argmax(1) == y
+            sure = _softmax(z * best)[np.arange(len(y)), y][right]
+            yield pa.RecordBatch.from_arrays([pa.array(y[right]), pa.array(sure)], ["y", "p"])
+
+    bins = found.mapInArrow(confidences, "y int, p double").groupBy("y", F.floor(F.col("p") * BINS).alias("bin")).agg(F.count("*").alias("n"), F.min("p").alias("p")).toPandas().sort_values("bin")
     floors = np.zeros(n)
-    for k in range(n):
-        p = np.sort(sure[right & (y == k)])
-        at = int(REJECTED_SHARE * len(p))
-        floors[k] = p[at] if at else (p[0] / 2 if len(p) else 0.0)
+    for k, of in bins.groupby("y"):
+        upto, p = of["n"].cumsum().to_numpy(), of["p"].to_numpy()
+        at = int(REJECTED_SHARE * upto[-1])
+        floors[k] = p[np.searchsorted(upto, at, "right")] if at else p[0] / 2
     return LanguageModel(model.langs, model.table * best, model.bias * best, floors)
 
 
