@@ -1,7 +1,9 @@
 """Models learn from every row, not from a sample of them."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+import lodestory.llm.toxicity as T
 from lodestory.llm.averaging import BLOCK, SCHEMA, averaged, changes
 from lodestory.llm.language_id import START_ROWS, identify_language, split_rows, train_language_model
 from lodestory.llm.shared import held_out
@@ -44,3 +46,19 @@ def test_language_learns_from_rows_beyond_the_start(spark):
     new = [(2 * g + i, spoken(rng, later[lang][g])) for g in range(8) for i, lang in enumerate(first)]
     got = identify_language(docs(spark, new), m).select("doc_id", "lang_pred").collect()
     assert [r["lang_pred"] for r in got if r["lang_pred"] != ("aa", "bb")[r["doc_id"] % 2]] == []
+
+
+def test_toxicity_learns_from_rows_beyond_the_start(spark, monkeypatch):
+    monkeypatch.setattr(T, "START_TOXIC", 60)
+    monkeypatch.setattr(T, "START_CLEAN", 120)
+    rng = np.random.default_rng(2)
+    n = 4000
+    toxic = {k: int(k % 4 == 0) for k in range(n)}
+    ids = spark.range(n).select(F.col("id").alias("doc_id"), F.pmod(F.xxhash64("id", F.lit(29)), F.lit(1 << 30)).alias("draw"))
+    start = {r[0] for r in ids.where(F.col("draw") < 0.1 * (1 << 30)).collect()}  # the start and more
+    calm, vile = [f"calm{k}" for k in range(60)], [f"{c}vile" for c in "abcdefghij"]
+    say = lambda bad: " ".join([*rng.choice(calm, 8), *([bad] if bad else []), *rng.choice(calm, 4)])
+    texts = [(k, say(("worst" if k in start else vile[k // 4 % 10]) if toxic[k] else None)) for k in range(n)]
+    m = T.train_toxicity_model(docs(spark, texts), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"), None)
+    got = T.score_toxicity(docs(spark, [(k, say(v)) for k, v in enumerate([*vile, *[None] * 30])]), m).select("doc_id", "predicted").collect()
+    assert sum(r["predicted"] for r in got if r["doc_id"] < 10) >= 9 and sum(r["predicted"] for r in got if r["doc_id"] >= 10) <= 1
