@@ -9,6 +9,7 @@ library's Unicode rules could differ from the split) go to the library whole.
 
 from __future__ import annotations
 
+import json
 import re
 from itertools import chain, islice, repeat
 
@@ -16,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from lodestory.llm.shared import buffer_of, own_cache, ragged, slices
+from lodestory.llm.shared import LOWER, buffer_of, own_cache, ragged, slices
 
 #: Chunks that a worker keeps at most; then all but the first, the commonest, are forgotten.
 MOST_CHUNKS, FIRST_CHUNKS = 450_000, 200_000
@@ -31,6 +32,11 @@ SPACE[[0x09, 0x0A, 0x0D, 0x20]] = True
 SUSPECT[:0x20] = SUSPECT[0xC9:] = True
 SUSPECT[[0x7F, 0xC2, 0xC4]] = True
 SUSPECT[[0x09, 0x0A, 0x0D]] = False
+#: Words of vocabularies with this pattern end before a point that follows a letter.
+_LETTERS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTER, POINT = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[0x41:0x5B] = LETTER[0x61:0x7B] = True
+POINT[list(b".,;:!?")] = True
 
 
 class ChunkEncoder:
@@ -43,6 +49,10 @@ class ChunkEncoder:
         self.spaces = spaces
         special = [(t.content, i) for i, t in self.tok.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word)]
         self.mark = special[0] if special else None
+        steps = json.loads(self.tok.to_str())
+        before, cuts = (x.get(k, [x]) if x else [] for x, k in ((steps["normalizer"], "normalizers"), (steps["pre_tokenizer"], "pretokenizers")))
+        self.apart = bool(cuts) and cuts[0].get("pattern") == {"Regex": _LETTERS_APART}
+        self.lower = any(x["type"] == "Lowercase" for x in before)
         self.clear()
 
     def clear(self) -> None:
@@ -125,8 +135,10 @@ class ChunkEncoder:
             first[1:] &= space[:-1]
             edges = offsets[:-1][np.diff(offsets) > 0]
             first[edges] = ~space[edges]
+            if self.apart:  # and a point after it is a chunk of its own
+                first[1:] |= LETTER[data[:-1]] & POINT[data[1:]]
             start = np.flatnonzero(first)
-            data = data[~space]
+            data = LOWER[data[~space]] if self.lower else data[~space]
             edge = np.append((np.cumsum(~space) - 1)[start], len(data))
         chunks = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(edge.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))).dictionary_encode()
         kinds = chunks.dictionary.to_pylist()
