@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestory.llm.shared import buffer_of, prepare, ragged, slices, spans_of, words_of
+from lodestory.llm.shared import buffer_of, own_cache, prepare, ragged, slices, spans_of, words_of
 
 WINDOW = 10
 #: Words that must agree before a place enters a suffix array.
@@ -229,6 +229,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDO
     blocks = _probes(spark, benchmark, item_col, item_text_col, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("passages")
         for held, shard in _shards(batches):
             delta = np.zeros(shard.edge[-1] + 1, np.int64)
             pairs: set[tuple[int, str]] = set()
@@ -273,6 +274,7 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, *, least: int = LEAD,
     kind = dict(docs.dtypes)[id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("passages")
         for held, shard in _shards(batches):
             ids = pa.concat_arrays([b.column(0) for b in held])
             for p in _each(blocks):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestory.llm.averaging import SCHEMA, averaged, changes
-from lodestory.llm.shared import LOWER, WORD, buffer_of, cut, held_out, prepare, slices
+from lodestory.llm.shared import LOWER, WORD, buffer_of, cut, held_out, own_cache, prepare, slices, trim
 
 BUCKETS = 1 << 14
 #: Rows that the start is trained on, about; each language gets an equal part, LEAST_ROWS at least.
@@ -144,6 +144,7 @@ def trained_on_all(net: dict[str, np.ndarray], texts: DataFrame, langs: list[str
     index = {lang: k for k, lang in enumerate(langs)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("language")
         own, seen = {k: v.copy() for k, v in shared.value.items()}, 0
         for b in batches:
             ids, langs_, weights = b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()
@@ -187,6 +188,7 @@ def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
         return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("language")
         for b in batches:
             ids, langs, keys, vals = [], [], [], []
             for i, t, lang in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -231,7 +233,7 @@ def train_language_model(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
             descend(net, dense(idx), y[idx], RATE * (1 - epoch / epochs))
         rng.shuffle(train)
     del flat_keys, flat_vals
-    pa.default_memory_pool().release_unused()
+    trim()
     if trained.where("not _start").limit(1).count():
         net = trained_on_all(net, trained.select(id_col, text_col, lang_col, "_weight"), langs, n_langs, RATE / epochs)
     model = LanguageModel(langs, (net["emb"] @ net["soft"]).astype(np.float64), net["bias"].astype(np.float64), np.zeros(len(langs)))
@@ -248,6 +250,7 @@ def calibrated(model: LanguageModel, texts: DataFrame, text_col: str, lang_col:
     n, index = len(model.langs), {lang: k for k, lang in enumerate(model.langs)}
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("language")
         for b in batches:
             data, offsets = buffer_of(b.column(0))
             y = np.array([index.get(lang, -1) for lang in b.column(1).to_pylist()], np.int32)
@@ -304,6 +307,7 @@ def identify_language(docs: DataFrame, model: LanguageModel | None, *, id_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("language")
         m = shared.value
         for b in batches:
             preds, scores, reject = judge_batch(m, b.column(1))
@@ -322,6 +326,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel | None, *, text_col: s
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_cache("language")
         m = shared.value
         for b in batches:
             _, _, reject = judge_batch(m, b.column(at))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestory.llm.shared import buffer_of, cut, mix, own_cache, prepare, slices, words_of
+from lodestory.llm.shared import buffer_of, cut, mix, own_cache, prepare, slices, trim, words_of
 from lodestory.operators.graph import connected_components
 
 SHINGLE = 5
@@ -119,6 +119,7 @@ def inverse_frequencies(docs: DataFrame, *, text_col: str = "text") -> tuple[np.
     """
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+        own_cache("draws")
         for b in batches:
             data, offsets = buffer_of(b.column(0))
             for lo, hi in slices(offsets):
@@ -152,6 +153,8 @@ def inverse_frequencies(docs: DataFrame, *, text_col: str = "text") -> tuple[np.
         return none
     least = max(2, n // FREQUENT)
     full = docs.sparkSession.sparkContext.broadcast(np.packbits(np.concatenate([np.frombuffer(x, np.int64) for x in parts["counts"].to_pylist()]) >= least))  # 128 KB
+    del parts
+    trim()
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = np.unpackbits(full.value).astype(bool)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,14 +32,28 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 _caches: dict[str, dict] = {}
+_serving = ""
+
+
+def trim() -> None:
+    """Give memory that is free inside this process back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+    if give_back:
+        give_back(0)
 
 
 def own_cache(name: str) -> dict:
-    """What an operator keeps in a worker from task to task. Workers serve one operator after another,
-    so what others keep is dropped."""
-    for other, kept in _caches.items():
-        if other != name:
-            kept.clear()
+    """What an operator keeps in a worker from task to task. Workers serve one operator after another, so what others keep
+    is dropped; the first call of another operator also gives their free memory back, which workers would else hold on to."""
+    global _serving
+    if _serving != name:
+        for other, kept in _caches.items():
+            if other != name:
+                kept.clear()
+        trim()
+        _serving = name
     return _caches.setdefault(name, {})
 
 

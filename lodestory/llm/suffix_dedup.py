@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestory.llm.induced import permuted_prefixes, suffix_array
-from lodestory.llm.shared import buffer_of, cut, mix, prefix_hash, prepare, ragged, range_hash, slices, spans_of
+from lodestory.llm.shared import buffer_of, cut, mix, own_cache, prefix_hash, prepare, ragged, range_hash, slices, spans_of
 
 LENGTH, GRAM = 100, 32
 #: Different stretches of one anchor above which they are split into windows.
@@ -81,6 +81,7 @@ _STRETCH = "key long, text long, uid long, start long, windows long, done boolea
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches of a partition's texts; those that repeat within it leave as covered ranges."""
+    own_cache("suffix")
     held: list[tuple[np.ndarray, ...]] = []
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -157,6 +158,7 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix arrays over stretches that arrive in the order of their anchors, ids and places; a row
     without bytes is a window known to be repeated. Single windows of one key, of which there may
     be any number, are searched part by part, the first of each kind once more in each part."""
+    own_cache("suffix")
     texts: list[bytes] = []
     ids: list[tuple[int, int]] = []
     known: list[tuple[int, int]] = []
