@@ -96,8 +96,8 @@ def _(x):
 
 @query("K8_stream_time_join", "SELECT a.id, b.id AS other FROM articles a JOIN articles b ON a.source_url = b.source_url AND a.id < b.id AND abs(epoch_us(a.published_at) - epoch_us(b.published_at)) <= 48 * 3600000000")
 def _(x):
-    a = x.articles().select("id", "source_url", F.col("published_at").alias("at"))
-    return R.run_to_end(R.time_join(replay(x, a, "at"), replay(x, a, "at"), "source_url"))
+    rows = replay(x, x.articles().select("id", "source_url", F.col("published_at").alias("at")), "at")
+    return R.run_to_end(R.time_join(rows, rows, "source_url"))
 
 
 @query("K9_stream_late_backfill", f"""SELECT m.id, late, other, rank FROM marked m LEFT JOIN (SELECT a.id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY {DIST.format("va.v", "vb.v")}, b.id) AS rank

@@ -25,3 +25,11 @@ def test_pages_are_made_from_one_table_of_articles(spark, monkeypatch):
     df = entry.queries()["M5_story_detail"](spark, SF)
     assert len(made) <= 2  # the articles, and the links of models
     assert df.count() and not any("documents" in f for f in df.inputFiles())
+
+
+def test_both_sides_of_a_self_join_are_one_replay(spark, monkeypatch):
+    from lodestory.plans import streams as Q
+
+    made, replay = [], Q.replay
+    monkeypatch.setattr(Q, "replay", lambda *a, **k: made.append(1) or replay(*a, **k))
+    assert entry.queries()["K8_stream_time_join"](spark, SF).count() and len(made) == 1
