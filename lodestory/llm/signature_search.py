@@ -26,12 +26,16 @@ from lodestory.llm.shared import LOWER, MULT, WORD, buffer_of, mix, prefix_hash,
 
 #: Text of a block, queries' terms of one pass, and cells of a bit matrix, at most about.
 BLOCK_BYTES, QUERY_BYTES, CELLS = 2 << 20, 8 << 20, 8 << 20
+#: Documents of a block and items of a pass, at most about; terms times documents whose bounds are held at once.
+BLOCK_DOCS, QUERY_ITEMS, BOUNDS = 4096, 1 << 14, 4 << 20
+#: A row group holds a few blocks: Spark decodes a group as a whole, and a writer keeps one in memory.
+GROUPS = {"parquet.block.size": 8 << 20, "parquet.page.size.row.check.min": 1}
 #: A term that occurs at least so many times sets the bits of that step.
 STEPS = np.array([1, 2, 3, 4, 5, 6, 8, 10, 12, 16, 20, 24, 32, 48, 64, 96, 128, 256, 512, 1024], np.int64)
 HASHES, BITS_PER_KEY = 3, 8
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-INDEX = "ids array<long>, n array<long>, terms array<string>, df array<long>, start array<long>, code array<int>, tf array<int>, slices array<struct<bits:int,first:int,docs:int,rows:binary>>"
+INDEX = "ids array<long>, n array<long>, terms array<string>, df array<long>, start array<long>, code binary, tf binary, slices array<struct<bits:int,first:int,docs:int,rows:binary>>"
 
 
 def block_terms(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -102,28 +106,30 @@ def write_signature_index(docs: DataFrame, path: str, *, id_col: str = "doc_id",
     kind = dict(docs.dtypes)[id_col]
     if kind not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be an integer column, not {kind}")
-    kinds = {"ids": pa.int64(), "n": pa.int64(), "terms": pa.string(), "df": pa.int64(), "start": pa.int64(), "code": pa.int32(), "tf": pa.int32()}
+    kinds = {"ids": pa.int64(), "n": pa.int64(), "terms": pa.string(), "df": pa.int64(), "start": pa.int64()}
 
     def row(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
         found = index_block(t.column(0).combine_chunks(), t.column(1).combine_chunks())
         if found:
             cols = [pa.ListArray.from_arrays(pa.array([0, len(found[c])], pa.int32()), (v if isinstance(v := found[c], pa.Array) else pa.array(v)).cast(k)) for c, k in kinds.items()]
+            step = np.diff(found["code"], prepend=np.int32(0))  # codes of a document ascend, so most steps are small
+            cols += [pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in (step, found["tf"])]
             slices = pa.array([found["slices"]], pa.list_(pa.struct([("bits", pa.int32()), ("first", pa.int32()), ("docs", pa.int32()), ("rows", pa.binary())])))
-            yield pa.RecordBatch.from_arrays([*cols, slices], [*kinds, "slices"])
+            yield pa.RecordBatch.from_arrays([*cols, slices], [*kinds, "code", "tf", "slices"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, docs = [], 0, 0
         for b in batches:
             held.append(b)
-            size += b.column(1).nbytes
-            if size >= BLOCK_BYTES:
+            size, docs = size + b.column(1).nbytes, docs + len(b)
+            if size >= BLOCK_BYTES or docs >= BLOCK_DOCS:
                 yield from row(held)
-                held, size = [], 0
+                held, size, docs = [], 0, 0
         if held:
             yield from row(held)
 
-    docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, INDEX).write.parquet(path)
+    docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, INDEX).write.options(**GROUPS).parquet(path)
     return spark.read.schema(INDEX).parquet(path)
 
 
@@ -201,27 +207,49 @@ class Best:
             self.least[i] = self.score[i][-1]
 
 
+def item_groups(known: list[np.ndarray], n: int, most: int) -> Iterator[tuple[list[int], np.ndarray]]:
+    """Runs of items of at most about `most` distinct known terms in all, with those terms (numbers under n)."""
+    items, held = [], np.zeros(n, bool)
+    for i, mine in enumerate(known):
+        if not len(mine):
+            continue
+        if items and np.count_nonzero(held) + np.count_nonzero(~held[mine]) > most:
+            yield items, np.flatnonzero(held)
+            items, held = [], np.zeros(n, bool)
+        items.append(i)
+        held[mine] = True
+    if items:
+        yield items, np.flatnonzero(held)
+
+
+def item_bounds(block: Block, q: Queries, known: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """Items with known terms, and what bounds each document's score from above."""
+    most = max(1, BOUNDS // max(1, len(block.n)))
+    place = np.zeros(len(q.terms), np.int64)
+    for items, terms in item_groups(known, len(q.terms), most):
+        if len(terms) > most:  # one item
+            parts = (terms[s : s + most] for s in range(0, len(terms), most))
+            yield items[0], sum((q.weight[p].astype(np.float32) @ np.concatenate(list(block.bounds(q, p)), 1)).astype(np.float64) for p in parts)
+            continue
+        place[terms] = np.arange(len(terms))
+        gain = np.concatenate(list(block.bounds(q, terms)), 1)
+        for i in items:
+            yield i, (q.weight[known[i]].astype(np.float32) @ gain[place[known[i]]]).astype(np.float64)
+
+
 def search_block(block: Block, q: Queries, best: Best) -> None:
     """Score what the bounds don't exclude: the most promising documents first, then those that
     still reach the least score of the best."""
-    code = pc.index_in(pa.array(q.terms, pa.string()), value_set=block.terms.cast(pa.string())).to_numpy(zero_copy_only=False)
-    known = np.flatnonzero(~np.isnan(code)) if code.dtype.kind == "f" else np.arange(len(code))
-    if not len(known):
-        return
-    place = np.full(len(q.terms), -1)
-    place[known] = np.arange(len(known))
-    gain = np.concatenate(list(block.bounds(q, known)), 1)
+    code = pc.index_in(pa.array(q.terms, pa.string()), value_set=block.terms.cast(pa.string())).fill_null(-1).to_numpy().astype(np.int64)
+    known = [of[code[of] >= 0] for of in q.of]
     valid = block.ids.is_valid().to_numpy(zero_copy_only=False)
     ids = block.ids.fill_null(0).to_numpy()
     worth = np.zeros(len(block.terms), np.int64)
-    for i, of in enumerate(q.of):
-        mine = of[place[of] >= 0]
-        if not len(mine):
-            continue
-        codes = code[mine].astype(np.int64)
+    for i, bound in item_bounds(block, q, known):
+        mine = known[i]
+        codes = code[mine]
         worth[codes] = q.weight[mine]
-        bound = q.weight[mine].astype(np.float32) @ gain[place[mine]]
-        bound = np.where(valid, bound.astype(np.float64) * (1 + (len(mine) + 4) * 2e-7), 0)  # above all rounding
+        bound = np.where(valid, bound * (1 + (len(mine) + 4) * 2e-7), 0)  # above all rounding
         best.seen += int(valid.sum())
         head = np.flatnonzero(bound >= best.least[i])
         if len(head) > best.k:
@@ -243,9 +271,10 @@ def search_block(block: Block, q: Queries, best: Best) -> None:
 def _blocks(batches: Iterator[pa.RecordBatch], n_docs: int, n_terms: int) -> Iterator[Block]:
     for b in batches:
         for r in range(b.num_rows):
-            row = {c: b.column(c)[r].values for c in ("ids", "n", "terms", "start", "code", "tf")}
-            row |= {c: row[c].to_numpy() for c in ("n", "start", "code", "tf")} | {"slices": b.column("slices")[r].as_py()}
-            yield Block(row, n_docs, n_terms)
+            row = {c: b.column(c)[r].values for c in ("ids", "n", "terms", "start")}
+            row |= {c: row[c].to_numpy() for c in ("n", "start")} | {c: np.frombuffer(b.column(c)[r].as_buffer(), "<i4") for c in ("code", "tf")}
+            row["code"] = np.cumsum(row["code"], dtype=np.int32)
+            yield Block(row | {"slices": b.column("slices")[r].as_py()}, n_docs, n_terms)
 
 
 def query_terms(items: DataFrame, item_col: str, text_col: str) -> DataFrame:
@@ -261,7 +290,7 @@ def search_signatures(spark: SparkSession, index: DataFrame, items: DataFrame, *
     score the sum of w * ((10^9 tf) div (1000 tf + 20 m)), m = 50 + (50 n N) div L. Null texts have no
     terms; documents with a null id count in N, L and df but are never returned; equal scores go by
     ascending id; repeated rows rank each; an empty index or no items give no rows. Items are
-    searched in blocks of QUERY_BYTES of terms.
+    searched in blocks of QUERY_BYTES of terms or QUERY_ITEMS.
     """
     prepare(spark)
     kind = dict(items.dtypes)[item_col]
@@ -298,7 +327,7 @@ def _query_blocks(items: DataFrame) -> Iterator[tuple[list, list[list[str]]]]:
         names.append(r["item"])
         terms.append(r["terms"])
         size += sum(map(len, r["terms"]))
-        if size >= QUERY_BYTES:
+        if size >= QUERY_BYTES or len(names) >= QUERY_ITEMS:
             yield names, terms
             names, terms, size = [], [], 0
     if names:
